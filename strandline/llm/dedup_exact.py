@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 
 from .common import LOWER, UPPER, cut, table
 
+LEAD = 24
+
 
 def normalised(text: Column) -> Column:
     """A-Z in lower case, null as empty; all else stays."""
@@ -41,14 +43,16 @@ def content_sort(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     norm = normalised(F.col(text_col))
     rows = docs.withColumn("text_sha256", F.sha2(norm, 256)).join(F.broadcast(hot), "text_sha256", "left")  # at most ``parts`` rows
     rows = rows.withColumn("__cs_salt", F.coalesce(F.pmod(F.xxhash64(F.col(id_col)), F.col("__cs_pieces").cast("long")), F.lit(0)))
-    rows = rows.withColumn("__cs_norm", norm).repartitionByRange(parts, "__cs_norm", "__cs_salt")
-    run = Window.partitionBy("__cs_norm", "__cs_salt")
+    # Splitters are short, for the driver gathers samples of them: the leading characters, and a digest where these are equal.
+    rows = rows.withColumn("__cs_norm", norm).withColumn("__cs_lead", F.substring("__cs_norm", 1, LEAD))
+    rows = rows.repartitionByRange(parts, "__cs_lead", "text_sha256", "__cs_salt")
+    run = Window.partitionBy("__cs_lead", "text_sha256", "__cs_salt", "__cs_norm")
     best = F.col(id_col).desc_nulls_last() if keep == "max" else F.col(id_col).asc_nulls_last()
     seen = (
         rows.withColumn("__cs_rank", F.row_number().over(run.orderBy(best)))
         .withColumn("__cs_top", F.first(id_col).over(run.orderBy(best)))
         .withColumn("__cs_n", F.count(F.lit(1)).over(run.orderBy(best).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
-        .drop("__cs_norm")
+        .drop("__cs_norm", "__cs_lead")
     )
 
     heads = content_pieces(docs, id_col, text_col, hot, keep)
