@@ -35,3 +35,14 @@ def cut(df: DataFrame) -> DataFrame:
 
 def fresh_path(spark: SparkSession, kind: str) -> str:
     return f"{shared_dir(spark)}/{kind}-{uuid.uuid4().hex}"
+
+
+#: A side of a join with at most so many rows of a few numbers each is broadcast (about 30 MB); a longer one is sorted and merged.
+BROADCAST_ROWS = 400_000
+
+
+def small_side(df: DataFrame) -> DataFrame:
+    """``df``, which must be cheap to count, with a broadcast hint if its rows are few."""
+    from pyspark.sql import functions as F
+
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df

@@ -1,10 +1,11 @@
 """The queries of this subpackage and their SQL, by name."""
 
-from . import bpe, dedup_exact, mixing, quality_cnn, token_counts
+from . import bpe, dedup_exact, mixing, quality_cnn, suffix_dedup, token_counts
 
 QUERIES = {
     "op3_exact_dedup": dedup_exact.op3_exact_dedup,
     "op4_mix_sources": mixing.op4_mix_sources,
+    "op5_suffix_dedup": suffix_dedup.op5_suffix_dedup,
     "op6_quality": quality_cnn.op6_quality,
     "op7_token_counts": token_counts.op7_token_counts,
     "op8_bpe_codec": bpe.op8_bpe_codec,
