@@ -1,8 +1,9 @@
 """The queries of this subpackage and their SQL, by name."""
 
-from . import bpe, dedup_exact, mixing, quality_cnn, suffix_dedup, token_counts
+from . import bpe, dedup_exact, mixing, ngram_join, quality_cnn, suffix_dedup, token_counts
 
 QUERIES = {
+    "op2_ngram_join": ngram_join.op2_ngram_join,
     "op3_exact_dedup": dedup_exact.op3_exact_dedup,
     "op4_mix_sources": mixing.op4_mix_sources,
     "op5_suffix_dedup": suffix_dedup.op5_suffix_dedup,
