@@ -1,8 +1,9 @@
 """The queries of this subpackage and their SQL, by name."""
 
-from . import bpe, dedup_exact, mixing, ngram_join, quality_cnn, suffix_dedup, token_counts
+from . import bpe, dedup_exact, mixing, ngram_join, quality_cnn, suffix_dedup, token_counts, warc_zip
 
 QUERIES = {
+    "op1_warc_zip": warc_zip.op1_warc_zip,
     "op2_ngram_join": ngram_join.op2_ngram_join,
     "op3_exact_dedup": dedup_exact.op3_exact_dedup,
     "op4_mix_sources": mixing.op4_mix_sources,
@@ -11,4 +12,4 @@ QUERIES = {
     "op7_token_counts": token_counts.op7_token_counts,
     "op8_bpe_codec": bpe.op8_bpe_codec,
 }
-ORACLE = {"op3_exact_dedup": dedup_exact.SQL}
+ORACLE = {"op1_warc_zip": warc_zip.SQL, "op3_exact_dedup": dedup_exact.SQL}
