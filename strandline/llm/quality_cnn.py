@@ -202,11 +202,12 @@ def classify(docs: DataFrame, net: Net, carry: list[str]) -> DataFrame:
     """
     carry = [c for c in carry if c != "score"]
     known = docs.sparkSession.sparkContext.broadcast(net)  # about 6,000 numbers
-    rows = docs.select(*carry, F.col("text").alias("__cnn_text"))
+    name = "text" if "text" in carry else "__cnn_text"
+    rows = docs.select(*carry, *([] if name == "text" else [F.col("text").alias(name)]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for lo, hi, data, at in flat.blocks(batch, "__cnn_text", 1 << 20):
+            for lo, hi, data, at in flat.blocks(batch, name, 1 << 20):
                 part = batch.slice(lo, hi - lo)
                 found = score(known.value, data, at).astype(np.float64)
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in carry), pa.array(found)], [*carry, "score"])

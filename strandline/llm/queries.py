@@ -1,6 +1,6 @@
 """The queries of this subpackage and their SQL, by name."""
 
-from . import bpe, dedup_exact, mixing, ngram_join, quality_cnn, quality_mcd, suffix_dedup, token_counts, warc_zip
+from . import bpe, dedup_exact, mixing, ngram_join, pii, quality_cnn, quality_mcd, suffix_dedup, token_counts, warc_zip
 
 QUERIES = {
     "op1_warc_zip": warc_zip.op1_warc_zip,
@@ -12,5 +12,6 @@ QUERIES = {
     "op7_token_counts": token_counts.op7_token_counts,
     "op8_bpe_codec": bpe.op8_bpe_codec,
     "op9_quality_rules": quality_mcd.op9_quality_rules,
+    "op10_pii": pii.op10_pii,
 }
 ORACLE = {"op1_warc_zip": warc_zip.SQL, "op3_exact_dedup": dedup_exact.SQL}
