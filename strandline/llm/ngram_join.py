@@ -218,7 +218,7 @@ def document_sets(docs: DataFrame, id_col: str, text_col: str, words: int, num:
 
 
 def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, num: int = 80, den: int = 100) -> DataFrame:
-    """``id_col``, n_shingles and component_id (the least id reachable by links) of each row.
+    """``id_col``, n_shingles, component_id (the least id reachable by links), t1 and t2 (xxhash64 of the text and of 1 and the text) of each row.
 
     Two documents link when ``den * |A & B| >= num * |A | B|``.  Texts of fewer than ``words`` words have one shingle, the
     whole sequence; texts without words and null ones have none, link with nothing and are components of their own.  Rows
@@ -230,11 +230,11 @@ def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     sets = document_sets(docs, id_col, text_col, words, num, den)
     links = cut(_links(docs, text_col, sets, words, num, den))
     roots = cut(components(links))
-    named = sets.select("id", "n_shingles", "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    named = sets.select("id", "n_shingles", "node", "t1", "t2").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     named = cut(named)
     least = named.where("root is not null").groupBy("root").agg(F.min("id").alias("least"))
     out = named.join(least, "root", "left")
-    return out.select(F.col("id").alias(id_col), "n_shingles", F.coalesce("least", "id").alias("component_id"))
+    return out.select(F.col("id").alias(id_col), "n_shingles", F.coalesce("least", "id").alias("component_id"), "t1", "t2")
 
 
 def _links(docs: DataFrame, text_col: str, sets: DataFrame, words: int, num: int, den: int) -> DataFrame:
@@ -342,5 +342,17 @@ def _crowds(full: DataFrame, parts: int, num: int, den: int) -> DataFrame:
     return star.unionByName(tasks.mapInArrow(compare, "a long, b long"))
 
 
+def one_of_each(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100) -> DataFrame:
+    """The rows of ``docs`` (doc_id, text and any others) without near duplicates: of each component the row with the least doc_id stays.
+
+    A row without id stays only if its whole component has none.  Of rows that repeat both id and text all stay, or none.
+    """
+    found = similar_components(docs, words=words, num=num, den=den)
+    gone = cut(found.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__nj_id"), F.col("t1").alias("__nj_t")).distinct())
+    key = F.xxhash64(F.coalesce("text", F.lit("")))
+    return docs.join(small_side(gone), F.col("doc_id").eqNullSafe(F.col("__nj_id")) & (key == F.col("__nj_t")), "left_anti")
+
+
 def op2_ngram_join(spark, sf_dir: str) -> DataFrame:
-    return similar_components(table(spark, sf_dir, "documents"), words=4, num=85, den=100)
+    out = similar_components(table(spark, sf_dir, "documents"), words=4, num=85, den=100)
+    return out.select("doc_id", "n_shingles", "component_id")

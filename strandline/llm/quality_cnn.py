@@ -194,13 +194,13 @@ def held_out():
     return F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(5)) == 0
 
 
-def classify(docs: DataFrame, net: Net, carry: list[str]) -> DataFrame:
-    """The columns ``carry`` of each row with ``score``: the probability that its text has label 1.
+def classify(docs: DataFrame, net: Net, carry: list[str], score_col: str = "score") -> DataFrame:
+    """The columns ``carry`` of each row with ``score_col``: the probability that its text has label 1.
 
     Null and empty texts have a score too: that of padding alone.  Rows repeat as they do in ``docs``.  ``carry`` may
-    hold the text; a column named score is replaced.
+    hold the text; a column named ``score_col`` is replaced.
     """
-    carry = [c for c in carry if c != "score"]
+    carry = [c for c in carry if c != score_col]
     known = docs.sparkSession.sparkContext.broadcast(net)  # about 6,000 numbers
     name = "text" if "text" in carry else "__cnn_text"
     rows = docs.select(*carry, *([] if name == "text" else [F.col("text").alias(name)]))
@@ -210,9 +210,9 @@ def classify(docs: DataFrame, net: Net, carry: list[str]) -> DataFrame:
             for lo, hi, data, at in flat.blocks(batch, name, 1 << 20):
                 part = batch.slice(lo, hi - lo)
                 found = score(known.value, data, at).astype(np.float64)
-                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in carry), pa.array(found)], [*carry, "score"])
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in carry), pa.array(found)], [*carry, score_col])
 
-    schema = rows.select(*carry).schema.add("score", "double")
+    schema = rows.select(*carry).schema.add(score_col, "double")
     return rows.mapInArrow(run, schema)
 
 
