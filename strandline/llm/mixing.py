@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, cut, table
+from .common import BROADCAST_ROWS, WORD, cut, table
 
 STEPS = 16
 BINS, TOP_BIN = 2048, 8191
@@ -46,6 +46,11 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share
     return per.select("source", "source_size", "source_docs", F.coalesce(F.least("most", F.col("w") * F.col("level")), F.col("most")).alias("target"))
 
 
+def per_source(params: DataFrame, sources: int) -> DataFrame:
+    """A row per source, to be broadcast if these are few."""
+    return F.broadcast(params) if sources <= BROADCAST_ROWS else params
+
+
 def _rate(cap: float) -> Column:
     """Rounded, so that the last bits of a multiplier don't decide."""
     z = F.when(F.col("source_size") > 0, F.col("size") * F.col("source_docs") / F.col("source_size")).otherwise(0.0)
@@ -64,11 +69,12 @@ def fit_mix(sizes: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float
     """One row per source with all that ``apply_mix`` needs.  ``sizes``: doc_id, source, size; read several times."""
     targets = cut(source_targets(sizes, weights, share, cap))
     hist = cut(sizes.groupBy("source", "size").agg(F.count(F.lit(1)).alias("n")))
+    n = targets.count()
     lam = targets.withColumns({"lam": F.lit(0.0), "lo": F.lit(None).cast("double"), "hi": F.lit(None).cast("double")})
     fixed = lambda c: F.sum(F.round(c * 1e4).cast("decimal(38,0)")).cast("double") / 1e4
     for step in range(STEPS):
         z = F.col("size") * F.col("source_docs") / F.col("source_size")
-        seen = hist.where("size > 0").join(lam, hist["source"].eqNullSafe(lam["source"])).drop(hist["source"]).withColumn("rate", _rate(cap))
+        seen = hist.where("size > 0").join(per_source(lam, n), hist["source"].eqNullSafe(lam["source"])).drop(hist["source"]).withColumn("rate", _rate(cap))
         words_now = F.col("n") * F.col("size") * F.col("rate")
         slope = F.when(F.col("rate") < cap, words_now * z).otherwise(0.0)
         sums = seen.groupBy("source", "source_size", "source_docs", "target", "lam", "lo", "hi").agg(fixed(words_now).alias("g"), fixed(slope).alias("h"))
@@ -84,15 +90,15 @@ def fit_mix(sizes: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float
             lam = cut(lam)
     none = targets.where("source_size = 0").withColumn("lam", F.lit(0.0))
     lam = cut(lam.select("source", "source_size", "source_docs", "target", "lam").unionByName(none))
-    return _fill(sizes, lam, cap)
+    return _fill(sizes, lam, cap, n)
 
 
-def _fill(sizes: DataFrame, lam: DataFrame, cap: float) -> DataFrame:
+def _fill(sizes: DataFrame, lam: DataFrame, cap: float, n: int) -> DataFrame:
     """How far the fractional copies of each source go: up to the priority (tau, tau_id), and the one document besides that closes the gap best.
 
     A histogram of priorities finds the bin in which the target is reached; only that bin's rows are ranked.
     """
-    rated = sizes.join(lam, sizes["source"].eqNullSafe(lam["source"])).drop(sizes["source"]).withColumn("rate", _rate(cap)).withColumn("p", _priority())
+    rated = sizes.join(per_source(lam, n), sizes["source"].eqNullSafe(lam["source"])).drop(sizes["source"]).withColumn("rate", _rate(cap)).withColumn("p", _priority())
     rated = rated.withColumn("bin", F.least(F.floor(F.col("p") * BINS), F.lit(TOP_BIN)).cast("int"))
     sure = rated.groupBy("source").agg(F.sum(F.floor("rate") * F.col("size")).alias("sure"))
     need = lam.join(sure, lam["source"].eqNullSafe(sure["source"]), "left").drop(sure["source"]).withColumn("need", F.col("target") - F.coalesce("sure", F.lit(0)))
@@ -104,7 +110,7 @@ def _fill(sizes: DataFrame, lam: DataFrame, cap: float) -> DataFrame:
     params = cut(need.join(edge, need["source"].eqNullSafe(edge["s2"]), "left").drop("s2").withColumnsRenamed({"bin": "edge_bin"}))
 
     small = params.select(F.col("source").alias("s3"), "need", "edge_bin", "below")
-    near = rated.where("p is not null and size > 0").join(small, rated["source"].eqNullSafe(small["s3"])).where("bin = edge_bin")
+    near = rated.where("p is not null and size > 0").join(per_source(small, n), rated["source"].eqNullSafe(small["s3"])).where("bin = edge_bin")
     order = Window.partitionBy("source").orderBy("p", "doc_id")
     near = near.withColumn("upto", F.col("below") + F.sum("size").over(order)).where("upto <= need")
     tau = cut(near.groupBy("source").agg(F.max(F.struct("p", "doc_id")).alias("tau"), F.max("upto").alias("got")))
@@ -113,7 +119,7 @@ def _fill(sizes: DataFrame, lam: DataFrame, cap: float) -> DataFrame:
     params = cut(params.withColumn("gap", F.col("need") - F.coalesce("got", "below", F.lit(0))))
 
     left = params.select(F.col("source").alias("s5"), "edge_bin", "tau", "gap")
-    rest = rated.where("p is not null and size > 0").join(left, rated["source"].eqNullSafe(left["s5"]))
+    rest = rated.where("p is not null and size > 0").join(per_source(left, n), rated["source"].eqNullSafe(left["s5"]))
     rest = rest.where(~_within()).where("size < 2 * gap")
     close = rest.groupBy("s5").agg(F.min(F.struct(F.abs(F.col("size") - F.col("gap")), F.col("p"), F.col("doc_id").alias("id"))).alias("close")).select(F.col("s5"), F.col("close.id").alias("extra"))
     return cut(params.join(close, params["source"].eqNullSafe(close["s5"]), "left").select("source", "source_size", "source_docs", "target", "lam", "edge_bin", "tau", "extra"))
@@ -128,11 +134,11 @@ def _within() -> Column:
 def apply_mix(docs: DataFrame, params: DataFrame, cap: float = 2.0) -> DataFrame:
     """The rows of ``docs`` (doc_id, source, size and any others) with source_size, target, rate, copies and taken.
 
-    ``params`` has a row per source; Spark broadcasts it by its size or else joins by sorting.
+    ``params`` has a row per source.
     """
     docs = docs.drop(*[c for c in ("source_size", "source_docs", "target", "lam", "edge_bin", "tau", "extra", "rate", "copies", "taken", "p", "bin") if c in docs.columns])
     p = params.withColumnRenamed("source", "__mix_source")
-    rows = docs.join(p, docs["source"].eqNullSafe(p["__mix_source"]), "left").withColumn("rate", _rate(cap)).withColumn("p", _priority())
+    rows = docs.join(per_source(p, p.count()), docs["source"].eqNullSafe(p["__mix_source"]), "left").withColumn("rate", _rate(cap)).withColumn("p", _priority())
     rows = rows.withColumn("bin", F.least(F.floor(F.col("p") * BINS), F.lit(TOP_BIN)).cast("int"))
     more = (_within() | F.coalesce(F.col("doc_id") == F.col("extra"), F.lit(False))) & F.col("p").isNotNull()
     rows = rows.withColumn("copies", (F.floor("rate") + more.cast("int")).cast("int"))
@@ -150,6 +156,12 @@ def mix(docs: DataFrame) -> DataFrame:
     return apply_mix(docs.withColumn("size", words(docs["text"])), fit_mix(sizes))
 
 
+def copied(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs`` as often as ``mix`` takes them."""
+    out = mix(docs).where("copies > 0").withColumn("__mix_copy", F.explode(F.sequence(F.lit(1), F.col("copies"))))
+    return out.select(*docs.columns)
+
+
 def op4_mix_sources(spark, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     sizes = cut(docs.select("doc_id", "source", words(docs["text"]).alias("size")))
