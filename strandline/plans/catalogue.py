@@ -1,4 +1,321 @@
-"""Queries over the driver's tables, by name, each with its SQL."""
+"""Queries over the driver's tables, by name, each with its SQL.
+
+They apply the operators to whole tables: ranks and series to parts, line items and events, the similarity operators to
+vectors made of them, the table operators to orders, documents and conversations.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from ..functions import scalar as S
+from ..operators import ranks, series, similarity, tables
 
 QUERIES: dict = {}
 ORACLE: dict = {}
+
+TYPES = ("click", "error", "purchase", "signup", "view")
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE[f.__name__] = sql
+        return f
+
+    return add
+
+
+def read(spark: SparkSession, d: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{d}/{name}.parquet")
+
+
+def events(spark: SparkSession, d: str) -> DataFrame:
+    """With ``t``: seconds."""
+    return read(spark, d, "events").withColumn("t", F.unix_micros(F.col("ts").cast("timestamp")) / F.lit(1e6))
+
+
+EV = "WITH e AS (SELECT event_id, user_id, event_type, value, epoch_us(ts)::DOUBLE / 1e6::DOUBLE AS t FROM events)"
+DAY = 86400.0
+
+
+def r6(c):
+    return F.round(c, 6)
+
+
+# Ranks
+
+
+@query("""SELECT p_partkey, CASE WHEN m > 1 THEN (k - 1)::DOUBLE / (m - 1)::DOUBLE ELSE 0::DOUBLE END AS rank FROM
+  (SELECT *, max(k) OVER () AS m FROM (SELECT p_partkey, dense_rank() OVER (ORDER BY p_retailprice) AS k FROM part))""")
+def distinct_rank(spark, d):
+    part = read(spark, d, "part")
+    return ranks.apply_ranks(part, ranks.fit_distinct(part, "p_retailprice"), "p_retailprice", "rank").select("p_partkey", "rank")
+
+
+MID = """SELECT p_partkey, p_size::BIGINT AS p_size, CASE WHEN n > 1 THEN ((k - 1)::DOUBLE + (c - 1)::DOUBLE / 2::DOUBLE) / (n - 1)::DOUBLE ELSE 0.5::DOUBLE END AS rank FROM
+  (SELECT *, rank() OVER (PARTITION BY p_size ORDER BY p_retailprice) AS k, count(*) OVER (PARTITION BY p_size, p_retailprice) AS c, count(*) OVER (PARTITION BY p_size) AS n FROM part)"""
+
+
+def _midranks(spark, d):
+    part = read(spark, d, "part").withColumn("p_size", F.col("p_size").cast("long"))
+    return ranks.apply_ranks(part, ranks.fit_midrank(part, "p_retailprice", ["p_size"]), "p_retailprice", "rank", ["p_size"]).select("p_partkey", "p_size", "rank")
+
+
+@query(MID)
+def midrank_by_group(spark, d):
+    return _midranks(spark, d)
+
+
+@query(f"SELECT p_partkey, least(floor(rank * 10::DOUBLE), 9)::BIGINT AS band FROM ({MID})")
+def band_assign(spark, d):
+    return _midranks(spark, d).select("p_partkey", S.band(F.col("rank")).alias("band"))
+
+
+@query("""WITH f AS (SELECT p_retailprice AS v, rank FROM (SELECT DISTINCT p_retailprice, CASE WHEN m > 1 THEN (k - 1)::DOUBLE / (m - 1) ELSE 0 END AS rank FROM
+  (SELECT *, max(k) OVER () AS m FROM (SELECT p_retailprice, dense_rank() OVER (ORDER BY p_retailprice) AS k FROM part)))),
+t AS (SELECT s_suppkey AS id, abs(s_acctbal) AS x FROM supplier)
+SELECT id, greatest(u - 1, 0)::DOUBLE / (m - 1)::DOUBLE AS rank FROM (SELECT id, count(*) FILTER (v <= x) AS u, count(*) AS m FROM t, f GROUP BY id)""")
+def rank_outside(spark, d):
+    fitted = ranks.fit_distinct(read(spark, d, "part"), "p_retailprice")
+    target = read(spark, d, "supplier").select(F.col("s_suppkey").alias("id"), F.abs("s_acctbal").alias("x"))
+    # Suppliers are few beside what is ranked; targets of this operator are a handful of charts.
+    return ranks.rank_outside(target.withColumnRenamed("x", "p_retailprice"), fitted, "p_retailprice", "rank", "distinct").select("id", "rank")
+
+
+@query("""SELECT floor(l_extendedprice / 1000::DOUBLE / 0.1::DOUBLE + 1e-6::DOUBLE)::BIGINT AS section, count(*)::BIGINT AS n, round(sum(l_quantity), 4) AS sum_quantity,
+  round(sum(l_quantity * l_quantity), 4) AS sumsq_quantity, round(sum(l_discount), 4) AS sum_discount, round(sum(l_discount * l_discount), 4) AS sumsq_discount FROM lineitem GROUP BY 1""")
+def section_stats(spark, d):
+    li = read(spark, d, "lineitem").withColumn("section", S.star_section(F.col("l_extendedprice") / F.lit(1000.0)))
+    m = {"quantity": F.col("l_quantity"), "discount": F.col("l_discount")}
+    aggs = [F.round(F.sum(x), 4).alias(f"sum_{k}") for k, x in m.items()] + [F.round(F.sum(x * x), 4).alias(f"sumsq_{k}") for k, x in m.items()]
+    return li.groupBy("section").agg(F.count(F.lit(1)).alias("n"), *aggs)
+
+
+@query("""SELECT event_type, round(quantile_cont(value, 0.97), 6) AS q97, round(quantile_cont(value, 0.90), 6) AS q90,
+  round(quantile_cont(value, 0.75), 6) AS q75, round(quantile_cont(value, 0.50), 6) AS q50 FROM events GROUP BY 1""")
+def exact_quantile(spark, d):
+    ev = read(spark, d, "events")
+    return ev.groupBy("event_type").agg(*[r6(F.percentile("value", q)).alias(f"q{round(100 * q)}") for q in (0.97, 0.90, 0.75, 0.50)])
+
+
+@query("SELECT p_brand, list_sort(list(p_retailprice))[count(*) // 2 + 1] AS median FROM part GROUP BY 1")
+def upper_median(spark, d):
+    part = read(spark, d, "part")
+    c = ranks.running_counts(ranks.count_values(part, ["p_brand"], "p_retailprice"), ["p_brand"], "p_retailprice")
+    middle = F.floor(F.col("rows") / 2)
+    return c.where((F.col("below") <= middle) & (middle < F.col("below") + F.col("n"))).select("p_brand", F.col("p_retailprice").alias("median"))
+
+
+@query("""SELECT event_type, round(avg(value), 6) AS tail_mean FROM (SELECT event_type, value, row_number() OVER (PARTITION BY event_type ORDER BY value DESC, event_id) AS k,
+  count(*) OVER (PARTITION BY event_type) AS n FROM events) WHERE k <= ceil(n * 0.04::DOUBLE) GROUP BY 1""")
+def top4pct_mean(spark, d):
+    ev = read(spark, d, "events")
+    c = ranks.running_counts(ranks.count_values(ev, ["event_type"], "value"), ["event_type"], "value")
+    k = F.ceil(F.col("rows") * F.lit(0.04))
+    above = F.col("rows") - F.col("below") - F.col("n")
+    take = F.least(F.col("n"), F.greatest(k - above, F.lit(0)))
+    return c.groupBy("event_type").agg(r6(F.sum(F.col("value") * take) / F.sum(take)).alias("tail_mean"))
+
+
+@query("""SELECT user_id, event_type AS dominant FROM (SELECT user_id, event_type, row_number() OVER (PARTITION BY user_id ORDER BY count(*) DESC, event_type DESC) AS k
+  FROM events GROUP BY 1, 2) WHERE k = 1""")
+def argmax_last_tie(spark, d):
+    n = read(spark, d, "events").groupBy("user_id", "event_type").agg(F.count(F.lit(1)).alias("n"))
+    return n.groupBy("user_id").agg(F.max_by("event_type", F.struct("n", "event_type")).alias("dominant"))
+
+
+# Series
+
+
+@query(EV + " SELECT event_id, count(*) OVER (PARTITION BY user_id ORDER BY t RANGE BETWEEN 86400 PRECEDING AND CURRENT ROW)::BIGINT AS n FROM e")
+def trailing_range_count(spark, d):
+    return events(spark, d).select("event_id", F.count(F.lit(1)).over(series.trailing("user_id", F.col("t"), DAY)).alias("n"))
+
+
+@query(EV + """, w AS (SELECT a.event_id, b.event_type, count(*) AS c FROM e a JOIN e b ON a.user_id = b.user_id AND b.t BETWEEN a.t - 259200 AND a.t GROUP BY 1, 2),
+s AS (SELECT *, sum(c) OVER (PARTITION BY event_id) AS n FROM w) SELECT event_id, round(abs(sum(-(c / n::DOUBLE) * log2(c / n::DOUBLE))), 6) AS bits FROM s GROUP BY 1""")
+def entropy_window(spark, d):
+    w = series.trailing("user_id", F.col("t"), 3 * DAY)
+    return events(spark, d).withColumn("seen", F.collect_list("event_type").over(w)).select("event_id", r6(series.entropy(F.col("seen"))).alias("bits"))
+
+
+@query(EV + """ SELECT a.event_id, round(sum(b.value * exp(-(a.t - b.t) / 21600::DOUBLE)), 6) AS state FROM e a JOIN e b ON a.user_id = b.user_id
+  AND (b.t < a.t OR (b.t = a.t AND b.event_id <= a.event_id)) GROUP BY 1""")
+def decay_state(spark, d):
+    ev = events(spark, d).select("event_id", "user_id", "t", "value")
+    return series.decayed_sum(ev, "user_id", "t", "value", 21600.0, ["event_id"], "state").select("event_id", r6("state").alias("state"))
+
+
+@query(EV.replace("WITH e", "WITH RECURSIVE e") + """, a AS (SELECT event_type, min(t) AS start, 0::BIGINT AS k FROM e GROUP BY 1
+  UNION ALL SELECT a.event_type, (SELECT min(t) FROM e WHERE e.event_type = a.event_type AND e.t - a.start > 120) AS start, k + 1 FROM a
+  WHERE EXISTS (SELECT 1 FROM e WHERE e.event_type = a.event_type AND e.t - a.start > 120)),
+b AS (SELECT *, lead(start) OVER (PARTITION BY event_type ORDER BY start) AS stop FROM a)
+SELECT b.event_type, b.k AS row, b.start, count(*)::BIGINT AS n FROM b JOIN e ON e.event_type = b.event_type AND e.t >= b.start AND (b.stop IS NULL OR e.t < b.stop) GROUP BY 1, 2, 3""")
+def tolerance_rows(spark, d):
+    return series.tolerance_rows(events(spark, d), "event_type", "t", 120.0).select("event_type", "row", "start", "n")
+
+
+@query(EV + """, b AS (SELECT user_id, floor((t - min(t) OVER (PARTITION BY user_id)) / 86400)::BIGINT AS s, value FROM e),
+p AS (SELECT user_id, s, max(value) AS peak FROM b GROUP BY 1, 2), w AS (SELECT user_id, unnest(range(0, max(s) + 1)) AS s FROM p GROUP BY 1),
+f AS (SELECT w.user_id, w.s, coalesce(peak, 0) AS peak FROM w LEFT JOIN p USING (user_id, s)),
+k AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY peak DESC, s) - 1 AS i FROM f)
+SELECT user_id, count(*)::BIGINT AS sections, round(sum(peak * pow(0.9::DOUBLE, i)), 6) AS total, round(sum(peak * pow(0.9::DOUBLE, i)) / sum(pow(0.9::DOUBLE, i)), 6) AS mean FROM k GROUP BY 1""")
+def section_peaks(spark, d):
+    ev = events(spark, d)
+    first = ev.groupBy("user_id").agg(F.min("t").alias("t0"))
+    p = series.section_peaks(ev.join(first, "user_id"), "user_id", F.col("t") - F.col("t0"), DAY, F.col("value"))
+    n = p.groupBy("user_id").agg(F.count(F.lit(1)).alias("sections"))
+    return series.weighted_peaks(p, "user_id", 0.9).join(n, "user_id").select("user_id", "sections", r6("total").alias("total"), r6("mean").alias("mean"))
+
+
+@query(EV + """, g AS (SELECT user_id, event_type, least(greatest(coalesce(lead(t) OVER (PARTITION BY user_id ORDER BY t, event_id) - t, 1), 1), 3600) AS a FROM e)
+SELECT user_id, event_type, round(sum(a) / greatest(sum(sum(a)) OVER (PARTITION BY user_id), 1), 6) AS share FROM g GROUP BY 1, 2""")
+def lead_share(spark, d):
+    gap = F.lead("t").over(Window.partitionBy("user_id").orderBy("t", "event_id")) - F.col("t")
+    g = events(spark, d).withColumn("a", S.clamp(F.coalesce(gap, F.lit(1.0)), 1.0, 3600.0)).groupBy("user_id", "event_type").agg(F.sum("a").alias("a"))
+    whole = F.greatest(F.sum("a").over(Window.partitionBy("user_id")), F.lit(1.0))
+    return g.select("user_id", "event_type", r6(F.col("a") / whole).alias("share"))
+
+
+@query("""WITH x AS (SELECT l_orderkey, l_extendedprice AS v, lag(l_extendedprice) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS p FROM lineitem)
+SELECT l_orderkey, count(p)::BIGINT AS transitions, count(*) FILTER (abs(v - p) > 1e-6::DOUBLE * greatest(abs(v), abs(p), 1))::BIGINT AS changes FROM x GROUP BY 1""")
+def lag_change_rate(spark, d):
+    w = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")
+    x = read(spark, d, "lineitem").select("l_orderkey", F.col("l_extendedprice").alias("v"), F.lag("l_extendedprice").over(w).alias("p"))
+    changed = F.abs(F.col("v") - F.col("p")) > 1e-6 * F.greatest(F.abs("v"), F.abs("p"), F.lit(1.0))
+    return x.groupBy("l_orderkey").agg(F.count("p").alias("transitions"), F.count_if(changed).alias("changes"))
+
+
+@query(EV + """, g AS (SELECT user_id, t - lag(t) OVER (PARTITION BY user_id ORDER BY t, event_id) AS gap FROM e)
+SELECT user_id, count(*) FILTER (gap > 86400)::BIGINT AS breaks, round(coalesce(sum(gap - 86400) FILTER (gap > 86400), 0), 3) AS inactive FROM g GROUP BY 1""")
+def breaks_gap(spark, d):
+    g = events(spark, d).withColumn("gap", F.col("t") - F.lag("t").over(Window.partitionBy("user_id").orderBy("t", "event_id")))
+    long = F.col("gap") > DAY
+    return g.groupBy("user_id").agg(F.count_if(long).alias("breaks"), F.round(F.coalesce(F.sum(F.when(long, F.col("gap") - DAY)), F.lit(0.0)), 3).alias("inactive"))
+
+
+@query("""SELECT l_orderkey, bit_or(1::BIGINT << (l_linenumber % 60)) AS mask, bit_count(bit_or(1::BIGINT << (l_linenumber % 60)))::BIGINT AS lanes FROM lineitem GROUP BY 1""")
+def bitmask_popcount(spark, d):
+    m = read(spark, d, "lineitem").groupBy("l_orderkey").agg(F.expr("bit_or(shiftleft(1L, cast(l_linenumber % 60 as int)))").alias("mask"))
+    return m.select("l_orderkey", "mask", S.popcount(F.col("mask")).cast("long").alias("lanes"))
+
+
+@query("""SELECT l_orderkey, l_linenumber::BIGINT AS l_linenumber, l_partkey, k AS keys, least(floor(floor(least(greatest(x, 0), 511.999::DOUBLE) / 512::DOUBLE * 128::DOUBLE) * k / 128::DOUBLE), k - 1)::BIGINT AS lane FROM
+  (SELECT *, l_extendedprice % 512 AS x, CASE l_linenumber % 3 WHEN 0 THEN 4 WHEN 1 THEN 6 ELSE 7 END::BIGINT AS k FROM lineitem)""")
+def lane_quantise(spark, d):
+    k = F.element_at(F.array(F.lit(4), F.lit(6), F.lit(7)), (F.col("l_linenumber") % 3 + 1).cast("int")).cast("long")
+    return read(spark, d, "lineitem").select("l_orderkey", F.col("l_linenumber").cast("long").alias("l_linenumber"), "l_partkey", k.alias("keys"), S.lane_of(F.col("l_extendedprice") % 512.0, k).cast("long").alias("lane"))
+
+
+@query(EV + """ SELECT event_id, carried FROM (SELECT event_id, event_type, last_value(CASE WHEN event_type = 'error' THEN value END IGNORE NULLS)
+  OVER (PARTITION BY user_id ORDER BY t, CASE WHEN event_type = 'error' THEN 0 ELSE 1 END, event_id ROWS UNBOUNDED PRECEDING) AS carried FROM e) WHERE event_type <> 'error'""")
+def asof_carry(spark, d):
+    ev = events(spark, d)
+    points = ev.where("event_type = 'error'").groupBy("user_id", "t").agg(F.max_by("value", "event_id").alias("carried"))
+    rows = ev.where("event_type <> 'error'").select("event_id", "user_id", "t")
+    return series.asof_carry(points, rows, "user_id", "t", ["carried"], "event_id").select("event_id", "carried")
+
+
+@query(EV + """ SELECT a.event_id, count(*)::BIGINT AS pairs, round(sum(greatest(least(a.t + a.value, b.t + b.value) - greatest(a.t - 600, b.t - 600), 0)), 3) AS overlap FROM e a JOIN e b ON a.user_id = b.user_id
+  AND (b.t < a.t OR (b.t = a.t AND b.event_id < a.event_id)) AND a.t - b.t <= 7200 GROUP BY 1""")
+def interval_self_join(spark, d):
+    p = series.interval_pairs(events(spark, d), "user_id", F.col("t"), 7200.0, ["event_id", "value"])
+    p = p.where((F.col("pri.t") < F.col("cur.t")) | (F.col("pri.event_id") < F.col("cur.event_id")))
+    o = S.interval_overlap(F.col("cur.t") - 600.0, F.col("cur.t") + F.col("cur.value"), F.col("pri.t") - 600.0, F.col("pri.t") + F.col("pri.value"))
+    return p.groupBy(F.col("cur.event_id").alias("event_id")).agg(F.count(F.lit(1)).alias("pairs"), F.round(F.sum(o), 3).alias("overlap"))
+
+
+# Similarity
+
+KNN = """WITH t AS (SELECT embedding AS v FROM embeddings ORDER BY vec_id LIMIT 1),
+k AS (SELECT vec_id, label, list_sum(list_transform(range(1, len(embedding) + 1), lambda i: pow(embedding[i]::DOUBLE - v[i]::DOUBLE, 2))) AS s FROM embeddings, t)"""
+
+
+def _near(spark, d, k):
+    emb = read(spark, d, "embeddings")
+    target = emb.orderBy("vec_id").limit(1).select(F.col("embedding").alias("t_vec"), F.col("label").alias("t_label"))
+    return similarity.nearest(emb, target, "vec_id", F.col("embedding"), k)
+
+
+@query(KNN + " SELECT vec_id, round(s, 5) AS distance FROM k ORDER BY s, vec_id LIMIT 20")
+def knn_l2(spark, d):
+    return _near(spark, d, 20).select("vec_id", F.round("distance", 5).alias("distance"))
+
+
+@query(KNN + " SELECT vec_id, round(s, 5) AS distance FROM (SELECT * FROM k ORDER BY s, vec_id LIMIT 128) WHERE label = (SELECT label FROM embeddings ORDER BY vec_id LIMIT 1)")
+def post_topk_filter(spark, d):
+    return _near(spark, d, 128).where("label = t_label").select("vec_id", F.round("distance", 5).alias("distance"))
+
+
+AXES = ("quantity", "price", "discount", "tax", "orders")
+PER_PART = """p AS (SELECT l_partkey, round(sum(l_quantity), 2) AS quantity, round(avg(l_extendedprice), 2) AS price, round(avg(l_discount), 4) AS discount, round(avg(l_tax), 4) AS tax, count(*)::DOUBLE AS orders FROM lineitem GROUP BY 1)"""
+
+
+def _per_part(spark, d):
+    return read(spark, d, "lineitem").groupBy("l_partkey").agg(F.round(F.sum("l_quantity"), 2).alias("quantity"), F.round(F.avg("l_extendedprice"), 2).alias("price"), F.round(F.avg("l_discount"), 4).alias("discount"), F.round(F.avg("l_tax"), 4).alias("tax"), F.count(F.lit(1)).cast("double").alias("orders"))
+
+
+@query("WITH " + PER_PART + ", " + """r AS (SELECT l_partkey, """ + ", ".join(f"(dense_rank() OVER (ORDER BY {a}) - 1)::DOUBLE AS k_{a}" for a in AXES) + """ FROM p),
+n AS (SELECT l_partkey, """ + ", ".join(f"CASE WHEN max(k_{a}) OVER () > 0 THEN k_{a} / max(k_{a}) OVER () ELSE 0 END AS {a}" for a in AXES) + """ FROM r),
+t AS (SELECT * FROM n ORDER BY l_partkey LIMIT 1)
+SELECT n.l_partkey, round(sqrt(""" + " + ".join(f"pow(n.{a} - t.{a}, 2)" for a in AXES) + """), 6) AS distance FROM n, t WHERE n.l_partkey <> t.l_partkey
+ORDER BY round(sqrt(""" + " + ".join(f"pow(n.{a} - t.{a}, 2)" for a in AXES) + "), 9), n.l_partkey LIMIT 20")
+def weighted_rerank(spark, d):
+    p = _per_part(spark, d)
+    for a in AXES:
+        p = ranks.apply_ranks(p, ranks.fit_distinct(p, a), a, f"r_{a}")
+    n = p.select("l_partkey", *[F.col(f"r_{a}").alias(a) for a in AXES])
+    target = n.orderBy("l_partkey").limit(1).select(F.struct("*").alias("t"))
+    dist = S.weighted_l2([F.col(a) for a in AXES], [F.col(f"t.{a}") for a in AXES])
+    near = n.join(F.broadcast(target), F.col("l_partkey") != F.col("t.l_partkey")).withColumn("d", F.round(dist, 9)).orderBy("d", "l_partkey").limit(20)
+    return near.select("l_partkey", r6("d").alias("distance"))
+
+
+@query("WITH " + PER_PART + """, t AS (SELECT * FROM p ORDER BY l_partkey LIMIT 1) SELECT p.l_partkey, round(0.15::DOUBLE * least(abs(p.quantity - t.quantity) / 300, 1) + 0.25::DOUBLE * least(abs(p.price - t.price) / 10000, 1)
+  + 0.10::DOUBLE * least(abs(p.orders - t.orders) / 10, 1) + 0.20::DOUBLE * abs(p.discount - t.discount), 6) AS distance FROM p, t""")
+def base_distance(spark, d):
+    p = _per_part(spark, d)
+    t = p.orderBy("l_partkey").limit(1).select(F.struct("*").alias("t"))
+    cap = lambda a, s: S.capped_difference(F.col(a), F.col(f"t.{a}"), s)
+    out = 0.15 * cap("quantity", 300.0) + 0.25 * cap("price", 10000.0) + 0.10 * cap("orders", 10.0) + 0.20 * F.abs(F.col("discount") - F.col("t.discount"))
+    return p.join(F.broadcast(t)).select("l_partkey", r6(out).alias("distance"))
+
+
+PER_USER = "c AS (SELECT user_id, " + ", ".join(f"count(*) FILTER (event_type = '{x}')::DOUBLE AS {x}" for x in TYPES) + ", avg(value) AS mean, max(value) AS most FROM events GROUP BY 1), t AS (SELECT * FROM c ORDER BY user_id LIMIT 1)"
+
+
+def _per_user(spark, d):
+    c = read(spark, d, "events").groupBy("user_id").agg(*[F.count_if(F.col("event_type") == x).cast("double").alias(x) for x in TYPES], F.avg("value").alias("mean"), F.max("value").alias("most"))
+    return c.join(F.broadcast(c.orderBy("user_id").limit(1).select(F.struct("*").alias("t"))))
+
+
+def _share(x, side):
+    return f"sqrt(({side}.{x} + 1e-6::DOUBLE) / ({' + '.join(f'{side}.{y}' for y in TYPES)} + 5e-6::DOUBLE))"
+
+
+@query("WITH " + PER_USER + " SELECT c.user_id, round(sqrt((" + " + ".join(f"pow({_share(x, 'c')} - {_share(x, 't')}, 2)" for x in TYPES) + ") / 2), 6) AS distance FROM c, t")
+def hellinger_rerank(spark, d):
+    u = _per_user(spark, d)
+    return u.select("user_id", r6(S.hellinger([F.col(x) for x in TYPES], [F.col(f"t.{x}") for x in TYPES])).alias("distance"))
+
+
+@query("WITH " + PER_USER + """ SELECT c.user_id, round(least(sqrt((pow(c.click / 100 - t.click / 100, 2) + pow(c.view / 100 - t.view / 100, 2)) / 2), 1), 6) AS rms,
+  round(least(abs(ln((greatest(c.mean, 0) + 1) / (greatest(t.mean, 0) + 1))) / ln(4), 1), 6) AS ratio FROM c, t""")
+def rms_log_ratio(spark, d):
+    u = _per_user(spark, d)
+    two = lambda s: [F.col(f"{s}{x}") / 100.0 for x in ("click", "view")]
+    return u.select("user_id", r6(S.rms_distance(two(""), two("t."))).alias("rms"), r6(S.log_ratio(F.col("mean"), F.col("t.mean"), 4.0)).alias("ratio"))
+
+
+@query(f"""WITH m AS ({MID}), b AS (SELECT m.p_partkey, m.p_size, least(floor(rank * 10::DOUBLE), 9)::BIGINT AS band, p.p_brand FROM m JOIN part p USING (p_partkey)),
+t AS (SELECT * FROM b ORDER BY p_partkey LIMIT 1), g AS (SELECT abs(b.band - t.band) AS d, b.p_brand = t.p_brand AS same FROM b, t WHERE b.p_partkey <> t.p_partkey),
+r AS (SELECT unnest(range(0, 10)) AS r), s AS (SELECT r, count(*) AS n, count(*) FILTER (same) AS f FROM r JOIN g ON g.d <= r GROUP BY r)
+SELECT coalesce(min(r) FILTER (n >= 256 AND f >= 32), 9)::BIGINT AS radius FROM s""")
+def band_expansion(spark, d):
+    b = _midranks(spark, d).join(read(spark, d, "part").select("p_partkey", "p_brand"), "p_partkey").withColumn("band", S.band(F.col("rank")))
+    t = b.orderBy("p_partkey").limit(1).select(F.struct("*").alias("t"))
+    g = b.join(F.broadcast(t), F.col("p_partkey") != F.col("t.p_partkey")).select(F.abs(F.col("band") - F.col("t.band")).alias("band"), (F.col("p_brand") == F.col("t.p_brand")).alias("same"))
+    return similarity.band_radius(g, F.lit(0), 256, 32).select(F.col("radius").cast("long").alias("radius"))
