@@ -11,16 +11,17 @@ from collections import Counter
 from collections.abc import Iterator
 from functools import cache
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import tokenizer_path
-from .common import cut, table
+from .common import fresh_path, table
 from .pretokens import vocabulary
 
-#: At most so many pre-tokens of at most so many characters are broadcast: under 30 MB.
-HEAD, HEAD_LENGTH = 150_000, 32
+#: At most so many pre-tokens of at most so many characters are broadcast: under 60 MB.
+HEAD, HEAD_LENGTH = 300_000, 32
 FLUSH = 400_000
 
 
@@ -55,13 +56,21 @@ def pretoken_vocabulary(docs: DataFrame, path: str, text_col: str = "text") -> D
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tok = _tokenizer(path)
         for batch in batches:
-            found = tok.encode_batch(batch.column("pretoken").to_pylist(), add_special_tokens=False)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([len(e.ids) for e in found], pa.int64())], ["pretoken", "freq", "n_pieces"])
+            for lo in range(0, batch.num_rows, 500):
+                part = batch.slice(lo, 500)
+                n = [len(tok.encode(s, add_special_tokens=False)) for s in part.column("pretoken").to_pylist()]
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(n, pa.int64())], ["pretoken", "freq", "n_pieces"])
 
     each = docs.select(F.col(text_col).alias("text")).mapInArrow(count, "pretoken string, freq long")
     return each.groupBy("pretoken").agg(F.sum("freq").alias("freq")).mapInArrow(pieces, "pretoken string, freq long, n_pieces long")
 
 
+def written(df: DataFrame) -> DataFrame:
+    path = fresh_path(df.sparkSession, "tokens")
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
 def token_counts(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", head: int = HEAD) -> DataFrame:
     """``id_col``, ``n_bytes`` and ``n_tokens`` of each row.
 
@@ -69,7 +78,7 @@ def token_counts(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: s
     tokenizers files of byte-level BPE are accepted.  An empty table gives an empty result.
     """
     spark = docs.sparkSession
-    vocab = cut(pretoken_vocabulary(docs, path, text_col))
+    vocab = written(pretoken_vocabulary(docs, path, text_col))
     top = vocab.where(F.length("pretoken") <= HEAD_LENGTH).orderBy(F.desc("freq"), "pretoken").limit(head).select("pretoken", "n_pieces").toArrow()
     known = spark.sparkContext.broadcast(dict(zip(top.column(0).to_pylist(), top.column(1).to_pylist(), strict=True)))
 
@@ -78,28 +87,30 @@ def token_counts(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: s
 
         v, pieces = vocabulary(path), known.value
         row = TaskContext.get().partitionId() << 40
-        tail_type = pa.list_(pa.struct([("pretoken", pa.string()), ("freq", pa.int64())]))
-        for batch in batches:
-            size, total, tails, rows = [], [], [], []
-            for text in batch.column("text"):
-                t = text.as_py() or ""
-                n, tail = 0, []
-                for s, k in Counter(v.pretokens(t)).items():
-                    c = pieces.get(s)
-                    if c is None:
-                        tail.append({"pretoken": s, "freq": k})
-                    else:
-                        n += c * k
-                size.append(len(t.encode()))
-                total.append(n)
-                tails.append(tail)
-                rows.append(row)
-                row += 1
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(rows, pa.int64()), pa.array(size, pa.int64()), pa.array(total, pa.int64()), pa.array(tails, tail_type)], ["id", "row", "n_bytes", "n", "tail"])
+        for whole in batches:
+            for lo in range(0, whole.num_rows, 1000):
+                batch = whole.slice(lo, 1000)
+                size, total, ends, rare, times = [], [], [0], [], []
+                for text in batch.column("text").to_pylist():
+                    t = text or ""
+                    n = 0
+                    for s, k in Counter(v.pretokens(t)).items():
+                        c = pieces.get(s)
+                        if c is None:
+                            rare.append(s)
+                            times.append(k)
+                        else:
+                            n += c * k
+                    size.append(len(t.encode()))
+                    total.append(n)
+                    ends.append(len(rare))
+                tail = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays([pa.array(rare, pa.string()), pa.array(times, pa.int64())], ["pretoken", "freq"]))
+                yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(np.arange(row, row + len(size))), pa.array(size, pa.int64()), pa.array(total, pa.int64()), tail], ["id", "row", "n_bytes", "n", "tail"])
+                row += len(size)
 
     kind = docs.schema[id_col].dataType.simpleString()
     per = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    per = cut(per.mapInArrow(sums, f"id {kind}, row long, n_bytes long, n long, tail array<struct<pretoken:string,freq:long>>"))
+    per = written(per.mapInArrow(sums, f"id {kind}, row long, n_bytes long, n long, tail array<struct<pretoken:string,freq:long>>"))
     rare = _tail(per, vocab)
     out = per.drop("tail").join(rare, "row", "left")
     return out.select(F.col("id").alias(id_col), "n_bytes", (F.col("n") + F.coalesce("more", F.lit(0))).alias("n_tokens"))
