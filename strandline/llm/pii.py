@@ -117,8 +117,9 @@ def disclosing(mentions: DataFrame, docs: DataFrame, text_col: str, alpha: float
     entities = seen.select("row", "entity").join(small_side(owned), "entity", "left_semi").groupBy("entity").agg(F.count_distinct("row").alias("n_e"))
     wanted = cut(pairs.select("term").distinct())
     text = F.coalesce(docs[text_col], F.lit(""))
-    used = docs.select(F.explode(F.array_distinct(_words(text))).alias("term"))
-    terms = used.join(small_side(wanted), "term").groupBy("term").agg(F.count(F.lit(1)).alias("n_t"))
+    # Terms are counted before the join: its rows follow the terms, however many documents hold them.
+    used = docs.select(F.explode(F.array_distinct(_words(text))).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n_t"))
+    terms = used.join(small_side(wanted), "term")
     total = F.lit(float(max(1, docs.count())))
     told = pairs.join(entities, "entity").join(terms, "term")
     pmi, ic = F.log(total * F.col("n_et") / (F.col("n_e") * F.col("n_t"))), F.log(total / F.col("n_e"))
