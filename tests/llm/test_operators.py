@@ -1,0 +1,496 @@
+"""Each operator against a brute-force version, and on nulls, empty and long texts, ties, repeated rows, empty tables and clashing columns."""
+
+import hashlib
+import random
+import re
+import struct
+import zlib
+from collections import Counter, defaultdict
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from strandline.llm import bpe, dedup_exact, mixing, ngram_join, pii, quality_cnn, quality_mcd, suffix_dedup, token_counts, warc_zip
+
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, kept string, score string, copies string, key string, node string"
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
+
+
+def documents(spark, texts, source=None):
+    """With columns whose names clash with those the operators add, and a null id."""
+    rows = [(None if i == len(texts) - 1 and t is None else i, t, "en" if i % 3 else None, (source or (lambda i: f"s{i % 2}"))(i), 1, "k", "s", "c", "y", "n") for i, t in enumerate(texts)]
+    return spark.createDataFrame(rows, SCHEMA)
+
+
+def awkward():
+    r = random.Random(11)
+    w = [f"{a}{b}" for a in ("ka", "lo", "Mi", "né", "zu") for b in ("", "ra", "to", "s.", "x!")]
+    prose = [" ".join(r.choice(w) for _ in range(r.randint(5, 120))) for _ in range(30)]
+    return [None, "", " \n\t ", "one", "ONE", *prose, prose[0], prose[0].upper(), prose[1] + " more", " ".join(prose[:20] * 15), "a" * 5000, " 　 é", None]
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    return documents(spark, awkward()).cache()
+
+
+@pytest.fixture(scope="module")
+def empty(spark):
+    return spark.createDataFrame([], SCHEMA)
+
+
+def rows(df, *cols):
+    return [tuple(r) for r in df.select(*cols).collect()]
+
+
+def lower(t):
+    return (t or "").translate({i: i + 32 for i in range(65, 91)})
+
+
+# WARC archives
+
+
+def test_archives_round_trip(spark):
+    big = "<p>é" * 400
+    pages = [(1, "http://a/", big), (2, "http://b/ü", big), (3, None, None), (4, "bad\r\nurl", ""), (5, "u", "x" * 999), (6, "u", "x" * 999), (7, "u", big), (None, "u", big), (8, "u", "y" * 2_000_000)]
+    df = spark.createDataFrame(pages, "page_id long, url string, html string").withColumn("key", F.lit(1))
+    got = {r["page_id"]: r for r in warc_zip.archive_round_trip(df, payloads=True).collect()}
+    assert len(got) == len(pages)
+    for page, url, html in pages:
+        raw = (html or "").encode()
+        r = got[page]
+        revisit = html == big and page != 7
+        assert (r["payload_bytes"], r["payload_digest"]) == (len(raw), hashlib.sha1(raw).hexdigest())
+        assert (r["record_type"], r["refers_to"]) == (("revisit", 7) if revisit else ("response", None))
+        assert r["url"] == url
+        assert revisit or r["payload"] == raw
+    assert warc_zip.archive_round_trip(df.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("zip64", [False, True])
+def test_directory_and_ranges(zip64, tmp_path):
+    chunks = warc_zip.write_zip([(warc_zip.DATA, [b"abc", b"defg"]), (warc_zip.INDEX, [b"r 3 4\n"])], zip64)
+    for src in (warc_zip.Ranges(None, b"".join(chunks)), warc_zip.Ranges(None, b"junk" * 0 + b"".join(chunks))):
+        m = warc_zip.directory(src)
+        assert set(m) == {warc_zip.DATA, warc_zip.INDEX}
+        assert warc_zip.read_index(src, m) == [("r", 3, 4)]
+        assert src.read(warc_zip.stored_at(src, m[warc_zip.DATA]) + 3, 4) == b"defg"
+    path = tmp_path / "a.zip"
+    path.write_bytes(b"".join(chunks))
+    import zipfile
+
+    with zipfile.ZipFile(path) as z:
+        assert z.testzip() is None and z.read(warc_zip.DATA) == b"abcdefg"
+
+
+def test_archives_of_another_writer_and_damage(tmp_path):
+    import zipfile
+
+    path = tmp_path / "b.zip"
+    with zipfile.ZipFile(path, "w") as z:
+        with z.open(warc_zip.INDEX, "w", force_zip64=True) as f:
+            f.write(b"x 0 1\n")
+        z.comment = b"PK\x05\x06 not the end"
+    src = warc_zip.Ranges(str(path))
+    assert warc_zip.read_index(src, warc_zip.directory(src)) == [("x", 0, 1)]
+    with pytest.raises(ValueError):
+        warc_zip.directory(warc_zip.Ranges(None, b"no archive"))
+    with pytest.raises(ValueError):
+        src.read(src.size, 1)
+
+
+def test_archives_in_a_table(spark, tmp_path):
+    df = spark.createDataFrame([(1, "u", "a"), (2, "u", None)], "page_id long, url string, html string")
+    listed = warc_zip.write_archives(warc_zip.plan_records(df), str(tmp_path / "w"))
+    found = warc_zip.archives_in(spark, str(tmp_path / "w"))
+    assert sorted(rows(warc_zip.read_archives(found), "page_id", "payload_bytes")) == sorted(rows(warc_zip.read_archives(listed), "page_id", "payload_bytes")) == [(1, 1), (2, 0)]
+
+
+# N-gram join
+
+
+def brute_components(texts, words, num, den):
+    sets = []
+    for t in texts:
+        w = WORD.findall(lower(t))
+        sets.append({tuple(w[i : i + words]) for i in range(len(w) - words + 1)} if len(w) >= words else {tuple(w)} - {()})
+    up = list(range(len(texts)))
+
+    def root(i):
+        while up[i] != i:
+            i = up[i]
+        return i
+
+    inv = defaultdict(list)
+    for i, s in enumerate(sets):
+        for x in s:
+            inv[x].append(i)
+    for i, s in enumerate(sets):
+        meet = Counter(j for x in s for j in inv[x] if j < i)
+        for j, m in meet.items():
+            if den * m >= num * (len(s) + len(sets[j]) - m):
+                a, b = sorted((root(i), root(j)))
+                up[b] = a
+    return [(len(s), root(i)) for i, s in enumerate(sets)]
+
+
+def near_copies():
+    r = random.Random(5)
+    v = [f"w{i}" for i in range(400)]
+    out = []
+    for _ in range(50):
+        base = [r.choice(v) for _ in range(r.choice([4, 6, 8, 9, 12, 16, 17, 20, 40, 100]))]
+        for _ in range(r.choice([1, 3, 12])):
+            t = list(base)
+            for _ in range(r.choice([0, 0, 1, 1, 2, 3])):
+                k = r.randrange(len(t))
+                t[k : k + 1] = r.choice([[r.choice(v)], [], [t[k], r.choice(v)]]) or ["x"] * (len(t) == 1)
+            out.append(" ".join(t))
+    base = [r.choice(v) for _ in range(120)]
+    for _ in range(220):
+        t = list(base)
+        for _ in range(r.choice([1, 2, 3, 4])):
+            t[r.randrange(len(t))] = r.choice(v)
+        out.append(" ".join(t))
+    return out
+
+
+@pytest.mark.parametrize("words,num,region", [(4, 85, 3000), (5, 80, 40)])
+def test_ngram_join(spark, monkeypatch, words, num, region):
+    monkeypatch.setattr(ngram_join, "REGION", region)
+    texts = [*awkward()[:-1], *near_copies()]
+    df = documents(spark, texts)
+    got = {r[0]: r[1:] for r in rows(ngram_join.similar_components(df, words=words, num=num), "doc_id", "n_shingles", "component_id")}
+    assert [got[i] for i in range(len(texts))] == brute_components(texts, words, num, 100)
+
+
+def test_one_of_each(docs, empty):
+    kept = ngram_join.one_of_each(docs)
+    comp = {r[0]: r[2] for r in rows(ngram_join.similar_components(docs), "doc_id", "n_shingles", "component_id")}
+    assert kept.columns == docs.columns
+    assert {r[0] for r in rows(kept, "doc_id")} == {i for i, c in comp.items() if i == c}
+    assert ngram_join.one_of_each(empty).count() == 0
+
+
+def test_signatures_never_part_similar_sets():
+    r = np.random.default_rng(3)
+    for num in (80, 85):
+        for _ in range(300):
+            n = int(r.integers(6, 300))
+            x = np.unique(r.integers(0, 1 << 63, n).astype(np.uint64))
+            y = np.unique(np.concatenate([x[int(len(x) * r.uniform(0, 0.12)) :], r.integers(0, 1 << 63, int(len(x) * r.uniform(0, 0.12))).astype(np.uint64)]))
+            m = len(np.intersect1d(x, y))
+            if 100 * m < num * (len(x) + len(y) - m):
+                continue
+            (kx, mx), (ky, my) = ngram_join.cell_keys(x, num, 100), ngram_join.cell_keys(y, num, 100)
+            shared = np.intersect1d(kx, ky)
+            assert len(shared)
+            a, _ = ngram_join.agreeing(np.repeat(shared[:1], 2), np.array([1, 2]), np.array([len(x), len(y)]), [mx, my], num, 100)
+            assert len(a) == 1
+
+
+# Exact dedup
+
+
+@pytest.mark.parametrize("keep", ["min", "max"])
+def test_content_sort(spark, docs, keep):
+    texts = awkward()
+    df = documents(spark, texts + ["Copy me"] * 80 + ["copy ME"] * 40)
+    ids = [(r["doc_id"], lower(r["text"])) for r in df.collect()]
+    groups = defaultdict(list)
+    for i, t in ids:
+        groups[t].append(i)
+    out = dedup_exact.content_sort(df, keep=keep)
+    assert set(out.columns) == set(df.columns) | {"keep_id", "group_size", "text_sha256"}
+    got = out.collect()
+    assert len(got) == len(ids)
+    best = max if keep == "max" else min
+    for r in got:
+        g = groups[lower(r["text"])]
+        want = best([i for i in g if i is not None])
+        assert (r["keep_id"], r["group_size"], r["kept"]) == (want, len(g), r["doc_id"] == want)
+        assert r["text_sha256"] == hashlib.sha256(lower(r["text"]).encode()).hexdigest()
+
+
+def test_content_sort_keeps_one_of_repeated_rows(spark, empty):
+    df = spark.createDataFrame([(3, "a")] * 50 + [(3, "b"), (None, "b"), (None, "c"), (None, "c")], "doc_id long, text string")
+    got = dedup_exact.content_sort(df, keep="max").where("kept").groupBy("text").count().collect()
+    assert {r["text"]: r["count"] for r in got} == {"a": 1, "b": 1, "c": 1}
+    assert dedup_exact.content_sort(empty).count() == 0
+
+
+# Mixing
+
+
+def brute_targets(size):
+    names = sorted((s for s in size if s is not None)) + [s for s in size if s is None]
+    weight = dict(zip(names, [3, 1, 2] * len(names)))
+    total, fixed = 1.5 * sum(size.values()), {}
+    while True:
+        rest = [n for n in names if n not in fixed]
+        share = {n: (total - sum(fixed.values())) * weight[n] / sum(weight[m] for m in rest) for n in rest}
+        over = [n for n in rest if share[n] > 2 * size[n] + 1e-9]
+        if not over:
+            return fixed | share
+        fixed |= {n: 2.0 * size[n] for n in over}
+
+
+def test_mixing(spark, empty):
+    r = random.Random(4)
+    texts = [" ".join(["w"] * int(r.expovariate(1 / 60))) for _ in range(600)] + [None, "", "w " * 3000]
+    names = ["a", "b", "B", "é", None, "z"]
+    df = documents(spark, texts, lambda i: names[min(i % 11, 5)])
+    got = mixing.mix(df).collect()
+    assert len(got) == len(texts)
+    size = Counter()
+    for x in got:
+        assert x["size"] == len(WORD.findall(x["text"] or ""))
+        size[x["source"]] += x["size"]
+    want, taken = brute_targets(size), Counter()
+    for x in got:
+        assert x["source_size"] == size[x["source"]] and x["target"] == pytest.approx(want[x["source"]])
+        assert x["taken"] == x["copies"] * x["size"] and 0 <= x["copies"] <= 2
+        taken[x["source"]] += x["taken"]
+    for s in size:
+        assert abs(taken[s] - want[s]) <= max(3, 0.01 * want[s])
+    assert sorted((x["doc_id"] or -1, x["copies"]) for x in mixing.mix(df).collect()) == sorted((x["doc_id"] or -1, x["copies"]) for x in got)
+    assert mixing.copied(df).count() == sum(x["copies"] for x in got) and mixing.copied(df).columns == df.columns
+    assert mixing.mix(empty).count() == 0
+
+
+# Suffix dedup
+
+
+def brute_repeats(texts, length=400):
+    raws = [(t or "").encode() for t in texts]
+    seen = Counter(r[p : p + length] for r in raws for p in range(len(r) - length + 1))
+    out = []
+    for r in raws:
+        gone = bytearray(len(r))
+        for p in range(len(r) - length + 1):
+            if seen[r[p : p + length]] > 1:
+                gone[p : p + length] = b"\1" * length
+        spans = sum(1 for i in range(len(r)) if gone[i] and (i == 0 or not gone[i - 1]))
+        out.append((len(r), sum(gone), spans, bytes(x for x, k in zip(r, gone) if not k)))
+    return out
+
+
+def passages():
+    r = random.Random(3)
+    base = ["".join(r.choice("abcd é") for _ in range(700)) for _ in range(6)]
+    out = []
+    for _ in range(90):
+        t = "".join(r.choice("ab") for _ in range(r.randint(0, 300)))
+        for _ in range(r.randint(0, 3)):
+            s = r.randint(0, 400)
+            t += r.choice(base)[s : s + r.choice([r.randint(50, 700), r.randint(390, 410)])] + "".join(r.choice("xyz\0") for _ in range(r.randint(0, 5)))
+        out.append(t)
+    return [*out, None, "", "a" * 900, "b" * 399, "b" * 400, "ab" * 600, out[5], out[5]]
+
+
+@pytest.mark.parametrize("crowd", [50_000, 3])
+def test_suffix_dedup(spark, monkeypatch, crowd):
+    monkeypatch.setattr(suffix_dedup, "CROWD", crowd)
+    texts = passages()
+    got = {r["doc_id"]: r for r in suffix_dedup.remove_repeats(documents(spark, texts)).collect()}
+    for i, (n, gone, spans, kept) in enumerate(brute_repeats(texts)):
+        r = got[i]
+        assert (r["n_bytes"], r["n_removed"], len(r["starts"])) == (n, gone, spans)
+        assert bytes(r["kept"]) == kept if gone else r["kept"] is None
+
+
+def test_suffix_dedup_of_repeated_rows_and_no_rows(spark, empty):
+    df = spark.createDataFrame([(1, "q" * 10 + "xyz" * 200)] * 3, "doc_id long, text string")
+    assert {r["n_removed"] for r in suffix_dedup.remove_repeats(df).collect()} == {610}
+    assert suffix_dedup.remove_repeats(empty).count() == 0
+
+
+def test_multikey_sort_and_extents():
+    r = np.random.default_rng(1)
+    words = r.integers(0, 3, (500, 5)).astype(np.uint64)
+    assert (words[suffix_dedup.multikey_sort(words)] == np.array(sorted(map(tuple, words)))).all()
+    for paired in (32, 2):  # both ways must agree with all pairs
+        right, left = r.integers(0, 2, (40, 12)).astype(np.uint8), r.integers(0, 2, (40, 8)).astype(np.uint8)
+        rn, ln = r.integers(4, 13, 40), r.integers(0, 9, 40)
+        core = np.zeros(40, np.uint64)
+        right[np.arange(12)[None, :] >= rn[:, None]] = 0
+        left[np.arange(8)[None, :] >= ln[:, None]] = 0
+        right[:, :4] = 1
+        old, suffix_dedup.PAIRED = suffix_dedup.PAIRED, paired
+        try:
+            got = suffix_dedup.shared_extents(right, left, rn, ln, core, 12)
+        finally:
+            suffix_dedup.PAIRED = old
+        for i in range(40):
+            best = (0, 0)
+            for j in range(40):
+                if i != j:
+                    a = min(int(suffix_dedup.common(left[i : i + 1], left[j : j + 1])[0]), ln[i], ln[j])
+                    b = min(int(suffix_dedup.common(right[i : i + 1], right[j : j + 1])[0]), rn[i], rn[j])
+                    if a + b >= 12:
+                        best = (max(best[0], a), max(best[1], b))
+            assert (got[0][i], got[1][i]) == best
+
+
+# Quality network
+
+
+def test_network_gradients():
+    r = np.random.default_rng(2)
+    texts = [bytes(r.integers(32, 120, n).astype(np.uint8)) for n in (0, 3, 700, 2500)]
+    at, label = np.cumsum([0, *map(len, texts)]), np.array([0, 1, 1, 0], np.float32)
+    data, net = np.frombuffer(b"".join(texts), np.uint8), quality_cnn.Net.start(3)
+    for x in net.__dataclass_fields__:
+        setattr(net, x, getattr(net, x).astype(np.float64))
+
+    net.conv_b += 0.1  # away from the kink at which an empty text's padding lies
+    net.hid_b += 0.1
+
+    def loss():
+        p = quality_cnn.score(net, data, at)
+        return -np.mean(label * np.log(p) + (1 - label) * np.log(1 - p))
+
+    grads = quality_cnn._gradients(net, data, at, label)
+    for a, g in zip(net.arrays(), grads, strict=True):
+        k = np.unravel_index(np.abs(g).argmax(), g.shape)
+        old, e = a[k], 1e-4
+        a[k] = old + e
+        up = loss()
+        a[k] = old - e
+        down = loss()
+        a[k] = old
+        assert (up - down) / (2 * e) == pytest.approx(g[k], rel=0.05, abs=1e-4)
+
+
+def test_classifier_learns_and_scores_alike_in_any_block(spark, docs, empty):
+    r = random.Random(1)
+    good = [" ".join(r.choice(["the", "and", "ring", "thou", "one."]) for _ in range(r.randint(5, 400))) for _ in range(300)]
+    bad = [" ".join(r.choice(["THE!!", "AND!!", "RING!!", "ONE.!!"]) for _ in range(r.randint(5, 400))) for _ in range(60)]
+    texts = good + bad
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i < 300)) for i in range(360)] + [(None, 1), (1, None), (9999, 1)], "doc_id long, quality int")
+    net = quality_cnn.train(df, labels)
+    got = {x["doc_id"]: x["score"] for x in quality_cnn.classify(df, net, ["doc_id"]).collect()}
+    held = [i for i in range(360) if zlib.crc32(str(i).encode()) % 5 == 0]
+    assert np.mean([(got[i] >= 0.5) == (i < 300) for i in held]) > 0.95
+    for i in held[:10]:
+        one = texts[i].encode()
+        assert quality_cnn.score(net, np.frombuffer(one, np.uint8), np.array([0, len(one)]))[0] == pytest.approx(got[i], abs=1e-5)
+    out = quality_cnn.classify(docs, net, docs.columns)
+    assert sorted(out.columns) == sorted(docs.columns) and out.where("score is null").count() == 0 and out.count() == docs.count()
+    assert quality_cnn.classify(empty, net, ["doc_id"]).count() == 0
+    assert quality_cnn.train(empty, labels.limit(0)) is not None
+
+
+# Tokens
+
+
+@pytest.fixture(scope="module")
+def tokenizer():
+    tokenizers = pytest.importorskip("tokenizers")
+    return tokenizers.Tokenizer.from_file(bpe.tokenizer_path())
+
+
+def strange_texts():
+    r = random.Random(1)
+    pool = ["<|endoftext|>", "é", "日本", "　", " ", "'s", "'S", "  ", "\n\n", "\t", "123", "½", "²", "Ⅷ", "a", "B", "!!", " ", "\x00", "​", "🙂", "'ll", "İ", "\x85", "x" * 50, "\r", "٣", "ा", " ", "'re'"]
+    return [None, "", *("".join(r.choice(pool) for _ in range(r.randint(1, 15))) for _ in range(400)), "ab" * 3000, "a" * 5000, "<|endoftext|>" * 3, " " * 1000]
+
+
+def test_bpe_codec(spark, tokenizer, empty):
+    texts = strange_texts()
+    got = {r["doc_id"]: r for r in bpe.encode_decode(documents(spark, texts), bpe.tokenizer_path()).collect()}
+    for i, t in enumerate(texts):
+        ids = tokenizer.encode(t or "", add_special_tokens=False).ids
+        assert list(struct.unpack(f"<{len(ids)}I", got[i]["ids"])) == ids
+        assert got[i]["decoded"] == tokenizer.decode(ids, skip_special_tokens=False)
+    assert bpe.encode_decode(empty, bpe.tokenizer_path()).count() == 0
+
+
+@pytest.mark.parametrize("head", [10, 100_000])
+def test_token_counts(spark, tokenizer, empty, head):
+    texts = strange_texts()
+    got = {r["doc_id"]: r for r in token_counts.token_counts(documents(spark, texts), bpe.tokenizer_path(), head=head).collect()}
+    for i, t in enumerate(texts):
+        assert (got[i]["n_bytes"], got[i]["n_tokens"]) == (len((t or "").encode()), len(tokenizer.encode(t or "", add_special_tokens=False).ids))
+    assert token_counts.token_counts(empty, bpe.tokenizer_path()).count() == 0
+    with pytest.raises(ValueError):
+        bpe.codec(bpe.tokenizer_path("word_bpe_49k.json"))
+
+
+# Quality rules
+
+
+def brute_stats(t):
+    t = t or ""
+    w, seen, dup = WORD.findall(t), set(), 0
+    for line in t.split("\n"):
+        if WORD.search(line):
+            dup += line in seen
+            seen.add(line)
+    windows = Counter(tuple(w[i : i + 5]) for i in range(len(w) - 4))
+    covered = {i + k for i in range(len(w) - 4) if windows[tuple(w[i : i + 5])] > 1 for k in range(5)}
+    return len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", t)), dup, len(covered)
+
+
+def test_quality_rules(spark, empty):
+    r = random.Random(9)
+    words = ["ka", "lora", "mité", "zus", "tora", "an", "de"]
+    prose = lambda: "\n".join(" ".join("".join(r.choice(words) for _ in range(r.randint(1, 3))) for _ in range(12)) for _ in range(r.randint(3, 30)))
+    clean = [prose() for _ in range(400)]
+    junk = [re.sub(r"(\w+)", r"\1###", prose()) for _ in range(40)]
+    texts = [*clean, *junk, *awkward()[:-1], "a\n\nb\na \na\n" * 3]
+    got = {x["doc_id"]: x for x in quality_mcd.judge(documents(spark, texts)).collect()}
+    for i, t in enumerate(texts):
+        s = brute_stats(t)
+        assert tuple(got[i][c] for c in quality_mcd.STATS) == s
+        assert got[i]["base_failed"] == (s[0] < 10 or 100 * s[4] > 20 * s[0])
+        assert not (got[i]["base_failed"] and got[i]["kept"])
+    assert np.mean([got[i]["kept"] for i in range(400) if not got[i]["base_failed"]]) > 0.99
+    assert not any(got[i]["kept"] for i in range(400, 440))
+    assert quality_mcd.judge(empty).count() == 0
+    assert {x["kept"] for x in quality_mcd.judge(documents(spark, [None, "", "x"])).collect()} == {False}
+
+
+# Personal data
+
+BASE = [
+    ("email", re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"), lambda m: True),
+    ("ip", re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)"), lambda m: all(int(p) <= 255 for p in m.split("."))),
+    ("card", re.compile(r"[0-9]([\x20-]?[0-9])+"), lambda m: 12 <= len(re.sub(r"\D", "", m)) <= 19 and luhn(re.sub(r"\D", "", m))),
+    ("phone", re.compile(r"\+[0-9][\x20().0-9-]+[0-9]"), lambda m: 9 <= len(re.sub(r"\D", "", m)) <= 15),
+]
+
+
+def luhn(d):
+    return sum(int(c) if i % 2 == 0 else sum(divmod(2 * int(c), 10)) for i, c in enumerate(reversed(d))) % 10 == 0
+
+
+def test_pii_base(spark, empty):
+    r = random.Random(2)
+    pool = ["a", "b@", "@", ".", "1", "22", "256", "255", "4111 1111 1111 1111", "4111-1111-1111-1111", "+", " ", "-", "(", "é", "🙂", "a@b.c", "%q@w.v", "1.2.3.4", "+44 20 7946 0958", "0012.1.1.1", "5555555555554444", "\n"]
+    texts = ["".join(r.choice(pool) for _ in range(r.randint(0, 14))) for _ in range(1500)]
+    texts += [None, "", "a." * 20000 + "@x.y", "1" * 30000, "1." * 20000, "+1" + "-" * 30000, "x@" + "a." * 20000 + "b", "1 " * 20000]
+    out = pii.find_pii(documents(spark, texts)).select("doc_id", pii.written(F.filter("spans", lambda s: s["ord"] < 4)).alias("s"))
+    got = dict(rows(out, "doc_id", "s"))
+    for i, t in enumerate(texts):
+        want = sorted((m.start(), k, name, m.end()) for k, (name, p, ok) in enumerate(BASE) for m in p.finditer(t or "") if ok(m[0]))
+        assert got[i] == ",".join(f"{n}:{a}:{b}" for a, _, n, b in want)
+    assert pii.find_pii(empty).count() == 0
+
+
+def test_terms_that_disclose_are_marked(spark):
+    r = random.Random(6)
+    common = ["harbour", "winter", "paper", "garden", "silver", "meadow"]
+    line = lambda n: " ".join(r.choice(common) for _ in range(n))
+    texts = [f"{line(20)} Quillfeather {line(2)} jo@ex.org {line(9)}" for _ in range(6)] + [line(30) for _ in range(60)]
+    df = documents(spark, texts)
+    out = pii.find_pii(df)
+    found = dict(rows(out.select("doc_id", pii.written(F.col("spans")).alias("s")), "doc_id", "s"))
+    for i, t in enumerate(texts):
+        at = t.find("Quillfeather")
+        assert (f"term:{at}:{at + 12}" in found[i]) == (i < 6)
+        assert found[i].count("term") == (i < 6)
+    clean = dict(rows(df.join(out, "doc_id").select("doc_id", pii.sanitised(F.col("text"), F.col("spans")).alias("s")), "doc_id", "s"))
+    assert "[term]" in clean[0] and "[email]" in clean[0] and "jo@ex.org" not in clean[0] and clean[10] == texts[10]
