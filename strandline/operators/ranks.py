@@ -15,17 +15,15 @@ def running_counts(counted: DataFrame, by: list[str], value: str) -> DataFrame:
     spark = counted.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     ranged = counted.repartitionByRange(parts, *by, value).withColumn("__range", F.spark_partition_id())
-    keys = [F.col(c) for c in by]
     inside = Window.partitionBy("__range", *by).orderBy(value)
     ranged = ranged.withColumn("__below", F.sum("n").over(inside.rowsBetween(Window.unboundedPreceding, 0)) - F.col("n")).withColumn("__place", F.row_number().over(inside) - 1)
     # One row per range and cohort: the windows over these are short.
     heads = ranged.groupBy("__range", *by).agg(F.sum("n").alias("__n"), F.count(F.lit(1)).alias("__v"))
     before = Window.partitionBy(*by).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
     whole = Window.partitionBy(*by)
-    heads = heads.select("__range", *keys, F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__n0"), F.coalesce(F.sum("__v").over(before), F.lit(0)).alias("__v0"), F.sum("__n").over(whole).alias("rows"), F.sum("__v").over(whole).alias("values"))
-    cond = [ranged["__range"] == heads["__range"], *[ranged[c].eqNullSafe(heads[c]) for c in by]]
-    out = ranged.join(heads, cond)
-    return out.select(*[ranged[c] for c in by], ranged[value], "n", (F.col("__below") + F.col("__n0")).alias("below"), (F.col("__place") + F.col("__v0")).alias("place"), "rows", "values")
+    heads = heads.select(F.col("__range").alias("__r"), *[F.col(c).alias(f"__k_{c}") for c in by], F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__n0"), F.coalesce(F.sum("__v").over(before), F.lit(0)).alias("__v0"), F.sum("__n").over(whole).alias("rows"), F.sum("__v").over(whole).alias("values"))
+    cond = [F.col("__range") == F.col("__r"), *[F.col(c).eqNullSafe(F.col(f"__k_{c}")) for c in by]]
+    return ranged.join(heads, cond).select(*by, value, "n", (F.col("__below") + F.col("__n0")).alias("below"), (F.col("__place") + F.col("__v0")).alias("place"), "rows", "values")
 
 
 def count_values(df: DataFrame, by: list[str], value: str) -> DataFrame:

@@ -34,9 +34,9 @@ def interval_pairs(rows: DataFrame, key: str, time: Column, window: float, cols:
     return out.drop("__b")
 
 
-def trailing(key: str, time: Column, width: float) -> Window:
-    """Rows of the key from ``width`` before up to this row's time, both included."""
-    return Window.partitionBy(key).orderBy(time).rangeBetween(-width, 0)
+def trailing(key: str, micros: Column, width: int) -> Window:
+    """Rows of the key from ``width`` before up to this row's time, both included; times are whole numbers."""
+    return Window.partitionBy(key).orderBy(micros).rangeBetween(-width, 0)
 
 
 def entropy(items: Column) -> Column:

@@ -33,8 +33,8 @@ def read(spark: SparkSession, d: str, name: str) -> DataFrame:
 
 
 def events(spark: SparkSession, d: str) -> DataFrame:
-    """With ``t``: seconds."""
-    return read(spark, d, "events").withColumn("t", F.unix_micros(F.col("ts").cast("timestamp")) / F.lit(1e6))
+    """With ``us`` and ``t``: microseconds and seconds."""
+    return read(spark, d, "events").withColumn("us", F.unix_micros(F.col("ts").cast("timestamp"))).withColumn("t", F.col("us") / F.lit(1e6))
 
 
 EV = "WITH e AS (SELECT event_id, user_id, event_type, value, epoch_us(ts)::DOUBLE / 1e6::DOUBLE AS t FROM events)"
@@ -132,13 +132,13 @@ def argmax_last_tie(spark, d):
 
 @query(EV + " SELECT event_id, count(*) OVER (PARTITION BY user_id ORDER BY t RANGE BETWEEN 86400 PRECEDING AND CURRENT ROW)::BIGINT AS n FROM e")
 def trailing_range_count(spark, d):
-    return events(spark, d).select("event_id", F.count(F.lit(1)).over(series.trailing("user_id", F.col("t"), DAY)).alias("n"))
+    return events(spark, d).select("event_id", F.count(F.lit(1)).over(series.trailing("user_id", F.col("us"), 86_400_000_000)).alias("n"))
 
 
 @query(EV + """, w AS (SELECT a.event_id, b.event_type, count(*) AS c FROM e a JOIN e b ON a.user_id = b.user_id AND b.t BETWEEN a.t - 259200 AND a.t GROUP BY 1, 2),
 s AS (SELECT *, sum(c) OVER (PARTITION BY event_id) AS n FROM w) SELECT event_id, round(abs(sum(-(c / n::DOUBLE) * log2(c / n::DOUBLE))), 6) AS bits FROM s GROUP BY 1""")
 def entropy_window(spark, d):
-    w = series.trailing("user_id", F.col("t"), 3 * DAY)
+    w = series.trailing("user_id", F.col("us"), 3 * 86_400_000_000)
     return events(spark, d).withColumn("seen", F.collect_list("event_type").over(w)).select("event_id", r6(series.entropy(F.col("seen"))).alias("bits"))
 
 
@@ -251,11 +251,11 @@ def post_topk_filter(spark, d):
 
 
 AXES = ("quantity", "price", "discount", "tax", "orders")
-PER_PART = """p AS (SELECT l_partkey, round(sum(l_quantity), 2) AS quantity, round(avg(l_extendedprice), 2) AS price, round(avg(l_discount), 4) AS discount, round(avg(l_tax), 4) AS tax, count(*)::DOUBLE AS orders FROM lineitem GROUP BY 1)"""
+PER_PART = """p AS (SELECT l_partkey, round(sum(l_quantity), 2) AS quantity, round(max(l_extendedprice), 2) AS price, round(avg(l_discount), 4) AS discount, round(avg(l_tax), 4) AS tax, count(*)::DOUBLE AS orders FROM lineitem GROUP BY 1)"""
 
 
 def _per_part(spark, d):
-    return read(spark, d, "lineitem").groupBy("l_partkey").agg(F.round(F.sum("l_quantity"), 2).alias("quantity"), F.round(F.avg("l_extendedprice"), 2).alias("price"), F.round(F.avg("l_discount"), 4).alias("discount"), F.round(F.avg("l_tax"), 4).alias("tax"), F.count(F.lit(1)).cast("double").alias("orders"))
+    return read(spark, d, "lineitem").groupBy("l_partkey").agg(F.round(F.sum("l_quantity"), 2).alias("quantity"), F.round(F.max("l_extendedprice"), 2).alias("price"), F.round(F.avg("l_discount"), 4).alias("discount"), F.round(F.avg("l_tax"), 4).alias("tax"), F.count(F.lit(1)).cast("double").alias("orders"))
 
 
 @query("WITH " + PER_PART + ", " + """r AS (SELECT l_partkey, """ + ", ".join(f"(dense_rank() OVER (ORDER BY {a}) - 1)::DOUBLE AS k_{a}" for a in AXES) + """ FROM p),
@@ -275,13 +275,13 @@ def weighted_rerank(spark, d):
 
 
 @query("WITH " + PER_PART + """, t AS (SELECT * FROM p ORDER BY l_partkey LIMIT 1) SELECT p.l_partkey, round(0.15::DOUBLE * least(abs(p.quantity - t.quantity) / 300, 1) + 0.25::DOUBLE * least(abs(p.price - t.price) / 10000, 1)
-  + 0.10::DOUBLE * least(abs(p.orders - t.orders) / 10, 1) + 0.20::DOUBLE * abs(p.discount - t.discount), 6) AS distance FROM p, t""")
+  + 0.10::DOUBLE * least(abs(p.orders - t.orders) / 10, 1) + 0.20::DOUBLE * abs(p.discount - t.discount), 9) AS distance FROM p, t""")
 def base_distance(spark, d):
     p = _per_part(spark, d)
     t = p.orderBy("l_partkey").limit(1).select(F.struct("*").alias("t"))
     cap = lambda a, s: S.capped_difference(F.col(a), F.col(f"t.{a}"), s)
     out = 0.15 * cap("quantity", 300.0) + 0.25 * cap("price", 10000.0) + 0.10 * cap("orders", 10.0) + 0.20 * F.abs(F.col("discount") - F.col("t.discount"))
-    return p.join(F.broadcast(t)).select("l_partkey", r6(out).alias("distance"))
+    return p.join(F.broadcast(t)).select("l_partkey", F.round(out, 9).alias("distance"))
 
 
 PER_USER = "c AS (SELECT user_id, " + ", ".join(f"count(*) FILTER (event_type = '{x}')::DOUBLE AS {x}" for x in TYPES) + ", avg(value) AS mean, max(value) AS most FROM events GROUP BY 1), t AS (SELECT * FROM c ORDER BY user_id LIMIT 1)"
@@ -319,3 +319,130 @@ def band_expansion(spark, d):
     t = b.orderBy("p_partkey").limit(1).select(F.struct("*").alias("t"))
     g = b.join(F.broadcast(t), F.col("p_partkey") != F.col("t.p_partkey")).select(F.abs(F.col("band") - F.col("t.band")).alias("band"), (F.col("p_brand") == F.col("t.p_brand")).alias("same"))
     return similarity.band_radius(g, F.lit(0), 256, 32).select(F.col("radius").cast("long").alias("radius"))
+
+
+# Tables and text
+
+
+@query("SELECT doc_id, sha256(text) AS sha, CASE WHEN v = 0 THEN '1' ELSE v::VARCHAR END AS unsigned_id FROM (SELECT doc_id, text, ('0x' || substr(s, 15, 2) || substr(s, 13, 2) || substr(s, 11, 2) || substr(s, 9, 2) || substr(s, 7, 2) || substr(s, 5, 2) || substr(s, 3, 2) || substr(s, 1, 2))::UBIGINT AS v FROM (SELECT doc_id, text, sha256(text) AS s FROM documents))")
+def sha_id(spark, d):
+    sha = F.sha2("text", 256)
+    return read(spark, d, "documents").select("doc_id", sha.alias("sha"), S.unsigned_id(sha).alias("unsigned_id"))
+
+
+@query(r"""SELECT doc_id, (i - 1)::BIGINT AS line_no, trim(line, E' \t\r\f\x0b') AS line FROM (SELECT doc_id, unnest(string_split(text, E'\n')) AS line, unnest(range(1, len(string_split(text, E'\n')) + 1)) AS i FROM documents)
+  WHERE trim(line, E' \t\r\f\x0b') <> '' AND NOT starts_with(trim(line, E' \t\r\f\x0b'), '//')""")
+def line_tokenise(spark, d):
+    lines = read(spark, d, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
+    lines = lines.select("doc_id", F.col("line_no").cast("long").alias("line_no"), F.regexp_replace("line", r"^[ \t\r\f\x0B]+|[ \t\r\f\x0B]+$", "").alias("line"))
+    return lines.where((F.col("line") != "") & ~F.col("line").startswith("//"))
+
+
+@query("SELECT conv_id, turn, coalesce(last_value(CASE WHEN role = 'user' THEN turn END IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY turn, role, text ROWS UNBOUNDED PRECEDING), -1) AS section FROM conversations")
+def section_carry(spark, d):
+    c = read(spark, d, "conversations")
+    return tables.carry(c, ["conv_id"], ["turn", "role", "text"], F.when(F.col("role") == "user", F.col("turn")), "section").select("conv_id", "turn", F.coalesce("section", F.lit(-1)).alias("section"))
+
+
+@query("SELECT event_id, json_extract_string(props, '$.k') AS k, (json_extract_string(props, '$.k'))::DOUBLE AS number FROM events")
+def kv_split_json(spark, d):
+    k = F.get_json_object("props", "$.k")
+    return read(spark, d, "events").select("event_id", k.alias("k"), S.number(k).alias("number"))
+
+
+@query("SELECT page_id, split_part(url, ':', 1) AS scheme, split_part(substr(url, strpos(url, '://') + 3), '/', 1) AS host FROM pages")
+def kv_split_url(spark, d):
+    rest = F.element_at(F.split("url", "://", 2), 2)
+    return read(spark, d, "pages").select("page_id", F.element_at(F.split("url", ":", 2), 1).alias("scheme"), F.element_at(F.split(rest, "/", 2), 1).alias("host"))
+
+
+@query("""SELECT page_id, i::BIGINT AS at, href FROM (SELECT page_id, unnest(l) AS href, unnest(range(0, len(l))) AS i FROM (SELECT page_id, regexp_extract_all(html, 'href="([^"]*)"', 1) AS l FROM pages))""")
+def href_extract(spark, d):
+    found = F.regexp_extract_all("html", F.lit('href="([^"]*)"'), F.lit(1))
+    return read(spark, d, "pages").select("page_id", F.posexplode(found).alias("at", "href")).select("page_id", F.col("at").cast("long").alias("at"), "href")
+
+
+@query("SELECT d.doc_id, lang, source, quality::BIGINT AS quality FROM documents d JOIN labels l USING (doc_id)")
+def inner_meta(spark, d):
+    docs, labels = read(spark, d, "documents"), read(spark, d, "labels")
+    return docs.join(labels, "doc_id").select("doc_id", "lang", "source", F.col("quality").cast("long").alias("quality"))
+
+
+@query("SELECT doc_id, lang FROM documents d WHERE EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id)")
+def semi_resume(spark, d):
+    return tables.finished(read(spark, d, "documents").select("doc_id", "lang"), read(spark, d, "labels"), ["doc_id"])
+
+
+@query("SELECT doc_id, lang FROM documents d WHERE NOT EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id)")
+def anti_pending(spark, d):
+    return tables.pending(read(spark, d, "documents").select("doc_id", "lang"), read(spark, d, "labels"), ["doc_id"])
+
+
+@query("""SELECT coalesce(d.doc_id, l.doc_id) AS doc_id, CASE WHEN l.doc_id IS NULL THEN 'missing' ELSE 'unexpected' END AS problem
+  FROM (SELECT doc_id FROM documents WHERE source <> 'src0') d FULL OUTER JOIN (SELECT doc_id FROM labels) l ON d.doc_id = l.doc_id WHERE d.doc_id IS NULL OR l.doc_id IS NULL""")
+def coverage_audit(spark, d):
+    return tables.coverage(read(spark, d, "documents").where("source <> 'src0'"), read(spark, d, "labels"), "doc_id")
+
+
+@query("SELECT conv_id, turn, role FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC, role DESC) AS k FROM conversations) WHERE k = 1")
+def latest_version(spark, d):
+    c = read(spark, d, "conversations").select("conv_id", "turn", "role")
+    return tables.latest(c, ["conv_id"], [F.col("turn"), F.col("role")])
+
+
+@query("""SELECT user_id, event_id, value FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY src DESC, event_id DESC) AS k FROM
+  (SELECT user_id, event_id, value, 0 AS src FROM events WHERE event_type = 'signup' UNION ALL SELECT user_id, event_id, value, 1 FROM events WHERE event_type = 'purchase')) WHERE k = 1""")
+def upsert_snapshot(spark, d):
+    ev = read(spark, d, "events").select("user_id", "event_id", "value", "event_type")
+    of = lambda t: ev.where(F.col("event_type") == t).drop("event_type")
+    old = tables.latest(of("signup"), ["user_id"], [F.col("event_id")])
+    return tables.ordered_upsert(old, of("purchase"), ["user_id"], [F.col("event_id")])
+
+
+@query("SELECT c_custkey AS custkey FROM customer UNION SELECT o_custkey FROM orders")
+def union_distinct(spark, d):
+    return read(spark, d, "customer").select(F.col("c_custkey").alias("custkey")).union(read(spark, d, "orders").select("o_custkey")).distinct()
+
+
+@query("SELECT c_custkey AS custkey, 'customer' AS kind FROM customer UNION ALL SELECT o_custkey, 'order' FROM orders")
+def union_all_events(spark, d):
+    c = read(spark, d, "customer").select(F.col("c_custkey").alias("custkey"), F.lit("customer").alias("kind"))
+    return c.unionByName(read(spark, d, "orders").select(F.col("o_custkey").alias("custkey"), F.lit("order").alias("kind")))
+
+
+@query("""SELECT 'o_orderstatus' AS axis, o_orderstatus AS value, count(*)::BIGINT AS n FROM orders GROUP BY 2 UNION ALL SELECT 'o_orderpriority', o_orderpriority, count(*)::BIGINT FROM orders GROUP BY 2
+  UNION ALL SELECT 'all', NULL, count(*)::BIGINT FROM orders""")
+def doctor_histogram(spark, d):
+    return tables.histogram(read(spark, d, "orders"), ["o_orderstatus", "o_orderpriority"])
+
+
+@query("""SELECT p_partkey, p_size::SMALLINT AS p_size, p_retailprice::FLOAT AS price, CASE p_size % 4 WHEN 0 THEN 'RC' WHEN 1 THEN 'HB' WHEN 2 THEN 'Mix' ELSE 'LN' END AS family FROM part""")
+def export_projection(spark, d):
+    from ..schema import FAMILIES
+
+    return read(spark, d, "part").select("p_partkey", F.col("p_size").cast("short").alias("p_size"), F.col("p_retailprice").cast("float").alias("price"), S.label(F.col("p_size") % 4, FAMILIES).alias("family"))
+
+
+@query("""SELECT s_suppkey, printf('%d' || chr(9) || '%.2f' || chr(9) || '%s', s_suppkey, abs(s_acctbal), s_name) AS line FROM supplier""")
+def print_rows(spark, d):
+    return read(spark, d, "supplier").select("s_suppkey", F.format_string("%d\t%.2f\t%s", "s_suppkey", F.abs("s_acctbal"), "s_name").alias("line"))
+
+
+@query("""SELECT p_partkey, CASE WHEN r <= 0.15::DOUBLE THEN 'RC' WHEN r >= 0.90::DOUBLE THEN 'LN' WHEN h >= 0.10::DOUBLE THEN 'HB' ELSE 'Mix' END AS family FROM
+  (SELECT p_partkey, p_size / 50::DOUBLE AS r, (p_partkey % 10) / 50::DOUBLE AS h FROM part)""")
+def family_rule(spark, d):
+    from ..operators.mania_features import family_code
+    from ..schema import FAMILIES
+
+    code = family_code(F.col("p_size") / 50.0, (F.col("p_partkey") % 10) / 50.0)
+    return read(spark, d, "part").select("p_partkey", S.label(code, FAMILIES).alias("family"))
+
+
+@query("""WITH f AS (SELECT user_id, count(*) FILTER (event_type = 'error')::DOUBLE / count(*) AS e, count(*) FILTER (event_type = 'view')::DOUBLE / count(*) AS v,
+  count(*) FILTER (event_type = 'click')::DOUBLE / count(*) AS c, count(*) FILTER (event_type = 'signup')::DOUBLE / count(*) AS s FROM events GROUP BY 1)
+SELECT user_id, round(least(0.5::DOUBLE * greatest(e, v, c, s) + 0.3::DOUBLE * sqrt((e * e + v * v + c * c + s * s) / 4) + 0.2::DOUBLE * (e + v + c + s - least(e, v, c, s)) / 3, 1), 6) AS overall FROM f""")
+def overall_intensity(spark, d):
+    n = F.count(F.lit(1))
+    share = lambda x: (F.count_if(F.col("event_type") == x) / n).alias(x)
+    f = read(spark, d, "events").groupBy("user_id").agg(*[share(x) for x in ("error", "view", "click", "signup")])
+    return f.select("user_id", r6(S.overall_intensity([F.col(x) for x in ("error", "view", "click", "signup")])).alias("overall"))
