@@ -109,7 +109,7 @@ def unsigned_id(digest_hex: Column) -> Column:
 
 def signed_id(unsigned: Column) -> Column:
     """The same 64 bits as a signed long."""
-    return F.when(unsigned.cast("decimal(20,0)") >= 2**63, (unsigned.cast("decimal(20,0)") - F.lit(2**64).cast("decimal(20,0)")).cast("long")).otherwise(unsigned.cast("long"))
+    return F.when(unsigned.cast("decimal(20,0)") >= F.lit(str(2**63)).cast("decimal(20,0)"), (unsigned.cast("decimal(20,0)") - F.lit(str(2**64)).cast("decimal(20,0)")).cast("long")).otherwise(unsigned.cast("long"))
 
 
 def unsigned_order(id_col: Column) -> list[Column]:

@@ -52,9 +52,9 @@ def identified(meta: DataFrame, charts: DataFrame) -> DataFrame:
     sha = charts.select("chart_id", F.sha2("content", 256).alias("sha256"))
     both = sha.join(meta, "chart_id", "left")
     own = _ids(F.col("map_id"))
-    unsigned = F.when((own > 0) & (own < F.lit(2**64).cast("decimal(20,0)")), own.cast("string")).otherwise(S.unsigned_id(F.col("sha256")))
+    unsigned = F.when((own > 0) & (own < F.lit(str(2**64)).cast("decimal(20,0)")), own.cast("string")).otherwise(S.unsigned_id(F.col("sha256")))
     set_id = _ids(F.col("set_id"))
-    return both.withColumn("unsigned_id", unsigned).withColumn("beatmap_id", S.signed_id(unsigned)).withColumn("beatmapset_id", S.signed_id(F.when(set_id < F.lit(2**64).cast("decimal(20,0)"), set_id).otherwise(F.lit(0)).cast("string"))).withColumn("online_url", S.chart_url(unsigned)).drop("map_id", "set_id")
+    return both.withColumn("unsigned_id", unsigned).withColumn("beatmap_id", S.signed_id(unsigned)).withColumn("beatmapset_id", S.signed_id(F.when(set_id < F.lit(str(2**64)).cast("decimal(20,0)"), set_id).otherwise(F.lit(0)).cast("string"))).withColumn("online_url", S.chart_url(unsigned)).drop("map_id", "set_id")
 
 
 def std_meta(lines: DataFrame) -> DataFrame:
@@ -109,7 +109,7 @@ def mania_meta(lines: DataFrame) -> DataFrame:
     bpms = F.sort_array(F.collect_list(F.when(timed & red & (beat > 0), 60000.0 / beat)))
     keys = S.number(last_value("Difficulty", "CircleSize", True))
     mode = S.number(last_value("General", "Mode", True), "long")
-    m = lines.groupBy("chart_id").agg(F.when(mode <= 255, mode).cast("int").alias("mode"), F.floor(F.least(F.greatest(keys, F.lit(0.0)), F.lit(255.0)) + 0.5).cast("int").alias("key_count"), last_value("Metadata", "BeatmapID", True).alias("map_id"), last_value("Metadata", "BeatmapSetID", True).alias("set_id"), *(F.coalesce(last_value("Metadata", k, True), F.lit("")).alias(k.lower()) for k in META), bpms.alias("bpms"), F.count_if(timed & ~red & (beat < 0)).alias("sv_changes"))
+    m = lines.groupBy("chart_id").agg(F.when(mode <= 255, mode).cast("int").alias("mode"), F.when(keys.isNotNull(), F.floor(F.least(F.greatest(keys, F.lit(0.0)), F.lit(255.0)) + 0.5)).cast("int").alias("key_count"), last_value("Metadata", "BeatmapID", True).alias("map_id"), last_value("Metadata", "BeatmapSetID", True).alias("set_id"), *(F.coalesce(last_value("Metadata", k, True), F.lit("")).alias(k.lower()) for k in META), bpms.alias("bpms"), F.count_if(timed & ~red & (beat < 0)).alias("sv_changes"))
     return m.withColumn("bpm", F.coalesce(F.get("bpms", F.floor(F.size("bpms") / 2).cast("int")), F.lit(0.0))).drop("bpms")
 
 
