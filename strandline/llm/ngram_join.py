@@ -5,9 +5,10 @@ separate them.  So the space is first cut into cells in which similar sets must
 
 *Cells.*  Let a set and a similar one, no smaller than the threshold times its size, differ in K elements at most.  If
 hashing deals both sets' elements into K + 1 + z parts, at least z + 1 parts are the same in both.  Each part is a cell: a
-key of the size class and the part's elements.  Parts of fewer than two elements are left out, unless a set has more
-than z of them.  A set takes part for its own size class and for the class below.  Cells that several sets share link
-candidates; components of candidates are regions, and no similar pair lies across two of them.
+key of the size class and the part's elements.  Empty parts are left out, unless a set has more than z of them.  A set takes part
+for its own size class and for the class below.  Sets that meet in a cell are candidates if at least z + 1 bytes agree in their
+signatures, a byte per part: a necessary condition again.  In a cell of more than ``CROWDED`` sets all are candidates.  Components
+of candidates are regions, and no similar pair lies across two of them.
 
 *Regions.*  In a region pivots are chosen and all distances to them computed.  Sets within the threshold of a pivot are linked to it.
 Each set goes to its nearest pivot's Voronoi cell, and to any other one whose pivot is at most twice the threshold
@@ -21,6 +22,7 @@ Sets are named by 64-bit digests, shingles by 64-bit hashes.  Similarity itself
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from functools import cache
 
@@ -36,7 +38,7 @@ from .graph import components
 
 #: Sets compared pair by pair; pivots of a cell; sets of a region that one task takes.
 LEAF, PIVOTS, REGION = 192, 6, 3000
-SEEN = 200_000
+SEEN, CROWDED = 200_000, 512
 _U = np.uint64
 _PLACES = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3], np.uint64)
 
@@ -74,7 +76,11 @@ def size_classes(num: int, den: int, most: int = 1 << 40) -> list[tuple[int, int
     while lo <= most:
         hi = lo * den // num
         k = hi * (den - num) // num
-        out.append((hi, k, k + 2 + k // 7))
+        # As many more parts as a set of the least size leaves empty, and some: that many must agree besides.
+        z = 1
+        while z < 2 * k + 8 and (e := (k + 1 + z) * math.exp(-lo / (k + 1 + z))) + 2 * math.sqrt(e) > z:
+            z += max(1, k // 50)
+        out.append((hi, k, k + 1 + z))
         lo = hi + 1
     return out
 
@@ -84,24 +90,50 @@ def part_edges(parts: int) -> np.ndarray:
     return (np.array([-(-j * (1 << 32) // parts) for j in range(1, parts)], np.uint64)) << _U(32)
 
 
-def cell_keys(s: np.ndarray, num: int, den: int) -> np.ndarray:
-    """Keys of the cells of a sorted set."""
+def cell_keys(s: np.ndarray, num: int, den: int) -> tuple[np.ndarray, bytes]:
+    """Keys of the cells of a sorted set, the size class in their last ten bits, and a byte for each part of its own class and of the class below."""
     classes = size_classes(num, den)
-    tops = _tops(num, den)
-    own = int(np.searchsorted(tops, len(s)))
+    own = int(np.searchsorted(_tops(num, den), len(s)))
     sums = np.zeros(len(s) + 1, np.uint64)
     np.cumsum(mixed(s), out=sums[1:])
-    out = []
+    out, marks = [], b""
     for c in (own, own - 1):
         if c < 0 or not classes[c][1]:
             continue
         _, k, parts = classes[c]
         cut_at = np.concatenate([[0], np.searchsorted(s, part_edges(parts)), [len(s)]])
-        size = np.diff(cut_at)
         key = mixed(sums[cut_at[1:]] - sums[cut_at[:-1]] + (np.arange(parts, dtype=np.uint64) + (_U(c) << _U(40))) * _PLACES[0])
-        small = size < 2
-        out.append(key if small.sum() >= parts - k else key[~small])
-    return np.concatenate(out) if out else np.zeros(0, np.uint64)
+        marks += (key >> _U(56)).astype(np.uint8).tobytes()
+        key = key & ~_U(1023) | _U(c)
+        empty = cut_at[1:] == cut_at[:-1]
+        out.append(key if empty.sum() >= parts - k else key[~empty])
+    return (np.concatenate(out) if out else np.zeros(0, np.uint64)), marks
+
+
+def agreeing(keys: np.ndarray, nodes: np.ndarray, sizes: np.ndarray, marks: list[bytes], num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of nodes that meet in a cell and whose signatures agree as far as similar sets' must, enough to connect all such pairs; rows are sorted by key."""
+    classes, tops = size_classes(num, den), _tops(num, den)
+    cuts = [0, *(np.flatnonzero(keys[1:] != keys[:-1]) + 1).tolist(), len(keys)]
+    a, b = [], []
+    for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
+        c = int(keys[lo]) & 1023
+        _, k, parts = classes[c]
+        if hi - lo > CROWDED:
+            a.append(nodes[lo + 1 : hi])
+            b.append(np.full(hi - lo - 1, nodes[lo]))
+            continue
+        rows = []
+        for i in range(lo, hi):
+            own = int(np.searchsorted(tops, sizes[i]))
+            skip = 0 if own == c else classes[own][2] if classes[own][1] else 0
+            rows.append(np.frombuffer(marks[i], np.uint8, parts, skip))
+        m = np.stack(rows)
+        for i in range(len(m) - 1):
+            j = np.flatnonzero((m[i + 1 :] == m[i]).sum(1) >= parts - k) + i + 1
+            a.append(nodes[lo + j])
+            b.append(np.full(len(j), nodes[lo + i]))
+    none = np.zeros(0, np.int64)
+    return (np.concatenate(a) if a else none), (np.concatenate(b) if b else none)
 
 
 @cache
@@ -188,7 +220,7 @@ def _sets_of(binary: list[bytes]) -> list[np.ndarray]:
 
 
 def document_sets(docs: DataFrame, id_col: str, text_col: str, words: int, num: int, den: int) -> DataFrame:
-    """A written table with a row per document: id, n_shingles, node (digest of its set, null if empty), t1 and t2 (digests of the text), keys (of its cells, once per set and task)."""
+    """A written table with a row per document: id, n_shingles, node (digest of its set, null if empty), t1 and t2 (digests of the text), keys and marks (of its cells, once per set and task)."""
     kind = docs.schema[id_col].dataType.simpleString()
     text = F.coalesce(docs[text_col], F.lit(""))
     rows = docs.select(docs[id_col].alias("id"), text.alias("text"), F.xxhash64(text).alias("t1"), F.xxhash64(F.lit(1), text).alias("t2"))
@@ -197,23 +229,26 @@ def document_sets(docs: DataFrame, id_col: str, text_col: str, words: int, num:
         seen: set[int] = set()
         for batch in batches:
             for lo, hi, data, at in flat.blocks(batch, "text", 1 << 20):
-                size, node, keys = [], [], []
+                size, node, keys, marks = [], [], [], []
                 for s in shingle_sets(data, at, words):
                     name = int((mixed(s).sum(dtype=np.uint64) ^ mixed(np.array([len(s)], np.uint64))[0]).view(np.int64)) if len(s) else None
                     size.append(len(s))
                     node.append(name)
                     if name is None or name in seen:
                         keys.append(None)
+                        marks.append(None)
                     else:
                         if len(seen) >= SEEN:
                             seen.clear()
                         seen.add(name)
-                        keys.append(cell_keys(s, num, den).view(np.int64))
+                        key, mark = cell_keys(s, num, den)
+                        keys.append(key.view(np.int64))
+                        marks.append(mark)
                 part = batch.slice(lo, hi - lo)
-                yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(size, pa.int64()), pa.array(node, pa.int64()), part.column("t1"), part.column("t2"), pa.array(keys, pa.list_(pa.int64()))], ["id", "n_shingles", "node", "t1", "t2", "keys"])
+                yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(size, pa.int64()), pa.array(node, pa.int64()), part.column("t1"), part.column("t2"), pa.array(keys, pa.list_(pa.int64())), pa.array(marks, pa.binary())], ["id", "n_shingles", "node", "t1", "t2", "keys", "marks"])
 
     path = fresh_path(docs.sparkSession, "shingles")
-    rows.mapInArrow(run, f"id {kind}, n_shingles long, node long, t1 long, t2 long, keys array<long>").write.parquet(path)
+    rows.mapInArrow(run, f"id {kind}, n_shingles long, node long, t1 long, t2 long, keys array<long>, marks binary").write.parquet(path)
     return docs.sparkSession.read.parquet(path)
 
 
@@ -243,8 +278,20 @@ def _links(docs: DataFrame, text_col: str, sets: DataFrame, words: int, num: int
 
     spark = docs.sparkSession
     each = sets.where("keys is not null").select("node", F.explode("keys").alias("key"))
-    meet = each.withColumn("one", F.first("node").over(Window.partitionBy("key").orderBy("node"))).where("one <> node")
-    near = cut(meet.select(F.col("one").alias("a"), F.col("node").alias("b")).distinct())
+    cell = Window.partitionBy("key")
+    meet = each.withColumn("lo", F.min("node").over(cell)).withColumn("hi", F.max("node").over(cell)).where("lo < hi").select("key", "node")
+    meet = cut(meet.distinct())
+    named = meet.select("node").distinct()
+    marks = sets.where("marks is not null").join(small_side(cut(named)), "node", "left_semi").groupBy("node").agg(F.first("n_shingles").alias("n"), F.first("marks").alias("marks"))
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    met = meet.join(marks, "node").repartition(parts, "key").sortWithinPartitions("key", "node")
+
+    def agree(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in groups(batches, ["key"], 5000):
+            a, b = agreeing(t.column("key").to_numpy(), t.column("node").to_numpy(), t.column("n").to_numpy(), t.column("marks").to_pylist(), num, den)
+            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+
+    near = cut(met.select("key", "node", "n", "marks").mapInArrow(agree, "a long, b long").distinct())
     region = cut(components(near).withColumnRenamed("root", "region"))
     crowd = region.groupBy("region").agg(F.count(F.lit(1)).alias("crowd"))
     one = sets.where("node is not null").join(small_side(region.select("node")), "node", "left_semi").groupBy("node").agg(F.min(F.struct("t1", "t2")).alias("t"))
@@ -262,7 +309,6 @@ def _links(docs: DataFrame, text_col: str, sets: DataFrame, words: int, num: int
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in ("region", "crowd", "node")), pa.array(found, pa.binary())], ["region", "crowd", "node", "set"])
 
     full = texts.select("region", "crowd", "node", "text").mapInArrow(again, "region long, crowd long, node long, set binary")
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     usual = full.where(F.col("crowd") <= REGION).select("region", "node", "set").repartition(parts, "region").sortWithinPartitions("region", "node")
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
