@@ -446,3 +446,56 @@ def overall_intensity(spark, d):
     share = lambda x: (F.count_if(F.col("event_type") == x) / n).alias(x)
     f = read(spark, d, "events").groupBy("user_id").agg(*[share(x) for x in ("error", "view", "click", "signup")])
     return f.select("user_id", r6(S.overall_intensity([F.col(x) for x in ("error", "view", "click", "signup")])).alias("overall"))
+
+
+# Charts.  SQL can't follow their state from row to row; tests hold them against plain versions.
+
+
+@query()
+def chart_std_features(spark, d):
+    from ..operators.std_features import std_features
+    from .synthetic import std_charts
+
+    charts = std_charts(spark, d)
+    attrs = charts.select(F.sha2("content", 256).alias("sha256"), F.lit(1.0).alias("aim"), F.lit(1.0).alias("speed"), F.lit(1.0).alias("reading"), F.lit(5.0).alias("stars"), F.lit(100).alias("max_combo"))
+    out = std_features(charts, attrs)
+    return out.select("chart_id", "beatmap_id", "status", r6("slider").alias("slider"), F.round("overlap", 4).alias("overlap"), "base.object_count", F.round("overlap_stats.stack_rate", 6).alias("stack_rate"))
+
+
+@query()
+def chart_mania_features(spark, d):
+    from .charts import labelled, mania_charts
+    from .synthetic import lane_charts
+
+    out = labelled(mania_charts(lane_charts(spark, d)))
+    return out.select("chart_id", "beatmap_id", "status", F.col("key_count").cast("int").alias("key_count"), F.round("difficulty.speed", 4).alias("speed"), F.round("difficulty.course", 4).alias("course"), F.round("style.stream", 5).alias("stream"), "base.note_count", F.when(F.col("status") == "ok", F.col("family")).alias("family"), F.when(F.col("status") == "ok", F.col("pattern")).alias("pattern"))
+
+
+@query()
+def chart_mania_similar(spark, d):
+    from .charts import mania_charts, normalise_mania
+    from .synthetic import lane_charts
+
+    features = normalise_mania(mania_charts(lane_charts(spark, d)), 1)
+    target = features.orderBy("beatmap_id").limit(1)
+    return similarity.mania_similar(features, target).select("beatmap_id", F.col("key_count").cast("int").alias("key_count"), F.round("final_distance", 5).alias("distance"))
+
+
+@query()
+def windowed_counts(spark, d):
+    from ..streaming.ingest import windowed_counts
+
+    ev = read(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    return windowed_counts(ev).select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "n", F.round("total", 4).alias("total"))
+
+
+ORACLE["windowed_counts"] = "SELECT date_trunc('hour', ts) AS start, event_type, count(*)::BIGINT AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2"
+
+
+@query("""SELECT page_id, replace(replace(replace(replace(replace(href, '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#039;', ''''), '&amp;', '&') AS href FROM
+  (SELECT page_id, regexp_extract(html, 'href="([^"]*)"', 1) AS href FROM pages) WHERE href <> ''""")
+def entity_decode(spark, d):
+    from ..sources.catalogue_text import entities
+
+    first = F.regexp_extract("html", 'href="([^"]*)"', 1)
+    return read(spark, d, "pages").select("page_id", first.alias("href")).where("href <> ''").select("page_id", entities(F.col("href")).alias("href"))
