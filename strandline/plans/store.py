@@ -126,6 +126,45 @@ class Store:
             raise ValueError("nothing has been analysed")
         return found
 
+    def raw_for(self, beatmap_id: int) -> DataFrame:
+        return self.raw().where(F.col("beatmap_id") == beatmap_id)
+
+    def meta(self) -> DataFrame:
+        """Ids, digest, names and address of each analysed chart."""
+        return self.raw().select("beatmap_id", "beatmapset_id", "sha256", "artist", "title", "version", "creator", "online_url")
+
+    # Sources, failures and packs
+
+    def _merge(self, name: str, incoming: DataFrame, keys: list[str]) -> int:
+        old = self.read(name)
+        n = incoming.count()
+        if n:
+            self._point(name, self._write(name, incoming if old is None else tables.upsert(old, incoming.select(*old.columns), keys)))
+        return n
+
+    def retain_sources(self, charts: DataFrame, analysed: DataFrame) -> int:
+        """Keeps the content (chart_id, content) of charts that were analysed, by beatmap_id."""
+        ids = analysed.where("status = 'ok'").select("chart_id", "beatmap_id", "sha256")
+        return self._merge("sources", tables.latest(charts.select("chart_id", "content").join(ids, "chart_id").select("beatmap_id", "sha256", "content"), ["beatmap_id"], [F.col("sha256")]), ["beatmap_id"])
+
+    def log_failures(self, analysed: DataFrame) -> DataFrame:
+        """chart_id, status of the charts of this run that failed; it replaces the log of the run before, and is empty after a run without failures."""
+        self._point("failures", self._write("failures", analysed.where("status <> 'ok'").select("chart_id", "status")))
+        return self.read("failures")
+
+    def upsert_packs(self, packs: DataFrame) -> int:
+        """pack_id, source_url, status, error, updated_at: the latest state of a pack counts; its address stays the first one."""
+        new = tables.latest(packs.select("pack_id", "source_url", "status", "error", "updated_at"), ["pack_id"], [F.col("updated_at"), F.col("status")])
+        old = self.read("packs")
+        if old is not None:
+            first = old.select("pack_id", F.col("source_url").alias("__url"))
+            new = new.join(first, "pack_id", "left").withColumn("source_url", F.coalesce("__url", "source_url")).drop("__url")
+        return self._merge("packs", new, ["pack_id"])
+
+    def pack_is(self, pack_id: str, status: str) -> bool:
+        packs = self.read("packs")
+        return packs is not None and not packs.where((F.col("pack_id") == pack_id) & (F.col("status") == status)).isEmpty()
+
     # Publication
 
     def publish(self, version: int, df: DataFrame) -> None:
@@ -198,6 +237,13 @@ def _close(a: DataFrame, b: DataFrame) -> bool:
     return both.where(bad).isEmpty()
 
 
+def printed(results: DataFrame, digits: int = 4) -> DataFrame:
+    """line: id, distances and axes of query results, tab-separated; ids as unsigned numbers."""
+    numbers = [c for c, t in results.dtypes if t in ("float", "double")]
+    unsigned = F.conv(F.hex("beatmap_id"), 16, 10)
+    return results.select(F.concat_ws("\t", unsigned, *[F.format_string(f"%.{digits}f", F.col(c).cast("double")) for c in numbers]).alias("line"))
+
+
 STD_EXPORT = ("beatmap_id", "beatmapset_id", *STD_AXES, "ar", "cs", "bpm")
 
 
