@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalar as S
 from ..schema import OVERLAP_STATS, STD_ANALYZER, STD_BASE, OverlapConfig
+from ..settle import settled
 from . import series, tokenise
 
 SLIDER_SHARE, SLIDER_CHANGES = 0.30, 0.70
@@ -108,8 +109,9 @@ def overlap_statistics(objects: DataFrame, meta: DataFrame, cfg: OverlapConfig |
     pairs = overlap_pairs(objects, meta, cfg)
     per = pairs.groupBy("chart_id", "i").agg(F.max("score").alias("most"), F.sum("score").alias("all"), F.count(F.lit(1)).alias("seen"), *[F.count_if(c).alias(c) for c in ("stacks", "occludes", "crosses")])
     o = objects.where("kind <> 'spinner'").select("chart_id", "i", "time").join(per, ["chart_id", "i"], "left")
-    o = o.withColumn("score", F.coalesce(0.65 * F.col("most") + 0.35 * F.log1p("all"), F.lit(0.0)))
+    o = settled(o.withColumn("score", F.coalesce(0.65 * F.col("most") + 0.35 * F.log1p("all"), F.lit(0.0))))
     strain = series.decayed_sum(o.select("chart_id", "i", "time", "score"), "chart_id", "time", "score", 1000.0 / -math.log(cfg.strain_decay_base), ["i"], "strain")
+    strain = settled(strain)
     w = Window.partitionBy("chart_id").orderBy("time", "i")
     at = lambda t: F.greatest(F.ceil(t / cfg.section_ms), F.lit(0))
     nxt = F.lead("time").over(w)
@@ -160,10 +162,11 @@ def std_features(charts: DataFrame, attributes: DataFrame, cfg: OverlapConfig |
 
     ``charts``: chart_id, content; ``attributes``: sha256, aim, speed, reading, stars, max_combo, from a calculator outside.  Status: ok, invalid (not UTF-8), unsupported mode, or missing attributes.
     """
-    lines = tokenise.chart_lines(charts, lossy=False)
+    lines = settled(tokenise.chart_lines(charts, lossy=False))
     meta = tokenise.std_meta(lines)
     points = tokenise.timing_points(lines)
-    objects = ordered(tokenise.with_slider_speeds(tokenise.std_objects(lines), points, meta))
+    meta, points = settled(meta), settled(points)
+    objects = settled(ordered(tokenise.with_slider_speeds(tokenise.std_objects(lines), points, meta)))
     ids = tokenise.identified(meta, charts)
     out = _joined(ids, objects, meta, points, cfg)
     out = out.join(attributes, "sha256", "left")

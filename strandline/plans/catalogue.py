@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalar as S
 from ..operators import ranks, series, similarity, tables
+from ..settle import settled
 
 QUERIES: dict = {}
 ORACLE: dict = {}
@@ -456,7 +457,7 @@ def chart_std_features(spark, d):
     from ..operators.std_features import std_features
     from .synthetic import std_charts
 
-    charts = std_charts(spark, d)
+    charts = settled(std_charts(spark, d))
     attrs = charts.select(F.sha2("content", 256).alias("sha256"), F.lit(1.0).alias("aim"), F.lit(1.0).alias("speed"), F.lit(1.0).alias("reading"), F.lit(5.0).alias("stars"), F.lit(100).alias("max_combo"))
     out = std_features(charts, attrs)
     return out.select("chart_id", "beatmap_id", "status", r6("slider").alias("slider"), F.round("overlap", 4).alias("overlap"), "base.object_count", F.round("overlap_stats.stack_rate", 6).alias("stack_rate"))
@@ -476,7 +477,7 @@ def chart_mania_similar(spark, d):
     from .charts import mania_charts, normalise_mania
     from .synthetic import lane_charts
 
-    features = normalise_mania(mania_charts(lane_charts(spark, d)), 1)
+    features = settled(normalise_mania(mania_charts(lane_charts(spark, d)), 1))
     target = features.orderBy("beatmap_id").limit(1)
     return similarity.mania_similar(features, target).select("beatmap_id", F.col("key_count").cast("int").alias("key_count"), F.round("final_distance", 5).alias("distance"))
 

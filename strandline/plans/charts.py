@@ -9,6 +9,7 @@ from ..functions import scalar as S
 from ..operators import mania_features as M
 from ..operators import ranks, tokenise
 from ..schema import FAMILIES, MANIA_ANALYZER, MANIA_AXES, PATTERN_LABELS, STD_AXES
+from ..settle import settled
 
 
 def mania_charts(charts: DataFrame) -> DataFrame:
@@ -16,12 +17,12 @@ def mania_charts(charts: DataFrame) -> DataFrame:
 
     Status: ok, invalid, unsupported mode or unsupported keys; features are null unless it is ok.  A source id counts more than the chart's own.
     """
-    lines = tokenise.chart_lines(charts, lossy=True)
-    meta = tokenise.mania_meta(lines)
+    lines = settled(tokenise.chart_lines(charts, lossy=True))
+    meta = settled(tokenise.mania_meta(lines))
     objects = tokenise.mania_objects(lines, meta)
     status = tokenise.mania_status(meta, objects)
     sound = status.where("status = 'ok'").select("chart_id")
-    found = M.mania_features(objects.join(sound, "chart_id").select("chart_id", "start", "column", "end", "long"), meta.select("chart_id", "key_count", "bpm", "sv_changes"))
+    found = settled(M.mania_features(objects.join(sound, "chart_id").select("chart_id", "start", "column", "end", "long"), meta.select("chart_id", "key_count", "bpm", "sv_changes")))
     ids = tokenise.identified(meta, charts)
     if "source_id" in charts.columns:
         named = charts.select("chart_id", F.when(F.col("source_id") != 0, F.col("source_id")).alias("source_id"))
@@ -33,6 +34,7 @@ def mania_charts(charts: DataFrame) -> DataFrame:
 
 def normalise_std(raw: DataFrame, version: int) -> DataFrame:
     """``raw`` (status ok) with its axes as shares of smaller distinct values."""
+    raw = settled(raw)
     rows = raw.where("status = 'ok'")
     missing = raw.where("status = 'missing attributes'")
     if not missing.isEmpty():
@@ -51,10 +53,10 @@ def _axis_table(rows: DataFrame) -> DataFrame:
 def fit_mania(raw: DataFrame) -> dict[str, DataFrame]:
     """Normalisers per key count: of each axis, and of the overall intensity."""
     rows = raw.where("status = 'ok'")
-    long = _axis_table(rows)
-    axes = ranks.fit_midrank(long, "value", ["key_count", "axis"])
-    overall = _overall(ranks.apply_ranks(long, axes, "value", "rank", ["key_count", "axis"]))
-    return {"axes": axes, "overall": ranks.fit_midrank(overall, "overall", ["key_count"])}
+    long = settled(_axis_table(rows))
+    axes = settled(ranks.fit_midrank(long, "value", ["key_count", "axis"]))
+    overall = settled(_overall(ranks.apply_ranks(long, axes, "value", "rank", ["key_count", "axis"])))
+    return {"axes": axes, "overall": settled(ranks.fit_midrank(overall, "overall", ["key_count"]))}
 
 
 def _overall(ranked: DataFrame) -> DataFrame:
@@ -64,6 +66,7 @@ def _overall(ranked: DataFrame) -> DataFrame:
 
 def normalise_mania(raw: DataFrame, version: int, fitted: dict[str, DataFrame] | None = None) -> DataFrame:
     """``raw`` (status ok) with difficulty as midranks among charts of its key count, difficulty_percentile and difficulty_band."""
+    raw = settled(raw)
     rows = raw.where("status = 'ok'")
     fitted = fitted or fit_mania(raw)
     wide = _overall(ranks.apply_ranks(_axis_table(rows), fitted["axes"], "value", "rank", ["key_count", "axis"]))
