@@ -128,10 +128,16 @@ def agreeing(keys: np.ndarray, nodes: np.ndarray, sizes: np.ndarray, marks: list
             skip = 0 if own == c else classes[own][2] if classes[own][1] else 0
             rows.append(np.frombuffer(marks[i], np.uint8, parts, skip))
         m = np.stack(rows)
-        for i in range(len(m) - 1):
-            j = np.flatnonzero((m[i + 1 :] == m[i]).sum(1) >= parts - k) + i + 1
-            a.append(nodes[lo + j])
-            b.append(np.full(len(j), nodes[lo + i]))
+        left = np.arange(len(m))
+        while len(left) > 1:  # a tree of each component, not all its pairs
+            reached, left = [left[0]], left[1:]
+            while reached and len(left):
+                i = reached.pop()
+                hit = (m[left] == m[i]).sum(1) >= parts - k
+                j, left = left[hit], left[~hit]
+                a.append(nodes[lo + j])
+                b.append(np.full(len(j), nodes[lo + i]))
+                reached.extend(j)
     none = np.zeros(0, np.int64)
     return (np.concatenate(a) if a else none), (np.concatenate(b) if b else none)
 
