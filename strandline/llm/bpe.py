@@ -79,21 +79,30 @@ class Codec:
     def __init__(self, path: str):
         self.vocab = vocabulary(path)
         self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         self.parts = [self.vocab.bytes.get(i, b"") for i in range(max(self.vocab.bytes) + 1)]
 
     def piece(self, s: str) -> bytes:
         """Ids as little-endian unsigned 32-bit integers."""
+        if (out := self.older.get(s)) is not None:
+            self.remember(s, out)
+            return out
         if s in self.vocab.added:
             ids = [self.vocab.added[s]]
         else:
             ids = tree_encode(s.encode(), self.vocab)
         out = np.array(ids, "<u4").tobytes()
         if len(s) <= LONGEST:
-            if len(self.known) >= REMEMBERED:
-                self.known.clear()
-            self.known[s] = out
+            self.remember(s, out)
         return out
 
+    def remember(self, s: str, out: bytes) -> None:
+        """In the younger of two generations; when it is full it becomes the older one, whose pieces return as they are used."""
+        if len(self.known) >= REMEMBERED:
+            self.older = dict(self.known)
+            self.known.clear()
+        self.known[s] = out
+
     def encode(self, text: str) -> bytes:
         known, piece = self.known, self.piece
         get = known.get
