@@ -57,6 +57,16 @@ def apply_ranks(df: DataFrame, fitted: DataFrame, value: str, out: str, by: list
     return df.join(fitted.select(*(by or []), value, F.col("rank").alias(out)), [*(by or []), value], "left")
 
 
+def rank_axes(df: DataFrame, id_col: str, axes: tuple[str, ...], by: list[str] | None = None, kind: str = "distinct") -> DataFrame:
+    """id and the rank of each row's value on each axis: all axes in one long table, so one range partition serves them all.  Ids are unique."""
+    by = by or []
+    pair = F.explode(F.array(*[F.struct(F.lit(a).alias("axis"), F.col(a).cast("double").alias("value")) for a in axes]))
+    long = df.select(id_col, *by, pair.alias("__p")).select(id_col, *by, "__p.axis", "__p.value")
+    fitted = (fit_distinct if kind == "distinct" else fit_midrank)(long, "value", [*by, "axis"])
+    ranked = apply_ranks(long, fitted, "value", "rank", [*by, "axis"])
+    return ranked.groupBy(id_col).agg(*[F.max(F.when(F.col("axis") == a, F.col("rank"))).alias(a) for a in axes])
+
+
 def rank_outside(target: DataFrame, fitted: DataFrame, value: str, out: str, kind: str, by: list[str] | None = None) -> DataFrame:
     """Transform of a few rows that needn't be in the corpus, by counting the fitted values below and up to theirs.
 

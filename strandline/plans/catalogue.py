@@ -265,10 +265,7 @@ t AS (SELECT * FROM n ORDER BY l_partkey LIMIT 1)
 SELECT n.l_partkey, round(sqrt(""" + " + ".join(f"pow(n.{a} - t.{a}, 2)" for a in AXES) + """), 6) AS distance FROM n, t WHERE n.l_partkey <> t.l_partkey
 ORDER BY round(sqrt(""" + " + ".join(f"pow(n.{a} - t.{a}, 2)" for a in AXES) + "), 9), n.l_partkey LIMIT 20")
 def weighted_rerank(spark, d):
-    p = _per_part(spark, d)
-    for a in AXES:
-        p = ranks.apply_ranks(p, ranks.fit_distinct(p, a), a, f"r_{a}")
-    n = p.select("l_partkey", *[F.col(f"r_{a}").alias(a) for a in AXES])
+    n = settled(ranks.rank_axes(settled(_per_part(spark, d)), "l_partkey", AXES))
     target = n.orderBy("l_partkey").limit(1).select(F.struct("*").alias("t"))
     dist = S.weighted_l2([F.col(a) for a in AXES], [F.col(f"t.{a}") for a in AXES])
     near = n.join(F.broadcast(target), F.col("l_partkey") != F.col("t.l_partkey")).withColumn("d", F.round(dist, 9)).orderBy("d", "l_partkey").limit(20)

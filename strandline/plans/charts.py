@@ -39,10 +39,9 @@ def normalise_std(raw: DataFrame, version: int) -> DataFrame:
     missing = raw.where("status = 'missing attributes'")
     if not missing.isEmpty():
         raise ValueError("some charts have no attributes; analyse them again first")
-    out = rows
-    for a in STD_AXES:
-        out = ranks.apply_ranks(out, ranks.fit_distinct(rows, a), a, f"r_{a}")
-    return out.select(*[c for c in rows.columns if c not in STD_AXES], *[F.col(f"r_{a}").cast("float").alias(a) for a in STD_AXES], F.lit(version).alias("normalization_version"), F.lit(0).alias("flags"))
+    ranked = ranks.rank_axes(rows, "beatmap_id", STD_AXES)
+    ranked = ranked.select("beatmap_id", *[F.col(a).cast("float").alias(a) for a in STD_AXES])
+    return rows.drop(*STD_AXES).join(ranked, "beatmap_id").withColumn("normalization_version", F.lit(version)).withColumn("flags", F.lit(0))
 
 
 def _axis_table(rows: DataFrame) -> DataFrame:
