@@ -34,7 +34,7 @@ from .flat_hash import Rolling, groups, mixed
 
 LENGTH, REACH, GRAM = 400, 256, 16
 SEGMENT = 1 << 21
-CROWD, PAIRED, TOGETHER = 50_000, 32, 20_000
+CROWD, PAIRED, TOGETHER, SEEN = 50_000, 32, 20_000, 200_000
 _U = np.uint64
 
 
@@ -204,9 +204,9 @@ def merged(start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def keyed_texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """id, text (null as empty) and two digests that name the row; rows that repeat share them, and all that follows."""
+    """id, text (null as empty) and two digests that name the text; rows with equal texts share them, and all that follows."""
     text = F.coalesce(docs[text_col], F.lit(""))
-    return docs.select(docs[id_col].alias("id"), text.alias("text"), F.xxhash64(docs[id_col]).alias("k1"), F.xxhash64(text).alias("k2"))
+    return docs.select(docs[id_col].alias("id"), text.alias("text"), F.xxhash64(text).alias("k1"), F.xxhash64(F.lit(1), text).alias("k2"))
 
 
 def texts_of(keyed: DataFrame, keys: DataFrame) -> DataFrame:
@@ -219,7 +219,13 @@ def repeated_spans(keyed: DataFrame, length: int = LENGTH, reach: int = REACH) -
     """k1, k2, starts, ends and n_removed: what is removed from each of ``keyed_texts`` that loses bytes."""
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        seen: set[tuple[int, int]] = set()
+        for whole in batches:
+            names = list(zip(whole.column("k1").to_pylist(), whole.column("k2").to_pylist(), strict=True))
+            if len(seen) + len(names) > SEEN:
+                seen.clear()
+            fresh = [i for i, x in enumerate(names) if x not in seen and not seen.add(x)]
+            batch = whole.take(pa.array(fresh, pa.int64()))
             k1, k2 = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("k1", "k2"))
             for row, _, data, at in flat.blocks(batch, "text", SEGMENT):
                 for skip, part, part_at in segments(data, at, length):
@@ -238,7 +244,9 @@ def repeated_spans(keyed: DataFrame, length: int = LENGTH, reach: int = REACH) -
     anchor, near, far = F.shiftright("place", 20), F.shiftright("place", 10).bitwiseAND(F.lit(0x3FF)), F.col("place").bitwiseAND(F.lit(0x3FF))
     whole = shared.where("alike").select("k1", "k2", "place").unionByName(copies.select("k1", "k2", "place"))
     whole = whole.select("k1", "k2", (anchor - far).alias("a"), (anchor + length - near).alias("b"))
-    both = whole.unionByName(_compare(keyed, kinds, length, reach))
+    # A task gives the anchors of a text once, however many copies it reads: copies are known by their number and go whole.
+    copied = keyed.groupBy("k1", "k2").agg(F.count(F.lit(1)).alias("n"), F.max(F.octet_length("text")).cast("long").alias("b")).where((F.col("n") > 1) & (F.col("b") >= length))
+    both = whole.unionByName(_compare(keyed, kinds, length, reach)).unionByName(copied.select("k1", "k2", F.lit(0).cast("long").alias("a"), "b"))
     lists = both.groupBy("k1", "k2").agg(F.collect_set(F.struct("a", "b")).alias("ab"))  # no longer than the document
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
