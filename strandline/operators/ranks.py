@@ -68,21 +68,19 @@ def rank_axes(df: DataFrame, id_col: str, axes: tuple[str, ...], by: list[str] |
 
 
 def rank_outside(target: DataFrame, fitted: DataFrame, value: str, out: str, kind: str, by: list[str] | None = None) -> DataFrame:
-    """Transform of a few rows that needn't be in the corpus, by counting the fitted values below and up to theirs.
+    """``target`` with the rank of values that needn't be in the corpus; null where their cohort isn't.
 
-    ``target`` has an ``id`` and is broadcast; the fitted table is scanned once and summed before the shuffle.
+    Its values stand among the fitted ones with a count of 0, so one range partition places any number of them.
     """
-    t = F.broadcast(target.select("id", *(by or []), F.col(value).alias("__x")))
-    cond = F.lit(True)
-    f = fitted
-    for c in by or []:
-        f = f.withColumnRenamed(c, f"__{c}")
-        cond = cond & (F.col(c) == F.col(f"__{c}"))
+    by = by or []
     n = F.col("n") if kind == "midrank" else F.lit(1)
-    seen = f.join(t, cond).groupBy("id").agg(F.sum(F.when(F.col(value) < F.col("__x"), n).otherwise(0)).alias("lower"), F.sum(F.when(F.col(value) <= F.col("__x"), n).otherwise(0)).alias("upper"), F.sum(n).alias("total"))
+    known = fitted.select(*by, value, n.cast("long").alias("n"))
+    asked = target.select(*by, value).distinct().withColumn("n", F.lit(0).cast("long"))
+    r = running_counts(known.unionByName(asked).groupBy(*by, value).agg(F.sum("n").alias("n")), by, value)
+    lower, upper, total = F.col("below"), F.col("below") + F.col("n"), F.col("rows")
     if kind == "midrank":
-        mid = F.when(F.col("upper") > F.col("lower"), (F.col("lower") + F.col("upper") - 1) / 2.0).otherwise(F.col("lower"))
-        rank = F.when(F.col("total") <= 1, 0.5).otherwise(F.least(mid / (F.col("total") - 1), F.lit(1.0)))
+        mid = F.when(upper > lower, (lower + upper - 1) / 2.0).otherwise(lower)
+        rank = F.when(total == 1, 0.5).when(total > 1, F.least(mid / (total - 1), F.lit(1.0)))
     else:
-        rank = F.when(F.col("total") <= 1, 0.0).otherwise(F.greatest(F.col("upper") - 1, F.lit(0)) / (F.col("total") - 1))
-    return target.join(seen.select("id", rank.alias(out)), "id", "left")
+        rank = F.when(total == 1, 0.0).when(total > 1, F.greatest(upper - 1, F.lit(0)) / (total - 1))
+    return target.join(r.select(*by, value, rank.alias(out)), [*by, value], "left")

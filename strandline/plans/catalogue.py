@@ -82,7 +82,6 @@ SELECT id, greatest(u - 1, 0)::DOUBLE / (m - 1)::DOUBLE AS rank FROM (SELECT id,
 def rank_outside(spark, d):
     fitted = ranks.fit_distinct(read(spark, d, "part"), "p_retailprice")
     target = read(spark, d, "supplier").select(F.col("s_suppkey").alias("id"), F.abs("s_acctbal").alias("x"))
-    # Suppliers are few beside what is ranked; targets of this operator are a handful of charts.
     return ranks.rank_outside(target.withColumnRenamed("x", "p_retailprice"), fitted, "p_retailprice", "rank", "distinct").select("id", "rank")
 
 

@@ -77,12 +77,8 @@ def normalise_mania(raw: DataFrame, version: int, fitted: dict[str, DataFrame] |
 
 def mania_target(raw: DataFrame, fitted: dict[str, DataFrame], version: int) -> DataFrame:
     """One analysed chart that needn't be in the corpus, normalised as the corpus was."""
-    long = _axis_table(raw.where("status = 'ok'").limit(1)).withColumn("id", F.col("axis"))
-    seen = None
-    for a in MANIA_AXES:
-        one = ranks.rank_outside(long.where(F.col("axis") == a), fitted["axes"].where(F.col("axis") == a).drop("axis"), "value", "rank", "midrank", ["key_count"])
-        seen = one if seen is None else seen.unionByName(one)
-    wide = _overall(seen).withColumn("id", F.lit("x"))
+    long = _axis_table(raw.where("status = 'ok'").limit(1))
+    wide = _overall(ranks.rank_outside(long, fitted["axes"], "value", "rank", "midrank", ["key_count", "axis"]))
     ranked = ranks.rank_outside(wide, fitted["overall"], "overall", "difficulty_percentile", "midrank", ["key_count"])
     got = ranked.select("beatmap_id", F.struct(*MANIA_AXES).alias("difficulty"), F.col("difficulty_percentile").cast("float").alias("difficulty_percentile"))
     return raw.drop("difficulty").join(got, "beatmap_id").withColumn("difficulty_band", S.band(F.col("difficulty_percentile")).cast("byte")).withColumn("normalization_version", F.lit(version))
