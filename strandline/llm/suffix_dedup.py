@@ -33,7 +33,7 @@ from .common import cut, small_side, table
 from .flat_hash import Rolling, groups, mixed
 
 LENGTH, REACH, GRAM = 400, 256, 16
-SEGMENT = 1 << 21
+SEGMENT = 1 << 20
 CROWD, PAIRED, TOGETHER, SEEN = 50_000, 32, 20_000, 200_000
 _U = np.uint64
 
@@ -236,7 +236,9 @@ def repeated_spans(keyed: DataFrame, length: int = LENGTH, reach: int = REACH) -
     long_rows = keyed.where(F.octet_length("text") >= length).select("k1", "k2", "text")
     found = long_rows.mapInArrow(find, "core long, context long, k1 long, k2 long, place long")
     cores = found.groupBy("core").agg(F.count(F.lit(1)).alias("n"), F.min("context").alias("c0"), F.max("context").alias("c1")).where("n > 1")
-    shared = cut(found.join(cores.select("core", (F.col("c0") == F.col("c1")).alias("alike")), "core"))
+    # Settled first, so that the join can be split where a core is very common.
+    cores = cut(cores.select("core", (F.col("c0") == F.col("c1")).alias("alike")))
+    shared = cut(found.join(cores, "core"))
 
     kinds = shared.where("not alike").groupBy("core", "context").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("k1", "k2", "place")).alias("one"))
     kinds = cut(kinds)
