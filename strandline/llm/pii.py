@@ -5,8 +5,10 @@ from one split of each text; positions are running sums of lengths in code point
 
 *Method.*  Each distinct value is a protected entity.  Over the whole corpus, ``n_e`` documents hold the entity, ``n_t`` a term, and
 ``n_et`` hold the term near the entity.  A term tells PMI = log(N n_et / (n_e n_t)) of the entity's information IC = log(N / n_e); where that is
-at least ``ALPHA`` of it, and the pair is seen in ``SUPPORT`` different contexts or more, the term discloses the entity and is marked wherever
-it stands near it.  Terms are only counted near entities, a bounded number for each mention, so pairs grow with mentions.
+at least ``ALPHA`` of it, and so many shared documents would come about by chance with a probability of at most ``LEVEL``, the term
+discloses the entity and is marked wherever it stands near it.  No number of documents is asked for: an entity of one document is judged
+like any other, and copies count as the documents they are.  Terms are only counted near entities, a bounded number for each mention,
+so pairs grow with mentions.
 
 Only DataFrame functions are used.  Patterns start at the beginning of a run or the end of a match and don't go back,
 so that no text takes more than linear time; they match what the plain patterns match.
@@ -14,6 +16,8 @@ so that no text takes more than linear time; they match what the plain patterns
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -33,7 +37,7 @@ OCTET = r"0*(?:[0-9]{1,2}|1[0-9]{2}|2[0-4][0-9]|25[0-5])"
 #: A term: four letters or more that aren't part of an address or a name with digits.
 TERM = r"(?<![\p{L}\p{N}@._%+-])\p{L}{4,}+(?![\p{N}@_%+-]|\.[\p{L}\p{N}])"
 NEAR, SIDE = 120, 8
-ALPHA, SUPPORT = 0.9, 3
+ALPHA, LEVEL = 0.9, 0.05
 
 
 def _luhn(digits: Column) -> Column:
@@ -107,14 +111,18 @@ def _words(side: Column) -> Column:
     return F.regexp_extract_all(F.lower(side), F.lit(TERM), F.lit(0))
 
 
-def disclosing(mentions: DataFrame, docs: DataFrame, text_col: str, alpha: float = ALPHA, support: int = SUPPORT) -> DataFrame:
+def _surprise(k: Column, n: Column, p: Column) -> Column:
+    """-log of Hoeffding's bound on the chance of k or more hits (k > n p) in n draws without replacement, of which a share p hits."""
+    miss = F.when((k < n) & (p < 1), (n - k) * F.log((n - k) / (n * (1 - p)))).otherwise(0.0)
+    return k * F.log(k / (n * p)) + miss
+
+
+def disclosing(mentions: DataFrame, docs: DataFrame, text_col: str, alpha: float = ALPHA, level: float = LEVEL) -> DataFrame:
     """entity, term: the pairs in which the term discloses the entity."""
     near = F.concat(F.slice(F.reverse(_words(F.col("left"))), 1, SIDE), F.slice(_words(F.col("right")), 1, SIDE))
-    seen = mentions.select("row", _entity().alias("entity"), F.array_distinct(near).alias("terms"), F.xxhash64("left", "right").alias("context"))
-    pairs = seen.select("row", "entity", "context", F.explode("terms").alias("term")).groupBy("entity", "term").agg(F.count_distinct("row").alias("n_et"), F.count_distinct("context").alias("contexts"))
-    pairs = cut(pairs.where(F.col("contexts") >= support).select("entity", "term", "n_et"))
-    owned = cut(pairs.select("entity").distinct())
-    entities = seen.select("row", "entity").join(small_side(owned), "entity", "left_semi").groupBy("entity").agg(F.count_distinct("row").alias("n_e"))
+    seen = mentions.select("row", _entity().alias("entity"), F.array_distinct(near).alias("terms"))
+    pairs = cut(seen.select("row", "entity", F.explode("terms").alias("term")).groupBy("entity", "term").agg(F.count_distinct("row").alias("n_et")))
+    entities = seen.select("row", "entity").groupBy("entity").agg(F.count_distinct("row").alias("n_e"))
     wanted = cut(pairs.select("term").distinct())
     text = F.coalesce(docs[text_col], F.lit(""))
     # Terms are counted before the join: its rows follow the terms, however many documents hold them.
@@ -123,7 +131,9 @@ def disclosing(mentions: DataFrame, docs: DataFrame, text_col: str, alpha: float
     total = F.lit(float(max(1, docs.count())))
     told = pairs.join(entities, "entity").join(terms, "term")
     pmi, ic = F.log(total * F.col("n_et") / (F.col("n_e") * F.col("n_t"))), F.log(total / F.col("n_e"))
-    return told.where((ic > 0) & (pmi >= alpha * ic)).select("entity", "term")
+    # The bound holds with either as the draws.
+    chance = F.greatest(_surprise(F.col("n_et"), F.col("n_t"), F.col("n_e") / total), _surprise(F.col("n_et"), F.col("n_e"), F.col("n_t") / total))
+    return told.where((ic > 0) & (pmi >= alpha * ic) & (chance >= -math.log(level))).select("entity", "term")
 
 
 def _term_spans(mentions: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -141,7 +151,7 @@ def _term_spans(mentions: DataFrame, pairs: DataFrame) -> DataFrame:
     return out.distinct()
 
 
-def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", alpha: float = ALPHA, support: int = SUPPORT) -> DataFrame:
+def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", alpha: float = ALPHA, level: float = LEVEL) -> DataFrame:
     """``id_col`` and spans: an array of (start, ord, end) in code points, in order, of each row; ``KINDS[ord]`` is the kind.
 
     Null and empty texts have none.  Rows repeat as they do in ``docs``, whose other columns aren't read.  An empty table gives an empty
@@ -150,7 +160,7 @@ def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", al
     """
     scan = _scan(docs, id_col, text_col)
     mentions = cut(_mentions(scan))
-    terms = _term_spans(mentions, cut(disclosing(mentions, docs, text_col, alpha, support)))
+    terms = _term_spans(mentions, cut(disclosing(mentions, docs, text_col, alpha, level)))
     order = F.create_map(*[F.lit(x) for i, k in enumerate(KINDS) for x in (k, i)])
     base = mentions.select("row", "start", order[F.col("kind")].alias("ord"), "end")
     spans = base.unionByName(terms.select("row", "start", F.lit(4).alias("ord"), "end"))

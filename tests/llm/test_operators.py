@@ -494,3 +494,18 @@ def test_terms_that_disclose_are_marked(spark):
         assert found[i].count("term") == (i < 6)
     clean = dict(rows(df.join(out, "doc_id").select("doc_id", pii.sanitised(F.col("text"), F.col("spans")).alias("s")), "doc_id", "s"))
     assert "[term]" in clean[0] and "[email]" in clean[0] and "jo@ex.org" not in clean[0] and clean[10] == texts[10]
+
+
+def test_terms_of_rare_entities_are_marked(spark):
+    r = random.Random(8)
+    common = ["harbour", "winter", "paper", "garden", "silver", "meadow"]
+    line = lambda n: " ".join(r.choice(common) for _ in range(n))
+    copied = f"{line(20)} Larkspurson {line(2)} ann@ex.org {line(9)}"
+    texts = [f"{line(20)} Quillfeather {line(2)} jo@ex.org {line(9)}", copied, copied, copied] + [line(30) for _ in range(60)]
+    # An entity of most documents: a term that stands near it once does so by chance.
+    texts += [f"{line(9)} Onceseen {line(2)} all@ex.org"] + [f"{line(9)} all@ex.org" for _ in range(60)]
+    found = dict(rows(pii.find_pii(documents(spark, texts)).select("doc_id", pii.written(F.col("spans")).alias("s")), "doc_id", "s"))
+    for i, name in enumerate(["Quillfeather", *["Larkspurson"] * 3]):
+        at = texts[i].find(name)
+        assert f"term:{at}:{at + len(name)}" in found[i]
+    assert [found[i].count("term") for i in range(len(texts))] == [1] * 4 + [0] * (len(texts) - 4)
