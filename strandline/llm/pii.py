@@ -4,11 +4,11 @@
 from one split of each text; positions are running sums of lengths in code points.
 
 *Method.*  Each distinct value is a protected entity.  Over the whole corpus, ``n_e`` documents hold the entity, ``n_t`` a term, and
-``n_et`` hold the term near the entity.  A term tells PMI = log(N n_et / (n_e n_t)) of the entity's information IC = log(N / n_e); where that is
+``n_et`` both, wherever they stand.  A term tells PMI = log(N n_et / (n_e n_t)) of the entity's information IC = log(N / n_e); where that is
 at least ``ALPHA`` of it, and so many shared documents would come about by chance with a probability of at most ``LEVEL``, the term
-discloses the entity and is marked wherever it stands near it.  No number of documents is asked for: an entity of one document is judged
-like any other, and copies count as the documents they are.  Terms are only counted near entities, a bounded number for each mention,
-so pairs grow with mentions.
+discloses the entity and is marked everywhere in the documents that hold it.  No number of documents is asked for: an entity of one
+document is judged like any other, and copies count as the documents they are.  Entities that stand in exactly the same documents
+are judged as one group (named by two 64-bit hashes), so that a list of thousands in one document costs what one does.
 
 Only DataFrame functions are used.  Patterns start at the beginning of a run or the end of a match and don't go back,
 so that no text takes more than linear time; they match what the plain patterns match.
@@ -17,6 +17,7 @@ so that no text takes more than linear time; they match what the plain patterns
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -36,7 +37,6 @@ NEEDS = {"email": "@", "ip": ".", "card": None, "phone": "+"}
 OCTET = r"0*(?:[0-9]{1,2}|1[0-9]{2}|2[0-4][0-9]|25[0-5])"
 #: A term: four letters or more that aren't part of an address or a name with digits.
 TERM = r"(?<![\p{L}\p{N}@._%+-])\p{L}{4,}+(?![\p{N}@_%+-]|\.[\p{L}\p{N}])"
-NEAR, SIDE = 120, 8
 ALPHA, LEVEL = 0.9, 0.05
 
 
@@ -59,39 +59,33 @@ def _holds(kind: Column, hit: Column) -> Column:
     )
 
 
-def _around(parts: Column):
-    return lambda h, i: F.struct(h.alias("hit"), F.length(F.get(parts, i)).alias("gap"), F.substring(F.get(parts, i), F.lit(-NEAR), F.lit(NEAR)).alias("left"), F.substring(F.get(parts, i + 1), 1, NEAR).alias("right"))
-
-
-def _placed(low: Column) -> Column:
-    """The terms of a short text, each with its place: what stands before it is added up."""
-    parts, hits = F.split(low, TERM, -1), F.regexp_extract_all(low, F.lit(TERM), F.lit(0))
-    zipped = F.transform(hits, lambda h, i: F.struct(h.alias("term"), F.length(F.get(parts, i)).alias("gap")))
-    upto = lambda i: F.aggregate(F.slice(zipped, F.lit(1), i + 1), F.lit(0), lambda s, y: s + y["gap"] + F.length(y["term"]))
-    return F.transform(zipped, lambda x, i: F.struct(x["term"].alias("term"), (upto(i) - F.length(x["term"])).alias("at")))
-
-
 def _of_kind(spans: str, k: int) -> Column:
     return F.filter(spans, lambda s: s["ord"] == k)
 
 
+def _after(parts: Column):
+    """Of a match: itself and the length of what stands between it and the match before."""
+    return lambda h, i: F.struct(h.alias("hit"), F.length(F.get(parts, i)).alias("gap"))
+
+
 def _scan(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """A written table with a row per document: row, id, and of each kind the matches with the lengths before them and what stands around them."""
+    """A written table with a row per document: row, id, and of each kind the matches with the lengths before them; the text where there are any."""
     text = F.coalesce(docs[text_col], F.lit(""))
     cols = [F.monotonically_increasing_id().alias("row"), docs[id_col].alias("id")]
     for kind, pattern in PATTERNS.items():
         parts = F.split(text, pattern, -1)
         hits = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-        each = F.transform(hits, _around(parts))
+        each = F.transform(hits, _after(parts))
         may = F.contains(text, F.lit(NEEDS[kind])) if NEEDS[kind] else text.rlike(pattern)
         cols.append(F.when(may, each).alias(kind))
     path = fresh_path(docs.sparkSession, "pii")
-    docs.select(*cols).write.parquet(path)
+    some = reduce(lambda x, y: x | y, [F.coalesce(F.size(k) > 0, F.lit(False)) for k in PATTERNS])
+    docs.select(*cols, text.alias("text")).withColumn("text", F.when(some, F.col("text"))).write.parquet(path)
     return docs.sparkSession.read.parquet(path)
 
 
 def _mentions(scan: DataFrame) -> DataFrame:
-    """row, kind, start, end, hit, left, right of each match that holds; all matches are passed over, failing ones too."""
+    """row, kind, start, end, hit of each match that holds; all matches are passed over, failing ones too."""
     every = None
     for kind in PATTERNS:
         one = scan.where(F.size(kind) > 0).select("row", F.lit(kind).alias("kind"), F.posexplode(kind).alias("at", "m")).select("row", "kind", "at", "m.*")
@@ -99,7 +93,7 @@ def _mentions(scan: DataFrame) -> DataFrame:
     order = Window.partitionBy("row", "kind").orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
     size = F.length("hit")
     out = every.withColumn("end", F.sum(F.col("gap") + size).over(order)).withColumn("start", F.col("end") - size)
-    return out.where(_holds(F.col("kind"), F.col("hit"))).select("row", "kind", "start", "end", "hit", "left", "right")
+    return out.where(_holds(F.col("kind"), F.col("hit"))).select("row", "kind", "start", "end", "hit")
 
 
 def _entity() -> Column:
@@ -107,8 +101,22 @@ def _entity() -> Column:
     return F.concat("kind", F.lit(":"), F.when(F.col("kind").isin("card", "phone"), F.regexp_replace("hit", "[^0-9]", "")).otherwise(F.lower("hit")))
 
 
-def _words(side: Column) -> Column:
-    return F.regexp_extract_all(F.lower(side), F.lit(TERM), F.lit(0))
+def _words(text: Column) -> Column:
+    """The distinct terms of a text."""
+    return F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(TERM), F.lit(0)), F.lower))
+
+
+def _holders(scan: DataFrame, mentions: DataFrame) -> DataFrame:
+    """row, text and groups (g1, g2, n_e) of each document that holds an entity: entities of the same documents are one group."""
+    held = cut(mentions.select("row", _entity().alias("entity")).distinct())
+    each = held.groupBy("entity").agg(F.count(F.lit(1)).alias("n_e"), F.bit_xor(F.xxhash64(F.lit(1), "row")).alias("g1"), F.bit_xor(F.xxhash64(F.lit(2), "row")).alias("g2"))
+    groups = held.join(small_side(cut(each)), "entity").groupBy("row").agg(F.collect_set(F.struct("g1", "g2", "n_e")).alias("groups"))
+    return cut(scan.where("text is not null").select("row", "text").join(groups, "row"))
+
+
+def _together(holders: DataFrame) -> DataFrame:
+    """row, g1, g2, n_e, term: each group of a document with each of its terms, once."""
+    return holders.select("row", "groups", F.explode(_words(F.col("text"))).alias("term")).select("row", "term", F.explode("groups").alias("g")).select("row", "g.*", "term")
 
 
 def _surprise(k: Column, n: Column, p: Column) -> Column:
@@ -117,50 +125,44 @@ def _surprise(k: Column, n: Column, p: Column) -> Column:
     return k * F.log(k / (n * p)) + miss
 
 
-def disclosing(mentions: DataFrame, docs: DataFrame, text_col: str, alpha: float = ALPHA, level: float = LEVEL) -> DataFrame:
-    """entity, term: the pairs in which the term discloses the entity."""
-    near = F.concat(F.slice(F.reverse(_words(F.col("left"))), 1, SIDE), F.slice(_words(F.col("right")), 1, SIDE))
-    seen = mentions.select("row", _entity().alias("entity"), F.array_distinct(near).alias("terms"))
-    pairs = cut(seen.select("row", "entity", F.explode("terms").alias("term")).groupBy("entity", "term").agg(F.count_distinct("row").alias("n_et")))
-    entities = seen.select("row", "entity").groupBy("entity").agg(F.count_distinct("row").alias("n_e"))
+def disclosing(holders: DataFrame, docs: DataFrame, text_col: str, alpha: float = ALPHA, level: float = LEVEL) -> DataFrame:
+    """g1, g2, term: the pairs in which the term discloses the entities of the group."""
+    pairs = cut(_together(holders).groupBy("g1", "g2", "n_e", "term").agg(F.count(F.lit(1)).alias("n_et")))
     wanted = cut(pairs.select("term").distinct())
     text = F.coalesce(docs[text_col], F.lit(""))
     # Terms are counted before the join: its rows follow the terms, however many documents hold them.
-    used = docs.select(F.explode(F.array_distinct(_words(text))).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n_t"))
+    used = docs.select(F.explode(_words(text)).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n_t"))
     terms = used.join(small_side(wanted), "term")
     total = F.lit(float(max(1, docs.count())))
-    told = pairs.join(entities, "entity").join(terms, "term")
+    told = pairs.join(terms, "term")
     pmi, ic = F.log(total * F.col("n_et") / (F.col("n_e") * F.col("n_t"))), F.log(total / F.col("n_e"))
     # The bound holds with either as the draws.
     chance = F.greatest(_surprise(F.col("n_et"), F.col("n_t"), F.col("n_e") / total), _surprise(F.col("n_et"), F.col("n_e"), F.col("n_t") / total))
-    return told.where((ic > 0) & (pmi >= alpha * ic) & (chance >= -math.log(level))).select("entity", "term")
+    return told.where((ic > 0) & (pmi >= alpha * ic) & (chance >= -math.log(level))).select("g1", "g2", "term")
 
 
-def _term_spans(mentions: DataFrame, pairs: DataFrame) -> DataFrame:
-    """row, start, end of the terms near a mention that disclose its entity."""
-    listed = pairs.groupBy("entity").agg(F.collect_set("term").alias("terms"))  # of the words near one entity
-    at = mentions.withColumn("entity", _entity()).join(small_side(cut(listed)), "entity")
-    sides = [(F.col("left"), F.col("start") - F.length("left"), True), (F.col("right"), F.col("end"), False)]
-    out = None
-    for side, base, before in sides:
-        placed = _placed(F.lower(side))
-        some = F.slice(F.reverse(placed), 1, SIDE) if before else F.slice(placed, 1, SIDE)
-        one = at.select("row", "terms", base.alias("base"), F.explode(some).alias("w")).where(F.array_contains("terms", F.col("w.term")))
-        one = one.select("row", (F.col("base") + F.col("w.at")).alias("start"), (F.col("base") + F.col("w.at") + F.length("w.term")).alias("end"))
-        out = one if out is None else out.unionByName(one)
-    return out.distinct()
+def _term_spans(holders: DataFrame, pairs: DataFrame) -> DataFrame:
+    """row, start, end of the terms that disclose an entity of their document, wherever they stand in it."""
+    marked = cut(_together(holders).join(small_side(pairs), ["g1", "g2", "term"]).select("row", "term").distinct())
+    text = F.col("text")
+    placed = F.transform(F.regexp_extract_all(text, F.lit(TERM), F.lit(0)), _after(F.split(text, TERM, -1)))
+    each = holders.join(marked.select("row").distinct(), "row", "left_semi").select("row", F.posexplode(placed).alias("at", "w")).select("row", "at", "w.*")
+    order = Window.partitionBy("row").orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
+    size = F.length("hit")
+    each = each.withColumn("end", F.sum(F.col("gap") + size).over(order)).select("row", F.lower("hit").alias("term"), (F.col("end") - size).alias("start"), "end")
+    return each.join(marked, ["row", "term"]).select("row", "start", "end")
 
 
 def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", alpha: float = ALPHA, level: float = LEVEL) -> DataFrame:
     """``id_col`` and spans: an array of (start, ord, end) in code points, in order, of each row; ``KINDS[ord]`` is the kind.
 
     Null and empty texts have none.  Rows repeat as they do in ``docs``, whose other columns aren't read.  An empty table gives an empty
-    result.  Spans of different kinds may overlap; a text in which lower case changes the number of characters has its terms
-    placed as in lower case.
+    result.  Spans of different kinds may overlap.
     """
     scan = _scan(docs, id_col, text_col)
     mentions = cut(_mentions(scan))
-    terms = _term_spans(mentions, cut(disclosing(mentions, docs, text_col, alpha, level)))
+    holders = _holders(scan, mentions)
+    terms = _term_spans(holders, cut(disclosing(holders, docs, text_col, alpha, level)))
     order = F.create_map(*[F.lit(x) for i, k in enumerate(KINDS) for x in (k, i)])
     base = mentions.select("row", "start", order[F.col("kind")].alias("ord"), "end")
     spans = base.unionByName(terms.select("row", "start", F.lit(4).alias("ord"), "end"))

@@ -509,3 +509,16 @@ def test_terms_of_rare_entities_are_marked(spark):
         at = texts[i].find(name)
         assert f"term:{at}:{at + len(name)}" in found[i]
     assert [found[i].count("term") for i in range(len(texts))] == [1] * 4 + [0] * (len(texts) - 4)
+
+
+def test_terms_far_from_the_entity_are_marked(spark):
+    r = random.Random(9)
+    common = ["harbour", "winter", "paper", "garden", "silver", "meadow"]
+    line = lambda n: " ".join(r.choice(common) for _ in range(n))
+    texts = [f"Quillfeather {line(90)} jo@ex.org {line(90)} QUILLFEATHER {line(5)}", f"{line(80)} İİ Larkspurson {line(50)} a1@ex.org a2@ex.org {line(50)} Larkspurson"]
+    texts += [line(30) for _ in range(60)]
+    found = dict(rows(pii.find_pii(documents(spark, texts)).select("doc_id", pii.written(F.col("spans")).alias("s")), "doc_id", "s"))
+    for i, name in enumerate(["quillfeather", "larkspurson"]):
+        want = [f"term:{m.start()}:{m.end()}" for m in re.finditer(name, texts[i], re.I)]
+        assert len(want) == 2 and [x for x in found[i].split(",") if x.startswith("term") and int(x.split(":")[2]) - int(x.split(":")[1]) > 3] == want
+    assert not any("term" in found[i] for i in range(2, len(texts)))
