@@ -35,8 +35,8 @@ PATTERNS = {
 #: What a text with a match must contain.
 NEEDS = {"email": "@", "ip": ".", "card": None, "phone": "+"}
 OCTET = r"0*(?:[0-9]{1,2}|1[0-9]{2}|2[0-4][0-9]|25[0-5])"
-#: A term: four letters or more that aren't part of an address or a name with digits.
-TERM = r"(?<![\p{L}\p{N}@._%+-])\p{L}{4,}+(?![\p{N}@_%+-]|\.[\p{L}\p{N}])"
+#: A term: any word, of letters, marks and digits, outside the mentions.
+TERM = r"[\p{L}\p{M}\p{N}]++"
 ALPHA, LEVEL = 0.9, 0.05
 
 
@@ -68,10 +68,30 @@ def _after(parts: Column):
     return lambda h, i: F.struct(h.alias("hit"), F.length(F.get(parts, i)).alias("gap"))
 
 
+def _blank(kind: str):
+    return lambda h: F.when(_holds(F.lit(kind), h), F.repeat(F.lit(" "), F.length(h))).otherwise(h)
+
+
+def _plain(docs: DataFrame, text_col: str) -> DataFrame:
+    """``docs`` with a column "plain": the text with spaces for each match that holds, so that words keep their places.
+
+    Kinds are taken in order of which holds which; what a number leaves before an address that it runs into counts as words.
+    """
+    out = docs.withColumn("plain", F.coalesce(docs[text_col], F.lit("")))
+    for kind in ("email", "phone", "ip", "card"):
+        text, pattern = F.col("plain"), PATTERNS[kind]
+        hits = F.concat(F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), _blank(kind)), F.array(F.lit("")))
+        blank = F.array_join(F.zip_with(F.split(text, pattern, -1), hits, lambda a, b: F.concat(a, b)), "")
+        may = F.contains(text, F.lit(NEEDS[kind])) if NEEDS[kind] else text.rlike(pattern)
+        out = out.withColumn("plain", F.when(may, blank).otherwise(text))
+    return out
+
+
 def _scan(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """A written table with a row per document: row, id, and of each kind the matches with the lengths before them; the text where there are any."""
-    text = F.coalesce(docs[text_col], F.lit(""))
-    cols = [F.monotonically_increasing_id().alias("row"), docs[id_col].alias("id")]
+    """A written table with a row per document: row, id, and of each kind the matches with the lengths before them; the plain text where there are any."""
+    docs = _plain(docs.select(docs[id_col].alias("id"), docs[text_col].alias("text")), "text")
+    text = F.coalesce("text", F.lit(""))
+    cols = [F.monotonically_increasing_id().alias("row"), F.col("id")]
     for kind, pattern in PATTERNS.items():
         parts = F.split(text, pattern, -1)
         hits = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
@@ -80,7 +100,7 @@ def _scan(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
         cols.append(F.when(may, each).alias(kind))
     path = fresh_path(docs.sparkSession, "pii")
     some = reduce(lambda x, y: x | y, [F.coalesce(F.size(k) > 0, F.lit(False)) for k in PATTERNS])
-    docs.select(*cols, text.alias("text")).withColumn("text", F.when(some, F.col("text"))).write.parquet(path)
+    docs.select(*cols, F.col("plain").alias("text")).withColumn("text", F.when(some, F.col("text"))).write.parquet(path)
     return docs.sparkSession.read.parquet(path)
 
 
@@ -129,9 +149,8 @@ def disclosing(holders: DataFrame, docs: DataFrame, text_col: str, alpha: float
     """g1, g2, term: the pairs in which the term discloses the entities of the group."""
     pairs = cut(_together(holders).groupBy("g1", "g2", "n_e", "term").agg(F.count(F.lit(1)).alias("n_et")))
     wanted = cut(pairs.select("term").distinct())
-    text = F.coalesce(docs[text_col], F.lit(""))
     # Terms are counted before the join: its rows follow the terms, however many documents hold them.
-    used = docs.select(F.explode(_words(text)).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n_t"))
+    used = _plain(docs.select(docs[text_col].alias("text")), "text").select(F.explode(_words(F.col("plain"))).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n_t"))
     terms = used.join(small_side(wanted), "term")
     total = F.lit(float(max(1, docs.count())))
     told = pairs.join(terms, "term")

@@ -522,3 +522,14 @@ def test_terms_far_from_the_entity_are_marked(spark):
         want = [f"term:{m.start()}:{m.end()}" for m in re.finditer(name, texts[i], re.I)]
         assert len(want) == 2 and [x for x in found[i].split(",") if x.startswith("term") and int(x.split(":")[2]) - int(x.split(":")[1]) > 3] == want
     assert not any("term" in found[i] for i in range(2, len(texts)))
+
+
+def test_terms_of_any_length_and_with_digits_are_marked(spark):
+    r = random.Random(10)
+    common = ["harbour", "winter", "it", "a", "to", "meadow", "well-known"]
+    line = lambda n: " ".join(r.choice(common) for _ in range(n))
+    texts = [f"{line(60)} Kim, {line(2)} room B12 {line(5)} 1234567890123 jo@ex.org +44 20 7946 0958, 4111 1111 1111 1111, 10.2.3.4 李. {line(9)} Mary-Sue"] + [line(60) + " room" for _ in range(60)]
+    found = dict(rows(pii.find_pii(documents(spark, texts)).select("doc_id", pii.written(F.col("spans")).alias("s")), "doc_id", "s"))
+    want = [f"term:{m.start()}:{m.end()}" for m in re.finditer("Kim|B12|1234567890123|李|Mary|Sue", texts[0])]
+    assert [x for x in found[0].split(",") if x.startswith("term")] == want and len(want) == 6
+    assert not any("term" in found[i] for i in range(1, len(texts)))
