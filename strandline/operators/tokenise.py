@@ -81,7 +81,8 @@ def std_objects(lines: DataFrame) -> DataFrame:
     flags = F.coalesce(S.number(F.get(f, 3), "long"), F.lit(0).cast("long"))
     kind = F.when(flags.bitwiseAND(F.lit(8)) != 0, "spinner").when(flags.bitwiseAND(F.lit(2)) != 0, "slider").otherwise("circle")
     o = lines.where((F.col("section") == "HitObjects") & (F.size(f) >= 5)).select("chart_id", "line_no", n(0).alias("x"), n(1).alias("y"), n(2).alias("time"), kind.alias("kind"), F.get(f, 5).alias("extra"))
-    points = F.filter(F.slice(F.split("extra", r"\|"), 2, 1 << 20), lambda p: F.contains(p, F.lit(":")))
+    fields = F.split("extra", r"\|")
+    points = F.filter(F.slice(fields, F.lit(2), F.size(fields)), lambda p: F.contains(p, F.lit(":")))
     parsed = F.transform(points, lambda p: F.struct(F.coalesce(S.number(F.element_at(F.split(p, ":", 2), 1)), F.col("x")).alias("x"), F.coalesce(S.number(F.element_at(F.split(p, ":", 2), 2)), F.col("y")).alias("y")))
     head = F.array(F.struct("x", "y"))
     path = F.when((F.col("kind") == "slider") & F.col("extra").isNotNull(), F.concat(head, parsed)).otherwise(head)

@@ -177,3 +177,11 @@ def test_lanes_are_dealt_in_two_steps(spark):
 
     got = spark.createDataFrame([(74.0, 7), (511.9, 7), (-3.0, 4), (600.0, 4)], "x double, k int").select(lane_of(F.col("x"), F.col("k"))).collect()
     assert [r[0] for r in got] == [0, 6, 0, 3]
+
+
+def test_a_long_slider_keeps_its_tail(spark):
+    n = (1 << 20) + 5
+    extra = F.concat(F.lit("0,0,100,2,0,B"), F.repeat(F.lit("|1:2"), F.lit(n)), F.lit("|7:8,1,100"))
+    lines = spark.range(1).select(F.lit(1).alias("chart_id"), F.lit(1).alias("line_no"), F.lit("HitObjects").alias("section"), extra.alias("line"))
+    got = tokenise.std_objects(lines).select(F.size("path").alias("n"), F.element_at("path", -1).alias("last")).first()
+    assert got["n"] == n + 2 and (got["last"]["x"], got["last"]["y"]) == (7, 8)
