@@ -164,8 +164,9 @@ def _term_spans(holders: DataFrame, pairs: DataFrame) -> DataFrame:
     """row, start, end of the terms that disclose an entity of their document, wherever they stand in it."""
     marked = cut(_together(holders).join(small_side(pairs), ["g1", "g2", "term"]).select("row", "term").distinct())
     text = F.col("text")
-    placed = F.transform(F.regexp_extract_all(text, F.lit(TERM), F.lit(0)), _after(F.split(text, TERM, -1)))
-    each = holders.join(marked.select("row").distinct(), "row", "left_semi").select("row", F.posexplode(placed).alias("at", "w")).select("row", "at", "w.*")
+    # Both arrays are made once: inside a function of the elements the text would be split for each word.
+    placed = F.zip_with(F.regexp_extract_all(text, F.lit(TERM), F.lit(0)), F.split(text, TERM, -1), lambda h, p: F.struct(h.alias("hit"), F.length(p).alias("gap")))
+    each = holders.join(marked.select("row").distinct(), "row", "left_semi").select("row", F.posexplode(placed).alias("at", "w")).select("row", "at", "w.*").where("hit is not null")
     order = Window.partitionBy("row").orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
     size = F.length("hit")
     each = each.withColumn("end", F.sum(F.col("gap") + size).over(order)).select("row", F.lower("hit").alias("term"), (F.col("end") - size).alias("start"), "end")
