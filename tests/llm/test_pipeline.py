@@ -7,7 +7,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
-from test_operators import WORD, brute_components, brute_targets, lower
+from test_llm_operators import WORD, brute_components, brute_targets, lower
 
 DIR = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(DIR), reason="the tables are not here")
