@@ -73,17 +73,19 @@ def _blank(kind: str):
 
 
 def _plain(docs: DataFrame, text_col: str) -> DataFrame:
-    """``docs`` with a column "plain": the text with spaces for each match that holds, so that words keep their places.
+    """``docs`` with a column "plain": the text with spaces for each match that holds, so that words keep their places; and one "may": whether there can be any match.
 
-    Kinds are taken in order of which holds which; what a number leaves before an address that it runs into counts as words.
+    Every match has a digit or an "@": texts without either are looked at once.  Kinds are taken in order of which holds which; what a
+    number leaves before an address that it runs into counts as words.
     """
-    out = docs.withColumn("plain", F.coalesce(docs[text_col], F.lit("")))
+    text = F.coalesce(docs[text_col], F.lit(""))
+    out = docs.withColumns({"plain": text, "may": F.contains(text, F.lit("@")) | text.rlike("[0-9]")})
     for kind in ("email", "phone", "ip", "card"):
         text, pattern = F.col("plain"), PATTERNS[kind]
         hits = F.concat(F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), _blank(kind)), F.array(F.lit("")))
         blank = F.array_join(F.zip_with(F.split(text, pattern, -1), hits, lambda a, b: F.concat(a, b)), "")
         may = F.contains(text, F.lit(NEEDS[kind])) if NEEDS[kind] else text.rlike(pattern)
-        out = out.withColumn("plain", F.when(may, blank).otherwise(text))
+        out = out.withColumn("plain", F.when(F.col("may") & may, blank).otherwise(text))
     return out
 
 
@@ -97,7 +99,7 @@ def _scan(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
         hits = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
         each = F.transform(hits, _after(parts))
         may = F.contains(text, F.lit(NEEDS[kind])) if NEEDS[kind] else text.rlike(pattern)
-        cols.append(F.when(may, each).alias(kind))
+        cols.append(F.when(F.col("may") & may, each).alias(kind))
     path = fresh_path(docs.sparkSession, "pii")
     some = reduce(lambda x, y: x | y, [F.coalesce(F.size(k) > 0, F.lit(False)) for k in PATTERNS])
     docs.select(*cols, F.col("plain").alias("text")).withColumn("text", F.when(some, F.col("text"))).write.parquet(path)
