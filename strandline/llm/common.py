@@ -5,7 +5,9 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 WORD = r"[^\x20\x09-\x0D]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -33,16 +35,50 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def qualified(spark: SparkSession, path: str) -> str:
+    """``path`` with the scheme of the file system it lies in."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(p).toString()
+
+
+def place_of(docs: DataFrame) -> Column | None:
+    """File and row of each row, which don't change from scan to scan; None for rows that come from no file."""
+    try:
+        names = docs.select("_metadata.*").columns if "_metadata" not in docs.columns else []
+    except AnalysisException:
+        names = []
+    if not {"file_path", "row_index"} <= set(names):
+        return None
+    return F.struct(F.xxhash64("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row"))
+
+
 def fresh_path(spark: SparkSession, kind: str) -> str:
     return f"{shared_dir(spark)}/{kind}-{uuid.uuid4().hex}"
 
 
+class Scratch:
+    """Tables that an operator writes for itself in the shared folder; each is deleted when all that reads it is settled."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths = spark, {}
+
+    def keep(self, df: DataFrame, kind: str = "table") -> DataFrame:
+        path = fresh_path(self.spark, kind)
+        df.write.parquet(path)
+        out = self.spark.read.schema(df.schema).parquet(path)
+        self.paths[id(out)] = (path, out)
+        return out
+
+    def drop(self, *frames: DataFrame) -> None:
+        for df in frames:
+            path = self.spark._jvm.org.apache.hadoop.fs.Path(self.paths.pop(id(df))[0])
+            path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 #: A side of a join with at most so many rows of a few numbers each is broadcast (about 30 MB); a longer one is sorted and merged.
 BROADCAST_ROWS = 400_000
 
 
 def small_side(df: DataFrame) -> DataFrame:
     """``df``, which must be cheap to count, with a broadcast hint if its rows are few."""
-    from pyspark.sql import functions as F
-
     return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
