@@ -1,9 +1,10 @@
 """ZIP-packaged WARC archives: writing, and reading by ranges without extraction.
 
-An archive is a ZIP file whose members are stored, not compressed: ``archive/data.warc.gz``, in which every record is a gzip member
-of its own, and ``indexes/index.cdx``, a line per record with its place there.  The reader parses the end record, the ZIP64 end
-record and its locator, the central directory with its ZIP64 fields and the members' local headers; it reads the index and
-then single records by their byte ranges.
+An archive is a ZIP file whose members are stored, not compressed: any number of ``.warc.gz`` (every record a gzip member of its own) or
+``.warc`` files, and any number of indexes of their records, ``.cdx`` (whose first line names its fields) or ``.cdxj``, plain or
+``.gz``.  The reader parses the end record, the ZIP64 end record and its locator, the central directory with its ZIP64 fields and
+the members' local headers; it reads the indexes and then single records by their byte ranges.  Where these cover a member
+without a gap, its checksum is compared too.  The writer makes one member of each kind.
 
 Archives lie as files in a folder that driver and executors share.  Where that isn't a mounted folder, they are rows of a table
 (path, content) in it, and ranges are cut from the content.  An archive is closed when it reaches ``ARCHIVE_BYTES``, so neither form needs
@@ -12,8 +13,11 @@ more memory than that.  A retried task writes under other names; only archives t
 
 from __future__ import annotations
 
+import base64
 import hashlib
+import json
 import os
+import re
 import struct
 import urllib.parse
 import uuid
@@ -25,11 +29,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, fresh_path, table
+from .common import BROADCAST_ROWS, cut, fresh_path, qualified, table
 
 ARCHIVE_BYTES = 32 << 20
-DATA, INDEX = "archive/data.warc.gz", "indexes/index.cdx"
+DATA, INDEX = "archive/data.warc.gz", "indexes/index.cdxj"
 LEAST_REVISIT = 1000
+# Letters of a CDX file's first line that are read here.
+CDX_FIELDS = {"V": "offset", "S": "length", "g": "filename"}
 # Signatures and the ZIP64 extra field of the ZIP format.
 LOCAL, CENTRAL, END, END64, LOCATOR64, EXTRA64 = 0x04034B50, 0x02014B50, 0x06054B50, 0x06064B50, 0x07064B50, 1
 MAX16, MAX32 = 0xFFFF, 0xFFFFFFFF
@@ -70,7 +76,7 @@ def local_path(path: str) -> str:
 
 
 def is_mounted(path: str) -> bool:
-    return path.startswith(("file:", "/"))
+    return path.startswith("file:")
 
 
 def directory(src: Ranges) -> dict[str, Member]:
@@ -124,15 +130,39 @@ def stored_at(src: Ranges, m: Member) -> int:
     return m.header + 30 + n + extra
 
 
-def read_index(src: Ranges, members: dict[str, Member]) -> list[tuple[str, int, int]]:
-    """(record id, start, length) of each record, in the order of the data."""
-    if INDEX not in members:
-        raise ValueError(f"no {INDEX}")
-    m = members[INDEX]
+def stored_bytes(src: Ranges, m: Member) -> bytes:
     raw = src.read(stored_at(src, m), m.size)
     if zlib.crc32(raw) != m.crc:
-        raise ValueError(f"{INDEX} is damaged")
-    return [(a, int(b), int(c)) for a, b, c in (line.rsplit(" ", 2) for line in raw.decode().split("\n") if line)]
+        raise ValueError(f"{m.name} is damaged")
+    return zlib.decompress(raw, 31) if m.name.endswith(".gz") else raw
+
+
+def read_index(src: Ranges, members: dict[str, Member]) -> list[tuple[Member, int, int]]:
+    """(member, start, length) of each record that any index names, by member and start; one that several name stands once."""
+    data = {n: m for n, m in members.items() if n.endswith((".warc", ".warc.gz"))}
+    base = {n.rsplit("/", 1)[-1]: n for n in data}
+    found = set()
+    indexes = [m for n, m in members.items() if n.removesuffix(".gz").endswith((".cdx", ".cdxj"))]
+    if data and not indexes:
+        raise ValueError("no index of the records")
+    for m in indexes:
+        fields: list[str] | None = None
+        for line in stored_bytes(src, m).decode().split("\n"):
+            if not line.strip() or line.startswith("!"):
+                continue
+            if line.lstrip().startswith("CDX "):
+                fields = line.split()[1:]
+                continue
+            if fields is None:  # CDXJ: key, time and a JSON object
+                entry = json.loads(line[line.index("{") :])
+            else:
+                entry = {CDX_FIELDS.get(f, f): x for f, x in zip(fields, line.split(), strict=True)}
+            name = entry.get("filename") or (next(iter(data)) if len(data) == 1 else None)
+            name = name if name in data else base.get((name or "").rsplit("/", 1)[-1])
+            if name is None:
+                raise ValueError(f"{m.name} names a member that isn't there")
+            found.add((name, int(entry["offset"]), int(entry["length"])))
+    return [(data[n], start, size) for n, start, size in sorted(found)]
 
 
 def write_zip(members: list[tuple[str, list[bytes]]], zip64: bool = False) -> list[bytes]:
@@ -177,8 +207,8 @@ def record_bytes(kind: str, record_id: str, url: str | None, payload: bytes | No
 
 
 def parse_record(raw: bytes) -> tuple[dict[str, str], dict[str, str], bytes]:
-    """WARC headers and HTTP headers, names in lower case, and the payload of one gzip member."""
-    data = zlib.decompress(raw, 31)
+    """WARC headers and HTTP headers, names in lower case, and the payload of a record, a gzip member or plain."""
+    data = zlib.decompress(raw, 31) if raw[:2] == b"\x1f\x8b" else raw
     head, sep, rest = data.partition(b"\r\n\r\n")
     first, *lines = head.decode().split("\r\n")
     if not sep or not first.startswith("WARC/"):
@@ -196,28 +226,48 @@ def record_name(page_id) -> str:
 
 
 def page_of(name: str | None) -> int | None:
-    text = (name or "").removeprefix("<urn:page:").removesuffix(">")
-    return int(text) if text else None
+    """The number in a record's name; null in the names that other writers give."""
+    found = re.fullmatch(r"<urn:page:(-?[0-9]+)>", name or "")
+    return int(found[1]) if found else None
+
+
+def digest_hex(header: str | None) -> str | None:
+    """A SHA-1 digest as lower-case hexadecimals, of a header that has it so or in base 32; null of none and of other kinds."""
+    kind, _, value = (header or "").partition(":")
+    if kind.lower() != "sha1":
+        return None
+    return value.lower() if len(value) == 40 else base64.b32decode(value.upper()).hex()
 
 
 def plan_records(pages: DataFrame) -> DataFrame:
     """``pages`` with payload_bytes, payload_digest, record_type and refers_to.
 
-    The largest page_id of each digest is found by a maximum combined before the shuffle.  Payloads below the limit join under keys
-    of their own, which match nothing and spread evenly.
+    The largest page_id of each payload is found by a maximum combined before the shuffle.  Payloads below the limit join under keys
+    of their own, which match nothing and spread evenly; so do very common ones, which a broadcast serves.
     """
     html = F.coalesce("html", F.lit(""))
     rows = pages.select("page_id", "url", "html", F.octet_length(html).cast("long").alias("payload_bytes"), F.sha1(html.cast("binary")).alias("payload_digest"))
     large = F.col("payload_bytes") >= LEAST_REVISIT
-    first = rows.where(large).groupBy(F.col("payload_digest").alias("key")).agg(F.max("page_id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    keyed = rows.withColumn("key", F.when(large, F.col("payload_digest")).otherwise(F.concat(F.lit("-"), F.xxhash64("page_id", "payload_digest").cast("string"))))
-    out = keyed.join(first, "key", "left")
+    # Equal digests of two kinds and equal sizes stand for equal payloads.
+    name = F.concat_ws("-", "payload_digest", F.xxhash64(html).cast("string"), F.col("payload_bytes").cast("string"))
+    first = cut(rows.where(large).groupBy(name.alias("key")).agg(F.max("page_id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1"))
+    lone = F.concat(F.lit("-"), F.xxhash64("page_id", "payload_digest").cast("string"))
+    keyed = rows.withColumn("key", F.when(large, name).otherwise(lone))
+    if first.count() <= BROADCAST_ROWS:
+        out = keyed.join(F.broadcast(first), "key", "left")
+    else:
+        # Payloads with more copies than a partition has rows, no more than there are partitions, go by a broadcast; the others can't be hot.
+        share = max(2, -(-pages.count() // int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+        hot = first.where(F.col("n") > share).select("key", F.struct("first").alias("hot"))
+        keyed = keyed.join(F.broadcast(hot), "key", "left").withColumn("key", F.when(F.col("hot").isNotNull(), lone).otherwise(F.col("key")))
+        out = keyed.join(first, "key", "left").withColumn("first", F.when(F.col("hot").isNotNull(), F.col("hot.first")).otherwise(F.col("first")))
     again = F.col("first").isNotNull() & ~F.coalesce(F.col("page_id") == F.col("first"), F.lit(False))
     return out.select("page_id", "url", "html", "payload_bytes", "payload_digest", F.when(again, "revisit").otherwise("response").alias("record_type"), F.when(again, F.col("first")).alias("refers_to"))
 
 
 def write_archives(records: DataFrame, folder: str, archive_bytes: int = ARCHIVE_BYTES) -> DataFrame:
     """Writes rows as ``plan_records`` gives them; the archives as (path, content), content null where the folder is mounted."""
+    folder = qualified(records.sparkSession, folder)
     mounted = is_mounted(folder)
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -245,7 +295,7 @@ def write_archives(records: DataFrame, folder: str, archive_bytes: int = ARCHIVE
                 page, url, html, n, digest, kind, first = (batch.column(c)[k].as_py() for c in ("page_id", "url", "html", "payload_bytes", "payload_digest", "record_type", "refers_to"))
                 raw = record_bytes(kind, record_name(page), url, (html or "").encode(), n, digest, record_name(first))
                 data.append(raw)
-                index.append(f"{record_name(page)} {at} {len(raw)}\n")
+                index.append(f"{urllib.parse.quote(url or '-')} 19700101000000 " + json.dumps({"url": url, "digest": f"sha1:{digest}", "mime": "warc/revisit" if kind == "revisit" else "text/html", "offset": at, "length": len(raw), "filename": DATA.rsplit("/", 1)[-1]}) + "\n")
                 at += len(raw)
                 if at >= archive_bytes:
                     yield close()
@@ -268,10 +318,11 @@ FIELDS = "page_id long, url string, payload_bytes long, payload_digest string, r
 
 
 def read_archives(archives: DataFrame, payloads: bool = False) -> DataFrame:
-    """A row per record of each archive: page_id, url, payload_bytes, payload_digest, record_type, refers_to, and the payload if wanted.
+    """A row per response and revisit of each archive: page_id, url, payload_bytes, payload_digest, record_type, refers_to, and the payload if wanted.
 
-    A response's digest is computed from what was read, and must be the one in its header.  A revisit has its response's size and
-    digest in its own headers.  A damaged archive raises ValueError.
+    A response's digest is computed from what was read, and must be the one in its header if that has one.  A revisit has its
+    response's size and digest in its own headers; null where other writers leave them out, as are numbers that they don't give.  Records
+    of other types are passed over.  A damaged archive, or one with records and no index, raises ValueError.
     """
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -279,18 +330,28 @@ def read_archives(archives: DataFrame, payloads: bool = False) -> DataFrame:
             for path, content in zip(batch.column("path").to_pylist(), batch.column("content").to_pylist(), strict=True):
                 src = Ranges(path, content)
                 members = directory(src)
-                start, rows = stored_at(src, members[DATA]), []
-                for name, at, n in read_index(src, members):
-                    warc, http, payload = parse_record(src.read(start + at, n))
-                    if warc["warc-record-id"] != name:
-                        raise ValueError(f"{path}: the index names another record")
-                    digest, kind = warc["warc-payload-digest"].removeprefix("sha1:"), warc["warc-type"]
-                    if kind == "response" and hashlib.sha1(payload).hexdigest() != digest:
-                        raise ValueError(f"{path}: a payload is damaged")
-                    size = len(payload) if kind == "response" else int(http["content-length"])
+                rows, seen = [], {}
+                for member, at, n in read_index(src, members):
+                    begin, end, crc = seen.get(member.name) or (stored_at(src, member), 0, 0)
+                    if at + n > member.size:
+                        raise ValueError(f"{path}: the index points behind {member.name}")
+                    raw = src.read(begin + at, n)
+                    seen[member.name] = (begin, at + n, zlib.crc32(raw, crc)) if end == at else (begin, -1, 0)
+                    if seen[member.name][1:] != (member.size, member.crc) and seen[member.name][1] == member.size:
+                        raise ValueError(f"{path}: {member.name} is damaged")
+                    warc, http, payload = parse_record(raw)
+                    kind = warc["warc-type"]
+                    if kind not in ("response", "revisit"):
+                        continue
+                    digest, size = digest_hex(warc.get("warc-payload-digest")), http.get("content-length")
+                    if kind == "response":
+                        read_digest, size = hashlib.sha1(payload).hexdigest(), len(payload)
+                        if digest not in (None, read_digest):
+                            raise ValueError(f"{path}: a payload is damaged")
+                        digest = read_digest
                     quoted = warc.get("x-quoted-target-uri")
                     url = warc.get("warc-target-uri") if quoted is None else urllib.parse.unquote(quoted)
-                    rows.append((page_of(name), url, size, digest, kind, page_of(warc.get("warc-refers-to")), payload if payloads else None))
+                    rows.append((page_of(warc["warc-record-id"]), url, None if size is None else int(size), digest, kind, page_of(warc.get("warc-refers-to")), payload if payloads else None))
                     if len(rows) >= 500:
                         yield _batch(rows)
                         rows = []
@@ -311,7 +372,7 @@ def archive_round_trip(pages: DataFrame, payloads: bool = False) -> DataFrame:
 
     Null html is an empty payload; a null url leaves out the target; a null page_id is a record without number, and the response of its
     copies only if no copy has a number.  Rows that repeat a page_id and its payload are equally the largest: all of them are responses.
-    Other columns aren't read.  An empty table gives no archive and an empty result.
+    Payloads of any length are one record, which a task holds whole.  Other columns aren't read.  An empty table gives no archive and an empty result.
     """
     return read_archives(write_archives(plan_records(pages), fresh_path(pages.sparkSession, "warc")), payloads)
 
