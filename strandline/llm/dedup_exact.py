@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import LOWER, UPPER, cut, table
+from .common import LOWER, UPPER, cut, place_of, table
 
 LEAD = 24
 
@@ -28,7 +28,7 @@ def content_sort(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     ``keep``: whether the smallest or the largest id of equal texts stays.  Null and empty texts are equal.  A null
     id loses to any other; of rows with the same text and id exactly one is kept, and which of them is arbitrary.
-    An empty table gives an empty result.  The columns added replace ones of the same name; working columns are
+    An empty table gives an empty result.  Texts of any length are compared whole.  The columns added replace ones of the same name; working columns are
     named ``__cs_*``.
     """
     if keep not in ("min", "max"):
@@ -41,8 +41,8 @@ def content_sort(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     hot = cut(digest.groupBy("text_sha256").count().where(F.col("count") > share).select("text_sha256", F.ceil(F.col("count") / share).cast("int").alias("__cs_pieces")))
 
     norm = normalised(F.col(text_col))
-    rows = docs.withColumn("text_sha256", F.sha2(norm, 256)).join(F.broadcast(hot), "text_sha256", "left")  # at most ``parts`` rows
-    rows = rows.withColumn("__cs_salt", F.coalesce(F.pmod(F.xxhash64(F.col(id_col)), F.col("__cs_pieces").cast("long")), F.lit(0)))
+    rows = _spread(docs, id_col).withColumn("text_sha256", F.sha2(norm, 256)).join(F.broadcast(hot), "text_sha256", "left")  # at most ``parts`` rows
+    rows = rows.withColumn("__cs_salt", F.coalesce(_salt(), F.lit(0)))
     # Splitters are short, for the driver gathers samples of them: the leading characters, and a digest where these are equal.
     rows = rows.withColumn("__cs_norm", norm).withColumn("__cs_lead", F.substring("__cs_norm", 1, LEAD))
     rows = rows.repartitionByRange(parts, "__cs_lead", "text_sha256", "__cs_salt")
@@ -67,11 +67,20 @@ def content_sort(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     )
 
 
+def _spread(docs: DataFrame, id_col: str) -> DataFrame:
+    """``docs`` with a hash of each row by its place in its file, which tells rows that repeat apart; of rows from no file by all they hold."""
+    place = place_of(docs)
+    return docs.withColumn("__cs_spread", F.xxhash64(*docs.columns) if place is None else F.xxhash64(F.col(id_col), place))
+
+
+def _salt() -> Column:
+    return F.pmod(F.col("__cs_spread"), F.col("__cs_pieces").cast("long"))
+
+
 def content_pieces(docs: DataFrame, id_col: str, text_col: str, hot: DataFrame, keep: str) -> DataFrame:
     """The winner and size of each text that was cut into pieces, added up before the shuffle."""
-    salt = F.pmod(F.xxhash64(F.col(id_col)), F.col("__cs_pieces").cast("long"))
-    rows = docs.select(F.sha2(normalised(docs[text_col]), 256).alias("text_sha256"), F.col(id_col)).join(F.broadcast(hot), "text_sha256")
-    pair = F.struct(F.col(id_col).alias("id"), salt.alias("salt"))
+    rows = _spread(docs, id_col).select(F.col(id_col), "__cs_spread", F.sha2(normalised(F.col(text_col)), 256).alias("text_sha256")).join(F.broadcast(hot), "text_sha256")
+    pair = F.struct(F.col(id_col).alias("id"), _salt().alias("salt"))
     known = F.when(F.col(id_col).isNotNull(), pair)
     best = F.max(known) if keep == "max" else F.min(known)
     return rows.groupBy("text_sha256").agg(F.coalesce(best, F.max(pair)).alias("__cs_win"), F.count(F.lit(1)).alias("__cs_total"))
