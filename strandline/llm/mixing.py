@@ -7,7 +7,8 @@ aggregate is a distributed sum over a histogram of document sizes.  Rates are th
 certain, and the fractions are filled in the order of a hashed priority until the source's words are reached.
 
 Only DataFrame functions are used.  All that documents need is one row of parameters per source, so the copies of a
-row follow from its own columns, without a shuffle of texts.  Terms of the Newton sums are rounded to fixed
+row follow from its own columns, without a shuffle of texts.  Rows that repeat both id and text are numbered, so that each has a
+priority of its own; they are known by their place in their files.  Terms of the Newton sums are rounded to fixed
 point and added as decimals: the result depends neither on the order of addition nor on partitions.
 """
 
@@ -16,11 +17,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, WORD, cut, table
+from .common import BROADCAST_ROWS, WORD, cut, fresh_path, place_of, small_side, table
 
-STEPS = 16
+#: Newton steps at most, and the share of its target by which a settled source may miss it, besides a hundredth of a word.
+STEPS, SETTLED = 24, 1e-6
 BINS, TOP_BIN = 2048, 8191
-SALT = 0x6D69786572
+ADDED = ("size", "source_size", "target", "rate", "copies", "taken")
+#: What orders rows of equal priority.
+ROW = ("doc_id", "digest", "nth")
+SALT, SPREAD = 0x6D69786572, 512
 
 
 def words(text: Column) -> Column:
@@ -59,14 +64,45 @@ def _rate(cap: float) -> Column:
 
 
 def _priority() -> Column:
-    """Of the fractional copy: a hash of the id over the fraction.  Smaller ones come first."""
-    u = (F.shiftrightunsigned(F.xxhash64(F.lit(SALT), F.col("doc_id")), 11) + 0.5) / F.lit(float(1 << 53))
+    """Of the fractional copy: a hash of the row's id, text and number over the fraction.  Smaller ones come first."""
+    u = (F.shiftrightunsigned(F.xxhash64(F.lit(SALT), F.col("doc_id"), F.col("digest"), F.col("nth")), 11) + 0.5) / F.lit(float(1 << 53))
     f = F.col("rate") - F.floor("rate")
     return F.when(f > 0, u / f)
 
 
+def placed(docs: DataFrame) -> DataFrame:
+    """``docs`` with ``place``; rows that come from no file are written first."""
+    if place_of(docs) is None:
+        path = fresh_path(docs.sparkSession, "mixed")
+        docs.write.parquet(path)
+        docs = docs.sparkSession.read.schema(docs.schema).parquet(path)
+    return docs.select("*", place_of(docs).alias("place"))
+
+
+def measured(docs: DataFrame) -> DataFrame:
+    """doc_id, source, size, digest and place of each row of ``placed`` ones, and ``nth``: its number among rows with the same id, source and text.
+
+    Rows are numbered within ``SPREAD`` shares first, so that a row which repeats very often is no task's alone.
+    """
+    rows = cut(docs.select("doc_id", "source", words(docs["text"]).alias("size"), F.xxhash64(F.coalesce(docs["text"], F.lit(""))).alias("digest"), "place"))
+    key = ["doc_id", "source", "digest"]
+    twice = cut(rows.groupBy(*key).count().where("count > 1").drop("count").withColumnsRenamed({c: f"t_{c}" for c in key}))
+    if twice.isEmpty():
+        return rows.withColumn("nth", F.lit(0).cast("long"))
+    twice = small_side(twice)
+    same = [rows[c].eqNullSafe(twice[f"t_{c}"]) for c in key]
+    here = rows.join(twice, same, "left_semi").withColumn("part", F.xxhash64("place") % SPREAD)
+    local = here.withColumn("nth", F.row_number().over(Window.partitionBy(*key, "part").orderBy("place")) - 1)
+    heads = here.groupBy(*key, "part").count()
+    before = Window.partitionBy(*key).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    heads = cut(heads.withColumn("base", F.coalesce(F.sum("count").over(before), F.lit(0))).drop("count").withColumnsRenamed({c: f"t_{c}" for c in [*key, "part"]}))
+    at = [local[c].eqNullSafe(heads[f"t_{c}"]) for c in [*key, "part"]]
+    numbered = local.join(small_side(heads), at).select(*rows.columns, (F.col("nth") + F.col("base")).alias("nth"))
+    return cut(rows.join(twice, same, "left_anti").withColumn("nth", F.lit(0).cast("long")).unionByName(numbered))
+
+
 def fit_mix(sizes: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float = 1.5, cap: float = 2.0) -> DataFrame:
-    """One row per source with all that ``apply_mix`` needs.  ``sizes``: doc_id, source, size; read several times."""
+    """One row per source with all that ``apply_mix`` needs.  ``sizes``: as ``measured`` gives them; read several times."""
     targets = cut(source_targets(sizes, weights, share, cap))
     hist = cut(sizes.groupBy("source", "size").agg(F.count(F.lit(1)).alias("n")))
     n = targets.count()
@@ -85,9 +121,11 @@ def fit_mix(sizes: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float
         free = F.when(F.col("h") > 0, F.least(F.greatest(newton, F.col("lam") - 2 * reach), F.col("lam") + 2 * reach)).otherwise(F.col("lam") + F.when(low, reach).otherwise(-reach))
         inside = (F.coalesce(free > F.col("lo"), F.lit(True))) & (F.coalesce(free < F.col("hi"), F.lit(True)))
         new = F.when(~low & ~high, F.col("lam")).when(inside | F.col("lo").isNull() | F.col("hi").isNull(), free).otherwise((F.col("lo") + F.col("hi")) / 2)
-        lam = sums.select("source", "source_size", "source_docs", "target", F.coalesce(new, F.col("lam")).alias("lam"), "lo", "hi")
+        lam = sums.select("source", "source_size", "source_docs", "target", F.coalesce(new, F.col("lam")).alias("lam"), "lo", "hi", (F.abs(F.col("g") - F.col("target")) <= SETTLED * F.col("target") + 0.01).alias("done"))
         if step % 4 == 3:
             lam = cut(lam)
+            if lam.where(~F.col("done")).isEmpty():
+                break
     none = targets.where("source_size = 0").withColumn("lam", F.lit(0.0))
     lam = cut(lam.select("source", "source_size", "source_docs", "target", "lam").unionByName(none))
     return _fill(sizes, lam, cap, n)
@@ -111,9 +149,9 @@ def _fill(sizes: DataFrame, lam: DataFrame, cap: float, n: int) -> DataFrame:
 
     small = params.select(F.col("source").alias("s3"), "need", "edge_bin", "below")
     near = rated.where("p is not null and size > 0").join(per_source(small, n), rated["source"].eqNullSafe(small["s3"])).where("bin = edge_bin")
-    order = Window.partitionBy("source").orderBy("p", "doc_id")
+    order = Window.partitionBy("source").orderBy("p", *ROW).rowsBetween(Window.unboundedPreceding, 0)
     near = near.withColumn("upto", F.col("below") + F.sum("size").over(order)).where("upto <= need")
-    tau = cut(near.groupBy("source").agg(F.max(F.struct("p", "doc_id")).alias("tau"), F.max("upto").alias("got")))
+    tau = cut(near.groupBy("source").agg(F.max(F.struct("p", *ROW)).alias("tau"), F.max("upto").alias("got")))
     tau = tau.select(F.col("source").alias("s4"), "tau", "got")
     params = params.join(tau, params["source"].eqNullSafe(tau["s4"]), "left").drop("s4")
     params = cut(params.withColumn("gap", F.col("need") - F.coalesce("got", "below", F.lit(0))))
@@ -121,48 +159,56 @@ def _fill(sizes: DataFrame, lam: DataFrame, cap: float, n: int) -> DataFrame:
     left = params.select(F.col("source").alias("s5"), "edge_bin", "tau", "gap")
     rest = rated.where("p is not null and size > 0").join(per_source(left, n), rated["source"].eqNullSafe(left["s5"]))
     rest = rest.where(~_within()).where("size < 2 * gap")
-    close = rest.groupBy("s5").agg(F.min(F.struct(F.abs(F.col("size") - F.col("gap")), F.col("p"), F.col("doc_id").alias("id"))).alias("close")).select(F.col("s5"), F.col("close.id").alias("extra"))
+    close = rest.groupBy("s5").agg(F.min(F.struct(F.abs(F.col("size") - F.col("gap")), F.col("p"), F.struct(*ROW).alias("row"))).alias("close")).select(F.col("s5"), F.col("close.row").alias("extra"))
     return cut(params.join(close, params["source"].eqNullSafe(close["s5"]), "left").select("source", "source_size", "source_docs", "target", "lam", "edge_bin", "tau", "extra"))
 
 
 def _within() -> Column:
     """Whether the fractional copy is taken: below the edge bin, or in it up to tau."""
-    at = (F.col("bin") == F.col("edge_bin")) & ((F.col("p") < F.col("tau.p")) | ((F.col("p") == F.col("tau.p")) & (F.col("doc_id") <= F.col("tau.doc_id"))))
+    at = (F.col("bin") == F.col("edge_bin")) & (F.struct("p", *ROW) <= F.col("tau"))
     return F.coalesce((F.col("bin") < F.col("edge_bin")) | at, F.lit(False))
 
 
-def apply_mix(docs: DataFrame, params: DataFrame, cap: float = 2.0) -> DataFrame:
-    """The rows of ``docs`` (doc_id, source, size and any others) with source_size, target, rate, copies and taken.
+def apply_mix(rows: DataFrame, params: DataFrame, cap: float = 2.0) -> DataFrame:
+    """The rows (doc_id, source, size, digest, nth and any others) with source_size, target, rate, copies and taken.
 
     ``params`` has a row per source.
     """
-    docs = docs.drop(*[c for c in ("source_size", "source_docs", "target", "lam", "edge_bin", "tau", "extra", "rate", "copies", "taken", "p", "bin") if c in docs.columns])
     p = params.withColumnRenamed("source", "__mix_source")
-    rows = docs.join(per_source(p, p.count()), docs["source"].eqNullSafe(p["__mix_source"]), "left").withColumn("rate", _rate(cap)).withColumn("p", _priority())
-    rows = rows.withColumn("bin", F.least(F.floor(F.col("p") * BINS), F.lit(TOP_BIN)).cast("int"))
-    more = (_within() | F.coalesce(F.col("doc_id") == F.col("extra"), F.lit(False))) & F.col("p").isNotNull()
-    rows = rows.withColumn("copies", (F.floor("rate") + more.cast("int")).cast("int"))
-    return rows.select(*docs.columns, "source_size", "target", "rate", "copies", (F.col("copies") * F.col("size")).alias("taken"))
+    out = rows.join(per_source(p, p.count()), rows["source"].eqNullSafe(p["__mix_source"]), "left").withColumn("rate", _rate(cap)).withColumn("p", _priority())
+    out = out.withColumn("bin", F.least(F.floor(F.col("p") * BINS), F.lit(TOP_BIN)).cast("int"))
+    more = (_within() | F.coalesce(F.struct(*ROW).eqNullSafe(F.col("extra")), F.lit(False))) & F.col("p").isNotNull()
+    out = out.withColumn("copies", (F.floor("rate") + more.cast("int")).cast("int")).withColumn("taken", F.col("copies") * F.col("size"))
+    return out.select(*rows.columns, *ADDED[1:])
 
 
 def mix(docs: DataFrame) -> DataFrame:
     """All rows of ``docs`` with ``size``, ``source_size``, ``target``, ``rate``, ``copies`` and ``taken``.
 
-    A null text has size 0; a null source is a source of its own, the last.  A null doc_id has the same priority as any other null; rows
-    that repeat a doc_id share their decision.  Documents of size 0 take nothing whatever their copies.  A table without
-    words gives targets of 0.  An empty table gives an empty result.  Columns of these names are replaced.
+    A null text has size 0; a null source is a source of its own, the last.  Rows that repeat an id, or have none, are decided one by one;
+    of rows with the same id, source and text it is arbitrary which ones are taken, but not how many.  Documents of size 0 take nothing
+    whatever their copies.  A table without words gives targets of 0.  An empty table gives an empty result.  Texts of any length are
+    counted whole.  Columns of these names are replaced.
     """
-    sizes = cut(docs.select("doc_id", "source", words(docs["text"]).alias("size")))
-    return apply_mix(docs.withColumn("size", words(docs["text"])), fit_mix(sizes))
+    return _mixed(docs).select(*(f"whole.{c}" for c in docs.columns if c not in ADDED), *ADDED)
+
+
+def _mixed(docs: DataFrame) -> DataFrame:
+    """``whole``, the rows of ``docs`` as structs, so that no name clashes; and what ``mix`` adds."""
+    rows = placed(docs.select(F.struct(*docs.columns).alias("whole"), "doc_id", "source", "text"))
+    sizes = measured(rows)
+    params = fit_mix(sizes)
+    rows = rows.select("whole", "doc_id", "source", words(F.col("text")).alias("size"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("digest"), "place")
+    repeated = small_side(sizes.where("nth > 0").select(F.col("place").alias("t_place"), F.col("nth")))
+    rows = rows.join(repeated, rows["place"] == repeated["t_place"], "left").withColumn("nth", F.coalesce("nth", F.lit(0).cast("long")))
+    return apply_mix(rows, params).select("whole", *ADDED)
 
 
 def copied(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` as often as ``mix`` takes them."""
-    out = mix(docs).where("copies > 0").withColumn("__mix_copy", F.explode(F.sequence(F.lit(1), F.col("copies"))))
-    return out.select(*docs.columns)
+    return _mixed(docs).where("copies > 0").select("whole", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("whole.*")
 
 
 def op4_mix_sources(spark, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    sizes = cut(docs.select("doc_id", "source", words(docs["text"]).alias("size")))
+    sizes = measured(placed(table(spark, sf_dir, "documents")))
     return apply_mix(sizes, fit_mix(sizes)).select("doc_id", "size", "source_size", "target", "taken", "copies")
