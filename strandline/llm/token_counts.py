@@ -1,12 +1,13 @@
 """Token counts without token ids.
 
 The pieces of each distinct pre-token are counted once over the corpus, and a document's count is the sum over its own
-pre-token frequencies.  The most frequent pre-tokens, a bounded number of bounded length, go to all workers as a
-table; every other one is joined by a shuffle.  Which of the two ways a pre-token takes changes no count.
+pre-token frequencies.  The most frequent pre-tokens, a bounded number, go to all workers as a
+table, long ones by their digests; every other one is joined by a shuffle.  Which of the two ways a pre-token takes changes no count.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections import Counter
 from collections.abc import Iterator
 from functools import cache
@@ -20,7 +21,7 @@ from .bpe import tokenizer_path
 from .common import fresh_path, table
 from .pretokens import vocabulary
 
-#: At most so many pre-tokens of at most so many characters are broadcast: under 60 MB.
+#: At most so many pre-tokens are broadcast, those of more characters by their digests: under 60 MB.
 HEAD, HEAD_LENGTH = 300_000, 32
 FLUSH = 400_000
 
@@ -71,20 +72,25 @@ def written(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.parquet(path)
 
 
+def short_name(s: str) -> str:
+    """What a pre-token is known by: itself or, of a long one, a digest, which is longer than any short one."""
+    return s if len(s) <= HEAD_LENGTH else "sha256 " + hashlib.sha256(s.encode()).hexdigest()
+
+
 def most_frequent(vocab: DataFrame, head: int) -> DataFrame:
-    """At most ``head`` short pre-tokens: those above the least frequency at which so many are left.
+    """name, n_pieces of at most ``head`` pre-tokens: those above the least frequency at which so many are left.
 
     Frequencies are counted in bins of a sixteenth of an octave, a thousand at most, so no task gathers candidates.
     """
-    step = F.floor(F.log2("freq") * 16).cast("int")
-    short = vocab.where(F.length("pretoken") <= HEAD_LENGTH).withColumn("step", step)
+    binned = vocab.withColumn("step", F.floor(F.log2("freq") * 16).cast("int"))
     left, least = head, 1 << 30
-    for row in sorted(short.groupBy("step").count().collect(), key=lambda r: -r["step"]):
+    for row in sorted(binned.groupBy("step").count().collect(), key=lambda r: -r["step"]):
         left -= row["count"]
         if left < 0:
             break
         least = row["step"]
-    return short.where(F.col("step") >= least)
+    name = F.when(F.length("pretoken") <= HEAD_LENGTH, F.col("pretoken")).otherwise(F.concat(F.lit("sha256 "), F.sha2("pretoken", 256)))
+    return binned.where(F.col("step") >= least).select(name.alias("name"), "n_pieces")
 
 
 def token_counts(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", head: int = HEAD) -> DataFrame:
@@ -95,7 +101,7 @@ def token_counts(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: s
     """
     spark = docs.sparkSession
     vocab = written(pretoken_vocabulary(docs, path, text_col))
-    top = most_frequent(vocab, head).select("pretoken", "n_pieces").toArrow()
+    top = most_frequent(vocab, head).toArrow()
     known = spark.sparkContext.broadcast(dict(zip(top.column(0).to_pylist(), top.column(1).to_pylist(), strict=True)))
 
     def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -111,7 +117,7 @@ def token_counts(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: s
                     t = text or ""
                     n = 0
                     for s, k in Counter(v.pretokens(t)).items():
-                        c = pieces.get(s)
+                        c = pieces.get(short_name(s))
                         if c is None:
                             rare.append(s)
                             times.append(k)
