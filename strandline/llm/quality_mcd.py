@@ -2,14 +2,19 @@
 
 Each document has counts (words, their characters, symbols, repeated lines, repeated five-word windows).  Base rules reject short and
 repetitive texts.  The others' counts become a vector of logarithms of rates, drawn towards a constant where a text is
-short.  Per language and source, concentration steps find the ``SHARE`` of documents whose covariance has the least determinant,
-starting from medians and quartiles: each step takes the documents nearest by Mahalanobis distance and estimates mean and
-covariance from them.  A last step reweights.  A document far outside is rejected.
+short.  Per language and source, the ``SHARE`` of documents is sought whose covariance has the least determinant.  The search has
+four deterministic starts: medians and quartiles alone, with the correlations of spatial signs, with those of hyperbolic tangents, and
+the moments of all documents.  A concentration step takes the documents nearest by Mahalanobis distance and
+estimates anew; after ``TRIAL`` steps the ``LEFT`` starts of least determinant go on until no determinant falls any more, and
+the least one wins.  A last step reweights.  A document is rejected beyond the distance that a normal vector exceeds with
+probability ``REJECT``.
 
 A concentration step is one aggregate: documents are counted and their moments summed by bins of distance, before the shuffle; the bins of a
-group, at most ``BINS``, then give the subset and its moments at once.  Vectors are whole thousandths, so that all sums
-are exact integers and reruns agree.  Groups with fewer than ``LEAST`` documents use their language's estimate, or else all
-documents'.
+group, at most ``BINS``, then give the subset and its moments at once.  The bin at the subset's edge counts in part, all
+its documents alike, so that a subset has exactly its share.  Vectors are whole thousandths, so that all sums
+are exact integers and reruns agree.  Most texts have no symbols and no repeats, where a plain covariance is singular: estimates
+are regularised by a diagonal of least variances, which counts in the determinant too.  Groups with fewer than ``LEAST`` documents
+use their language's estimate, or else all documents'.
 """
 
 from __future__ import annotations
@@ -20,18 +25,20 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import flat
-from .common import cut, fresh_path, small_side, table
+from .common import BROADCAST_ROWS, cut, fresh_path, table
 from .flat_hash import Rolling, mixed
 
 DIMS = 4
-SHARE, STEPS, LEAST, BINS = 0.75, 6, 100, 320
-#: Least standard deviation of each coordinate, in thousandths: most texts have no symbols and no repeats at all.
+SHARE, LEAST, BINS = 0.75, 100, 320
+#: Starts of the search; steps that all make; starts that go on; steps at most, and the fall of a determinant below which they end.
+STARTS, TRIAL, LEFT, STEPS, FALL = 4, 2, 2, 20, 1e-6
+#: Least standard deviation of each coordinate, in thousandths.
 FLOOR = (60, 500, 500, 500)
-CUTOFF = 32.0
+REJECT = 2e-6
 PAIRS = [(i, j) for i in range(DIMS) for j in range(i, DIMS)]
 SYMBOLS = b"#*$%&|<>"
 STATS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
@@ -147,25 +154,79 @@ def consistency(p: float, dims: int) -> float:
     return p / chi_square(chi_quantile(p, dims), dims + 2)
 
 
-PARAMS = "gid string, docs long, " + ", ".join([*(f"m{i} double" for i in range(DIMS)), *(f"p{i}{j} double" for i in range(DIMS) for j in range(i, DIMS))])
+PARAMS = "gid string, start int, docs long, det double, fell boolean, " + ", ".join([*(f"m{i} double" for i in range(DIMS)), *(f"p{i}{j} double" for i, j in PAIRS)])
 
 
-def _row(gid: str, docs: int, mean: np.ndarray, cov: np.ndarray) -> pd.DataFrame:
-    low = np.diag(np.array(FLOOR, float) ** 2)
-    inverse = np.linalg.inv(cov + low)
-    return pd.DataFrame([[gid, docs, *mean, *(inverse[i, j] for i in range(DIMS) for j in range(i, DIMS))]], columns=[x.split()[0] for x in PARAMS.split(", ")])
+def _rows(rows: list[tuple]) -> pd.DataFrame:
+    """PARAMS from (gid, start, docs, determinant before, mean, covariance)."""
+    out, low = [], np.diag(np.array(FLOOR, float) ** 2)
+    for gid, start, docs, before, mean, cov in rows:
+        whole = cov + low
+        inverse, det = np.linalg.inv(whole), float(np.linalg.det(whole))
+        out.append([gid, start, docs, det, bool(det < before * (1 - FALL)), *mean, *(inverse[i, j] for i, j in PAIRS)])
+    return pd.DataFrame(out, columns=[x.split()[0] for x in PARAMS.split(", ")])
 
 
 def _distance():
     """Squared Mahalanobis distance of v from m under p."""
     d = [F.col(f"v{i}") - F.col(f"m{i}") for i in range(DIMS)]
     out = F.lit(0.0)
-    for i in range(DIMS):
-        for j in range(i, DIMS):
-            out = out + d[i] * d[j] * F.col(f"p{i}{j}") * F.lit(1.0 if i == j else 2.0)
+    for i, j in PAIRS:
+        out = out + d[i] * d[j] * F.col(f"p{i}{j}") * F.lit(1.0 if i == j else 2.0)
     return F.greatest(out, F.lit(0.0))
 
 
+def _square(values: list[float]) -> np.ndarray:
+    out = np.empty((DIMS, DIMS))
+    for (i, j), x in zip(PAIRS, values, strict=True):
+        out[i, j] = out[j, i] = x
+    return out
+
+
+def _correlation(cov: np.ndarray) -> np.ndarray:
+    """Coordinates that don't vary correlate with none."""
+    scale = np.sqrt(np.maximum(np.diag(cov), 0))
+    return np.where(np.eye(DIMS, dtype=bool), 1.0, cov / np.where(scale > 0, scale, np.inf)[:, None] / np.where(scale > 0, scale, np.inf)[None, :])
+
+
+def _moments(prefix: str, x: list) -> list:
+    """Sums of values and of products, rounded to whole numbers."""
+    exact = lambda c: F.sum(F.round(c).cast("long"))
+    return [*(exact(x[i]).alias(f"{prefix}s{i}") for i in range(DIMS)), *(exact(x[i] * x[j]).alias(f"{prefix}x{i}{j}") for i, j in PAIRS)]
+
+
+def _covariance(f, prefix: str, n: int, unit: float = 1.0) -> tuple[np.ndarray, np.ndarray]:
+    mean = np.array([int(f[f"{prefix}s{i}"]) / n for i in range(DIMS)])
+    return mean, _square([int(f[f"{prefix}x{i}{j}"]) / n - mean[i] * mean[j] for i, j in PAIRS]) / unit**2
+
+
+def starts(levels: DataFrame, spread) -> DataFrame:
+    """PARAMS of each group and start."""
+    q = levels.groupBy("gid").agg(F.count(F.lit(1)).alias("docs"), *(F.percentile(f"v{i}", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias(f"q{i}") for i in range(DIMS)))
+    q = cut(q.select("gid", "docs", *(F.col(f"q{i}")[1].alias(f"c{i}") for i in range(DIMS)), *(F.greatest((F.col(f"q{i}")[2] - F.col(f"q{i}")[0]) / 1.349, F.lit(1.0)).alias(f"w{i}") for i in range(DIMS))))
+    z = [(F.col(f"v{i}") - F.col(f"c{i}")) / F.greatest(F.col(f"w{i}"), F.lit(float(FLOOR[i]))) for i in range(DIMS)]
+    size = F.sqrt(sum((x * x for x in z), F.lit(0.0)))
+    unit = 1000.0
+    signs = [F.when(size > 0, unit * x / size).otherwise(0.0) for x in z]
+    plain = [F.col(f"v{i}") for i in range(DIMS)]
+    seen = levels.join(spread(q), "gid").groupBy("gid", "docs", *(f"c{i}" for i in range(DIMS)), *(f"w{i}" for i in range(DIMS)))
+    sums = seen.agg(*_moments("a", signs), *_moments("b", [unit * F.tanh(x) for x in z]), *_moments("p", plain))
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            out = []
+            for r in f.to_dict("records"):
+                n, centre, scale = int(r["docs"]), np.array([r[f"c{i}"] for i in range(DIMS)]), np.array([r[f"w{i}"] for i in range(DIMS)])
+                wide = np.outer(scale, scale)
+                guesses = [np.diag(scale**2), *(wide * _correlation(_covariance(r, k, n, unit)[1]) for k in "ab")]
+                guesses = [(centre, c) for c in guesses] + [_covariance(r, "p", n)]
+                out += [(r["gid"], k, n, math.inf, m, c) for k, (m, c) in enumerate(guesses)]
+            if out:
+                yield _rows(out)
+
+    return cut(sums.mapInPandas(run, PARAMS))
+
+
 def _concentrate(last: bool):
     """The next estimate from a group's bins: of the nearest SHARE of its documents, or at last of all that aren't far."""
     edge = _bin_of(chi_quantile(0.975, DIMS))
@@ -174,35 +235,53 @@ def _concentrate(last: bool):
         f = f.sort_values("bin")
         n = f["n"].to_numpy()
         docs = int(n.sum())
-        take = f["bin"].to_numpy() < edge if last else np.cumsum(n) - n < SHARE * docs
-        take[0] = True
-        c = int(n[take].sum())
-        mean = np.array([int(f[f"s{i}"].to_numpy()[take].sum()) / c for i in range(DIMS)])
-        cov = np.empty((DIMS, DIMS))
-        for i, j in PAIRS:
-            cov[i, j] = cov[j, i] = int(f[f"x{i}{j}"].to_numpy()[take].sum()) / c - mean[i] * mean[j]
-        return _row(f["gid"].iloc[0], docs, mean, cov * consistency(0.975 if last else SHARE, DIMS))
+        before = np.cumsum(n) - n
+        part = (f["bin"].to_numpy() < edge).astype(float) if last else np.clip((SHARE * docs - before) / n, 0, 1)
+        part[0] = max(part[0], 1.0 if last else 0.0)
+        c = float((part * n).sum())
+        total = lambda k: float((part * f[k].to_numpy(dtype=float)).sum())
+        # About the group's centre, so that no digits are lost.
+        mean = np.array([total(f"s{i}") / c for i in range(DIMS)])
+        cov = _square([total(f"x{i}{j}") / c - mean[i] * mean[j] for i, j in PAIRS])
+        first = f.iloc[0]
+        base = np.array([first[f"b{i}"] for i in range(DIMS)], float)
+        return _rows([(first["gid"], int(first["start"]), docs, float(first["det"]), mean + base, cov * consistency(0.975 if last else SHARE, DIMS))])
 
     return step
 
 
-def estimate(levels: DataFrame) -> DataFrame:
-    """PARAMS of each group.  ``levels``: gid and the vector; read once per step."""
-    quarts = levels.groupBy("gid").agg(F.count(F.lit(1)).alias("docs"), *(F.percentile(f"v{i}", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias(f"q{i}") for i in range(DIMS)))
+def _step(levels: DataFrame, params: DataFrame, spread, last: bool = False) -> DataFrame:
+    """A concentration step of each group and start in ``params``; moments are taken about the estimate's centre, rounded to whole numbers."""
+    at = params.select("*", *(F.round(f"m{i}").cast("long").alias(f"b{i}") for i in range(DIMS)))
+    seen = levels.join(spread(at), "gid").withColumn("bin", _bin(_distance()))
+    u = [F.col(f"v{i}") - F.col(f"b{i}") for i in range(DIMS)]
+    moments = seen.groupBy("gid", "start", "det", *(f"b{i}" for i in range(DIMS)), "bin").agg(F.count(F.lit(1)).alias("n"), *(F.sum(u[i]).alias(f"s{i}") for i in range(DIMS)), *(F.sum(u[i] * u[j]).alias(f"x{i}{j}") for i, j in PAIRS))
+    return cut(moments.groupBy("gid", "start").applyInPandas(_concentrate(last), PARAMS))
 
-    def start(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            for _, r in f.iterrows():
-                q = np.array([list(r[f"q{i}"]) for i in range(DIMS)], float)
-                yield _row(r["gid"], int(r["docs"]), q[:, 1], np.diag(((q[:, 2] - q[:, 0]) / 1.349) ** 2))
 
-    params = cut(quarts.mapInPandas(start, PARAMS))
-    few = small_side(params) is not params
-    for step in range(STEPS + 1):
-        seen = levels.join(F.broadcast(params) if few else params, "gid").withColumn("bin", _bin(_distance()))
-        moments = seen.groupBy("gid", "bin").agg(F.count(F.lit(1)).alias("n"), *(F.sum(f"v{i}").alias(f"s{i}") for i in range(DIMS)), *(F.sum(F.col(f"v{i}") * F.col(f"v{j}")).alias(f"x{i}{j}") for i, j in PAIRS))
-        params = cut(moments.groupBy("gid").applyInPandas(_concentrate(step == STEPS), PARAMS))
-    return params
+def estimate(levels: DataFrame) -> DataFrame:
+    """PARAMS of each group.  ``levels``: gid and the vector; read once per step."""
+    few = levels.select("gid").distinct().count() * STARTS <= BROADCAST_ROWS
+    spread = F.broadcast if few else (lambda x: x)
+    going = starts(levels, spread)
+    # A start's own determinant is of another estimator: the first steps fall by definition.
+    going = going.withColumn("det", F.lit(math.inf))
+    for _ in range(TRIAL):
+        going = _step(levels, going, spread)
+    order = F.row_number().over(Window.partitionBy("gid").orderBy("det", "start"))
+    going = cut(going.withColumn("k", order).where(F.col("k") <= LEFT).drop("k"))
+    settled = None
+    for _ in range(STEPS - TRIAL):
+        stepped = _step(levels, going, spread)
+        # Where the determinant no longer falls, the estimate before stands.
+        ended = going.join(stepped.where("not fell").select("gid", "start"), ["gid", "start"], "left_semi")
+        settled = ended if settled is None else settled.unionByName(ended)
+        going = stepped.where("fell")
+        if going.isEmpty():
+            break
+    settled = settled.unionByName(going)
+    best = cut(settled.withColumn("k", F.row_number().over(Window.partitionBy("gid").orderBy("det", "start"))).where("k = 1").drop("k"))
+    return _step(levels, best, spread, last=True)
 
 
 def _bin(d):
@@ -214,7 +293,7 @@ def _bin_of(d: float) -> int:
     return min(max(math.floor(math.log(d * 100) * 20), 0), BINS - 1)
 
 
-def judge(docs: DataFrame, cutoff: float = CUTOFF) -> DataFrame:
+def judge(docs: DataFrame, reject: float = REJECT) -> DataFrame:
     """doc_id, lang, source, STATS, base_failed, distance (squared, null if base_failed) and kept of each row of ``docs``.
 
     Null and empty texts have no words and fail; null languages and sources are groups of their own.  Rows that repeat
@@ -226,13 +305,13 @@ def judge(docs: DataFrame, cutoff: float = CUTOFF) -> DataFrame:
     by_lang = F.to_json(F.struct(F.lit("lang").alias("by"), "lang"))
     passed = rows.where("not base_failed").select(F.explode(F.array(by_source, by_lang, F.lit("all"))).alias("gid"), *(f"v{i}" for i in range(DIMS)))
     params = estimate(passed)
-    enough = F.broadcast if params.count() <= 400_000 else (lambda x: x)
+    enough = F.broadcast if params.count() <= BROADCAST_ROWS else (lambda x: x)
     named = rows.withColumns({"g0": by_source, "g1": by_lang})
     size = params.select(F.col("gid").alias("sg"), "docs")
     named = named.join(enough(size.withColumnsRenamed({"sg": "g0", "docs": "d0"})), "g0", "left").join(enough(size.withColumnsRenamed({"sg": "g1", "docs": "d1"})), "g1", "left")
     named = named.withColumn("gid", F.when(F.col("d0") >= LEAST, F.col("g0")).when(F.col("d1") >= LEAST, F.col("g1")).otherwise("all"))
     out = named.join(enough(params), "gid", "left").withColumn("distance", F.when(~F.col("base_failed"), _distance()))
-    return out.select("doc_id", "lang", "source", *STATS, "base_failed", "distance", F.coalesce(~F.col("base_failed") & (F.col("distance") <= cutoff), F.lit(False)).alias("kept"))
+    return out.select("doc_id", "lang", "source", *STATS, "base_failed", "distance", F.coalesce(~F.col("base_failed") & (F.col("distance") <= chi_quantile(1 - reject, DIMS)), F.lit(False)).alias("kept"))
 
 
 def op9_quality_rules(spark, sf_dir: str) -> DataFrame:
