@@ -9,12 +9,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..settle import settled
+
 
 def running_counts(counted: DataFrame, by: list[str], value: str) -> DataFrame:
     """``counted`` (by, value, n; one row per value) with ``below`` (rows), ``place`` (values before, within ``by``), and ``rows`` and ``values`` of the cohort."""
     spark = counted.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ranged = counted.repartitionByRange(parts, *by, value).withColumn("__range", F.spark_partition_id())
+    # Settled, for it is read twice and must be cut alike both times.
+    ranged = settled(counted.repartitionByRange(parts, *by, value).withColumn("__range", F.spark_partition_id()))
     inside = Window.partitionBy("__range", *by).orderBy(value)
     ranged = ranged.withColumn("__below", F.sum("n").over(inside.rowsBetween(Window.unboundedPreceding, 0)) - F.col("n")).withColumn("__place", F.row_number().over(inside) - 1)
     # One row per range and cohort: the windows over these are short.
@@ -30,6 +33,24 @@ def count_values(df: DataFrame, by: list[str], value: str) -> DataFrame:
     return df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count(F.lit(1)).alias("n"))
 
 
+def quantiles(df: DataFrame, value: str, shares: dict[str, float], by: list[str]) -> DataFrame:
+    """by and a column per name in ``shares``: the exact quantile of ``value``, between two neighbouring values in proportion.
+
+    Counted values are ranked in ranges, so no task gathers a cohort's values.  Nulls don't count.
+    """
+    c = running_counts(count_values(df, by, value), by, value)
+
+    def at(place: Column) -> Column:
+        return F.max(F.when((F.col("below") <= place) & (place < F.col("below") + F.col("n")), F.col(value)))
+
+    aggs = []
+    for name, q in shares.items():
+        place = (F.col("rows") - 1) * F.lit(q)
+        aggs += [at(F.floor(place)).alias(f"__lo_{name}"), at(F.ceil(place)).alias(f"__hi_{name}"), F.max(place - F.floor(place)).alias(f"__part_{name}")]
+    got = c.groupBy(*by).agg(*aggs)
+    return got.select(*by, *[(F.col(f"__lo_{n}") + (F.col(f"__hi_{n}") - F.col(f"__lo_{n}")) * F.col(f"__part_{n}")).alias(n) for n in shares])
+
+
 def distinct_rank(place: Column, values: Column) -> Column:
     """Share of the distinct values that are smaller; 0 where there is one value only."""
     return F.when(values > 1, place / (values - 1)).otherwise(F.lit(0.0))

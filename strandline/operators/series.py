@@ -4,9 +4,13 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..settle import settled
+
 
 def asof_carry(points: DataFrame, rows: DataFrame, key: str, time: str, carried: list[str], tie: str) -> DataFrame:
     """``rows`` with each column of ``carried`` as of the latest point that has it, at or before the row's time.
@@ -34,16 +38,26 @@ def interval_pairs(rows: DataFrame, key: str, time: Column, window: float, cols:
     return out.drop("__b")
 
 
-def trailing(key: str, micros: Column, width: int) -> Window:
-    """Rows of the key from ``width`` before up to this row's time, both included; times are whole numbers."""
-    return Window.partitionBy(key).orderBy(micros).rangeBetween(-width, 0)
+def trailing_counts(rows: DataFrame, key: str, micros: str, width: int, kinds: dict[str, Column]) -> DataFrame:
+    """``rows`` with, per name in ``kinds``, how many rows of the key from ``width`` before up to this row's time fulfil its condition; times are whole numbers.
+
+    A row counts from its time on and stops when it is too old.  Time is cut into blocks of ``width``; a row stands in its own block, and from the start of the next one
+    until it is too old.  A running sum within a block is all that is needed: the work is linear, and a key of any length spreads over its blocks.
+    """
+    b = F.floor(F.col(micros) / F.lit(width)).cast("long")
+    step = lambda block, at, sign, own: F.struct(block.alias("b"), at.alias("at"), F.lit(sign).alias("sign"), F.lit(own).alias("own"))
+    steps = F.array(step(b, F.col(micros), 1, True), step(b + 1, (b + 1) * width, 1, False), step(b + 1, F.col(micros) + width + 1, -1, False))
+    marked = rows.select(F.struct(*rows.columns).alias("__row"), F.col(key).alias("__key"), *[c.cast("int").alias(f"__{k}") for k, c in kinds.items()], F.explode(steps).alias("__s"))
+    run = Window.partitionBy("__key", "__s.b").orderBy("__s.at").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    sums = [F.sum(F.coalesce(F.col(f"__{k}"), F.lit(0)) * F.col("__s.sign")).over(run).alias(k) for k in kinds]
+    return marked.select("__row", "__s.own", *sums).where("own").select("__row.*", *kinds)
 
 
-def entropy(items: Column) -> Column:
-    """Bits of the distribution of an array's values."""
-    n = F.size(items)
-    shares = F.transform(F.array_distinct(items), lambda v: F.size(F.filter(items, lambda x: x == v)) / n)
-    return F.abs(F.aggregate(shares, F.lit(0.0), lambda s, p: s - p * F.log2(p)))
+def entropy_bits(counts: list[Column]) -> Column:
+    """Bits of a distribution given by its counts."""
+    n = sum(counts[1:], counts[0])
+    parts = [F.when(c > 0, c / n * F.log2(c / n)).otherwise(0.0) for c in counts]
+    return F.abs(sum(parts[1:], parts[0]))
 
 
 def decayed_sum(rows: DataFrame, key: str, time: str, value: str, tau: float, tie: list[str], out: str) -> DataFrame:
@@ -67,23 +81,72 @@ def decayed_sum(rows: DataFrame, key: str, time: str, value: str, tau: float, ti
     return state.select(*rows.columns, ((F.col("__run") + F.col("__c")) * F.exp(-F.col("__o") / tau)).alias(out))
 
 
+#: A block of tolerance rows is as long as so many tolerances.
+ROW_BLOCK = 256
+
+
+def _first_beyond(ts: np.ndarray, start: np.ndarray, width: float) -> np.ndarray:
+    """Of each start, the place of the first of the sorted ``ts`` that is more than ``width`` later."""
+    at = np.searchsorted(ts, start + width, "right")
+    while (back := (at > 0) & (ts[np.maximum(at - 1, 0)] - start > width)).any():  # the sum may be rounded
+        at = at - back
+    while (on := (at < len(ts)) & (ts[np.minimum(at, len(ts) - 1)] - start <= width)).any():
+        at = at + on
+    return at
+
+
 def tolerance_rows(rows: DataFrame, key: str, time: str, width: float) -> DataFrame:
     """key, row (from 0), start, n: events within ``width`` of a row's first event belong to it; rows don't chain.
 
-    Gaps wider than ``width`` always end a row, so a key falls into stretches that are folded each by itself: a fold's state is its
-    array of rows, and only a stretch without such a gap stands in one task.
+    What a block of time does to the row that is open at its start depends only on which of the block's first events begins a new row: a small table of
+    entries.  Blocks make theirs by themselves; a pass over the entries of a key, about one event in ``ROW_BLOCK``, tells where each block is entered; blocks then
+    give their rows by themselves.  So a key of any length spreads over its blocks.  Null times don't count.
     """
-    order = Window.partitionBy(key).orderBy(time)
-    gap = F.col(time) - F.lag(time).over(order)
-    cut = rows.withColumn("__new", F.when(gap.isNull() | (gap > width), 1).otherwise(0)).withColumn("__s", F.sum("__new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    stretch = cut.groupBy(key, "__s").agg(F.sort_array(F.collect_list(time)).alias("ts"))
-    first = F.struct(F.lit(None).cast("double").alias("a"), F.array().cast("array<double>").alias("starts"))
-    t = F.transform("ts", lambda x: x.cast("double"))
-    starts = F.aggregate(t, first, lambda acc, x: F.when(acc["a"].isNull() | (x - acc["a"] > width), F.struct(x.alias("a"), F.concat(acc["starts"], F.array(x)).alias("starts"))).otherwise(acc), lambda acc: acc["starts"])
-    each = stretch.select(key, t.alias("ts"), F.posexplode(starts).alias("i", "start"), starts.alias("starts"))
-    upto = F.coalesce(F.get("starts", F.col("i") + 1), F.lit(float("inf")))
-    each = each.select(key, "start", F.size(F.filter("ts", lambda x: (x >= F.col("start")) & (x < upto))).cast("long").alias("n"))
-    return each.withColumn("row", F.row_number().over(Window.partitionBy(key).orderBy("start")).cast("long") - 1)
+    kind, span = rows.schema[key].dataType.simpleString(), ROW_BLOCK * width
+    base = rows.where(F.col(time).isNotNull()).select(F.col(key).alias("k"), F.col(time).cast("double").alias("t")).withColumn("b", F.floor(F.col("t") / span).cast("long"))
+    base = settled(base.repartition("k", "b"))
+
+    def entries(f: pd.DataFrame) -> pd.DataFrame:
+        ts, block = np.sort(f["t"].to_numpy()), int(f["b"].iloc[0])
+        after = _first_beyond(ts, ts, width)
+        last, count = np.arange(len(ts)), np.ones(len(ts), np.int64)
+        for i in range(len(ts) - 1, -1, -1):
+            if after[i] < len(ts):
+                last[i], count[i] = last[after[i]], count[after[i]] + 1
+        # The open row began before the block, so that it ends before this.
+        n = min(len(ts), int(np.searchsorted(ts, block * span + 2 * width, "left")) + 1)
+        return pd.DataFrame({"k": f["k"].iloc[0], "b": block, "entry": ts[:n], "last": ts[last[:n]], "starts": count[:n]})
+
+    table = base.groupBy("k", "b").applyInPandas(entries, f"k {kind}, b long, entry double, last double, starts long")
+
+    def follow(f: pd.DataFrame) -> pd.DataFrame:
+        f = f.sort_values(["b", "entry"])
+        block, entry, last, starts = (f[c].to_numpy() for c in ("b", "entry", "last", "starts"))
+        cuts = [0, *(np.flatnonzero(block[1:] != block[:-1]) + 1).tolist(), len(block)]
+        begun, done, out = np.nan, 0, []
+        for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
+            at = lo if np.isnan(begun) else lo + int(_first_beyond(entry[lo:hi], np.array([begun]), width)[0])
+            out.append((block[lo], begun, entry[at] if at < hi else np.nan, done))
+            if at < hi:
+                begun, done = last[at], done + int(starts[at])
+        return pd.DataFrame(out, columns=["b", "open", "entry", "done"]).assign(k=f["k"].iloc[0])[["k", "b", "open", "entry", "done"]]
+
+    entered = table.groupBy("k").applyInPandas(follow, f"k {kind}, b long, open double, entry double, done long")
+    entered = settled(entered.select(F.col("k").alias("k2"), F.col("b").alias("b2"), "open", "entry", "done"))
+
+    def give(f: pd.DataFrame) -> pd.DataFrame:
+        ts, opened, entry, done = np.sort(f["t"].to_numpy()), f["open"].iloc[0], f["entry"].iloc[0], int(f["done"].iloc[0])
+        at = len(ts) if entry is None or np.isnan(entry) else int(np.searchsorted(ts, entry, "left"))
+        out = [(done - 1, opened, at)] if at else []
+        after = _first_beyond(ts, ts, width)
+        while at < len(ts):
+            out.append((done, ts[at], int(after[at]) - at))
+            done, at = done + 1, int(after[at])
+        return pd.DataFrame(out, columns=["row", "start", "n"]).assign(k=f["k"].iloc[0])[["k", "row", "start", "n"]]
+
+    both = base.join(entered, base["k"].eqNullSafe(entered["k2"]) & (base["b"] == entered["b2"])).select("k", "b", "t", "open", "entry", "done")
+    parts = both.groupBy("k", "b").applyInPandas(give, f"k {kind}, row long, start double, n long")
+    return parts.groupBy(F.col("k").alias(key), "row", "start").agg(F.sum("n").alias("n")).select(key, "start", "n", "row")
 
 
 def section_peaks(rows: DataFrame, key: str, offset: Column, width: float, value: Column) -> DataFrame:

@@ -97,8 +97,8 @@ def section_stats(spark, d):
 @query("""SELECT event_type, round(quantile_cont(value, 0.97), 6) AS q97, round(quantile_cont(value, 0.90), 6) AS q90,
   round(quantile_cont(value, 0.75), 6) AS q75, round(quantile_cont(value, 0.50), 6) AS q50 FROM events GROUP BY 1""")
 def exact_quantile(spark, d):
-    ev = read(spark, d, "events")
-    return ev.groupBy("event_type").agg(*[r6(F.percentile("value", q)).alias(f"q{round(100 * q)}") for q in (0.97, 0.90, 0.75, 0.50)])
+    q = ranks.quantiles(read(spark, d, "events"), "value", {"q97": 0.97, "q90": 0.90, "q75": 0.75, "q50": 0.50}, ["event_type"])
+    return q.select("event_type", *[r6(c).alias(c) for c in ("q97", "q90", "q75", "q50")])
 
 
 @query("SELECT p_brand, list_sort(list(p_retailprice))[count(*) // 2 + 1] AS median FROM part GROUP BY 1")
@@ -132,14 +132,15 @@ def argmax_last_tie(spark, d):
 
 @query(EV + " SELECT event_id, count(*) OVER (PARTITION BY user_id ORDER BY t RANGE BETWEEN 86400 PRECEDING AND CURRENT ROW)::BIGINT AS n FROM e")
 def trailing_range_count(spark, d):
-    return events(spark, d).select("event_id", F.count(F.lit(1)).over(series.trailing("user_id", F.col("us"), 86_400_000_000)).alias("n"))
+    return series.trailing_counts(events(spark, d), "user_id", "us", 86_400_000_000, {"n": F.lit(True)}).select("event_id", "n")
 
 
 @query(EV + """, w AS (SELECT a.event_id, b.event_type, count(*) AS c FROM e a JOIN e b ON a.user_id = b.user_id AND b.t BETWEEN a.t - 259200 AND a.t GROUP BY 1, 2),
 s AS (SELECT *, sum(c) OVER (PARTITION BY event_id) AS n FROM w) SELECT event_id, round(abs(sum(-(c / n::DOUBLE) * log2(c / n::DOUBLE))), 6) AS bits FROM s GROUP BY 1""")
 def entropy_window(spark, d):
-    w = series.trailing("user_id", F.col("us"), 3 * 86_400_000_000)
-    return events(spark, d).withColumn("seen", F.collect_list("event_type").over(w)).select("event_id", r6(series.entropy(F.col("seen"))).alias("bits"))
+    kinds = {f"n_{x}": F.col("event_type") == x for x in TYPES}
+    seen = series.trailing_counts(events(spark, d), "user_id", "us", 3 * 86_400_000_000, kinds)
+    return seen.select("event_id", r6(series.entropy_bits([F.col(k) for k in kinds])).alias("bits"))
 
 
 @query(EV + """ SELECT a.event_id, round(sum(b.value * exp(-(a.t - b.t) / 21600::DOUBLE)), 6) AS state FROM e a JOIN e b ON a.user_id = b.user_id
@@ -489,10 +490,11 @@ def windowed_counts(spark, d):
 ORACLE["windowed_counts"] = "SELECT date_trunc('hour', ts) AS start, event_type, count(*)::BIGINT AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2"
 
 
-@query("""SELECT page_id, replace(replace(replace(replace(replace(href, '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#039;', ''''), '&amp;', '&') AS href FROM
-  (SELECT page_id, regexp_extract(html, 'href="([^"]*)"', 1) AS href FROM pages) WHERE href <> ''""")
+@query("""SELECT page_id, at, replace(replace(replace(replace(replace(href, '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#039;', ''''), '&amp;', '&') AS href FROM
+  (SELECT page_id, unnest(l) AS href, unnest(range(0, len(l)))::BIGINT AS at FROM (SELECT page_id, regexp_extract_all(html, 'href="([^"]*)"', 1) AS l FROM pages))""")
 def entity_decode(spark, d):
     from ..sources.catalogue_text import entities
 
-    first = F.regexp_extract("html", 'href="([^"]*)"', 1)
-    return read(spark, d, "pages").select("page_id", first.alias("href")).where("href <> ''").select("page_id", entities(F.col("href")).alias("href"))
+    found = F.regexp_extract_all("html", F.lit('href="([^"]*)"'), F.lit(1))
+    links = read(spark, d, "pages").select("page_id", F.posexplode(found).alias("at", "href"))
+    return links.select("page_id", F.col("at").cast("long").alias("at"), entities(F.col("href")).alias("href"))

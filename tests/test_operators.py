@@ -51,6 +51,42 @@ def test_tolerance_rows_and_pairs(spark):
     assert pairs == sum(1 for a in range(200) for b in range(a) if ts[a] - ts[b] <= 3)
 
 
+def test_tolerance_rows_over_many_blocks(spark):
+    r = random.Random(3)
+    dense = [round(r.uniform(-900, 900), 1) for _ in range(6000)]
+    sparse = [r.choice([-5000.0, 0.0, 256.0, 512.0, 511.0, 513.0, 7000.0]) + r.choice([0.0, 1.0, 2.0]) for _ in range(60)]
+    rows = [("d", t) for t in dense] + [(None, t) for t in sparse] + [("d", None)]
+    df = spark.createDataFrame(rows, "k string, t double")
+    for width in (1.0, 0.1):
+        got = sorted((str(x["k"]), x["row"], x["start"], x["n"]) for x in series.tolerance_rows(df, "k", "t", width).collect())
+        want = []
+        for key, ts in (("None", sparse), ("d", dense)):
+            start, row = None, -1
+            for t in sorted(ts):
+                if start is None or t - start > width:
+                    start, row = t, row + 1
+                    want.append([key, row, t, 0])
+                want[-1][3] += 1
+        assert got == [tuple(w) for w in sorted(want)]
+    assert series.tolerance_rows(df.limit(0), "k", "t", 1.0).count() == 0
+
+
+def test_trailing_counts_and_quantiles(spark):
+    r = random.Random(5)
+    rows = [(i, r.choice("ab"), r.randrange(-300, 300), r.choice("xyz")) for i in range(300)]
+    df = spark.createDataFrame(rows, "i int, k string, us long, kind string")
+    got = {x["i"]: (x["n"], x["x"]) for x in series.trailing_counts(df, "k", "us", 50, {"n": F.lit(True), "x": F.col("kind") == "x"}).collect()}
+    for i, k, us, _ in rows:
+        near = [o for o in rows if o[1] == k and us - 50 <= o[2] <= us]
+        assert got[i] == (len(near), sum(o[3] == "x" for o in near))
+    q = {x["k"]: (x["lo"], x["hi"]) for x in ranks.quantiles(df, "us", {"lo": 0.1, "hi": 0.97}, ["k"]).collect()}
+    for k in "ab":
+        values = sorted(o[2] for o in rows if o[1] == k)
+        at = lambda share: (len(values) - 1) * share
+        want = [values[math.floor(at(s))] + (values[math.ceil(at(s))] - values[math.floor(at(s))]) * (at(s) % 1) for s in (0.1, 0.97)]
+        assert q[k] == pytest.approx(want)
+
+
 def test_upserts_and_audits(spark):
     old = spark.createDataFrame([(1, "a"), (2, "b")], "id long, v string")
     new = spark.createDataFrame([(2, "c"), (2, "d"), (3, "e")], "id long, v string")
