@@ -46,10 +46,6 @@ def slider_speed(multiplier: Column, velocity: Column, beat: Column) -> Column:
     return F.greatest(multiplier, F.lit(0.0)) * 100.0 * velocity * 1000.0 / F.greatest(beat, F.lit(1.0))
 
 
-def strain_rate(dt: Column, base: float, offset: float, power: float) -> Column:
-    return F.least(F.pow(base / F.greatest(dt + offset, F.lit(16.0)), F.lit(power)), F.lit(8.0))
-
-
 def lane_of(x: Column, keys: Column) -> Column:
     """In two steps, by 128ths: not the same as one division."""
     fine = F.floor(clamp(x, 0.0, 511.999) / 512.0 * 128.0)

@@ -6,6 +6,8 @@ carry state is computed for all rows at once; the decaying states step through t
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -23,14 +25,23 @@ LOCAL = (0.20, 0.16, 0.14, 0.14, 0.11, 0.10, 0.10, 0.05)
 HAND_TAU = 8000.0
 
 
-def family_code(ln_ratio: Column, hybrid_ratio: Column) -> Column:
-    return F.when(ln_ratio <= 0.15, 0).when(ln_ratio >= 0.90, 3).when(hybrid_ratio >= 0.10, 1).otherwise(2)
+# Of the family rule.
+FEW_LONG, MOST_LONG, HYBRID = 0.15, 0.90, 0.10
+
+
+def family_code(ln_ratio: Column, hybrid_ratio: Column, kind: str = "double") -> Column:
+    """``kind``: of the ratios, for the bounds are compared as such."""
+    few, most, hybrid = (F.lit(x).cast(kind) for x in (FEW_LONG, MOST_LONG, HYBRID))
+    return F.when(ln_ratio <= few, 0).when(ln_ratio >= most, 3).when(hybrid_ratio >= hybrid, 1).otherwise(2)
 
 
 def bits(mask: np.ndarray) -> np.ndarray:
     return np.bitwise_count(mask.astype(np.uint64)).astype(np.int64)
 
 
+# Fixed values further down: of each strain's rates, of the parts of each input, and of the parts of an axis.
+
+
 def rate(dt: np.ndarray, base: float, offset: float, power: float) -> np.ndarray:
     return np.minimum((base / np.maximum(dt + offset, 16.0)) ** power, 8.0)
 
@@ -77,23 +88,38 @@ def gaps(t: np.ndarray, used: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def window_start(t: np.ndarray, width: float) -> np.ndarray:
     """The first row that is at most ``width`` before each."""
-    lo, out = 0, np.empty(len(t), np.int64)
-    for i, x in enumerate(t):
-        while x - t[lo] > width:
-            lo += 1
-        out[i] = lo
-    return out
+    lo = np.searchsorted(t, t - width, "left")
+    while (far := t - t[lo] > width).any():  # the difference may be rounded
+        lo = lo + far
+    while (more := (lo > 0) & (t - t[np.maximum(lo - 1, 0)] <= width)).any():
+        lo = lo - more
+    return lo
 
 
 def trailing_entropy(items: np.ndarray, lo: np.ndarray, most_bits: float) -> np.ndarray:
-    """Of the non-negative items in each trailing window, as a share of ``most_bits``."""
-    out = np.zeros(len(items))
-    for i in range(len(items)):
-        seen = items[lo[i] : i + 1]
-        seen = seen[seen >= 0]
-        if len(seen):
-            p = np.unique(seen, return_counts=True)[1] / len(seen)
-            out[i] = min(max(float(-(p * np.log2(p)).sum()) / most_bits, 0.0), 1.0)
+    """Of the non-negative items in each trailing window, as a share of ``most_bits``.
+
+    Counts run along with the window; with n items of which c are equal, the bits are log n - sum(c log c) / n.
+    """
+    weigh = np.append(0.0, np.arange(1, len(items) + 1) * np.log2(np.arange(1, len(items) + 1))).tolist()
+    _, kind = np.unique(items, return_inverse=True)
+    kind, counts, out = np.where(items < 0, -1, kind).tolist(), [0] * (len(items) + 1), np.zeros(len(items))
+    n, total, first = 0, 0.0, 0
+
+    def add(k: int, by: int) -> None:
+        nonlocal n, total
+        if k >= 0:
+            total += weigh[counts[k] + by] - weigh[counts[k]]
+            counts[k] += by
+            n += by
+
+    for i, start in enumerate(lo.tolist()):
+        add(kind[i], 1)
+        while first < start:
+            add(kind[first], -1)
+            first += 1
+        if n:
+            out[i] = min(max((math.log2(n) - total / n) / most_bits, 0.0), 1.0)
     return out
 
 
@@ -115,7 +141,7 @@ def axis_value(values: np.ndarray, t: np.ndarray) -> float:
 
 
 def analyse(start: np.ndarray, column: np.ndarray, end: np.ndarray, long: np.ndarray, keys: int, bpm: float, sv_changes: int) -> dict | None:
-    """Difficulty, style and base features of a chart, family and dominant pattern; None where a value isn't finite."""
+    """Difficulty, style and base features of a chart, and its dominant pattern; None where a value isn't finite."""
     rows = timeline(start, column, end, long, keys)
     h = rows["head"] != 0
     t, head, tap, ln = (rows[k][h] for k in ("t", "head", "tap", "long"))
@@ -141,10 +167,10 @@ def analyse(start: np.ndarray, column: np.ndarray, end: np.ndarray, long: np.nda
         turned[z] = on & (last != 0) & (last & used[z] == 0)
         turning[z] = np.where(turned[z] > 0, rate(zdt, 205.0, 45.0, 1.05), 0.0)
         overlap[z] = on & (last & used[z] != 0)
-        level = 0.0
-        for i in at:
-            level = level * np.exp(-max(zdt[i], 0.0) / HAND_TAU) + strain[z][i]
-            stamina[z, i:] = level
+        levels = [0.0]
+        for fade, x in zip(np.exp(-np.maximum(zdt[at], 0.0) / HAND_TAU).tolist(), strain[z][at].tolist(), strict=True):
+            levels.append(levels[-1] * fade + x)
+        stamina[z] = np.array(levels)[np.cumsum(on)]
     busy = (used != 0).sum(0)
     in0 = 0.55 * row_rate + 0.30 * strain.max(0) + 0.15 * strain.sum(0) / np.maximum(busy, 1)
     in1 = np.maximum((0.70 * strain + 0.30 * turning).max(0), 0.0)
@@ -224,11 +250,9 @@ def analyse(start: np.ndarray, column: np.ndarray, end: np.ndarray, long: np.nda
     difficulty = [axis_value(values[:, k], all_t) for k in range(8)]
     if not np.isfinite([*difficulty, *shares, *structure, *base]).all():
         return None
-    ratio, mixed = structure[6], structure[8]
-    family = 0 if ratio <= 0.15 else 3 if ratio >= 0.90 else 1 if mixed >= 0.10 else 2
     dominant = max(range(6), key=lambda k: (shares[k], k))
     as_f = lambda names, xs: dict(zip(names, map(float, map(np.float32, xs)), strict=True))
-    return {"difficulty": as_f(MANIA_AXES, difficulty), "style": as_f(PATTERNS + STRUCTURE, [*shares, *structure]), "base": as_f(MANIA_BASE, base), "mode_family": family, "dominant_pattern": dominant}
+    return {"difficulty": as_f(MANIA_AXES, difficulty), "style": as_f(PATTERNS + STRUCTURE, [*shares, *structure]), "base": as_f(MANIA_BASE, base), "dominant_pattern": dominant}
 
 
 def _spread(x: np.ndarray, h: np.ndarray) -> np.ndarray:
@@ -241,16 +265,18 @@ def _struct(names: tuple[str, ...]) -> str:
     return "struct<" + ",".join(f"{n}:float" for n in names) + ">"
 
 
-FEATURES = f"chart_id long, status string, difficulty {_struct(MANIA_AXES)}, style {_struct(PATTERNS + STRUCTURE)}, base {_struct(MANIA_BASE)}, mode_family int, dominant_pattern int"
+FEATURES = f"chart_id long, status string, difficulty {_struct(MANIA_AXES)}, style {_struct(PATTERNS + STRUCTURE)}, base {_struct(MANIA_BASE)}, dominant_pattern int"
 
 
 def mania_features(objects: DataFrame, charts: DataFrame) -> DataFrame:
-    """FEATURES of each chart.  ``objects``: chart_id, start, column, end, long; ``charts``: chart_id, key_count, bpm, sv_changes."""
+    """FEATURES and mode_family of each chart.  ``objects``: chart_id, start, column, end, long; ``charts``: chart_id, key_count, bpm, sv_changes."""
     whole = objects.join(charts, "chart_id")
 
     def one(f: pd.DataFrame) -> pd.DataFrame:
         r = analyse(f["start"].to_numpy(float), f["column"].to_numpy(np.int64), f["end"].to_numpy(float), f["long"].to_numpy(bool), int(f["key_count"].iloc[0]), float(f["bpm"].iloc[0]), int(f["sv_changes"].iloc[0]))
-        names = ("difficulty", "style", "base", "mode_family", "dominant_pattern")
+        names = ("difficulty", "style", "base", "dominant_pattern")
         return pd.DataFrame([[f["chart_id"].iloc[0], "ok" if r else "invalid", *((r or {}).get(k) for k in names)]], columns=["chart_id", "status", *names])
 
-    return whole.groupBy("chart_id").applyInPandas(one, FEATURES)
+    found = whole.groupBy("chart_id").applyInPandas(one, FEATURES)
+    family = family_code(F.col("style.ln_note_ratio"), F.col("style.hybrid_row_ratio"), "float")
+    return found.withColumn("mode_family", F.when(F.col("style").isNotNull(), family))

@@ -76,27 +76,29 @@ def overlap_pairs(objects: DataFrame, meta: DataFrame, cfg: OverlapConfig) -> Da
     cur, pri = F.col("cur"), F.col("pri")
     visible = S.interval_overlap(cur["t"] - F.col("preempt"), cur["end_time"], pri["t"] - F.col("preempt"), pri["end_time"])
     p = p.withColumn("visible", visible).where("visible > 0")
-    dt = F.abs(cur["t"] - pri["t"])
-    fade = F.exp(-dt / cfg.temporal_tau_ms)
-    p = p.withColumn("q", object_distance(cur, pri) / F.greatest(2.0 * F.col("radius"), F.lit(1.0)))
+    # What several terms use is a column of its own: expressions that contain each other several times make code too long to compile.
+    p = p.withColumns({"dt": F.abs(cur["t"] - pri["t"]), "q": object_distance(cur, pri) / F.greatest(2.0 * F.col("radius"), F.lit(1.0))})
     q = F.col("q")
-    near = q <= cfg.maximum_distance_ratio
+    p = p.withColumns({"near": q <= cfg.maximum_distance_ratio, "fade": F.exp(-F.col("dt") / cfg.temporal_tau_ms), "push": S.speed_pressure(F.col("dt")), "a_slider": cur["kind"] == "slider", "b_slider": pri["kind"] == "slider"})
     square = lambda x: x * x
     spatial = 0.8 * square(F.greatest(1.0 - q, F.lit(0.0))) + 0.2 * square(F.greatest(1.0 - q / cfg.maximum_distance_ratio, F.lit(0.0)))
-    p = p.withColumn("spatial", F.when(near, spatial).otherwise(0.0))
-    sp, push = F.col("spatial"), S.speed_pressure(dt)
-    a_slider, b_slider = cur["kind"] == "slider", pri["kind"] == "slider"
-    circle, slider = F.when(a_slider & b_slider, 0.0).otherwise(sp), F.when(a_slider | b_slider, sp).otherwise(0.0)
-    stack = F.when(near & (q <= cfg.stack_distance_ratio), sp * push).otherwise(0.0)
+    p = p.withColumn("spatial", F.when(F.col("near"), spatial).otherwise(0.0))
+    sp, push, near = F.col("spatial"), F.col("push"), F.col("near")
+    p = p.withColumns({
+        "circle": F.when(F.col("a_slider") & F.col("b_slider"), 0.0).otherwise(sp),
+        "slider": F.when(F.col("a_slider") | F.col("b_slider"), sp).otherwise(0.0),
+        "stack": F.when(near & (q <= cfg.stack_distance_ratio), sp * push).otherwise(0.0),
+        "crossing": near & F.col("pri.before").isNotNull() & F.col("cur.before").isNotNull(),
+        "ux": pri["x"] - pri["before"]["x"], "uy": pri["y"] - pri["before"]["y"], "vx": cur["x"] - cur["before"]["x"], "vy": cur["y"] - cur["before"]["y"],
+    })
+    p = p.withColumn("apart", F.when(F.col("crossing"), segment_to_segment(pri["before"], pri, cur["before"], cur)))
+    u, v = length(F.col("ux"), F.col("uy")), length(F.col("vx"), F.col("vy"))
+    angle = S.clamp(F.abs(F.col("ux") * F.col("vy") - F.col("uy") * F.col("vx")) / F.greatest(u * v, F.lit(1.0)), 0.0, 1.0)
+    p = p.withColumn("cross", F.when(F.col("apart") <= F.col("radius"), angle * F.col("fade")).otherwise(0.0))
     ambiguity = sp / F.sqrt((cur["i"] - pri["i"]).cast("double"))
-    ux, uy = pri["x"] - pri["before"]["x"], pri["y"] - pri["before"]["y"]
-    vx, vy = cur["x"] - cur["before"]["x"], cur["y"] - cur["before"]["y"]
-    apart = segment_to_segment(pri["before"], pri, cur["before"], cur) > F.col("radius")
-    cross = F.when(pri["before"].isNull() | cur["before"].isNull() | apart, 0.0).otherwise(S.clamp(F.abs(ux * vy - uy * vx) / F.greatest(length(ux, uy) * length(vx, vy), F.lit(1.0)), 0.0, 1.0))
-    cross = F.when(near, cross * fade).otherwise(0.0)
-    weighed = cfg.circle_weight * circle + cfg.slider_weight * slider + cfg.ambiguity_weight * ambiguity + cfg.stack_weight * stack + cfg.crossing_weight * cross
-    score = F.when(near, F.col("visible") / F.greatest(F.col("preempt"), F.lit(1.0)) * fade * push * weighed).otherwise(0.0)
-    return p.select("chart_id", cur["i"].alias("i"), score.alias("score"), (stack > 0).alias("stacks"), (slider > 0).alias("occludes"), (cross > 0).alias("crosses"))
+    weighed = cfg.circle_weight * F.col("circle") + cfg.slider_weight * F.col("slider") + cfg.ambiguity_weight * ambiguity + cfg.stack_weight * F.col("stack") + cfg.crossing_weight * F.col("cross")
+    score = F.when(near, F.col("visible") / F.greatest(F.col("preempt"), F.lit(1.0)) * F.col("fade") * push * weighed).otherwise(0.0)
+    return p.select("chart_id", cur["i"].alias("i"), score.alias("score"), (F.col("stack") > 0).alias("stacks"), (F.col("slider") > 0).alias("occludes"), (F.col("cross") > 0).alias("crosses"))
 
 
 def overlap_statistics(objects: DataFrame, meta: DataFrame, cfg: OverlapConfig | None = None) -> DataFrame:
