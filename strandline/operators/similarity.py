@@ -74,17 +74,25 @@ def band_radius(candidates: DataFrame, center: Column, least_total: int, least_f
     return listed.select(F.coalesce(F.array_min(good), F.lit(9)).alias("radius"))
 
 
+def searchable_vector() -> Column:
+    """The 24 numbers of a lane chart that a vector search goes by: difficulty, then style."""
+    return F.array(*[F.col(f"difficulty.{a}") for a in MANIA_AXES], *[F.col(f"style.{a}") for a in PATTERNS + STRUCTURE])
+
+
 def mania_similar(features: DataFrame, target: DataFrame, query: ManiaQuery | None = None) -> DataFrame:
     """Charts of the target's key count in bands around its own, by a distance of five weighted components.
 
-    ``features`` is best partitioned by key count and band.  ``target``: one row of the same columns, in the corpus or not.
+    ``features`` is best partitioned by key count and band.  ``target``: one row of the same columns, in the corpus or not; one of another
+    analyzer or normalisation than the features is an error.
     """
     q = query or ManiaQuery()
     if not 1 <= q.limit <= 100:
         raise ValueError("the limit must be between 1 and 100")
     names = ["beatmap_id", "beatmapset_id", "key_count", "mode_family", "difficulty_band", "difficulty_percentile", "difficulty", "style", "base", "analyzer_version", "normalization_version"]
     t = target.limit(1).select(*[F.col(n).alias(f"t_{n}") for n in names])
-    cand = features.join(F.broadcast(t), (F.col("key_count") == F.col("t_key_count")) & (F.col("analyzer_version") == F.col("t_analyzer_version")) & (F.col("normalization_version") == F.col("t_normalization_version")))
+    same = (F.col("analyzer_version") == F.col("t_analyzer_version")) & (F.col("normalization_version") == F.col("t_normalization_version"))
+    cand = features.join(F.broadcast(t), F.col("key_count") == F.col("t_key_count"))
+    cand = cand.where(F.when(same, True).otherwise(F.raise_error(F.lit("the target is of another version")).cast("boolean")))
     out = F.col("beatmap_id") == F.col("t_beatmap_id")
     if not q.include_same_set:
         out = out | ((F.col("t_beatmapset_id") != 0) & (F.col("beatmapset_id") == F.col("t_beatmapset_id")))

@@ -67,6 +67,8 @@ def normalise_mania(raw: DataFrame, version: int, fitted: dict[str, DataFrame] |
     """``raw`` (status ok) with difficulty as midranks among charts of its key count, difficulty_percentile and difficulty_band."""
     raw = settled(raw)
     rows = raw.where("status = 'ok'")
+    if not rows.where(F.col("analyzer_version") != MANIA_ANALYZER).isEmpty():
+        raise ValueError("charts of another analyzer version; analyse them again first")
     fitted = fitted or fit_mania(raw)
     wide = _overall(ranks.apply_ranks(_axis_table(rows), fitted["axes"], "value", "rank", ["key_count", "axis"]))
     whole = ranks.apply_ranks(wide, fitted["overall"], "overall", "difficulty_percentile", ["key_count"])
@@ -75,6 +77,23 @@ def normalise_mania(raw: DataFrame, version: int, fitted: dict[str, DataFrame] |
     return out.withColumn("difficulty_band", S.band(F.col("difficulty_percentile")).cast("byte")).withColumn("normalization_version", F.lit(version))
 
 
+def fit_std(raw: DataFrame) -> dict[str, DataFrame]:
+    """The std normaliser: axis, value, rank and n of each distinct value."""
+    pair = F.explode(F.array(*[F.struct(F.lit(a).alias("axis"), F.col(a).cast("double").alias("value")) for a in STD_AXES]))
+    long = raw.where("status = 'ok'").select(pair.alias("p")).select("p.*")
+    return {"axes": settled(ranks.fit_distinct(long, "value", ["axis"]))}
+
+
+def std_target(raw: DataFrame, fitted: dict[str, DataFrame], version: int) -> DataFrame:
+    """Analysed charts that needn't be in the corpus, normalised as the corpus was."""
+    pair = F.explode(F.array(*[F.struct(F.lit(a).alias("axis"), F.col(a).cast("double").alias("value")) for a in STD_AXES]))
+    rows = raw.where("status = 'ok'")
+    long = rows.select("beatmap_id", pair.alias("p")).select("beatmap_id", "p.*")
+    ranked = ranks.rank_outside(long, fitted["axes"], "value", "rank", "distinct", ["axis"])
+    wide = ranked.groupBy("beatmap_id").agg(*[F.max(F.when(F.col("axis") == a, F.col("rank").cast("float"))).alias(a) for a in STD_AXES])
+    return rows.drop(*STD_AXES).join(wide, "beatmap_id").withColumn("normalization_version", F.lit(version)).withColumn("flags", F.lit(0))
+
+
 def mania_target(raw: DataFrame, fitted: dict[str, DataFrame], version: int) -> DataFrame:
     """One analysed chart that needn't be in the corpus, normalised as the corpus was."""
     long = _axis_table(raw.where("status = 'ok'").limit(1))
@@ -86,3 +105,28 @@ def mania_target(raw: DataFrame, fitted: dict[str, DataFrame], version: int) ->
 
 def labelled(features: DataFrame) -> DataFrame:
     return features.withColumn("family", S.label(F.col("mode_family"), FAMILIES)).withColumn("pattern", S.label(F.col("dominant_pattern"), PATTERN_LABELS))
+
+
+def import_archives(store, path: str, version: int, attributes: DataFrame | None = None) -> dict:
+    """All of an import in one call: archives, analysis, upsert, sources, failures, fit, publication and audit; the report of it.
+
+    Archives and charts that fail are counted and logged; the others are published.  ``attributes``: what the calculator outside says of standard charts.
+    """
+    from ..operators.std_features import std_features
+    from ..sources.archives import archive_charts
+
+    files = store.spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "content")
+    members = settled(archive_charts(files, standard_only=store.mode == "std"))
+    charts = members.where("status = 'ok'").select("chart_id", "path", "content")
+    found = settled(std_features(charts, attributes) if store.mode == "std" else mania_charts(charts))
+    report = store.upsert_raw(found)
+    store.retain_sources(charts, found)
+    broken = members.where("status not in ('ok', 'empty')").select("chart_id", "status")
+    report["failed"] += broken.count()
+    store.log_failures(found.select("chart_id", "status").unionByName(broken))
+    raw = store.raw()
+    fitted = fit_std(raw) if store.mode == "std" else fit_mania(raw)
+    store.save_normaliser(version, fitted)
+    store.publish(version, normalise_std(raw, version) if store.mode == "std" else normalise_mania(raw, version, fitted))
+    report["sound"] = store.doctor(version).where("not ok").isEmpty()
+    return report

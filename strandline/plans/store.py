@@ -1,20 +1,23 @@
-"""A versioned store of charts: Parquet snapshots with a pointer each, validated before they are published.
+"""A versioned store of charts: Parquet snapshots and one state that names those that count, validated before they are published.
 
-A table is a folder of snapshots; ``current`` names the one that counts and changes last, in one write, so a failed or half-done
-publication changes nothing.  Nothing is ever overwritten while it is read.  Paths go through Hadoop's file systems, so the store
+A table is a folder of snapshots.  The state is a small JSON file of its own number; the greatest number counts, so a change of any number of tables is one
+write, and a failed or half-done publication changes nothing.  Nothing is ever overwritten.  Paths go through Hadoop's file systems, so the store
 may lie wherever Spark reads.
 """
 
 from __future__ import annotations
 
+import json
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import scalar as S
 from ..operators import tables
-from ..schema import MANIA_AXES, PATTERNS, STD_AXES, STRUCTURE
+from ..schema import KEY_COUNTS, MANIA_ANALYZER, MANIA_AXES, MANIA_BASE, PATTERNS, STD_ANALYZER, STD_AXES, STD_BASE, STRUCTURE
+
+META = ("beatmapset_id", "artist", "title", "version", "creator", "online_url", "stars")
 
 
 class Store:
@@ -34,26 +37,34 @@ class Store:
         p = jvm.org.apache.hadoop.fs.Path(path)
         return p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), p
 
-    def _pointer(self, name: str) -> str | None:
-        fs, p = self._fs(f"{self.root}/{name}/current")
-        if not fs.exists(p):
-            return None
-        line = self.spark.read.text(f"{self.root}/{name}/current").first()
-        return line[0] if line and line[0] else None
-
-    def _point(self, name: str, to: str) -> None:
-        fs, p = self._fs(f"{self.root}/{name}/current.{uuid.uuid4().hex}")
-        out = fs.create(p, True)
-        out.write(bytearray(to.encode()))
+    def _numbers(self) -> list[int]:
+        fs, folder = self._fs(f"{self.root}/state")
+        if not fs.exists(folder):
+            return []
+        names = [x.getPath().getName() for x in fs.listStatus(folder)]
+        return sorted(int(n.removesuffix(".json")) for n in names if n.endswith(".json"))
+
+    def state(self) -> dict:
+        """The snapshot of each table, and values by name."""
+        numbers = self._numbers()
+        if not numbers:
+            return {}
+        return json.loads(self.spark.read.text(f"{self.root}/state/{numbers[-1]:012d}.json").first()[0])
+
+    def _change(self, **values) -> None:
+        """A new state with these values; None takes one away."""
+        new = {k: v for k, v in (self.state() | values).items() if v is not None}
+        number = (self._numbers() or [0])[-1] + 1
+        fs, part = self._fs(f"{self.root}/state/{uuid.uuid4().hex}.part")
+        out = fs.create(part, True)
+        out.write(bytearray(json.dumps(new, sort_keys=True).encode()))
         out.close()
-        _, target = self._fs(f"{self.root}/{name}/current")
-        if fs.exists(target):
-            fs.delete(target, False)
-        if not fs.rename(p, target):
-            raise OSError(f"{name} could not be published")
+        _, target = self._fs(f"{self.root}/state/{number:012d}.json")
+        if fs.exists(target) or not fs.rename(part, target):
+            raise OSError("another writer has changed the store")
 
     def read(self, name: str) -> DataFrame | None:
-        at = self._pointer(name)
+        at = self.state().get(name)
         return None if at is None else self.spark.read.parquet(f"{self.root}/{name}/{at}")
 
     def _write(self, name: str, df: DataFrame, by: list[str] | None = None) -> str:
@@ -65,19 +76,14 @@ class Store:
     # Raw features
 
     def snapshot_ok(self) -> bool:
-        at = self._pointer("algorithm")
-        return at is None or at == self.algorithm
+        return self.state().get("algorithm", self.algorithm) == self.algorithm
 
     def reset_snapshot(self) -> bool:
         """Drops what another algorithm made of this version; whether there was any."""
-        if self.snapshot_ok():
-            self._point("algorithm", self.algorithm)
-            return False
-        for name in ("raw", "features", "stats"):
-            if self._pointer(name):
-                self._point(name, "")
-        self._point("algorithm", self.algorithm)
-        return True
+        stale = not self.snapshot_ok()
+        gone = dict.fromkeys(("raw", "features", "stats", "index", "normaliser"), None) if stale else {}
+        self._change(algorithm=self.algorithm, **gone)
+        return stale
 
     def pending(self, charts: DataFrame) -> DataFrame:
         """``charts`` (sha256, and beatmap_id where it is known) without those that are analysed already, by the same algorithm."""
@@ -88,37 +94,49 @@ class Store:
         """Adds analysed charts; the same content again changes nothing, other content replaces the chart's row and voids what was published."""
         if not self.snapshot_ok():
             raise ValueError("the store was made by another algorithm: reset it first")
-        bad = df.where(F.col("status") == "ok").where(~self.valid_raw())
+        bad = df.where(F.col("status") == "ok").where(~F.coalesce(self.valid_raw(), F.lit(False)))
         if not bad.isEmpty():
             raise ValueError("raw features outside their range")
         good = tables.latest(df.where(F.col("status") == "ok"), ["beatmap_id"], [F.col("sha256")])
         old = self.read("raw")
-        same = good.join(old.select("beatmap_id", "sha256"), ["beatmap_id", "sha256"], "left_semi") if old is not None else good.limit(0)
-        if old is not None and self.mode == "std":
-            same = good.join(old.select("beatmap_id", "sha256", F.col("stars").alias("__stars")), ["beatmap_id", "sha256"]).where(F.col("stars").eqNullSafe(F.col("__stars"))).drop("__stars")
-        fresh = good.join(same.select("beatmap_id"), "beatmap_id", "left_anti")
+        known = good.limit(0) if old is None else good.join(old.select("beatmap_id", "sha256"), ["beatmap_id", "sha256"], "left_semi")
+        fresh = good.join(known.select("beatmap_id"), "beatmap_id", "left_anti")
         counts = {r["status"]: r["count"] for r in df.groupBy("status").count().collect()}
         n = fresh.count()
         report = {"processed": sum(counts.values()), "inserted": n, "skipped": counts.get("ok", 0) - n, "failed": sum(v for k, v in counts.items() if k != "ok")}
+        stale = self._stale(known, old)
         if n:
-            at = self._write("raw", fresh if old is None else tables.upsert(old, fresh.select(*old.columns), ["beatmap_id"]))
-            self._point("algorithm", self.algorithm)
-            for name in ("stats", "features"):
-                if self._pointer(name):
-                    self._point(name, "")
-            self._point("raw", at)
+            merged = fresh if old is None else tables.upsert(_renamed(old, stale), fresh.select(*old.columns), ["beatmap_id"])
+            self._change(algorithm=self.algorithm, stats=None, features=None, index=None, raw=self._write("raw", merged))
+        elif stale is not None:
+            self._change(algorithm=self.algorithm, stats=None, raw=self._write("raw", _renamed(old, stale)))
+        self._count_scan(counts)
         return report
 
-    def valid_raw(self):
-        inside = lambda c, lo, hi=None: F.col(c).isNotNull() & ~F.isnan(c) & (F.col(c) >= lo) & (F.col(c) < float("inf")) & (F.lit(True) if hi is None else F.col(c) <= hi)
+    def _stale(self, known: DataFrame, old: DataFrame | None) -> DataFrame | None:
+        """Names and stars of charts whose content is the same and whose stars aren't; None if there is no such chart."""
+        if old is None or self.mode != "std":
+            return None
+        before = old.select("beatmap_id", F.col("stars").alias("__stars"))
+        new = known.join(before, "beatmap_id").where(~F.col("stars").eqNullSafe(F.col("__stars"))).select("beatmap_id", *META)
+        return None if new.isEmpty() else new
+
+    def _count_scan(self, counts: dict[str, int]) -> None:
+        unsupported = sum(v for k, v in counts.items() if k.startswith("unsupported"))
+        eligible = counts.get("ok", 0)
+        self._change(scan={"eligible": eligible, "unsupported": unsupported, "failed": sum(counts.values()) - eligible - unsupported})
+
+    def scan_counts(self) -> dict[str, int]:
+        """How many charts of the last run were eligible, unsupported and failed."""
+        return self.state().get("scan", {"eligible": 0, "unsupported": 0, "failed": 0})
+
+    def valid_raw(self) -> Column:
         if self.mode == "std":
-            parts = [~F.isnan(a) & (F.abs(F.col(a)) < float("inf")) for a in STD_AXES] + [F.col("mod_profile") == 0]
+            parts = [_finite(a) for a in STD_AXES] + [_finite(f"base.{b}") for b in STD_BASE] + [F.col("mod_profile") == 0, F.col("analyzer_version") == STD_ANALYZER, _finite("stars") & (F.col("stars") >= 0)]
         else:
-            parts = [inside(f"difficulty.{a}", 0) for a in MANIA_AXES] + [inside(f"style.{a}", 0, 1) for a in PATTERNS + STRUCTURE]
-        out = F.lit(True)
-        for p in parts:
-            out = out & p
-        return out
+            parts = [_finite(f"difficulty.{a}", 0) for a in MANIA_AXES] + [_finite(f"style.{a}", 0, 1) for a in PATTERNS + STRUCTURE] + [_finite(f"base.{b}", 0) for b in MANIA_BASE]
+            parts += [F.col("key_count").isin(*KEY_COUNTS), F.col("analyzer_version") == MANIA_ANALYZER]
+        return _all(parts)
 
     def raw(self) -> DataFrame:
         found = self.read("raw")
@@ -133,13 +151,20 @@ class Store:
         """Ids, digest, names and address of each analysed chart."""
         return self.raw().select("beatmap_id", "beatmapset_id", "sha256", "artist", "title", "version", "creator", "online_url")
 
+    def named(self, results: DataFrame) -> DataFrame:
+        """Query results with artist, title and version; an error where a result's chart isn't in the store."""
+        names = self.raw().select("beatmap_id", "artist", "title", "version", F.lit(True).alias("__known"))
+        both = F.broadcast(results).join(names, "beatmap_id", "left")  # at most a query's limit of rows
+        title = F.when(F.col("__known"), F.col("title")).otherwise(F.raise_error(F.concat(F.lit("no names of chart "), F.col("beatmap_id"))).cast("string"))
+        return both.withColumn("title", title).drop("__known")
+
     # Sources, failures and packs
 
     def _merge(self, name: str, incoming: DataFrame, keys: list[str]) -> int:
         old = self.read(name)
         n = incoming.count()
         if n:
-            self._point(name, self._write(name, incoming if old is None else tables.upsert(old, incoming.select(*old.columns), keys)))
+            self._change(**{name: self._write(name, incoming if old is None else tables.upsert(old, incoming.select(*old.columns), keys))})
         return n
 
     def retain_sources(self, charts: DataFrame, analysed: DataFrame) -> int:
@@ -149,7 +174,7 @@ class Store:
 
     def log_failures(self, analysed: DataFrame) -> DataFrame:
         """chart_id, status of the charts of this run that failed; it replaces the log of the run before, and is empty after a run without failures."""
-        self._point("failures", self._write("failures", analysed.where("status <> 'ok'").select("chart_id", "status")))
+        self._change(failures=self._write("failures", analysed.where("status <> 'ok'").select("chart_id", "status")))
         return self.read("failures")
 
     def upsert_packs(self, packs: DataFrame) -> int:
@@ -165,10 +190,26 @@ class Store:
         packs = self.read("packs")
         return packs is not None and not packs.where((F.col("pack_id") == pack_id) & (F.col("status") == status)).isEmpty()
 
+    # Normalisers
+
+    def save_normaliser(self, version: int, fitted: dict[str, DataFrame]) -> None:
+        """Keeps the tables of a fitted normaliser, so that charts from outside are placed without fitting the corpus again."""
+        tables_ = {k: self._write(f"normaliser-{k}", df) for k, df in fitted.items()}
+        self._change(normaliser={"version": version, "analyzer": self._analyzer(), "tables": tables_})
+
+    def load_normaliser(self, version: int) -> dict[str, DataFrame]:
+        kept = self.state().get("normaliser")
+        if kept is None or (kept["version"], kept["analyzer"]) != (version, self._analyzer()):
+            raise ValueError("no normaliser of this version and analyzer")
+        return {k: self.spark.read.parquet(f"{self.root}/normaliser-{k}/{at}") for k, at in kept["tables"].items()}
+
+    def _analyzer(self) -> int:
+        return STD_ANALYZER if self.mode == "std" else MANIA_ANALYZER
+
     # Publication
 
     def publish(self, version: int, df: DataFrame) -> None:
-        """Validates and publishes normalised features, and with them the statistics of star sections (std)."""
+        """Validates and publishes normalised features, and with them the statistics of star sections (std) and a digest of their content."""
         if df.isEmpty():
             raise ValueError("nothing to publish")
         at = self._write("features", df, ["key_count", "difficulty_band"] if self.mode == "mania" else None)
@@ -177,29 +218,36 @@ class Store:
         if not problems.isEmpty():
             raise ValueError(f"invalid features: {[tuple(r) for r in problems.limit(5).collect()]}")
         stats = self._write("stats", section_stats(staged)) if self.mode == "std" else None
-        self._point("features", at)
-        if stats:
-            self._point("stats", stats)
+        self._change(features=at, stats=stats, index={"version": version, **content_digest(staged)})
 
     def problems(self, version: int, df: DataFrame) -> DataFrame:
         """beatmap_id, problem of rows that must not be published."""
-        axes = STD_AXES if self.mode == "std" else [f"difficulty.{a}" for a in MANIA_AXES]
-        bad = F.col("normalization_version") != version
-        for a in axes:
-            bad = bad | F.col(a).isNull() | F.isnan(a) | (F.col(a) < 0) | (F.col(a) > 1)
-        if self.mode == "mania":
-            bad = bad | (F.col("difficulty_band") < 0) | (F.col("difficulty_band") > 9)
+        if self.mode == "std":
+            good = [_finite(a, 0, 1) for a in STD_AXES] + [_finite(f"base.{c}") for c in ("ar", "cs", "od")] + [F.col("mod_profile") == 0, _finite("stars", 0)]
         else:
-            bad = bad | (F.col("mod_profile") != 0) | F.col("stars").isNull() | F.isnan("stars") | (F.col("stars") < 0)
-        range_ = df.where(bad).select("beatmap_id", F.lit("out of range").alias("problem"))
+            good = [_finite(f"difficulty.{a}", 0, 1) for a in MANIA_AXES] + [_finite(f"style.{a}", 0, 1) for a in PATTERNS + STRUCTURE] + [_finite("difficulty_percentile", 0, 1), F.col("difficulty_band").between(0, 9), F.col("key_count").isin(*KEY_COUNTS)]
+        good += [F.col("normalization_version") == version, F.col("analyzer_version") == self._analyzer()]
+        range_ = df.where(~F.coalesce(_all(good), F.lit(False))).select("beatmap_id", F.lit("out of range").alias("problem"))
         twice = df.groupBy("beatmap_id").count().where("count > 1").select("beatmap_id", F.lit("repeated").alias("problem"))
-        return range_.unionByName(twice).unionByName(tables.coverage(self.raw(), df, "beatmap_id"))
-
-    def features(self, version: int) -> DataFrame:
-        found = self.read("features")
+        return range_.unionByName(twice).unionByName(tables.coverage(self.raw(), df, "beatmap_id")).unionByName(self._disagreeing(df))
+
+    def _disagreeing(self, df: DataFrame) -> DataFrame:
+        """Features whose set, keys, family or pattern isn't that of the chart they were made from."""
+        same = ["beatmapset_id", *(("key_count", "mode_family", "dominant_pattern") if self.mode == "mania" else ())]
+        raw = self.raw().select("beatmap_id", *[F.col(c).cast("long").alias(f"__{c}") for c in same])
+        agree = _all([F.col(c).cast("long").eqNullSafe(F.col(f"__{c}")) for c in same])
+        return df.join(raw, "beatmap_id").where(~agree).select("beatmap_id", F.lit("disagrees with its chart").alias("problem"))
+
+    def features(self, version: int, verify: bool = False) -> DataFrame:
+        """What is published.  ``verify``: reads it once more and compares its digest with the one kept; an error where they differ."""
+        found, index = self.read("features"), self.state().get("index")
         if found is None or not self.snapshot_ok():
             raise ValueError("nothing is published")
-        return found.where(F.col("normalization_version") == version)
+        if index["version"] != version:
+            raise ValueError(f"version {index['version']} is published, not {version}")
+        if verify and content_digest(found) != {k: index[k] for k in ("rows", "digest")}:
+            raise ValueError("the published features aren't those that were written")
+        return found
 
     def stats(self) -> DataFrame | None:
         return self.read("stats")
@@ -211,6 +259,9 @@ class Store:
         if f is not None:
             n = self.problems(version, f).count()
             rows.append(("features", n == 0, f"{n} problems in {f.count()} rows"))
+            index = self.state().get("index", {})
+            rows.append(("content", content_digest(f) == {k: index.get(k) for k in ("rows", "digest")}, ""))
+            rows += [(k, True, str(v)) for k, v in sorted(self.scan_counts().items())]
             if self.mode == "std":
                 want, got = section_stats(f), self.stats()
                 rows.append(("section statistics", got is not None and _close(want, got), ""))
@@ -219,6 +270,37 @@ class Store:
         return self.spark.createDataFrame(rows, "check string, ok boolean, detail string")
 
 
+def _finite(c: str, lo: float | None = None, hi: float | None = None) -> Column:
+    x = F.col(c).cast("double")
+    parts = [F.col(c).isNotNull(), ~F.isnan(x), F.abs(x) < float("inf")]
+    return _all([*parts, *([x >= lo] if lo is not None else []), *([x <= hi] if hi is not None else [])])
+
+
+def _all(parts: list[Column]) -> Column:
+    out = parts[0]
+    for p in parts[1:]:
+        out = out & p
+    return out
+
+
+def _renamed(old: DataFrame, stale: DataFrame | None) -> DataFrame:
+    """``old`` with the names and stars of ``stale``; vectors stay as they are."""
+    if stale is None:
+        return old
+    new = stale.select("beatmap_id", F.struct(*META).alias("__new"))
+    both = old.join(new, "beatmap_id", "left")
+    return both.select(*[F.when(F.col("__new").isNotNull(), F.col(f"__new.{c}")).otherwise(F.col(c)).alias(c) if c in META else F.col(c) for c in old.columns])
+
+
+def content_digest(df: DataFrame) -> dict:
+    """Rows and a digest that depends neither on their order nor on their files."""
+    cols = sorted(df.columns)
+    # Partition columns come back with types of their own.
+    flat = F.xxhash64(F.to_json(F.struct(*[F.col(c) if "struct" in df.schema[c].dataType.simpleString() else F.col(c).cast("string").alias(c) for c in cols])))
+    r = df.agg(F.count(F.lit(1)).alias("n"), F.sum(flat.cast("decimal(38,0)")).alias("d"), F.bit_xor(flat).alias("x")).first()
+    return {"rows": r["n"], "digest": f"{r['d']}:{r['x']}"}
+
+
 def section_stats(df: DataFrame) -> DataFrame:
     """Counts, sums and sums of squares of the axes and of ar, cs and od by tenth of a star."""
     m = {a: F.col(a).cast("double") for a in STD_AXES} | {c: F.col(f"base.{c}").cast("double") for c in ("ar", "cs", "od")}

@@ -8,8 +8,14 @@ from pyspark.sql import DataFrame
 
 
 def settled(df: DataFrame) -> DataFrame:
-    """Computed once and written to the folder in spark.checkpoint.dir, so that lost executors don't undo it.  A local folder serves only where none is set."""
+    """Computed once and written to the folder in spark.checkpoint.dir, so that lost executors don't undo it.
+
+    A folder of this machine serves only where none is set and Spark runs on this machine alone; on a cluster that is an error.
+    """
     sc = df.sparkSession.sparkContext
     if not sc.getCheckpointDir():
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="strandline-"))
+        named = sc.getConf().get("spark.checkpoint.dir")
+        if not named and not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="strandline-"))
     return df.checkpoint(eager=True)

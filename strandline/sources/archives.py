@@ -11,7 +11,7 @@ import zipfile
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: How containers begin.
@@ -28,11 +28,6 @@ def chart_folder(spark: SparkSession, path: str) -> DataFrame:
     return files.select(F.coalesce(source, F.xxhash64("path")).alias("chart_id"), source.alias("source_id"), "path", "content")
 
 
-def container(content: Column) -> Column:
-    head = F.substring(content, 1, 6)
-    return F.when(head == F.lit(SEVEN_ZIP), "7z").when(head == F.lit(RAR), "rar").otherwise("zip")
-
-
 MEMBERS = "archive string, member string, status string, content binary"
 
 
@@ -105,11 +100,15 @@ def verify_archives(archives: DataFrame) -> DataFrame:
     return archives.select("path", "content").mapInArrow(run, "path string, status string")
 
 
-def ingest_archives(spark: SparkSession, path: str) -> DataFrame:
-    """Charts (chart_id, path, content) of all archives under a path, standard ones only, with status."""
+def archive_charts(files: DataFrame, standard_only: bool) -> DataFrame:
+    """Charts (chart_id, path, status, content) of archives (path, content); failures of members have no content."""
     from ..operators.tokenise import lenient_mode
 
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "content")
     m = archive_members(files)
-    standard = F.when(m["content"].isNull(), True).otherwise(lenient_mode(m["content"]) == 0)
-    return m.where(standard).select(F.xxhash64("archive", "member").alias("chart_id"), F.concat_ws("!", "archive", "member").alias("path"), "status", "content")
+    wanted = F.when(m["content"].isNull(), True).otherwise(lenient_mode(m["content"]) == 0) if standard_only else F.lit(True)
+    return m.where(wanted).select(F.xxhash64("archive", "member").alias("chart_id"), F.concat_ws("!", "archive", "member").alias("path"), "status", "content")
+
+
+def ingest_archives(spark: SparkSession, path: str) -> DataFrame:
+    """Standard charts of all archives under a path, with status."""
+    return archive_charts(spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "content"), True)

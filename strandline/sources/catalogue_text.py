@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: The named entities that links use.
@@ -34,7 +34,9 @@ def decode_entities(text: str) -> str:
 
 
 def _decode(s: pd.Series) -> pd.Series:
-    return s.map(decode_entities, na_action="ignore")
+    """Texts without an ampersand, most of them, stay as they are."""
+    some = s.str.contains("&", regex=False, na=False)
+    return s.mask(some, s[some].map(decode_entities))
 
 
 def entities(text: Column) -> Column:
@@ -48,6 +50,24 @@ def pack_ids(html: DataFrame, col: str = "html") -> DataFrame:
     return html.select(found.alias("pack_id")).where(F.col("pack_id").rlike("^[A-Za-z].+$")).distinct().orderBy("pack_id")
 
 
+#: Fixed value: what a page with a following one holds.
+MORE_PAGES = "pagination-v2__link pagination-v2__link--quick"
+
+
+def paged_pack_ids(pages: DataFrame) -> DataFrame:
+    """pack_id: distinct ids of all pages (kind, page, html) that a reader reaches who begins at the first page of a kind and stops at a page without ids, or behind one that
+    doesn't link to another."""
+    ids = F.filter(F.regexp_extract_all("html", F.lit(r"/beatmaps/packs/([A-Za-z0-9]+)"), F.lit(1)), lambda x: x.rlike("^[A-Za-z].+$"))
+    each = pages.select("kind", "page", ids.alias("ids"), F.contains("html", F.lit(MORE_PAGES)).alias("more"))
+    # The page at which the reader stops: the first gap, empty page or last link; pages of a kind are few.
+    order = Window.partitionBy("kind").orderBy("page")
+    before = order.rowsBetween(Window.unboundedPreceding, -1)
+    stopped = F.max((~F.col("more")).cast("int")).over(before)
+    empty = F.max((F.size("ids") == 0).cast("int")).over(order.rowsBetween(Window.unboundedPreceding, 0))
+    reached = each.withColumn("n", F.row_number().over(order)).withColumn("stopped", F.coalesce(stopped, F.lit(0))).withColumn("empty", empty)
+    return reached.where("n = page and stopped = 0 and empty = 0").select(F.explode("ids").alias("pack_id")).distinct().orderBy("pack_id")
+
+
 def pack_class(pack_id: Column) -> Column:
     """standard, excluded (other modes) or mixed."""
     return F.when(pack_id.rlike(r"^S\d+$"), "standard").when(pack_id.rlike(r"^S[TMC]\d+$"), "excluded").otherwise("mixed")

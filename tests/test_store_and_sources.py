@@ -1,4 +1,6 @@
 import io
+import math
+import random
 import zipfile
 
 import pytest
@@ -6,7 +8,7 @@ from charts import lane_chart, std_chart, stream
 from pyspark.sql import functions as F
 
 from strandline.functions import scalar as S
-from strandline.operators import std_features
+from strandline.operators import similarity, std_features
 from strandline.plans import charts as P
 from strandline.plans.store import Store, export, section_stats
 from strandline.sources import archives, catalogue_text
@@ -44,6 +46,76 @@ def test_store_std(spark, tmp_path):
     assert other.reset_snapshot() and other.upsert_raw(changed)["inserted"] == 1
 
 
+def test_publication_is_checked_and_stale_stars_only_rename(spark, tmp_path):
+    s = Store.open(spark, str(tmp_path), "std", "a1")
+    first = analysed(spark, [std_chart(10, A), std_chart(20, A[:10]), std_chart(30, A, mode=3), b"\xff"])
+    s.upsert_raw(first)
+    assert s.scan_counts() == {"eligible": 2, "unsupported": 1, "failed": 1}
+    fitted = P.fit_std(s.raw())
+    s.save_normaliser(1, fitted)
+    features = P.normalise_std(s.raw(), 1)
+    s.publish(1, features)
+    # Rows placed by the kept normaliser are those of the corpus.
+    kept = Store.open(spark, str(tmp_path), "std", "a1").load_normaliser(1)
+    same = lambda df: sorted(tuple(round(x[a], 6) for a in ("beatmap_id", "aim", "slider", "overlap")) for x in df.collect())
+    assert same(P.std_target(s.raw(), kept, 1)) == same(features)
+    with pytest.raises(ValueError):
+        s.load_normaliser(2)
+    for bad in (features.withColumn("analyzer_version", F.lit(3)), features.withColumn("base", F.col("base").withField("cs", F.lit(float("inf")).cast("float"))), features.withColumn("beatmapset_id", F.lit(77).cast("long"))):
+        with pytest.raises(ValueError):
+            s.publish(1, bad)
+    assert s.features(1, verify=True).count() == 2
+    with pytest.raises(ValueError):
+        s.features(2)
+    named = s.named(s.features(1).select("beatmap_id", F.lit(0.5).alias("distance"))).collect()
+    assert {(x["beatmap_id"], x["title"]) for x in named} == {(10, "Song 10"), (20, "Song 20")}
+    with pytest.raises(Exception, match="no names of chart 5"):
+        s.named(spark.createDataFrame([(5, 0.1)], "beatmap_id long, distance double")).collect()
+    # The same content with other stars: names and stars change, features stay, statistics go.
+    again = first.withColumn("stars", F.col("stars") + 1)
+    assert s.upsert_raw(again)["inserted"] == 0
+    assert {x["stars"] for x in s.raw().collect()} == {6.7} and s.stats() is None and s.features(1).count() == 2
+    # A file that was changed by other hands is noticed.
+    at = s.state()["features"]
+    s.features(1).withColumn("aim", (F.col("aim") + 0.25).cast("float")).write.parquet(f"{s.root}/features/other")
+    s._change(features="other")
+    assert s.doctor(1).where("not ok and check = 'content'").count() == 1
+    with pytest.raises(ValueError):
+        s.features(1, verify=True)
+    s._change(features=at)
+
+
+def test_wrong_base_features_are_refused(spark, tmp_path):
+    s = Store.open(spark, str(tmp_path), "mania")
+    raw = P.mania_charts(frame(spark, [lane_chart(10, 4, stream(4, 140)), lane_chart(20, 4, stream(4, 100))])).cache()
+    for name in ("bpm", "peak_nps"):
+        with pytest.raises(ValueError):
+            s.upsert_raw(raw.withColumn("base", F.col("base").withField(name, F.lit(-1.0).cast("float"))))
+    for column, value in (("analyzer_version", 9), ("key_count", 5)):
+        with pytest.raises(ValueError):
+            s.upsert_raw(raw.withColumn(column, F.lit(value)))
+    with pytest.raises(ValueError):
+        P.normalise_mania(raw.withColumn("analyzer_version", F.lit(9)), 1)
+    assert s.state() == {}
+
+
+def test_an_import_in_one_call(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    pack = zipped({"a/x.osu": lane_chart(10, 4, stream(4, 140)), "b.osu": lane_chart(20, 4, stream(4, 100)), "c.osu": lane_chart(30, 5, stream(5, 100))})
+    (tmp_path / "in" / "one.osz").write_bytes(pack)
+    (tmp_path / "in" / "two.zip").write_bytes(zipped({"in.osz": pack, "d.osu": lane_chart(40, 7, stream(7, 90))})[:-40])
+    s = Store.open(spark, str(tmp_path / "store"), "mania")
+    report = P.import_archives(s, str(tmp_path / "in"), 1)
+    assert report == {"processed": 3, "inserted": 2, "skipped": 0, "failed": 2, "sound": True}
+    assert s.features(1, verify=True).count() == 2 and s.read("sources").count() == 2
+    assert sorted(x["status"] for x in s.read("failures").collect()) == ["failed", "unsupported keys"]
+    outside = P.mania_target(s.raw_for(10), s.load_normaliser(1), 1)
+    assert [x["beatmap_id"] for x in similarity.mania_similar(s.features(1), outside).collect()] == [20]
+    with pytest.raises(Exception, match="another version"):
+        similarity.mania_similar(s.features(1), outside.withColumn("normalization_version", F.lit(2))).collect()
+    assert s.features(1).select(F.size(similarity.searchable_vector())).first()[0] == 24
+
+
 def test_sources_failures_and_packs(spark, tmp_path):
     from strandline.plans.store import printed
 
@@ -63,15 +135,21 @@ def test_sources_failures_and_packs(spark, tmp_path):
 
 
 def test_section_statistics(spark):
-    rows = [(1, 5.71, 0.1, 0.2, 0.3, 0.4, 0.5, (8.0, 4.0, 7.0)), (2, 5.79, 0.2, 0.3, 0.4, 0.5, 0.6, (9.0, 4.5, 8.0))]
+    r = random.Random(4)
+    axes, base = ("aim", "speed", "reading", "slider", "overlap"), ("ar", "cs", "od")
+    rows = [(i, r.choice([0.0, 2.3, 2.34, 2.39999, 4.0, 9.95]), *[r.random() for _ in axes], tuple(r.uniform(1, 10) for _ in base)) for i in range(60)]
     df = spark.createDataFrame(rows, "beatmap_id long, stars double, aim double, speed double, reading double, slider double, overlap double, base struct<ar:double,cs:double,od:double>")
-    r = section_stats(df.withColumn("analyzer_version", F.lit(4)).withColumn("normalization_version", F.lit(1))).collect()
-    assert len(r) == 1 and r[0]["star_section"] == 57 and r[0]["count"] == 2
-    assert [r[0][f"sum_{a}"] for a in ("aim", "speed", "reading", "slider", "overlap")] == pytest.approx([0.3, 0.5, 0.7, 0.9, 1.1])
-    assert [r[0][f"sumsq_{a}"] for a in ("aim", "speed", "reading", "slider", "overlap")] == pytest.approx([0.05, 0.13, 0.25, 0.41, 0.61])
-    assert (r[0]["sum_ar"], r[0]["sumsq_ar"], r[0]["sum_cs"], r[0]["sumsq_cs"], r[0]["sum_od"], r[0]["sumsq_od"]) == (17, 145, 8.5, 36.25, 15, 113)
-    got = spark.createDataFrame([(5.7,), (6.1,), (6.59999,)], "s double").select(S.star_section(F.col("s"))).collect()
-    assert [x[0] for x in got] == [57, 61, 65]
+    got = {x["star_section"]: x for x in section_stats(df.withColumn("analyzer_version", F.lit(4)).withColumn("normalization_version", F.lit(1))).collect()}
+    assert set(got) == {0, 23, 40, 99}
+    for section, x in got.items():
+        mine = [row for row in rows if math.floor(row[1] * 10 + 1e-6) == section]
+        assert x["count"] == len(mine)
+        for k, name in enumerate(axes + base):
+            values = [(row[2 + k] if k < 5 else row[7][k - 5]) for row in mine]
+            total = squares = 0.0
+            for v in values:
+                total, squares = total + v, squares + v * v
+            assert (x[f"sum_{name}"], x[f"sumsq_{name}"]) == pytest.approx((total, squares))
 
 
 def test_store_mania_and_exports(spark, tmp_path):
@@ -121,6 +199,10 @@ def test_text_parsers(spark):
     packs = spark.createDataFrame([('<a href="/beatmaps/packs/S12">/beatmaps/packs/S12 /beatmaps/packs/SM3 /beatmaps/packs/9x /beatmaps/packs/R</a>',)], ["html"])
     assert [r[0] for r in catalogue_text.pack_ids(packs).collect()] == ["S12", "SM3"]
     assert [one(catalogue_text.pack_class(F.col("p")), p=p) for p in ("S1", "SM1", "ST2", "SC3", "R4", "S1x")] == ["standard", "excluded", "excluded", "excluded", "mixed", "mixed"]
+    link = '<a href="/beatmaps/packs/{}">' + catalogue_text.MORE_PAGES
+    paged = [("standard", 1, link.format("S1")), ("standard", 2, link.format("S2").split(">")[0]), ("standard", 3, link.format("S3")), ("mania", 1, link.format("SM1")), ("mania", 2, "none"), ("mania", 3, link.format("SM3")), ("loved", 2, link.format("L2"))]
+    pages = spark.createDataFrame(paged, "kind string, page int, html string")
+    assert [r[0] for r in catalogue_text.paged_pack_ids(pages).collect()] == ["S1", "S2", "SM1"]
     jar = ["# comment", "#HttpOnly_.x.org\tTRUE\t/\tTRUE\t0\ta\t1", "x.org\tTRUE\t/\tTRUE\t0\tb\t2", "notx.org\tTRUE\t/\tTRUE\t0\tc\t3", "x.org\tshort"]
     lines = spark.createDataFrame(list(enumerate(jar)), ["line_no", "value"])
     assert catalogue_text.cookies(lines, "x.org").first()[0] == "a=1; b=2"
