@@ -7,13 +7,13 @@ separate them.  So the space is first cut into cells in which similar sets must
 hashing deals both sets' elements into K + 1 + z parts, at least z + 1 parts are the same in both.  Each part is a cell: a
 key of the size class and the part's elements.  Empty parts are left out, unless a set has more than z of them.  A set takes part
 for its own size class and for the class below.  Sets that meet in a cell are candidates if at least z + 1 bytes agree in their
-signatures, a byte per part: a necessary condition again.  In a cell of more than ``CROWDED`` sets all are candidates.  Components
+signatures, a byte per part: a necessary condition again.  Of cells that hold the same sets one is looked at.  In a cell of more than ``CROWDED`` sets all are candidates.  Components
 of candidates are regions, and no similar pair lies across two of them.
 
 *Regions.*  In a region pivots are chosen and all distances to them computed.  Sets within the threshold of a pivot are linked to it.
 Each set goes to its nearest pivot's Voronoi cell, and to any other one whose pivot is at most twice the threshold
-farther: by the triangle inequality a similar pair meets in a cell.  Cells are joined recursively down to small ones, in
-which all pairs are compared.  Where windows don't separate (a crowd of near copies), the sets outside the largest
+farther: by the triangle inequality a similar pair meets in a cell.  Cells are joined recursively until all their
+sets are pivots.  Where windows don't separate (a crowd of near copies), the sets outside the largest
 component found so far are compared with all sets, for within a component nothing is left to find.  A region too large for a
 task is treated alike, its sets dealt in blocks.
 
@@ -28,16 +28,16 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import flat
-from .common import cut, fresh_path, small_side, table
+from .common import Scratch, cut, fresh_path, small_side, table
 from .flat_hash import Rolling, groups, mixed
 from .graph import components
 
-#: Sets compared pair by pair; pivots of a cell; sets of a region that one task takes.
-LEAF, PIVOTS, REGION = 192, 6, 3000
+#: Pivots of a cell; sets of a region that one task takes.
+PIVOTS, REGION = 8, 3000
 SEEN, CROWDED = 200_000, 512
 _U = np.uint64
 _PLACES = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3], np.uint64)
@@ -71,10 +71,13 @@ def shingle_sets(data: np.ndarray, at: np.ndarray, words: int) -> list[np.ndarra
 
 @cache
 def size_classes(num: int, den: int, most: int = 1 << 40) -> list[tuple[int, int, int]]:
-    """(largest size, K, parts) of each class of set sizes: similar sets lie in the same class or in neighbouring ones."""
+    """(largest size, K, parts) of each class of set sizes: similar sets lie in the same class or in neighbouring ones.
+
+    A class is as wide as two steps of the threshold, so that about half of its sets can be similar to some of the class below.
+    """
     out, lo = [], 1
     while lo <= most:
-        hi = lo * den // num
+        hi = lo * den // num * den // num
         k = hi * (den - num) // num
         # As many more parts as a set of the least size leaves empty, and some: that many must agree besides.
         z = 1
@@ -91,14 +94,14 @@ def part_edges(parts: int) -> np.ndarray:
 
 
 def cell_keys(s: np.ndarray, num: int, den: int) -> tuple[np.ndarray, bytes]:
-    """Keys of the cells of a sorted set, the size class in their last ten bits, and a byte for each part of its own class and of the class below."""
+    """Keys of the cells of a sorted set, the size class in their last ten bits, and a byte for each part of its own class and of the class below, if it can be similar to sets there."""
     classes = size_classes(num, den)
     own = int(np.searchsorted(_tops(num, den), len(s)))
     sums = np.zeros(len(s) + 1, np.uint64)
     np.cumsum(mixed(s), out=sums[1:])
     out, marks = [], b""
     for c in (own, own - 1):
-        if c < 0 or not classes[c][1]:
+        if c < 0 or not classes[c][1] or (c < own and num * len(s) > den * classes[c][0]):
             continue
         _, k, parts = classes[c]
         cut_at = np.concatenate([[0], np.searchsorted(s, part_edges(parts)), [len(s)]])
@@ -118,10 +121,6 @@ def agreeing(keys: np.ndarray, nodes: np.ndarray, sizes: np.ndarray, marks: list
     for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
         c = int(keys[lo]) & 1023
         _, k, parts = classes[c]
-        if hi - lo > CROWDED:
-            a.append(nodes[lo + 1 : hi])
-            b.append(np.full(hi - lo - 1, nodes[lo]))
-            continue
         rows = []
         for i in range(lo, hi):
             own = int(np.searchsorted(tops, sizes[i]))
@@ -203,7 +202,7 @@ class Region:
 
     def join(self, who: np.ndarray) -> None:
         """All links among ``who``, up to connection."""
-        if len(who) <= LEAF:
+        if len(who) <= PIVOTS:  # all are pivots
             self.compare(who, who)
             return
         pivots = who[np.linspace(0, len(who) - 1, PIVOTS).astype(int)]
@@ -226,7 +225,7 @@ def _sets_of(binary: list[bytes]) -> list[np.ndarray]:
 
 
 def document_sets(docs: DataFrame, id_col: str, text_col: str, words: int, num: int, den: int) -> DataFrame:
-    """A written table with a row per document: id, n_shingles, node (digest of its set, null if empty), t1 and t2 (digests of the text), keys and marks (of its cells, once per set and task)."""
+    """A row per document: id, n_shingles, node (digest of its set, null if empty), t1 and t2 (digests of the text), keys and marks (of its cells, once per set and task)."""
     kind = docs.schema[id_col].dataType.simpleString()
     text = F.coalesce(docs[text_col], F.lit(""))
     rows = docs.select(docs[id_col].alias("id"), text.alias("text"), F.xxhash64(text).alias("t1"), F.xxhash64(F.lit(1), text).alias("t2"))
@@ -253,55 +252,81 @@ def document_sets(docs: DataFrame, id_col: str, text_col: str, words: int, num:
                 part = batch.slice(lo, hi - lo)
                 yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(size, pa.int64()), pa.array(node, pa.int64()), part.column("t1"), part.column("t2"), pa.array(keys, pa.list_(pa.int64())), pa.array(marks, pa.binary())], ["id", "n_shingles", "node", "t1", "t2", "keys", "marks"])
 
-    path = fresh_path(docs.sparkSession, "shingles")
-    rows.mapInArrow(run, f"id {kind}, n_shingles long, node long, t1 long, t2 long, keys array<long>, marks binary").write.parquet(path)
-    return docs.sparkSession.read.parquet(path)
+    return rows.mapInArrow(run, f"id {kind}, n_shingles long, node long, t1 long, t2 long, keys array<long>, marks binary")
 
 
 def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, num: int = 80, den: int = 100) -> DataFrame:
-    """``id_col``, n_shingles, component_id (the least id reachable by links), t1 and t2 (xxhash64 of the text and of 1 and the text) of each row.
+    """``id_col``, n_shingles, component_id (the least id reachable by links), t1 and t2 (xxhash64 of the text and of 1 and the text), and root of each row.
+
+    ``root`` names the component, also where ids repeat; it is null for rows that are alone.
 
     Two documents link when ``den * |A & B| >= num * |A | B|``.  Texts of fewer than ``words`` words have one shingle, the
     whole sequence; texts without words and null ones have none, link with nothing and are components of their own.  Rows
-    with the same set always link.  A null id is never the least unless no other id is there.  Other columns of ``docs`` aren't
+    with the same set always link, so rows that repeat are of one component.  A null id is never the least unless no other id is
+    there.  Whole texts count however long they are: a task holds the set of one text at a time.  Other columns of ``docs`` aren't
     read.  An empty table gives an empty result.
     """
     if not 0 < num < den or not 1 <= words <= len(_PLACES):
         raise ValueError("0 < num < den and 1 to 8 words are needed")
-    sets = document_sets(docs, id_col, text_col, words, num, den)
-    links = cut(_links(docs, text_col, sets, words, num, den))
-    roots = cut(components(links))
-    named = sets.select("id", "n_shingles", "node", "t1", "t2").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    named = cut(named)
-    least = named.where("root is not null").groupBy("root").agg(F.min("id").alias("least"))
-    out = named.join(least, "root", "left")
-    return out.select(F.col("id").alias(id_col), "n_shingles", F.coalesce("least", "id").alias("component_id"), "t1", "t2")
-
-
-def _links(docs: DataFrame, text_col: str, sets: DataFrame, words: int, num: int, den: int) -> DataFrame:
-    """Edges a, b between nodes, enough to connect all that is linked."""
-    from pyspark.sql import Window
-
-    spark = docs.sparkSession
+    held = Scratch(docs.sparkSession)
+    sets = held.keep(document_sets(docs, id_col, text_col, words, num, den), "shingles")
+    rows, links = _links(docs, text_col, sets, held, words, num, den)
+    roots = held.keep(components(links), "roots")
+    held.drop(links)
+    # A component's least id is settled on its nodes, so that a row is joined once.
+    each = rows.where("node is not null").groupBy("node").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("n"))
+    some = held.keep(each.join(small_side(roots), "node", "left").where("n > 1 or root is not null").select("node", "least", F.coalesce("root", "node").alias("root")), "nodes")
+    least = held.keep(some.groupBy("root").agg(F.min("least").alias("component_id")), "least")
+    named = held.keep(some.join(small_side(least), "root").select("node", "component_id", "root"), "named")
+    held.drop(roots, some, least)
+    # Texts without words have no node, and stay out of the join.
+    met = rows.where("node is not null").join(small_side(named), "node", "left")
+    out = met.unionByName(rows.where("node is null"), allowMissingColumns=True)
+    return out.select(F.col("id").alias(id_col), "n_shingles", F.coalesce("component_id", "id").alias("component_id"), "t1", "t2", "root")
+
+
+def _meetings(sets: DataFrame, held: Scratch) -> DataFrame:
+    """A written table (key, node, crowd, least) of the cells in which several sets meet, with their number and the least one; of cells with the same sets and class only one."""
     each = sets.where("keys is not null").select("node", F.explode("keys").alias("key"))
     cell = Window.partitionBy("key")
     meet = each.withColumn("lo", F.min("node").over(cell)).withColumn("hi", F.max("node").over(cell)).where("lo < hi").select("key", "node")
-    meet = cut(meet.distinct())
-    named = meet.select("node").distinct()
-    marks = sets.where("marks is not null").join(small_side(cut(named)), "node", "left_semi").groupBy("node").agg(F.first("n_shingles").alias("n"), F.first("marks").alias("marks"))
+    meet = held.keep(meet.groupBy("key", "node").agg(F.lit(1).alias("one")).select("key", "node"), "meet")
+    # Near copies meet in most of their cells: their signatures needn't travel to each of them.
+    whose = meet.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("least"), F.bit_xor(F.xxhash64("node")).alias("x"), F.bit_xor(F.xxhash64(F.lit(1), "node")).alias("y"))
+    one = held.keep(whose.groupBy(F.col("key").bitwiseAND(F.lit(1023)).alias("size_class"), "n", "x", "y").agg(F.min(F.struct("key", "least")).alias("one")).select("one.*", F.col("n").alias("crowd")), "one")
+    out = held.keep(meet.join(small_side(one), "key"), "meet")
+    held.drop(meet, one)
+    return out
+
+
+def _links(docs: DataFrame, text_col: str, sets: DataFrame, held: Scratch, words: int, num: int, den: int) -> tuple[DataFrame, DataFrame]:
+    """The rows of ``sets`` without keys and marks, and edges a, b between nodes, enough to connect all that is linked; both are written tables, ``sets`` is dropped."""
+    spark = docs.sparkSession
+    meet = _meetings(sets, held)
+    named = held.keep(meet.select("node").distinct(), "named")
+    marks = held.keep(sets.where("marks is not null").join(small_side(named), "node", "left_semi").groupBy("node").agg(F.first("n_shingles").alias("n"), F.first("marks").alias("marks")), "marks")
+    rows = held.keep(sets.drop("keys", "marks"), "rows")
+    held.drop(sets, named)
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    met = meet.join(marks, "node").repartition(parts, "key").sortWithinPartitions("key", "node")
+    met = meet.where(F.col("crowd") <= CROWDED).join(marks, "node").repartition(parts, "key").sortWithinPartitions("key", "node")
 
     def agree(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in groups(batches, ["key"], 5000):
             a, b = agreeing(t.column("key").to_numpy(), t.column("node").to_numpy(), t.column("n").to_numpy(), t.column("marks").to_pylist(), num, den)
             yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
 
-    near = cut(met.select("key", "node", "n", "marks").mapInArrow(agree, "a long, b long").distinct())
-    region = cut(components(near).withColumnRenamed("root", "region"))
+    near = met.select("key", "node", "n", "marks").mapInArrow(agree, "a long, b long")
+    # Crowds go to no task.
+    near = near.unionByName(meet.where((F.col("crowd") > CROWDED) & (F.col("node") != F.col("least"))).select(F.col("node").alias("a"), F.col("least").alias("b")))
+    near = held.keep(near.distinct(), "near")
+    held.drop(meet, marks)
+    region = held.keep(components(near).withColumnRenamed("root", "region"), "region")
+    held.drop(near)
     crowd = region.groupBy("region").agg(F.count(F.lit(1)).alias("crowd"))
-    one = sets.where("node is not null").join(small_side(region.select("node")), "node", "left_semi").groupBy("node").agg(F.min(F.struct("t1", "t2")).alias("t"))
-    wanted = cut(one.select("node", "t.*").join(region, "node").join(crowd, "region"))
+    one = rows.where("node is not null").join(small_side(region.select("node")), "node", "left_semi").groupBy("node").agg(F.min(F.struct("t1", "t2")).alias("t"))
+    wanted = held.keep(one.select("node", "t.*").join(small_side(region), "node").join(small_side(crowd), "region"), "wanted")
+    crowd = held.keep(crowd.where(F.col("crowd") > REGION), "crowd")
+    held.drop(region)
 
     text = F.coalesce(docs[text_col], F.lit(""))
     texts = docs.select(text.alias("text"), F.xxhash64(text).alias("t1"), F.xxhash64(F.lit(1), text).alias("t2"))
@@ -327,9 +352,11 @@ def _links(docs: DataFrame, text_col: str, sets: DataFrame, words: int, num: int
                 yield _edges(node[lo:hi], r)
 
     out = usual.mapInArrow(join, "a long, b long")
-    if not crowd.where(F.col("crowd") > REGION).isEmpty():
+    if not crowd.isEmpty():
         out = out.unionByName(_crowds(full.where(F.col("crowd") > REGION), parts, num, den))
-    return out
+    out = held.keep(out, "links")
+    held.drop(wanted, crowd)
+    return rows, out
 
 
 def _edges(node: np.ndarray, r: Region) -> pa.RecordBatch:
@@ -395,14 +422,24 @@ def _crowds(full: DataFrame, parts: int, num: int, den: int) -> DataFrame:
 
 
 def one_of_each(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100) -> DataFrame:
-    """The rows of ``docs`` (doc_id, text and any others) without near duplicates: of each component the row with the least doc_id stays.
+    """The rows of ``docs`` (doc_id, text and any others) without near duplicates: one row of each component stays, that with the least doc_id.
 
-    A row without id stays only if its whole component has none.  Of rows that repeat both id and text all stay, or none.
+    A row without id stays only if its whole component has none.  Of different texts with the least id the one of least digest stays,
+    and of rows that repeat both id and text one.  Texts without words are all different, and stay.  An empty table gives an empty result.
     """
-    found = similar_components(docs, words=words, num=num, den=den)
-    gone = cut(found.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__nj_id"), F.col("t1").alias("__nj_t")).distinct())
-    key = F.xxhash64(F.coalesce("text", F.lit("")))
-    return docs.join(small_side(gone), F.col("doc_id").eqNullSafe(F.col("__nj_id")) & (key == F.col("__nj_t")), "left_anti")
+    met = cut(similar_components(docs, words=words, num=num, den=den).where("root is not null").select("root", F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "t1", "t2").alias("row")))
+    best = cut(met.groupBy("root").agg(F.min("row").alias("best")))
+    judged = met.join(small_side(best), "root").groupBy("row").agg(F.first(F.col("row") == F.col("best")).alias("stays"), F.count(F.lit(1)).alias("n"))
+    marked = cut(judged.where("not stays or n > 1").select(F.col("row.doc_id").alias("__nj_id"), F.col("row.t1").alias("__nj_t1"), F.col("row.t2").alias("__nj_t2"), "stays"))
+    text = F.coalesce(docs["text"], F.lit(""))
+    on = docs["doc_id"].eqNullSafe(F.col("__nj_id")) & (F.xxhash64(text) == F.col("__nj_t1")) & (F.xxhash64(F.lit(1), text) == F.col("__nj_t2"))
+    out = docs.join(small_side(marked), on, "left_anti")
+    again = marked.where("stays")
+    if again.isEmpty():
+        return out
+    # Rows that repeat: one of each, chosen before the shuffle.
+    one = docs.join(small_side(again), on, "left_semi").groupBy("doc_id", F.xxhash64(text)).agg(F.first(F.struct(*docs.columns)).alias("__nj_row"))
+    return out.unionByName(one.select("__nj_row.*"))
 
 
 def op2_ngram_join(spark, sf_dir: str) -> DataFrame:
