@@ -259,10 +259,21 @@ def _step(levels: DataFrame, params: DataFrame, spread, last: bool = False) -> D
     return cut(moments.groupBy("gid", "start").applyInPandas(_concentrate(last), PARAMS))
 
 
-def estimate(levels: DataFrame) -> DataFrame:
-    """PARAMS of each group.  ``levels``: gid and the vector; read once per step."""
+def _sides(levels: DataFrame):
+    """How the estimates of each group and start are joined: by a broadcast where they are few."""
     few = levels.select("gid").distinct().count() * STARTS <= BROADCAST_ROWS
-    spread = F.broadcast if few else (lambda x: x)
+    return F.broadcast if few else (lambda x: x)
+
+
+def estimate(levels: DataFrame) -> DataFrame:
+    """PARAMS of each group: of the documents that aren't far by its least determinant.  ``levels``: gid and the vector; read once per step."""
+    spread = _sides(levels)
+    return _step(levels, least_determinant(levels, spread), spread, last=True)
+
+
+def least_determinant(levels: DataFrame, spread=None) -> DataFrame:
+    """PARAMS of the best start of each group."""
+    spread = spread or _sides(levels)
     going = starts(levels, spread)
     # A start's own determinant is of another estimator: the first steps fall by definition.
     going = going.withColumn("det", F.lit(math.inf))
@@ -280,8 +291,7 @@ def estimate(levels: DataFrame) -> DataFrame:
         if going.isEmpty():
             break
     settled = settled.unionByName(going)
-    best = cut(settled.withColumn("k", F.row_number().over(Window.partitionBy("gid").orderBy("det", "start"))).where("k = 1").drop("k"))
-    return _step(levels, best, spread, last=True)
+    return cut(settled.withColumn("k", F.row_number().over(Window.partitionBy("gid").orderBy("det", "start"))).where("k = 1").drop("k"))
 
 
 def _bin(d):
