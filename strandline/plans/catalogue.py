@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from ..functions import scalar as S
 from ..operators import ranks, series, similarity, tables
 from ..settle import settled
+from . import chart_sql
 
 QUERIES: dict = {}
 ORACLE: dict = {}
@@ -446,10 +447,35 @@ def overall_intensity(spark, d):
     return f.select("user_id", r6(S.overall_intensity([F.col(x) for x in ("error", "view", "click", "signup")])).alias("overall"))
 
 
-# Charts.  SQL can't follow their state from row to row; tests hold them against plain versions.
+# Charts, made from events; their SQL goes by the events.
 
 
-@query()
+@query(chart_sql.OBJECTS)
+def chart_objects(spark, d):
+    from ..operators import std_features, tokenise
+    from .synthetic import std_charts
+
+    lines = settled(tokenise.chart_lines(std_charts(spark, d), lossy=False))
+    o = std_features.ordered(tokenise.with_slider_speeds(tokenise.std_objects(lines), tokenise.timing_points(lines), tokenise.std_meta(lines)))
+    tail = F.when(F.col("kind") == "slider", F.element_at("path", -1))
+    return o.select("chart_id", F.col("i").cast("long").alias("i"), "x", "y", "time", "end_time", "kind", tail["x"].alias("x2"), tail["y"].alias("y2"), "slider_speed")
+
+
+@query(chart_sql.BASE)
+def chart_base(spark, d):
+    from ..operators import std_features, tokenise
+    from .synthetic import std_charts
+
+    charts = settled(std_charts(spark, d))
+    lines = settled(tokenise.chart_lines(charts, lossy=False))
+    meta, points = settled(tokenise.std_meta(lines)), tokenise.timing_points(lines)
+    objects = settled(std_features.ordered(tokenise.with_slider_speeds(tokenise.std_objects(lines), points, meta)))
+    b = std_features.base_features(objects, meta, points).join(tokenise.identified(meta, charts).select("chart_id", "beatmap_id", F.col("mode").cast("long").alias("mode")), "chart_id")
+    whole, parts = ("bpm", "ar", "od", "cs", "hp", "object_count"), {"length_seconds": 3, "object_density": 5, "circle_ratio": 5, "slider_ratio": 5, "spinner_ratio": 5}
+    return b.select("chart_id", "beatmap_id", "mode", *[F.col(c).cast("double").alias(c) for c in whole], *[F.round(F.col(c).cast("double"), n).alias(c) for c, n in parts.items()])
+
+
+@query(chart_sql.FEATURES)
 def chart_std_features(spark, d):
     from ..operators.std_features import std_features
     from .synthetic import std_charts
@@ -457,7 +483,29 @@ def chart_std_features(spark, d):
     charts = settled(std_charts(spark, d))
     attrs = charts.select(F.sha2("content", 256).alias("sha256"), F.lit(1.0).alias("aim"), F.lit(1.0).alias("speed"), F.lit(1.0).alias("reading"), F.lit(5.0).alias("stars"), F.lit(100).alias("max_combo"))
     out = std_features(charts, attrs)
-    return out.select("chart_id", "beatmap_id", "status", r6("slider").alias("slider"), F.round("overlap", 4).alias("overlap"), "base.object_count", F.round("overlap_stats.stack_rate", 6).alias("stack_rate"))
+    rates = ("sustained_ratio", "stack_rate", "slider_occlusion_rate", "path_crossing_rate")
+    d6 = lambda c: F.round(F.col(c).cast("double"), 6)
+    return out.select("chart_id", "beatmap_id", "status", d6("slider").alias("slider"), F.round(F.col("overlap").cast("double"), 4).alias("overlap"), F.round(F.col("overlap_stats.p95").cast("double"), 4).alias("p95"), F.col("base.object_count").cast("double").alias("object_count"), *[d6(f"overlap_stats.{r}").alias(r) for r in rates])
+
+
+@query(chart_sql.LANE_OBJECTS)
+def lane_objects(spark, d):
+    from ..operators import tokenise
+    from .synthetic import lane_charts
+
+    lines = settled(tokenise.chart_lines(lane_charts(spark, d), lossy=True))
+    o = tokenise.mania_objects(lines, tokenise.mania_meta(lines)).where("valid")
+    return o.groupBy("chart_id", "start", F.col("column").cast("long").alias("lane"), "end", "long").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(chart_sql.LANE_BASE)
+def lane_base(spark, d):
+    from .charts import mania_charts
+    from .synthetic import lane_charts
+
+    f = mania_charts(lane_charts(spark, d)).where("status = 'ok'")
+    rounded = {"bpm": 3, "length_seconds": 3, "active_length_seconds": 3, "note_count": 0, "row_count": 0, "avg_nps": 3, "break_density": 4}
+    return f.select("chart_id", *[F.round(F.col(f"base.{c}").cast("double"), n).alias(c) for c, n in rounded.items()], F.round(F.col("style.ln_note_ratio").cast("double"), 5).alias("ln_note_ratio"))
 
 
 @query()
@@ -490,8 +538,8 @@ def windowed_counts(spark, d):
 ORACLE["windowed_counts"] = "SELECT date_trunc('hour', ts) AS start, event_type, count(*)::BIGINT AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2"
 
 
-@query("""SELECT page_id, at, replace(replace(replace(replace(replace(href, '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#039;', ''''), '&amp;', '&') AS href FROM
-  (SELECT page_id, unnest(l) AS href, unnest(range(0, len(l)))::BIGINT AS at FROM (SELECT page_id, regexp_extract_all(html, 'href="([^"]*)"', 1) AS l FROM pages))""")
+@query("""SELECT page_id, i::BIGINT AS "at", replace(replace(replace(replace(replace(href, '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#039;', ''''), '&amp;', '&') AS href FROM
+  (SELECT page_id, unnest(l) AS href, unnest(range(0, len(l))) AS i FROM (SELECT page_id, regexp_extract_all(html, 'href="([^"]*)"', 1) AS l FROM pages))""")
 def entity_decode(spark, d):
     from ..sources.catalogue_text import entities
 
