@@ -218,3 +218,54 @@ def op10_pii(spark, sf_dir: str) -> DataFrame:
     base = F.filter("spans", lambda s: s["ord"] < 4)
     count = [F.size(_of_kind("spans", i)).cast("long").alias(f"n_{k}") for i, k in enumerate(KINDS[:4])]
     return out.select("doc_id", *count, F.sha2(written(base), 256).alias("base_sha256"), written(F.col("spans")).alias("spans"))
+
+
+def _sql() -> str:
+    """The same for DuckDB, whose patterns need no care for linear time; entities are judged one by one."""
+    plain = {"email": PATTERNS["email"].split(r"(?:\G|(?<![A-Za-z0-9._%+-]))")[1].replace("++", "+"), "phone": PATTERNS["phone"], "ip": r"[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+", "card": r"[0-9](?:[\x20-]?[0-9])+"}
+    digits = "regexp_replace({h}, '[^0-9]', '', 'g')"
+    digit = "coalesce(try_cast(substr({d}, length({d}) - j + 1, 1) AS INT), 0)"
+    luhn = f"list_sum(list_transform(range(1, length({{d}}) + 1), lambda j: CASE WHEN j % 2 = 1 THEN {digit} WHEN {digit} < 5 THEN 2 * {digit} ELSE 2 * {digit} - 9 END)) % 10 = 0"
+
+    def holds(kind: str, h: str) -> str:
+        d = digits.format(h=h)
+        return {
+            "email": "true",
+            "ip": f"len(list_filter(string_split({h}, '.'), lambda p: length(ltrim(p, '0')) > 3 OR coalesce(try_cast(ltrim(p, '0') AS INT), 0) > 255)) = 0",
+            "card": f"CASE WHEN length({d}) BETWEEN 12 AND 19 THEN {luhn.format(d=d)} ELSE false END",
+            "phone": f"length({d}) BETWEEN 9 AND 15",
+        }[kind]
+
+    steps, last = ["s0 AS (SELECT doc_id, coalesce(text, '') AS text, coalesce(text, '') AS plain FROM documents)"], "s0"
+    for kind in ("email", "phone", "ip", "card"):
+        steps.append(f"g_{kind} AS (SELECT doc_id, text, regexp_extract_all(plain, '{plain[kind]}') AS h, string_split_regex(plain, '{plain[kind]}') AS g FROM {last})")
+        piece = f"g[i] || CASE WHEN i > len(h) THEN '' WHEN {holds(kind, 'h[i]')} THEN repeat(' ', length(h[i])) ELSE h[i] END"
+        steps.append(f"s_{kind} AS (SELECT doc_id, text, list_aggregate(list_transform(range(1, len(g) + 1), lambda i: {piece}), 'string_agg', '') AS plain FROM g_{kind})")
+        last = f"s_{kind}"
+    for k, (kind, pattern) in enumerate((k, plain[k]) for k in KINDS[:4]):
+        steps.append(f"x_{kind} AS (SELECT doc_id, unnest(h) AS h, unnest(g[1:len(h)]) AS g, unnest(range(0, len(h))) AS i FROM (SELECT doc_id, regexp_extract_all(text, '{pattern}') AS h, string_split_regex(text, '{pattern}') AS g FROM s0))")
+        steps.append(f"m_{kind} AS (SELECT * FROM (SELECT doc_id, '{kind}' AS kind, {k} AS ord, h, sum(length(g) + length(h)) OVER (PARTITION BY doc_id ORDER BY i) AS stop FROM x_{kind}) WHERE {holds(kind, 'h')})")
+    entity = f"kind || ':' || CASE WHEN kind IN ('card', 'phone') THEN {digits.format(h='h')} ELSE lower(h) END"
+    word = r"[\p{L}\p{M}\p{N}]+"
+    surprise = "{k} * ln({k} / ({n} * {p})) + CASE WHEN {k} < {n} AND {p} < 1 THEN ({n} - {k}) * ln(({n} - {k}) / ({n} * (1 - {p}))) ELSE 0 END"
+    one, two = surprise.format(k="n_et", n="n_t", p="(n_e / n)"), surprise.format(k="n_et", n="n_e", p="(n_t / n)")
+    steps += [
+        "m AS (" + " UNION ALL ".join(f"SELECT * FROM m_{k}" for k in KINDS[:4]) + ")",
+        f"e AS (SELECT DISTINCT doc_id, {entity} AS entity FROM m)",
+        "ne AS (SELECT entity, count(*)::DOUBLE AS n_e FROM e GROUP BY 1)",
+        f"t AS (SELECT DISTINCT doc_id, lower(w) AS term FROM (SELECT doc_id, unnest(regexp_extract_all(plain, '{word}')) AS w FROM {last}))",
+        "nt AS (SELECT term, count(*)::DOUBLE AS n_t FROM t GROUP BY 1)",
+        "n AS (SELECT count(*)::DOUBLE AS n FROM documents)",
+        "p AS (SELECT entity, term, count(*)::DOUBLE AS n_et FROM e JOIN t USING (doc_id) GROUP BY 1, 2)",
+        f"told AS (SELECT entity, term FROM p JOIN ne USING (entity) JOIN nt USING (term), n WHERE ln(n / n_e) > 0 AND ln(n * n_et / (n_e * n_t)) >= {ALPHA}::DOUBLE * ln(n / n_e) AND greatest({one}, {two}) >= -ln({LEVEL}::DOUBLE))",
+        "marked AS (SELECT DISTINCT doc_id, term FROM e JOIN told USING (entity) JOIN t USING (doc_id, term))",
+        f"w AS (SELECT doc_id, unnest(h) AS h, unnest(g[1:len(h)]) AS g, unnest(range(0, len(h))) AS i FROM (SELECT doc_id, regexp_extract_all(plain, '{word}') AS h, string_split_regex(plain, '{word}') AS g FROM {last} WHERE doc_id IN (SELECT doc_id FROM marked)))",
+        "wt AS (SELECT doc_id, h, lower(h) AS term, sum(length(g) + length(h)) OVER (PARTITION BY doc_id ORDER BY i) AS stop FROM w)",
+        "every AS (SELECT doc_id, kind, ord, stop - length(h) AS start, stop FROM m UNION ALL SELECT doc_id, 'term', 4, stop - length(h), stop FROM wt JOIN marked USING (doc_id, term))",
+        "listed AS (SELECT doc_id, " + ", ".join(f"count(*) FILTER (ord = {i}) AS n_{k}" for i, k in enumerate(KINDS[:4])) + ", string_agg(kind || ':' || start::BIGINT || ':' || stop::BIGINT, ',' ORDER BY start, ord, stop) FILTER (ord < 4) AS base, string_agg(kind || ':' || start::BIGINT || ':' || stop::BIGINT, ',' ORDER BY start, ord, stop) AS spans FROM every GROUP BY 1)",
+    ]
+    out = ", ".join(f"coalesce(n_{k}, 0)::BIGINT AS n_{k}" for k in KINDS[:4])
+    return "WITH " + ",\n".join(steps) + f"\nSELECT d.doc_id, {out}, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans FROM documents d LEFT JOIN listed USING (doc_id)"
+
+
+SQL = _sql()

@@ -14,4 +14,10 @@ QUERIES = {
     "op9_quality_rules": quality_mcd.op9_quality_rules,
     "op10_pii": pii.op10_pii,
 }
-ORACLE = {"op1_warc_zip": warc_zip.SQL, "op3_exact_dedup": dedup_exact.SQL}
+ORACLE = {
+    "op1_warc_zip": warc_zip.SQL,
+    "op2_ngram_join": ngram_join.SQL,
+    "op3_exact_dedup": dedup_exact.SQL,
+    "op5_suffix_dedup": suffix_dedup.SQL,
+    "op10_pii": pii.SQL,
+}
