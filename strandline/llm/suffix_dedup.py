@@ -29,13 +29,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import flat
-from .common import cut, small_side, table
+from .common import BROADCAST_ROWS, cut, small_side, table
 from .flat_hash import Rolling, groups, mixed
 
 LENGTH, REACH, GRAM = 400, 256, 16
 SEGMENT = 1 << 20
 CROWD, PAIRED, TOGETHER, SEEN = 50_000, 32, 20_000, 200_000
 _U = np.uint64
+PLACE = _U(SEGMENT.bit_length())
 
 
 def sliding_least(key: np.ndarray, width: int) -> np.ndarray:
@@ -62,9 +63,9 @@ def anchors(data: np.ndarray, at: np.ndarray, length: int, reach: int) -> tuple[
     n = len(data) - GRAM + 1
     h = (one.sums[GRAM:] - one.sums[:n]) * one.inverse[:n]
     h = (h ^ (h >> _U(29))) * _U(0xBF58476D1CE4E5B9)
-    bits = _U(int(len(data)).bit_length())
-    key = (h >> bits << bits) | np.arange(n, dtype=np.uint64)
-    least = sliding_least(key, reach + 1) & ((_U(1) << bits) - _U(1))
+    # Places fit in the low bits of any block, so that the part of the hash that decides doesn't depend on the block.
+    key = (h >> PLACE << PLACE) | np.arange(n, dtype=np.uint64)
+    least = sliding_least(key, reach + 1) & ((_U(1) << PLACE) - _U(1))
     text = np.repeat(np.arange(len(size)), windows)
     start = np.arange(len(text)) - np.repeat(np.cumsum(windows) - windows, windows) + at[:-1][text]
     a = least[start].astype(np.int64)
@@ -79,7 +80,7 @@ def anchors(data: np.ndarray, at: np.ndarray, length: int, reach: int) -> tuple[
 
 
 def segments(data: np.ndarray, at: np.ndarray, length: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """(offset in its text, bytes, offsets): a block of whole texts as it is, a long text by stretches of its windows."""
+    """(offset in its text, bytes, offsets), of fewer than two ``SEGMENT`` each: a block of whole texts as it is, a long text by stretches of its windows."""
     if len(at) == 2 and at[1] > SEGMENT:
         for s in range(0, int(at[1]) - length + 1, SEGMENT):
             e = min(int(at[1]), s + SEGMENT + length - 1)
@@ -325,38 +326,69 @@ def _count_windows(contexts: DataFrame, length: int) -> DataFrame:
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, reach: int = REACH) -> DataFrame:
-    """Of each row ``id_col``, n_bytes, n_removed, starts and ends of the maximal removed runs, and kept: the other bytes (null where none is removed).
+    """Of each row ``id_col``, n_bytes, n_removed, starts and ends of the maximal removed runs, kept: the other bytes, and left: the characters of which no byte is removed.
 
     Null and empty texts, and those of fewer than ``length`` bytes, lose nothing.  Rows that repeat are copies of each other: all their
-    bytes go if they are long enough.  Matches never cross documents.  Other columns of ``docs`` aren't read.  An empty table gives an empty result.
+    bytes go if they are long enough.  Texts of any length are searched, long ones by stretches that share their borders' windows.
+    Matches never cross documents.  Other columns of ``docs`` aren't read.  An empty table gives an empty result.
     """
     if not GRAM + reach <= length or reach > 1000:
         raise ValueError("reach must be at most 1000, and length at least reach + 16")
+    spark = docs.sparkSession
     keyed = keyed_texts(docs, id_col, text_col)
     spans = cut(repeated_spans(keyed, length, reach))
-    sized = keyed.select("id", "k1", "k2", F.octet_length("text").cast("long").alias("n_bytes"))
-    rows = cut(sized.join(spans, ["k1", "k2"], "left"))
-    part = rows.where("n_removed < n_bytes").select("k1", "k2").distinct()
-    part = cut(part)
+    n_bytes = F.octet_length("text").cast("long")
+    # Texts with more copies than a partition has rows, of which there can't be more than partitions, don't go through the join.
+    share = max(2, -(-keyed.count() // int(spark.conf.get("spark.sql.shuffle.partitions"))))
+    common_texts = cut(keyed.where(n_bytes >= length).groupBy("k1", "k2").count().where(F.col("count") > share).select("k1", "k2", F.lit(True).alias("all_gone")))
+    rows = keyed.join(F.broadcast(common_texts), ["k1", "k2"], "left")
+    moved = (n_bytes >= length) & F.col("all_gone").isNull()
+    if spans.count() <= BROADCAST_ROWS:  # texts that lose nothing aren't moved
+        rows = rows.join(F.broadcast(spans.select("k1", "k2", F.lit(True).alias("some"))), ["k1", "k2"], "left")
+        moved = moved & F.col("some").isNotNull()
+    stay = rows.where(~moved).withColumns({"starts": F.when(F.col("all_gone"), F.array(F.lit(0).cast("long"))), "ends": F.when(F.col("all_gone"), F.array(n_bytes))})
+    lose = rows.where(moved).join(spans.select("k1", "k2", "starts", "ends"), ["k1", "k2"], "left")
+    none = F.array().cast("array<long>")
+    whole = stay.unionByName(lose).select("id", n_bytes.alias("n_bytes"), F.coalesce("starts", none).alias("starts"), F.coalesce("ends", none).alias("ends"), F.col("text").cast("binary").alias("kept"))
+    kind = docs.schema[id_col].dataType.simpleString()
 
     def strip(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            kept = []
-            for text, starts, ends in zip(*(batch.column(c).to_pylist() for c in ("text", "starts", "ends")), strict=True):
-                raw = text.encode()
-                kept.append(b"".join(raw[a:b] for a, b in zip([0, *ends], [*starts, len(raw)], strict=True)))
-            yield pa.RecordBatch.from_arrays([batch.column("k1"), batch.column("k2"), pa.array(kept, pa.binary())], ["k1", "k2", "kept"])
-
-    left = texts_of(keyed, part).join(spans.select("k1", "k2", "starts", "ends"), ["k1", "k2"]).mapInArrow(strip, "k1 long, k2 long, kept binary")
-    out = rows.join(left, ["k1", "k2"], "left")
-    none = F.array().cast("array<long>")
-    gone = F.when(F.col("n_removed") == F.col("n_bytes"), F.lit(b""))
-    return out.select(F.col("id").alias(id_col), "k1", "k2", "n_bytes", F.coalesce("n_removed", F.lit(0)).alias("n_removed"), F.coalesce("starts", none).alias("starts"), F.coalesce("ends", none).alias("ends"), F.coalesce("kept", gone).alias("kept"))
+            for lo in range(0, batch.num_rows, 500):
+                part = batch.slice(lo, 500)
+                kept, left = [], []
+                for raw, starts, ends in zip(*(part.column(c).to_pylist() for c in ("kept", "starts", "ends")), strict=True):
+                    pieces = [raw[a:b] for a, b in zip([0, *ends], [*starts, len(raw)], strict=True)] if starts else [raw]
+                    kept.append(b"".join(pieces))
+                    left.append("".join(x.decode(errors="ignore") for x in pieces))
+                gone = [n - len(k) for n, k in zip(part.column("n_bytes").to_pylist(), kept, strict=True)]
+                yield pa.RecordBatch.from_arrays([part.column("id"), part.column("n_bytes"), pa.array(gone, pa.int64()), part.column("starts"), part.column("ends"), pa.array(kept, pa.binary()), pa.array(left, pa.string())], ["id", "n_bytes", "n_removed", "starts", "ends", "kept", "left"])
+
+    out = whole.mapInArrow(strip, f"id {kind}, n_bytes long, n_removed long, starts array<long>, ends array<long>, kept binary, left string")
+    return out.withColumnRenamed("id", id_col)
 
 
 def op5_suffix_dedup(spark, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    out = remove_repeats(docs)
-    whole = keyed_texts(docs, "doc_id", "text").select("k1", "k2", F.sha2("text", 256).alias("sha")).dropDuplicates(["k1", "k2"])
-    out = out.join(whole, ["k1", "k2"])
-    return out.select("doc_id", "n_bytes", "n_removed", F.size("starts").cast("long").alias("n_spans"), F.coalesce(F.sha2("kept", 256), "sha").alias("kept_sha256"))
+    """Besides the contract's columns: n_kept, the bytes left, and text, the characters that are left whole."""
+    out = remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", "n_bytes", "n_removed", F.size("starts").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"), (F.col("n_bytes") - F.col("n_removed")).alias("n_kept"), F.col("left").alias("text"))
+
+
+def _doubled(k: int) -> str:
+    return f"h{2 * k} AS (SELECT *, hash(h{k}, lead(h{k}, {k}) OVER p) AS h{2 * k} FROM {'b' if k == 1 else f'h{k}'} WINDOW p AS (PARTITION BY doc_id ORDER BY pos))"
+
+
+SQL = f"""
+WITH d AS (SELECT doc_id, regexp_extract_all(hex(encode(coalesce(text, ''))), '..') AS x FROM documents),
+b AS (SELECT doc_id, unnest(x) AS h1, unnest(range(0, len(x))) AS pos, len(x) AS n FROM d),
+{", ".join(_doubled(1 << k) for k in range(8))},
+w AS (SELECT doc_id, pos, n, h1, CASE WHEN pos + 400 <= n THEN hash(h256, lead(h128, 256) OVER p, lead(h16, 384) OVER p) END AS w FROM h256 WINDOW p AS (PARTITION BY doc_id ORDER BY pos)),
+r AS (SELECT *, w IS NOT NULL AND count(*) OVER (PARTITION BY w) > 1 AS again FROM w),
+g AS (SELECT *, max(again::INT) OVER (PARTITION BY doc_id ORDER BY pos ROWS 399 PRECEDING) AS gone FROM r),
+s AS (SELECT *, gone = 1 AND lag(gone, 1, 0) OVER p = 0 AS first, sum((h1 NOT BETWEEN '80' AND 'BF')::INT) OVER p AS ch FROM g WINDOW p AS (PARTITION BY doc_id ORDER BY pos)),
+c AS (SELECT *, max(gone) OVER (PARTITION BY doc_id, ch) AS cut FROM s),
+k AS (SELECT doc_id, sum(gone)::BIGINT AS n_removed, count(*) FILTER (first)::BIGINT AS n_spans, coalesce(string_agg(h1, '' ORDER BY pos) FILTER (gone = 0), '') AS kept,
+  coalesce(string_agg(h1, '' ORDER BY pos) FILTER (cut = 0), '') AS whole FROM c GROUP BY 1)
+SELECT d.doc_id, len(x)::BIGINT AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0)::BIGINT AS n_spans, sha256(unhex(coalesce(kept, ''))) AS kept_sha256,
+  (len(x) - coalesce(n_removed, 0))::BIGINT AS n_kept, decode(unhex(coalesce(whole, ''))) AS text FROM d LEFT JOIN k USING (doc_id)
+"""
