@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalar as S
 from ..operators import ranks, series, similarity, tables
+from ..schema import MANIA_AXES, PATTERNS, STRUCTURE
 from ..settle import settled
 from . import chart_sql
 
@@ -508,23 +509,26 @@ def lane_base(spark, d):
     return f.select("chart_id", *[F.round(F.col(f"base.{c}").cast("double"), n).alias(c) for c, n in rounded.items()], F.round(F.col("style.ln_note_ratio").cast("double"), 5).alias("ln_note_ratio"))
 
 
-@query()
+@query(chart_sql.LANE_FEATURES)
 def chart_mania_features(spark, d):
     from .charts import labelled, mania_charts
     from .synthetic import lane_charts
 
     out = labelled(mania_charts(lane_charts(spark, d)))
-    return out.select("chart_id", "beatmap_id", "status", F.col("key_count").cast("int").alias("key_count"), F.round("difficulty.speed", 4).alias("speed"), F.round("difficulty.course", 4).alias("course"), F.round("style.stream", 5).alias("stream"), "base.note_count", F.when(F.col("status") == "ok", F.col("family")).alias("family"), F.when(F.col("status") == "ok", F.col("pattern")).alias("pattern"))
+    n = lambda c, k: F.round(F.col(c).cast("double"), k).alias(c.split(".")[-1])
+    values = [*[n(f"difficulty.{a}", 4) for a in MANIA_AXES], *[n(f"style.{a}", 5) for a in PATTERNS + STRUCTURE], *[F.col(f"base.{c}").cast("double").alias(c) for c in ("note_count", "peak_nps")]]
+    named = [F.when(F.col("status") == "ok", F.col(c)).alias(c) for c in ("family", "pattern")]
+    return out.select("chart_id", "beatmap_id", "status", F.col("key_count").cast("long").alias("key_count"), *values, *named)
 
 
-@query()
+@query(chart_sql.LANE_SIMILAR)
 def chart_mania_similar(spark, d):
     from .charts import mania_charts, normalise_mania
     from .synthetic import lane_charts
 
     features = settled(normalise_mania(mania_charts(lane_charts(spark, d)), 1))
     target = features.orderBy("beatmap_id").limit(1)
-    return similarity.mania_similar(features, target).select("beatmap_id", F.col("key_count").cast("int").alias("key_count"), F.round("final_distance", 5).alias("distance"))
+    return similarity.mania_similar(features, target).select("beatmap_id", F.col("key_count").cast("long").alias("key_count"), F.round("final_distance", 5).alias("distance"))
 
 
 @query()
