@@ -531,6 +531,138 @@ def chart_mania_similar(spark, d):
     return similarity.mania_similar(features, target).select("beatmap_id", F.col("key_count").cast("long").alias("key_count"), F.round("final_distance", 5).alias("distance"))
 
 
+# Stores, archives and text sources
+
+
+def _store(spark, mode):
+    import uuid
+
+    from ..settle import shared_folder
+    from .store import Store
+
+    return Store.open(spark, f"{shared_folder(spark)}/store-{uuid.uuid4().hex}", mode)
+
+
+@query(chart_sql.LANE_STORE)
+def lane_store(spark, d):
+    """Lane charts added, added again, normalised by a kept normaliser, published and read back."""
+    from .charts import fit_mania, mania_charts, normalise_mania
+    from .synthetic import lane_charts
+
+    store, raw = _store(spark, "mania"), settled(mania_charts(lane_charts(spark, d)))
+    store.upsert_raw(raw)
+    if store.upsert_raw(raw)["inserted"]:
+        raise RuntimeError("the same charts were added twice")
+    store.save_normaliser(1, fit_mania(store.raw()))
+    store.publish(1, normalise_mania(store.raw(), 1, store.load_normaliser(1)))
+    f = store.features(1, verify=True)
+    return f.select("beatmap_id", F.col("key_count").cast("long").alias("key_count"), F.col("difficulty_band").cast("long").alias("band"), F.round(F.col("difficulty_percentile").cast("double"), 6).alias("percentile"), *[F.round(F.col(f"difficulty.{a}").cast("double"), 6).alias(a) for a in MANIA_AXES])
+
+
+@query(chart_sql.STD_STORE)
+def std_store(spark, d):
+    """Free-aim charts added, normalised and published: the statistics of their star sections."""
+    from ..operators.std_features import std_features
+    from .charts import normalise_std
+    from .synthetic import rated, std_charts
+
+    store, charts = _store(spark, "std"), settled(std_charts(spark, d))
+    store.upsert_raw(settled(std_features(charts, rated(charts))))
+    store.publish(1, normalise_std(store.raw(), 1))
+    stats = store.stats()
+    sums = [F.round(f"{k}_{a}", 6).alias(f"{k}_{a}") for a in ("aim", "speed", "reading", "slider") for k in ("sum", "sumsq")]
+    return stats.select("star_section", F.col("count").alias("n"), *sums, "sum_ar", "sumsq_cs")
+
+
+@query(chart_sql.MEMBERS)
+def archive_members(spark, d):
+    from ..sources.archives import archive_members
+    from .synthetic import archives
+
+    m = archive_members(archives(spark, d))
+    return m.select("archive", "member", "status", F.sha2("content", 256).alias("sha"))
+
+
+@query(chart_sql.VERIFIED)
+def archive_check(spark, d):
+    from ..sources.archives import verify_archives
+    from .synthetic import archives
+
+    return verify_archives(archives(spark, d))
+
+
+@query("""WITH p AS (SELECT CASE doc_id % 3 WHEN 0 THEN 'S' WHEN 1 THEN 'SM' ELSE 'R' END AS kind, row_number() OVER (PARTITION BY doc_id % 3 ORDER BY doc_id) AS page, doc_id, n_chars FROM documents),
+s AS (SELECT *, coalesce(max((n_chars < 120)::INT) OVER (PARTITION BY kind ORDER BY page ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS stopped FROM p)
+SELECT kind || doc_id AS pack_id, CASE kind WHEN 'S' THEN 'standard' WHEN 'SM' THEN 'excluded' ELSE 'mixed' END AS class FROM s WHERE stopped = 0""")
+def paged_packs(spark, d):
+    """Pages of three kinds made of documents, one pack each; short documents make pages that link to no further one."""
+    from ..sources.catalogue_text import MORE_PAGES, pack_class, paged_pack_ids
+
+    docs = read(spark, d, "documents")
+    kind = F.element_at(F.array(F.lit("S"), F.lit("SM"), F.lit("R")), (F.pmod("doc_id", F.lit(3)) + 1).cast("int"))
+    more = F.when(F.col("n_chars") < 120, "").otherwise(MORE_PAGES)
+    page = F.row_number().over(Window.partitionBy("kind").orderBy("doc_id"))
+    pages = docs.withColumn("kind", kind).withColumn("page", page).select("kind", "page", F.concat(F.lit('<a href="/beatmaps/packs/'), "kind", F.col("doc_id").cast("string"), F.lit('">x</a>'), more).alias("html"))
+    ids = paged_pack_ids(pages)
+    return ids.select("pack_id", pack_class(F.col("pack_id")).alias("class"))
+
+
+@query("""SELECT page_id, CASE page_id % 4 WHEN 0 THEN url WHEN 1 THEN 'https://official/' || page_id ELSE 'https://mirror/' || page_id END AS link FROM (SELECT page_id, replace(url, 'http://', 'https://') AS url FROM pages)""")
+def source_links(spark, d):
+    """A mirror's answer for each page: with its address, failed, or under another name; the official link serves where there is none."""
+    from ..sources.catalogue_text import mirror_link, source_link
+
+    url, n = F.regexp_replace("url", "^http://", "https://"), F.pmod("page_id", F.lit(4))
+    other = F.concat(F.lit("https://mirror/"), F.col("page_id").cast("string"))
+    answer = F.when(n == 0, F.to_json(F.struct(F.lit(True).alias("success"), url.alias("url")))).when(n == 1, F.to_json(F.struct(F.lit(False).alias("success"), url.alias("url")))).otherwise(F.to_json(F.struct(F.lit(True).alias("success"), other.alias("download_url"))))
+    official = F.concat(F.lit("https://official/"), F.col("page_id").cast("string"))
+    return read(spark, d, "pages").select("page_id", source_link(mirror_link(answer), official).alias("link"))
+
+
+@query("""SELECT string_agg('c' || s_suppkey || '=' || s_name, '; ' ORDER BY s_suppkey) AS cookie FROM supplier WHERE s_nationkey % 3 <> 2 AND s_suppkey % 7 <> 0""")
+def cookie_header(spark, d):
+    """A cookie file made of suppliers: for the domain, for hosts under it, for another one, and comments."""
+    from ..sources.catalogue_text import cookies
+
+    host = F.element_at(F.array(F.lit("#HttpOnly_.x.org"), F.lit("a.x.org"), F.lit("notx.org")), (F.pmod("s_nationkey", F.lit(3)) + 1).cast("int"))
+    line = F.concat_ws("\t", host, F.lit("TRUE"), F.lit("/"), F.lit("TRUE"), F.lit("0"), F.concat(F.lit("c"), F.col("s_suppkey").cast("string")), "s_name")
+    lines = read(spark, d, "supplier").select(F.col("s_suppkey").alias("line_no"), F.when(F.pmod("s_suppkey", F.lit(7)) == 0, F.concat(F.lit("# "), line)).otherwise(line).alias("value"))
+    return cookies(lines, "x.org")
+
+
+@query("""SELECT CASE event_type WHEN 'click' THEN 'downloaded' WHEN 'view' THEN 'skipped' ELSE 'failed' END AS outcome, count(*)::BIGINT AS n FROM events WHERE event_type <> 'signup' GROUP BY 1""")
+def retry_outcomes(spark, d):
+    """A retry log made of events."""
+    from ..sources.catalogue_text import log_outcomes
+
+    said = F.when(F.col("event_type") == "click", "Downloaded").when(F.col("event_type") == "view", "SKIPPED").when(F.col("event_type") == "signup", "undownloaded").otherwise("has failed:")
+    return log_outcomes(read(spark, d, "events").select(F.concat_ws(" ", F.col("event_id").cast("string"), said, "props").alias("value")))
+
+
+@query("""SELECT d.doc_id AS beatmap_id, CASE WHEN l.quality = 1 THEN 'downloaded' WHEN l.quality = 0 THEN 'failed' ELSE 'pending' END AS status FROM documents d LEFT JOIN labels l USING (doc_id)""")
+def manifest_status(spark, d):
+    from ..sources.catalogue_text import manifest
+
+    charts, labels = read(spark, d, "documents").select(F.col("doc_id").alias("beatmap_id")), read(spark, d, "labels").withColumnRenamed("doc_id", "beatmap_id")
+    return manifest(charts, labels.where("quality = 1"), labels)
+
+
+@query("""SELECT l_orderkey * 100 + l_linenumber AS beatmap_id, l_orderkey AS beatmapset_id, l_shipdate::DATE::VARCHAR AS version, 'mania' AS mode FROM lineitem JOIN orders ON o_orderkey = l_orderkey
+  WHERE o_orderstatus = 'F' AND l_returnflag <> 'N' AND l_linestatus = 'F'""")
+def ranked_catalogue(spark, d):
+    """API records of sets with nested charts, made of orders and their lines, written and read as JSON."""
+    import uuid
+
+    from ..settle import shared_folder
+    from ..sources.catalogue_text import ranked_charts
+
+    b = F.struct((F.col("l_orderkey") * 100 + F.col("l_linenumber")).alias("id"), F.when(F.col("l_linestatus") == "F", "mania").otherwise("osu").alias("mode"), F.when(F.col("l_returnflag") == "A", 1).otherwise(0).alias("ranked"), F.when(F.col("l_returnflag") == "R", "ranked").otherwise("loved").alias("status"), F.date_format("l_shipdate", "yyyy-MM-dd").alias("version"))
+    sets = read(spark, d, "lineitem").groupBy("l_orderkey").agg(F.collect_list(b).alias("beatmaps")).join(read(spark, d, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
+    path = f"{shared_folder(spark)}/sets-{uuid.uuid4().hex}"
+    sets.select(F.col("l_orderkey").alias("id"), F.when(F.col("o_orderstatus") == "F", "ranked").otherwise("graveyard").alias("status"), F.lit(0).alias("ranked"), "beatmaps").write.json(path)
+    return ranked_charts(spark, path)
+
+
 @query()
 def windowed_counts(spark, d):
     from ..streaming.ingest import windowed_counts

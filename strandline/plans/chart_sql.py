@@ -188,3 +188,23 @@ x AS (SELECT b.c, b.keys, abs(b.band - t.band) AS gap, b.family = t.family AS sa
   FROM b JOIN t ON b.keys = t.keys AND b.c <> t.c),
 radius AS (SELECT coalesce(min(r) FILTER (n >= 256 AND s >= 40), 9) AS r FROM (SELECT r, count(*) AS n, count(*) FILTER (same) AS s FROM (SELECT unnest(range(0, 10)) AS r) JOIN x ON gap <= r GROUP BY r))
 SELECT c + 1 AS beatmap_id, keys::BIGINT AS key_count, round(d, 5) AS distance FROM x, radius WHERE gap <= radius.r ORDER BY d, c LIMIT 20"""
+
+LANE_STORE = LANE_SIMILAR[: LANE_SIMILAR.index("t AS (SELECT * FROM b ORDER BY c LIMIT 1)")].rstrip().rstrip(",") + """
+SELECT c + 1 AS beatmap_id, keys::BIGINT AS key_count, band::BIGINT AS band, round(p::DOUBLE, 6) AS percentile, """ + ", ".join(f"round({a}::DOUBLE, 6) AS {a}" for a in _AXES) + " FROM b"
+
+
+def _share(c: str) -> str:
+    return f"CASE WHEN max({c}) OVER () = min({c}) OVER () THEN 0 ELSE (dense_rank() OVER (ORDER BY {c}) - 1)::DOUBLE / ((SELECT count(DISTINCT {c}) FROM a) - 1) END"
+
+
+STD_STORE = FEATURES[: FEATURES.rindex("SELECT c AS chart_id")].rstrip() + f""",
+a AS (SELECT c, (c * 7 % 31 / 10)::FLOAT AS aim, (c * 5 % 17 / 10)::FLOAT AS speed, (c * 3 % 13 / 10)::FLOAT AS reading, 3 + c * 11 % 29 / 10 AS stars,
+  (0.3::DOUBLE * CASE WHEN hits > 0 THEN sliders / hits ELSE 0 END + 0.7::DOUBLE * CASE WHEN moves > 0 THEN changes / moves ELSE 0 END)::FLOAT AS slider FROM n LEFT JOIN changes USING (c)),
+f AS (SELECT c, stars, {", ".join(f"({_share(x)})::FLOAT::DOUBLE AS {x}" for x in ("aim", "speed", "reading", "slider"))} FROM a)
+SELECT floor(stars / 0.1::DOUBLE + 1e-6::DOUBLE)::BIGINT AS star_section, count(*)::BIGINT AS n, {", ".join(f"round(sum({x}), 6) AS sum_{x}, round(sum({x} * {x}), 6) AS sumsq_{x}" for x in ("aim", "speed", "reading", "slider"))}, 8.0::DOUBLE * count(*) AS sum_ar, 16.0::DOUBLE * count(*) AS sumsq_cs FROM f GROUP BY 1"""
+
+MEMBERS = """WITH a AS (SELECT doc_id // 20 AS a, doc_id, coalesce(text, '') AS text, ['nested', '7z', 'rar', 'broken', 'empty', 'plain'][(doc_id // 20) % 6 + 1] AS kind FROM documents)
+SELECT 'a' || a AS archive, CASE kind WHEN 'nested' THEN 'in.osz/' ELSE '' END || doc_id || '.osu' AS member, 'ok' AS status, sha256(text) AS sha FROM a WHERE kind IN ('nested', 'plain')
+UNION ALL SELECT DISTINCT 'a' || a, CASE WHEN kind IN ('7z', 'rar') THEN kind ELSE '' END, CASE kind WHEN 'broken' THEN 'failed' WHEN 'empty' THEN 'empty' ELSE 'unsupported' END, NULL FROM a WHERE kind NOT IN ('nested', 'plain')"""
+
+VERIFIED = """SELECT DISTINCT 'a' || doc_id // 20 AS path, CASE (doc_id // 20) % 6 WHEN 1 THEN 'unsupported' WHEN 2 THEN 'unsupported' WHEN 3 THEN 'failed' ELSE 'ok' END AS status FROM documents"""

@@ -6,9 +6,15 @@ long note (lanes).  There are no chart files among the driver's tables.
 
 from __future__ import annotations
 
+import io
+import zipfile
+
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.archives import RAR, SEVEN_ZIP
+
 
 def _text(events: DataFrame, line, header) -> DataFrame:
     """chart_id, content: a chart of all events of each user, in order.  A chart is one file, so a user's lines do meet in one row."""
@@ -41,3 +47,40 @@ def lane_charts(spark, sf_dir: str) -> DataFrame:
     keys = F.element_at(F.array(F.lit("4"), F.lit("6"), F.lit("7"), F.lit("5")), (F.pmod(F.col("user_id"), F.lit(4)) + 1).cast("int"))
     head = F.concat(F.lit("[General]\nMode: 3\n[Metadata]\nBeatmapID:"), (F.col("user_id") + 1).cast("string"), F.lit("\n[Difficulty]\nCircleSize:"), keys, F.lit("\n[TimingPoints]\n0,500,4,2,1,60,1,0\n[HitObjects]\n"))
     return _text(_events(spark, sf_dir), line, head)
+
+
+#: Documents of an archive; what its number makes of it: packs within, a RAR or 7z head, half an archive, one without charts, or plain members.
+IN_ARCHIVE = 20
+ARCHIVE_KINDS = ("nested", "7z", "rar", "broken", "empty", "plain")
+
+
+def archives(spark, sf_dir: str) -> DataFrame:
+    """path, content: archives whose charts are the texts of ``IN_ARCHIVE`` documents with neighbouring ids."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", F.floor(F.col("doc_id") / IN_ARCHIVE).cast("long").alias("a"))
+
+    def pack(f: pd.DataFrame) -> pd.DataFrame:
+        f, a = f.sort_values("doc_id"), int(f["a"].iloc[0])
+        kind = ARCHIVE_KINDS[a % len(ARCHIVE_KINDS)]
+
+        def zipped(suffix: str) -> bytes:
+            out = io.BytesIO()
+            with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+                for i, text in zip(f["doc_id"], f["text"], strict=True):
+                    z.writestr(f"{i}.{suffix}", (text or "").encode())
+            return out.getvalue()
+
+        raw = {"7z": SEVEN_ZIP, "rar": RAR, "empty": zipped("txt")}.get(kind) or zipped("osu")
+        if kind == "nested":
+            outer = io.BytesIO()
+            with zipfile.ZipFile(outer, "w") as z:
+                z.writestr("in.osz", raw)
+            raw = outer.getvalue()
+        return pd.DataFrame({"path": [f"a{a}"], "content": [raw[: len(raw) // 2] if kind == "broken" else raw]})
+
+    return docs.groupBy("a").applyInPandas(pack, "path string, content binary")
+
+
+def rated(charts: DataFrame) -> DataFrame:
+    """What a calculator might say of the std charts: small numbers made of their ids."""
+    n = lambda k, by: (F.pmod(F.col("chart_id") * k, F.lit(by)) / 10.0)
+    return charts.select(F.sha2("content", 256).alias("sha256"), n(7, 31).alias("aim"), n(5, 17).alias("speed"), n(3, 13).alias("reading"), (3.0 + n(11, 29)).alias("stars"), F.lit(100).alias("max_combo"))
