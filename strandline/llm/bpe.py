@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from .common import table
 from .pretokens import Vocabulary, vocabulary
 
-REMEMBERED, LONGEST = 300_000, 64
+REMEMBERED, LONGEST = 200_000, 64
 NONE = 1 << 62
 
 

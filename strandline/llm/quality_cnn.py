@@ -5,7 +5,7 @@ responses are max-pooled over overlapping chunks; a hidden layer turns each chun
 maximum over all chunks give one probability.  A text of any length is scored whole: memory follows the block of
 texts at hand, not the table.
 
-The network is fitted on the driver on at most ``max_rows`` labelled rows of at most ``max_bytes`` bytes each, taken in
+The network is fitted on the driver on at most ``max_rows`` labelled rows of at most ``max_total`` bytes together, taken in
 the order of a hash of their id.  Nothing but the text enters a score.
 """
 
@@ -25,7 +25,9 @@ from .common import table
 BLOCK_BYTES, EMBED, FILTERS, HIDDEN = 4, 8, 32, 24
 #: Blocks in a pooling cell; cells in a chunk; cells from one chunk's start to the next one's.
 CELL, CHUNK, STEP = 16, 8, 6
-MAX_ROWS, MAX_BYTES = 4000, 65536
+#: Cells whose responses are held at once, whatever the length of a text.
+SLAB = 4096
+MAX_ROWS, MAX_TOTAL = 4000, 48 << 20
 
 
 @dataclass
@@ -75,17 +77,21 @@ def chunk_bounds(first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]
 
 
 def cell_maxima(net: Net, codes: np.ndarray, first: np.ndarray) -> np.ndarray:
-    """Of the filter responses in each cell.  The last window of a text reaches into padding, never into the next text."""
-    x = net.embed[codes].reshape(-1, BLOCK_BYTES * EMBED)
-    half = BLOCK_BYTES * EMBED
-    y = x[:-1] @ net.conv[:half]
-    nxt = x[1:] @ net.conv[half:]
-    pad = net.embed[256]
-    if pad.any():
+    """Of the filter responses in each cell, ``SLAB`` cells at a time.  The last window of a text reaches into padding, never into the next text."""
+    if net.embed[256].any():
         raise ValueError("padding must embed to 0")
-    nxt[first[1:] * CELL - 1] = 0
-    y += nxt
-    return y.reshape(-1, CELL, FILTERS).max(1)
+    half, unit = BLOCK_BYTES * EMBED, BLOCK_BYTES * CELL
+    ends = first[1:] * CELL - 1
+    out = np.empty((int(first[-1]), FILTERS), net.conv.dtype)
+    for lo in range(0, len(out), SLAB):
+        hi = min(lo + SLAB, len(out))
+        x = net.embed[codes[lo * unit : hi * unit + BLOCK_BYTES]].reshape(-1, half)
+        nxt = x[1:] @ net.conv[half:]
+        a, b = np.searchsorted(ends, [lo * CELL, hi * CELL])
+        nxt[ends[a:b] - lo * CELL] = 0
+        nxt += x[:-1] @ net.conv[:half]
+        out[lo:hi] = nxt.reshape(-1, CELL, FILTERS).max(1)
+    return out
 
 
 def pool(cells: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
@@ -178,15 +184,19 @@ def fit(texts: list[bytes], labels: np.ndarray, epochs: int = 12, batch: int = 3
     return net
 
 
-def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, max_bytes: int = MAX_BYTES) -> Net:
-    """On a bounded sample of the rows of ``labels`` (doc_id, quality) whose crc32(doc_id) mod 5 isn't 0.
+def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, max_total: int = MAX_TOTAL) -> Net:
+    """On a bounded sample of the rows of ``labels`` (doc_id, quality) whose crc32(doc_id) mod 5 isn't 0: the first ones in the order of a hash of their
+    id, ``max_rows`` at most and as many as have ``max_total`` bytes together; long texts count like others.
 
     Rows without a label of 0 or 1 or without a document don't count.  Without any row the network stays as it starts.
     """
     usable = labels.where(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out()).select("doc_id", "quality")
     chosen = usable.orderBy(F.xxhash64("doc_id"), "doc_id", "quality").limit(max_rows)  # so many rows at most are broadcast
-    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).where(F.octet_length("text") <= max_bytes).join(F.broadcast(chosen), "doc_id")
-    got = rows.orderBy(F.xxhash64("doc_id"), "doc_id", "text", "quality").limit(max_rows).toArrow()
+    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(chosen), "doc_id").withColumn("size", F.octet_length("text"))
+    order = [F.xxhash64("doc_id"), "doc_id", "size", F.xxhash64("text"), "quality"]
+    sizes = rows.orderBy(*order).limit(max_rows).select("size").toArrow().column("size").to_numpy()
+    n = int(np.searchsorted(np.cumsum(sizes), max_total, "right"))
+    got = rows.orderBy(*order).limit(n).toArrow()
     return fit([t.encode() for t in got.column("text").to_pylist()], got.column("quality").to_numpy().astype(np.float32))
 
 

@@ -11,7 +11,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from strandline.llm import bpe, dedup_exact, mixing, ngram_join, pii, quality_cnn, quality_mcd, suffix_dedup, token_counts, warc_zip
+from strandline.llm import bpe, dedup_exact, graph, mixing, ngram_join, pii, quality_cnn, quality_mcd, suffix_dedup, token_counts, warc_zip
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, kept string, score string, copies string, key string, node string"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -68,14 +68,28 @@ def test_archives_round_trip(spark):
     assert warc_zip.archive_round_trip(df.limit(0)).count() == 0
 
 
+def test_archives_of_repeated_rows_and_hot_payloads(spark, monkeypatch):
+    big = "q" * 1500
+    pages = [(i % 4, "u", big) for i in range(40)] + [(9, "u", big + "x"), (9, "u", big + "x"), (None, "u", big + "y"), (None, "u", big + "y")]
+    df = spark.createDataFrame(pages, "page_id long, url string, html string")
+    want = Counter((i, "response" if i in (3, 9, None) else "revisit", None if i in (3, 9, None) else 3) for i, _, _ in pages)
+    for most in (400_000, 0):
+        monkeypatch.setattr(warc_zip, "BROADCAST_ROWS", most)
+        assert Counter(rows(warc_zip.archive_round_trip(df), "page_id", "record_type", "refers_to")) == want
+
+
+def index_line(member, at, n):
+    return f'u 2020 {{"filename": "{member}", "offset": "{at}", "length": {n}}}\n'.encode()
+
+
 @pytest.mark.parametrize("zip64", [False, True])
 def test_directory_and_ranges(zip64, tmp_path):
-    chunks = warc_zip.write_zip([(warc_zip.DATA, [b"abc", b"defg"]), (warc_zip.INDEX, [b"r 3 4\n"])], zip64)
-    for src in (warc_zip.Ranges(None, b"".join(chunks)), warc_zip.Ranges(None, b"junk" * 0 + b"".join(chunks))):
-        m = warc_zip.directory(src)
-        assert set(m) == {warc_zip.DATA, warc_zip.INDEX}
-        assert warc_zip.read_index(src, m) == [("r", 3, 4)]
-        assert src.read(warc_zip.stored_at(src, m[warc_zip.DATA]) + 3, 4) == b"defg"
+    chunks = warc_zip.write_zip([(warc_zip.DATA, [b"abc", b"defg"]), (warc_zip.INDEX, [index_line("data.warc.gz", 3, 4)])], zip64)
+    src = warc_zip.Ranges(None, b"".join(chunks))
+    m = warc_zip.directory(src)
+    assert set(m) == {warc_zip.DATA, warc_zip.INDEX}
+    assert warc_zip.read_index(src, m) == [(m[warc_zip.DATA], 3, 4)]
+    assert src.read(warc_zip.stored_at(src, m[warc_zip.DATA]) + 3, 4) == b"defg"
     path = tmp_path / "a.zip"
     path.write_bytes(b"".join(chunks))
     import zipfile
@@ -84,20 +98,37 @@ def test_directory_and_ranges(zip64, tmp_path):
         assert z.testzip() is None and z.read(warc_zip.DATA) == b"abcdefg"
 
 
-def test_archives_of_another_writer_and_damage(tmp_path):
+def test_archives_of_another_writer_and_damage(spark, tmp_path):
+    import base64
+    import gzip
     import zipfile
 
+    def record(kind, name, payload, packed):
+        digest = base64.b32encode(hashlib.sha1(payload).digest()).decode()
+        http = b"HTTP/1.1 200 OK\r\nX: y\r\n\r\n" + payload
+        raw = f"WARC/1.0\r\nWARC-Type: {kind}\r\nWARC-Record-ID: {name}\r\nWARC-Target-URI: http://x/\r\nWARC-Payload-Digest: sha1:{digest}\r\nContent-Length: {len(http)}\r\n\r\n".encode() + http + b"\r\n\r\n"
+        return gzip.compress(raw) if packed else raw
+
+    one = [record("response", "<urn:page:5>", b"five", True), record("request", "<urn:uuid:a>", b"", True)]
+    two = [record("response", "<urn:uuid:b>", b"other", False), record("response", "<urn:page:7>", b"seven", False)]
+    cdx = " CDX N b a m s k r M S V g\n" + "".join(f"k 2020 u text/html 200 D - - {len(r)} {at} one.warc.gz\n" for r, at in zip(one, (0, len(one[0]))))
+    cdxj = b"".join(index_line("archive/two.warc", at, len(r)) for r, at in zip(two, (0, len(two[0]))))
     path = tmp_path / "b.zip"
     with zipfile.ZipFile(path, "w") as z:
-        with z.open(warc_zip.INDEX, "w", force_zip64=True) as f:
-            f.write(b"x 0 1\n")
+        for name, data in (("archive/one.warc.gz", b"".join(one)), ("archive/two.warc", b"".join(two)), ("indexes/one.cdx", cdx.encode()), ("indexes/two.cdxj.gz", gzip.compress(cdxj))):
+            with z.open(name, "w", force_zip64=True) as f:
+                f.write(data)
         z.comment = b"PK\x05\x06 not the end"
-    src = warc_zip.Ranges(str(path))
-    assert warc_zip.read_index(src, warc_zip.directory(src)) == [("x", 0, 1)]
+    read = lambda raw: rows(warc_zip.read_archives(spark.createDataFrame([("p", bytearray(raw))], "path string, content binary"), True), "page_id", "payload_bytes", "payload_digest", "payload")
+    raw = path.read_bytes()
+    assert sorted(read(raw), key=str) == sorted([(5, 4, hashlib.sha1(b"five").hexdigest(), b"five"), (None, 5, hashlib.sha1(b"other").hexdigest(), b"other"), (7, 5, hashlib.sha1(b"seven").hexdigest(), b"seven")], key=str)
+    for bad in (raw.replace(b"seven", b"sevem"), raw.replace(b"X: y", b"X: z"), raw[:-30], b"no archive"):
+        with pytest.raises(Exception, match="damaged|no end of central"):
+            read(bad)
     with pytest.raises(ValueError):
-        warc_zip.directory(warc_zip.Ranges(None, b"no archive"))
+        warc_zip.Ranges(str(path)).read(len(raw), 1)
     with pytest.raises(ValueError):
-        src.read(src.size, 1)
+        warc_zip.read_index(warc_zip.Ranges(None, b""), {"a.warc": None})
 
 
 def test_archives_in_a_table(spark, tmp_path):
@@ -165,12 +196,42 @@ def test_ngram_join(spark, monkeypatch, words, num, region):
     assert [got[i] for i in range(len(texts))] == brute_components(texts, words, num, 100)
 
 
+@pytest.mark.parametrize("few", [400_000, 0])
+def test_components(spark, monkeypatch, few):
+    monkeypatch.setattr(graph, "BROADCAST_ROWS", few)
+    r = random.Random(12)
+    edges = [(r.randrange(60), r.randrange(60)) for _ in range(40)] + [(100, 100 + i) for i in range(1, 80)] + [(i, i + 1) for i in range(300, 340)] + [(5, 5), (-4, 2), (-4, 2)]
+    up = {x: x for e in edges if e[0] != e[1] for x in e}
+
+    def root(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    for a, b in edges:
+        if a != b:
+            a, b = sorted((root(a), root(b)))
+            up[b] = a
+    got = rows(graph.components(spark.createDataFrame(edges, "a long, b long")), "node", "root")
+    assert sorted(got) == sorted((x, root(x)) for x in up)
+    assert graph.components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
 def test_one_of_each(docs, empty):
     kept = ngram_join.one_of_each(docs)
     comp = {r[0]: r[2] for r in rows(ngram_join.similar_components(docs), "doc_id", "n_shingles", "component_id")}
     assert kept.columns == docs.columns
     assert {r[0] for r in rows(kept, "doc_id")} == {i for i, c in comp.items() if i == c}
-    assert ngram_join.one_of_each(empty).count() == 0
+    assert ngram_join.one_of_each(empty).count() == 0 and ngram_join.similar_components(empty).count() == 0
+
+
+def test_one_of_each_of_repeated_rows_and_ids(spark):
+    a, b = " ".join(f"w{i}" for i in range(60)), " ".join(f"v{i}" for i in range(60))
+    texts = [(7, a), (7, a), (7, a + " x"), (9, a + " y"), (7, b), (None, b + " z"), (None, "c"), (None, "c"), (1, ""), (1, ""), (2, "lone")]
+    df = spark.createDataFrame([(i, t, "k") for i, t in texts], "doc_id long, text string, root string")
+    got = Counter(rows(ngram_join.one_of_each(df), "doc_id", "text"))
+    first = got.pop((7, a), 0) + got.pop((7, a + " x"), 0)
+    assert first == 1 and got == {(7, b): 1, (None, "c"): 1, (1, ""): 2, (2, "lone"): 1}
 
 
 def test_signatures_never_part_similar_sets():
@@ -213,6 +274,14 @@ def test_content_sort(spark, docs, keep):
         assert r["text_sha256"] == hashlib.sha256(lower(r["text"]).encode()).hexdigest()
 
 
+def test_content_sort_of_files_and_long_texts(spark, tmp_path):
+    rows_ = [(5, "Same")] * 300 + [(None, "same")] * 200 + [(i, "x" * 300_000 + str(i % 2)) for i in range(4)]
+    df = spark.createDataFrame(rows_, "doc_id long, text string")
+    df.repartition(5).write.parquet(str(tmp_path / "t"))
+    got = dedup_exact.content_sort(spark.read.parquet(str(tmp_path / "t"))).where("kept").select("doc_id", "keep_id", "group_size").collect()
+    assert sorted(map(tuple, got)) == [(0, 0, 2), (1, 1, 2), (5, 5, 500)]
+
+
 def test_content_sort_keeps_one_of_repeated_rows(spark, empty):
     df = spark.createDataFrame([(3, "a")] * 50 + [(3, "b"), (None, "b"), (None, "c"), (None, "c")], "doc_id long, text string")
     got = dedup_exact.content_sort(df, keep="max").where("kept").groupBy("text").count().collect()
@@ -259,6 +328,19 @@ def test_mixing(spark, empty):
     assert mixing.mix(empty).count() == 0
 
 
+def test_mixing_decides_rows_that_repeat_one_by_one(spark, tmp_path):
+    text = " ".join(["w"] * 100)
+    rows_ = [(1, text, "a")] * 40 + [(None, f"{text} {i % 3}", "b") for i in range(45)] + [(100 + i, f"{text} {i}", "c") for i in range(60)]
+    df = spark.createDataFrame(rows_, "doc_id long, text string, source string").withColumn("size", F.lit("s")).withColumn("nth", F.lit("n"))
+    path = str(tmp_path / "t")
+    df.repartition(3).write.parquet(path)
+    for docs in (df, spark.read.parquet(path)):
+        got = mixing.mix(docs).groupBy("source").agg(F.sum("taken").alias("taken"), F.first("target").alias("target"), F.count(F.lit(1)).alias("n")).collect()
+        assert {x["source"]: x["n"] for x in got} == {"a": 40, "b": 45, "c": 60}
+        assert all(abs(x["taken"] - x["target"]) <= 51 for x in got)
+    assert mixing.copied(docs).columns == docs.columns and mixing.copied(docs).where("size = 's' and nth = 'n'").count() == mixing.mix(docs).agg(F.sum("copies")).first()[0]
+
+
 # Suffix dedup
 
 
@@ -297,7 +379,7 @@ def test_suffix_dedup(spark, monkeypatch, crowd):
     for i, (n, gone, spans, kept) in enumerate(brute_repeats(texts)):
         r = got[i]
         assert (r["n_bytes"], r["n_removed"], len(r["starts"])) == (n, gone, spans)
-        assert bytes(r["kept"]) == kept if gone else r["kept"] is None
+        assert bytes(r["kept"]) == kept
 
 
 def test_suffix_dedup_of_repeated_rows_and_no_rows(spark, empty):
@@ -306,6 +388,16 @@ def test_suffix_dedup_of_repeated_rows_and_no_rows(spark, empty):
     assert suffix_dedup.remove_repeats(empty).count() == 0
 
 
+def test_suffix_dedup_of_texts_longer_than_a_segment(spark, monkeypatch):
+    monkeypatch.setattr(suffix_dedup, "SEGMENT", 1 << 12)
+    r = random.Random(13)
+    long = "".join(r.choice("abcdé ") for _ in range(15_000))
+    texts = [long, "x" + long[3000:9000] + "y", long[4000:4450], "".join(r.choice("pq") for _ in range(9000)) + long[:500], long[-399:]]
+    got = {x["doc_id"]: x for x in suffix_dedup.remove_repeats(documents(spark, texts)).collect()}
+    for i, (n, gone, spans, kept) in enumerate(brute_repeats(texts)):
+        assert (got[i]["n_bytes"], got[i]["n_removed"], len(got[i]["starts"]), bytes(got[i]["kept"])) == (n, gone, spans, kept)
+
+
 def test_multikey_sort_and_extents():
     r = np.random.default_rng(1)
     words = r.integers(0, 3, (500, 5)).astype(np.uint64)
@@ -395,7 +487,7 @@ def tokenizer():
 def strange_texts():
     r = random.Random(1)
     pool = ["<|endoftext|>", "é", "日本", "　", " ", "'s", "'S", "  ", "\n\n", "\t", "123", "½", "²", "Ⅷ", "a", "B", "!!", " ", "\x00", "​", "🙂", "'ll", "İ", "\x85", "x" * 50, "\r", "٣", "ा", " ", "'re'"]
-    return [None, "", *("".join(r.choice(pool) for _ in range(r.randint(1, 15))) for _ in range(400)), "ab" * 3000, "a" * 5000, "<|endoftext|>" * 3, " " * 1000]
+    return [None, "", "=" * 40 + "\n", "=" * 40 + "\n" + "-" * 70, *("".join(r.choice(pool) for _ in range(r.randint(1, 15))) for _ in range(400)), "ab" * 3000, "a" * 5000, "<|endoftext|>" * 3, " " * 1000]
 
 
 def test_bpe_codec(spark, tokenizer, empty):
@@ -453,6 +545,51 @@ def test_quality_rules(spark, empty):
     assert {x["kept"] for x in quality_mcd.judge(documents(spark, [None, "", "x"])).collect()} == {False}
 
 
+def plain_mcd(x, share, floor, tries, seed):
+    """The best of many random starts, each concentrated until its determinant stands still."""
+    r, best = np.random.default_rng(seed), (np.inf, None, None)
+    h = share * len(x)
+    for _ in range(tries):
+        pick = x[r.choice(len(x), 6, replace=False)]
+        mean, cov, before = pick.mean(0), np.cov(pick.T, bias=True), np.inf
+        while True:
+            inverse = np.linalg.inv(cov + floor)
+            d = np.einsum("ij,jk,ik->i", x - mean, inverse, x - mean)
+            near = x[np.argsort(d, kind="stable")[: int(round(h))]]
+            mean, cov = near.mean(0), np.cov(near.T, bias=True) * quality_mcd.consistency(share, 4)
+            det = np.linalg.det(cov + floor)
+            if det >= before * (1 - 1e-9):
+                break
+            before = det
+        if before < best[0]:
+            best = (before, mean, cov)
+    return best
+
+
+def test_the_least_determinant_is_found(spark):
+    r = np.random.default_rng(3)
+    cloud = r.normal(size=(900, 4)) @ np.array([[900, 300, 0, 0], [0, 700, 500, 0], [0, 0, 800, 0], [0, 200, 0, 900]])
+    far = r.normal(size=(220, 4)) * 150 + np.array([5000, -4000, 3000, 5000])  # a tight cluster that plain moments are drawn to
+    x = np.rint(np.concatenate([cloud, far])).astype(np.int64)
+    rows_ = [(g, *map(int, v)) for g in ("p", "q") for v in x]
+    levels = spark.createDataFrame(rows_, "gid string, v0 long, v1 long, v2 long, v3 long")
+    floor = np.diag(np.array(quality_mcd.FLOOR, float) ** 2)
+    det, mean, cov = plain_mcd(x.astype(float), quality_mcd.SHARE, floor, 60, 5)
+    assert np.linalg.det(np.cov(x.T) + floor) > 4 * det
+    params = quality_mcd.estimate(levels).collect()
+    assert {p["gid"] for p in params} == {"p", "q"} and {p["docs"] for p in params} == {len(x)}
+    cutoff = quality_mcd.chi_quantile(1 - quality_mcd.REJECT, 4)
+    for p in params:
+        inverse = np.zeros((4, 4))
+        for i, j in quality_mcd.PAIRS:
+            inverse[i, j] = inverse[j, i] = p[f"p{i}{j}"]
+        d = np.einsum("ij,jk,ik->i", x - [p[f"m{i}"] for i in range(4)], inverse, x - np.array([p[f"m{i}"] for i in range(4)]))
+        assert (d[:900] <= cutoff).all() and (d[900:] > cutoff).all()
+    # Before the last step: no worse than the plain search, but for the bins of distance.
+    best = quality_mcd.least_determinant(levels).collect()
+    assert all(b["det"] <= 1.02 * det for b in best)
+
+
 # Personal data
 
 BASE = [
