@@ -212,3 +212,22 @@ def copied(docs: DataFrame) -> DataFrame:
 def op4_mix_sources(spark, sf_dir: str) -> DataFrame:
     sizes = measured(placed(table(spark, sf_dir, "documents")))
     return apply_mix(sizes, fit_mix(sizes)).select("doc_id", "size", "source_size", "target", "taken", "copies")
+
+
+def mix_targets(spark, sf_dir: str) -> DataFrame:
+    """What a mix must reach: each document's size, and its source's size and target, which SQL can follow."""
+    docs = table(spark, sf_dir, "documents")
+    sizes = cut(docs.select("doc_id", "source", words(docs["text"]).alias("size")))
+    goals = cut(source_targets(sizes)).withColumnRenamed("source", "s1")
+    return sizes.join(per_source(goals, goals.count()), sizes["source"].eqNullSafe(goals["s1"])).select("doc_id", "size", "source_size", F.round("target", 4).alias("target"))
+
+
+#: The water level is the least one that no source below it reaches.
+TARGETS_SQL = r"""
+WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size FROM documents),
+s AS (SELECT source, sum(size)::BIGINT AS source_size, [3, 1, 2][(row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1]::DOUBLE AS w FROM d GROUP BY 1),
+r AS (SELECT DISTINCT 2 * source_size / w AS r FROM s),
+l AS (SELECT r, (1.5::DOUBLE * sum(source_size) - sum(CASE WHEN 2 * source_size / w < r THEN 2 * source_size ELSE 0 END)) / sum(CASE WHEN 2 * source_size / w >= r THEN w END) AS level FROM r, s GROUP BY 1),
+v AS (SELECT min_by(level, r) AS level FROM l WHERE level <= r)
+SELECT doc_id, size, source_size, round(least(2 * source_size, w * level)::DOUBLE, 4) AS target FROM d JOIN s ON d.source IS NOT DISTINCT FROM s.source, v
+"""

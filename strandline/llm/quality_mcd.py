@@ -327,3 +327,20 @@ def judge(docs: DataFrame, reject: float = REJECT) -> DataFrame:
 def op9_quality_rules(spark, sf_dir: str) -> DataFrame:
     out = judge(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "distance")
+
+
+def quality_base(spark, sf_dir: str) -> DataFrame:
+    """The counts and base rules alone, which SQL can follow."""
+    return document_stats(table(spark, sf_dir, "documents")).select("doc_id", *STATS, "base_failed")
+
+
+BASE_SQL = r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+w AS (SELECT doc_id, t, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS w FROM d),
+g AS (SELECT doc_id, i, array_to_string(w[i:i + 4], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 3)) AS i FROM w WHERE len(w) >= 5)),
+c AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, g) AS n FROM g),
+r AS (SELECT doc_id, count(DISTINCT j)::BIGINT AS again FROM (SELECT doc_id, unnest(range(i, i + 5)) AS j FROM c WHERE n > 1) GROUP BY 1),
+l AS (SELECT doc_id, (count(*) - count(DISTINCT line))::BIGINT AS dup FROM (SELECT doc_id, unnest(string_split(t, chr(10))) AS line FROM d) WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY 1)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(list_sum(list_transform(w, lambda x: length(x))), 0)::BIGINT AS word_chars, length(regexp_replace(t, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols,
+  coalesce(dup, 0) AS n_dup_lines, coalesce(again, 0) AS n_repeat_words, len(w) < 10 OR 100 * coalesce(again, 0) > 20 * len(w) AS base_failed FROM w LEFT JOIN r USING (doc_id) LEFT JOIN l USING (doc_id)
+"""

@@ -13,6 +13,9 @@ QUERIES = {
     "op8_bpe_codec": bpe.op8_bpe_codec,
     "op9_quality_rules": quality_mcd.op9_quality_rules,
     "op10_pii": pii.op10_pii,
+    # Parts of op4 and op9 that SQL can follow, where the method's own part is a search.
+    "mix_targets": mixing.mix_targets,
+    "quality_base": quality_mcd.quality_base,
 }
 ORACLE = {
     "op1_warc_zip": warc_zip.SQL,
@@ -20,4 +23,6 @@ ORACLE = {
     "op3_exact_dedup": dedup_exact.SQL,
     "op5_suffix_dedup": suffix_dedup.SQL,
     "op10_pii": pii.SQL,
+    "mix_targets": mixing.TARGETS_SQL,
+    "quality_base": quality_mcd.BASE_SQL,
 }
