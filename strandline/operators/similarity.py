@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import scalar as S
-from ..schema import MANIA_AXES, PATTERNS, STD_AXES, STRUCTURE, Filters, ManiaQuery, StdQuery
+from ..schema import BASE_TERMS, MANIA_AXES, PATTERNS, STD_AXES, STRUCTURE, Search
+from ..settle import settled
 
 #: Bounds of the candidate search.
 SEARCH_MOST = 128
@@ -26,39 +29,41 @@ def nearest(items: DataFrame, target: DataFrame, id_col: str, vector: Column, k:
     return near.orderBy("distance", *S.unsigned_order(F.col(id_col))).limit(k)
 
 
-def passes(f: Filters) -> Column:
+def passes(bounds: Mapping[str, tuple[float | None, float | None]]) -> Column:
+    """Whether all bounded columns lie within their bounds."""
     out = F.lit(True)
-    for value, col, sign in ((f.ar_min, "base.ar", 1), (f.ar_max, "base.ar", -1), (f.bpm_min, "base.bpm", 1), (f.bpm_max, "base.bpm", -1)):
-        if value is not None:
-            out = out & (sign * F.col(col) >= sign * value)
-    return out if f.beatmapset_id is None else out & (F.col("beatmapset_id") == f.beatmapset_id)
+    for name, (least, most) in bounds.items():
+        out = out & (F.lit(True) if least is None else F.col(name) >= least) & (F.lit(True) if most is None else F.col(name) <= most)
+    return out
 
 
-def base_distance(a: str, b: str, w) -> Column:
-    c = lambda side, name: F.col(f"{side}.{name}")
-    d = lambda name, scale: S.capped_difference(c(a, name), c(b, name), scale)
-    plain = lambda name: F.abs(c(a, name) - c(b, name))
-    return w.bpm * d("bpm", 300.0) + w.ar * d("ar", 10.0) + w.length * d("length_seconds", 300.0) + w.density * d("object_density", 10.0) + w.circle * plain("circle_ratio") + w.slider * plain("slider_ratio")
+def base_distance(a: str, b: str, search: Search) -> Column:
+    """Weighed differences of the base features of structs ``a`` and ``b``."""
+    terms = []
+    for name, (_, whole) in BASE_TERMS.items():
+        x, y = F.col(f"{a}.{name}"), F.col(f"{b}.{name}")
+        terms.append(search.weight(name) * (F.abs(x - y) if whole is None else S.capped_difference(x, y, whole)))
+    return S.total(terms)
 
 
-def similar(features: DataFrame, beatmap_id: int, query: StdQuery | None = None, exhaustive: bool = False) -> DataFrame:
+def similar(features: DataFrame, beatmap_id: int, search: Search | None = None, exhaustive: bool = False) -> DataFrame:
     """Charts that feel like one: candidates by plain distance of the five axes, filtered, reranked by 0.8 axes + 0.2 base.
 
-    As many candidates are taken as the reference's search returns at most; ``exhaustive`` takes all. Filters follow the choice of candidates, so fewer rows may come back.
+    ``SEARCH_MOST`` candidates are taken at most; ``exhaustive`` takes all.  Bounds follow the choice of candidates, so fewer rows may come back.
     """
-    q = query or StdQuery()
+    search = search or Search()
     target = features.where(F.col("beatmap_id") == beatmap_id).select(F.struct(*STD_AXES).alias("t_axes"), F.col("base").alias("t_base")).limit(1)
     vec = F.array(*STD_AXES)
     t = target.withColumn("t_vec", F.array(*[F.col(f"t_axes.{a}") for a in STD_AXES]))
     if exhaustive:
         cand = features.join(F.broadcast(t.drop("t_vec")), how="cross")
     else:
-        cand = nearest(features, t, "beatmap_id", vec, min(q.candidate_limit, SEARCH_MOST))
-    cand = cand.where((F.col("beatmap_id") != beatmap_id) & passes(q.filters))
-    d1 = S.weighted_l2([F.col(a) for a in STD_AXES], [F.col(f"t_axes.{a}") for a in STD_AXES], q.weights.axes)
-    out = cand.withColumn("difficulty_distance", d1).withColumn("base_distance", base_distance("t_base", "base", q.weights))
+        cand = nearest(features, t, "beatmap_id", vec, min(search.candidates, SEARCH_MOST))
+    cand = cand.where((F.col("beatmap_id") != beatmap_id) & passes(search.bounds))
+    d1 = S.weighted_l2([F.col(a) for a in STD_AXES], [F.col(f"t_axes.{a}") for a in STD_AXES], tuple(map(search.weight, STD_AXES)))
+    out = cand.withColumn("difficulty_distance", d1).withColumn("base_distance", base_distance("t_base", "base", search))
     out = out.withColumn("final_distance", 0.8 * F.col("difficulty_distance") + 0.2 * F.col("base_distance"))
-    return out.orderBy("final_distance", *S.unsigned_order(F.col("beatmap_id"))).limit(q.result_limit).select("beatmap_id", "beatmapset_id", "final_distance", "difficulty_distance", "base_distance", *STD_AXES)
+    return out.orderBy("final_distance", *S.unsigned_order(F.col("beatmap_id"))).limit(search.limit).select("beatmap_id", "beatmapset_id", "final_distance", "difficulty_distance", "base_distance", *STD_AXES)
 
 
 def band_radius(candidates: DataFrame, center: Column, least_total: int, least_family: int) -> DataFrame:
@@ -79,27 +84,30 @@ def searchable_vector() -> Column:
     return F.array(*[F.col(f"difficulty.{a}") for a in MANIA_AXES], *[F.col(f"style.{a}") for a in PATTERNS + STRUCTURE])
 
 
-def mania_similar(features: DataFrame, target: DataFrame, query: ManiaQuery | None = None) -> DataFrame:
-    """Charts of the target's key count in bands around its own, by a distance of five weighted components.
+def mania_similar(features: DataFrame, target: DataFrame, limit: int = 20, same_set: bool = False) -> DataFrame:
+    """Charts of the target's key count in bands around its own, by a distance of five weighted components; those of its set only if ``same_set``.
 
     ``features`` is best partitioned by key count and band.  ``target``: one row of the same columns, in the corpus or not; one of another
     analyzer or normalisation than the features is an error.
     """
-    q = query or ManiaQuery()
-    if not 1 <= q.limit <= 100:
+    if not 1 <= limit <= 100:
         raise ValueError("the limit must be between 1 and 100")
     names = ["beatmap_id", "beatmapset_id", "key_count", "mode_family", "difficulty_band", "difficulty_percentile", "difficulty", "style", "base", "analyzer_version", "normalization_version"]
-    t = target.limit(1).select(*[F.col(n).alias(f"t_{n}") for n in names])
+    t = settled(target.limit(1).select(*[F.col(n).alias(f"t_{n}") for n in names]))
+    # The target's key count and, later, the radius are known here, so that only these partitions are read.
+    at = t.select("t_key_count", "t_difficulty_band").first()
+    if at is None:
+        raise ValueError("no target")
     same = (F.col("analyzer_version") == F.col("t_analyzer_version")) & (F.col("normalization_version") == F.col("t_normalization_version"))
-    cand = features.join(F.broadcast(t), F.col("key_count") == F.col("t_key_count"))
+    cand = features.where(F.col("key_count") == at["t_key_count"]).join(F.broadcast(t))
     cand = cand.where(F.when(same, True).otherwise(F.raise_error(F.lit("the target is of another version")).cast("boolean")))
     out = F.col("beatmap_id") == F.col("t_beatmap_id")
-    if not q.include_same_set:
+    if not same_set:
         out = out | ((F.col("t_beatmapset_id") != 0) & (F.col("beatmapset_id") == F.col("t_beatmapset_id")))
     cand = cand.where(~out)
     gap = F.abs(F.col("difficulty_band") - F.col("t_difficulty_band"))
-    radius = band_radius(cand.select(gap.alias("band"), (F.col("mode_family") == F.col("t_mode_family")).alias("same")), F.lit(0), max(256, 4 * q.limit), max(32, 2 * q.limit))
-    cand = cand.join(F.broadcast(radius), gap <= F.col("radius"))
+    radius = band_radius(cand.select(gap.alias("band"), (F.col("mode_family") == F.col("t_mode_family")).alias("same")), F.lit(0), max(256, 4 * limit), max(32, 2 * limit)).first()["radius"]
+    cand = cand.where(F.col("difficulty_band").between(at["t_difficulty_band"] - radius, at["t_difficulty_band"] + radius))
     pick = lambda side, struct, fields: [F.col(f"{side}{struct}.{f}") for f in fields]
     cand = cand.withColumns({
         "skill": S.hellinger(pick("t_", "difficulty", MANIA_AXES), pick("", "difficulty", MANIA_AXES)),
@@ -109,5 +117,5 @@ def mania_similar(features: DataFrame, target: DataFrame, query: ManiaQuery | No
         "context": 0.5 * S.log_ratio(F.col("t_base.bpm"), F.col("base.bpm"), 4.0) + 0.5 * S.log_ratio(F.col("t_base.active_length_seconds"), F.col("base.active_length_seconds"), 10.0),
     })
     final = 0.35 * F.col("skill") + 0.30 * F.col("pattern") + 0.20 * F.col("structure") + 0.10 * F.col("level") + 0.05 * F.col("context")
-    out = cand.withColumn("final_distance", final).orderBy("final_distance", *S.unsigned_order(F.col("beatmap_id"))).limit(q.limit)
+    out = cand.withColumn("final_distance", final).orderBy("final_distance", *S.unsigned_order(F.col("beatmap_id"))).limit(limit)
     return out.select("beatmap_id", "beatmapset_id", "key_count", "mode_family", "difficulty_percentile", "difficulty_band", "final_distance", "skill", "pattern", "structure", "level", "context")

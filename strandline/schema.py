@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping
 from dataclasses import dataclass, field
 
+# Versions, and the names of axes, features, statistics and labels in the order of their codes.
 STD_ANALYZER, MANIA_ANALYZER = 4, 1
 
 CHARTS = "chart_id long, path string, content binary"
@@ -40,39 +42,22 @@ class OverlapConfig:
     peak_weight_decay: float = 0.9
 
 
-@dataclass(frozen=True)
-class Weights:
-    """Of the difficulty axes, and of the base features that the second distance compares."""
-
-    axes: tuple[float, ...] = (1.0,) * 5
-    bpm: float = 0.15
-    ar: float = 0.15
-    length: float = 0.10
-    density: float = 0.25
-    circle: float = 0.15
-    slider: float = 0.20
-
-
-@dataclass(frozen=True)
-class Filters:
-    """Inclusive bounds applied after candidates are chosen; None leaves a bound out."""
-
-    ar_min: float | None = None
-    ar_max: float | None = None
-    bpm_min: float | None = None
-    bpm_max: float | None = None
-    beatmapset_id: int | None = None
+#: Weight of each base feature in the second distance, and the difference that counts as whole (None: as it is).
+BASE_TERMS = {"bpm": (0.15, 300.0), "ar": (0.15, 10.0), "length_seconds": (0.10, 300.0), "object_density": (0.25, 10.0), "circle_ratio": (0.15, None), "slider_ratio": (0.20, None)}
 
 
 @dataclass(frozen=True)
-class StdQuery:
-    candidate_limit: int = 256
-    result_limit: int = 20
-    weights: Weights = field(default_factory=Weights)
-    filters: Filters = field(default_factory=Filters)
+class Search:
+    """Options of a search among free-aim charts.
 
+    ``weights`` replaces weights of axes (else 1) and of base features by name.  ``bounds`` holds the least and the most value of columns, both included, None
+    for no bound; they apply after candidates are chosen.
+    """
 
-@dataclass(frozen=True)
-class ManiaQuery:
     limit: int = 20
-    include_same_set: bool = False
+    candidates: int = 256
+    weights: Mapping[str, float] = field(default_factory=dict)
+    bounds: Mapping[str, tuple[float | None, float | None]] = field(default_factory=dict)
+
+    def weight(self, name: str) -> float:
+        return self.weights.get(name, BASE_TERMS[name][0] if name in BASE_TERMS else 1.0)

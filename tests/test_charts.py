@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from strandline.operators import mania_features as M
 from strandline.operators import similarity, std_features, tokenise
 from strandline.plans import charts as P
-from strandline.schema import ManiaQuery, StdQuery
+from strandline.schema import Search
 
 
 def frame(spark, texts):
@@ -114,11 +114,23 @@ def test_std_similarity(spark):
     features = P.normalise_std(std_features.std_features(df, attributes(df)), 1).cache()
     got = similarity.similar(features, 10).collect()
     assert [r["beatmap_id"] for r in got] == [20, 30] and got[0]["final_distance"] == 0
-    assert [r["beatmap_id"] for r in similarity.similar(features, 10, StdQuery(result_limit=1), exhaustive=True).collect()] == [20]
+    assert [r["beatmap_id"] for r in similarity.similar(features, 10, Search(limit=1), exhaustive=True).collect()] == [20]
+    ids = lambda search: [r["beatmap_id"] for r in similarity.similar(features, 10, search, exhaustive=True).collect()]
+    assert ids(Search(bounds={"base.ar": (9, 9), "base.bpm": (None, 120)})) == [20, 30] and ids(Search(bounds={"base.bpm": (121, None)})) == []
+    assert ids(Search(bounds={"beatmapset_id": (3, 3)})) == [30]
+    plain, heavy = (similarity.similar(features, 10, s, exhaustive=True).where("beatmap_id = 30").first() for s in (None, Search(weights={"overlap": 4.0, "bpm": 0.0, "object_density": 0.0})))
+    assert heavy["difficulty_distance"] > plain["difficulty_distance"] and heavy["base_distance"] < plain["base_distance"]
     with pytest.raises(ValueError):
         P.normalise_std(std_features.std_features(df, attributes(df).limit(0)), 1)
 
 
+def test_lane_search_leaves_out_the_set(spark):
+    texts = [lane_chart(10, 4, stream(4, 140), 1), lane_chart(20, 4, stream(4, 140), 1), lane_chart(30, 4, stream(4, 90), 2)]
+    features = P.normalise_mania(P.mania_charts(frame(spark, texts)), 1).cache()
+    ids = lambda **how: [r["beatmap_id"] for r in similarity.mania_similar(features, features.where("beatmap_id = 10"), **how).collect()]
+    assert ids() == [30] and ids(same_set=True) == [20, 30] and ids(limit=1, same_set=True) == [20]
+
+
 def chart_arrays(keys, notes):
     start = np.array([n[1] for n in notes], float)
     end = np.array([n[-1] for n in notes], float)
@@ -169,7 +181,7 @@ def test_lane_charts(spark):
     again = similarity.mania_similar(features, outside).collect()
     assert [(r["beatmap_id"], round(r["final_distance"], 6)) for r in again] == [(r["beatmap_id"], round(r["final_distance"], 6)) for r in near]
     with pytest.raises(ValueError):
-        similarity.mania_similar(features, target, ManiaQuery(limit=101))
+        similarity.mania_similar(features, target, 101)
 
 
 def test_lanes_are_dealt_in_two_steps(spark):
