@@ -15,6 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import flat
 from .common import table
 from .pretokens import Vocabulary, vocabulary
 
@@ -136,7 +137,7 @@ def encode_decode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col:
                 yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(ids, pa.binary()), pa.array([c.decode(x) for x in ids], pa.string())], ["id", "ids", "decoded"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return rows.mapInArrow(run, f"id {kind}, ids binary, decoded string").withColumnRenamed("id", id_col)
+    return rows.mapInArrow(flat.tidy(run), f"id {kind}, ids binary, decoded string").withColumnRenamed("id", id_col)
 
 
 def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -12,22 +11,21 @@ BASES = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD1342543DE82EF95))
 _U = np.uint64
 
 
-@cache
-def powers(n: int, which: int) -> tuple[np.ndarray, np.ndarray]:
-    """The powers below n of a base, and of its inverse: any odd number has one."""
-    b = int(BASES[which])
-    inverse = pow(b, -1, 1 << 64)
-    out = []
-    for x in (b, inverse):
-        p = np.full(n, _U(x))
-        p[0] = 1
-        out.append(np.multiply.accumulate(p))
-    return out[0], out[1]
+_POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
-def room(n: int) -> int:
-    """The size of the tables of powers for n bytes: few different ones are kept."""
-    return 1 << max(16, int(n - 1).bit_length())
+def powers(n: int, which: int) -> tuple[np.ndarray, np.ndarray]:
+    """At least the powers below n of a base, and of its inverse: any odd number has one.  One table of each base is kept, as long as the longest block needed it."""
+    held = _POWERS.get(which)
+    if held is None or len(held[0]) < n:
+        size, b = 1 << max(16, int(n - 1).bit_length()), int(BASES[which])
+        out = []
+        for x in (b, pow(b, -1, 1 << 64)):
+            p = np.full(size, _U(x))
+            p[0] = 1
+            out.append(np.multiply.accumulate(p))
+        held = _POWERS[which] = (out[0], out[1])
+    return held
 
 
 def mixed(h: np.ndarray) -> np.ndarray:
@@ -41,7 +39,7 @@ class Rolling:
 
     def __init__(self, data: np.ndarray, which: int = 0):
         n = len(data)
-        self.power, self.inverse = powers(room(n + 1), which)
+        self.power, self.inverse = powers(n + 1, which)
         self.sums = np.zeros(n + 1, np.uint64)
         np.cumsum((data.astype(np.uint64) + _U(1)) * self.power[:n], out=self.sums[1:])
 

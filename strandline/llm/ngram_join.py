@@ -233,7 +233,7 @@ def document_sets(docs: DataFrame, id_col: str, text_col: str, words: int, num:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for batch in batches:
-            for lo, hi, data, at in flat.blocks(batch, "text", 1 << 20):
+            for lo, hi, data, at in flat.blocks(batch, "text"):
                 size, node, keys, marks = [], [], [], []
                 for s in shingle_sets(data, at, words):
                     name = int((mixed(s).sum(dtype=np.uint64) ^ mixed(np.array([len(s)], np.uint64))[0]).view(np.int64)) if len(s) else None
@@ -252,7 +252,7 @@ def document_sets(docs: DataFrame, id_col: str, text_col: str, words: int, num:
                 part = batch.slice(lo, hi - lo)
                 yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(size, pa.int64()), pa.array(node, pa.int64()), part.column("t1"), part.column("t2"), pa.array(keys, pa.list_(pa.int64())), pa.array(marks, pa.binary())], ["id", "n_shingles", "node", "t1", "t2", "keys", "marks"])
 
-    return rows.mapInArrow(run, f"id {kind}, n_shingles long, node long, t1 long, t2 long, keys array<long>, marks binary")
+    return rows.mapInArrow(flat.tidy(run), f"id {kind}, n_shingles long, node long, t1 long, t2 long, keys array<long>, marks binary")
 
 
 def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, num: int = 80, den: int = 100) -> DataFrame:
@@ -315,7 +315,7 @@ def _links(docs: DataFrame, text_col: str, sets: DataFrame, held: Scratch, words
             a, b = agreeing(t.column("key").to_numpy(), t.column("node").to_numpy(), t.column("n").to_numpy(), t.column("marks").to_pylist(), num, den)
             yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
 
-    near = met.select("key", "node", "n", "marks").mapInArrow(agree, "a long, b long")
+    near = met.select("key", "node", "n", "marks").mapInArrow(flat.tidy(agree), "a long, b long")
     # Crowds go to no task.
     near = near.unionByName(meet.where((F.col("crowd") > CROWDED) & (F.col("node") != F.col("least"))).select(F.col("node").alias("a"), F.col("least").alias("b")))
     near = held.keep(near.distinct(), "near")
@@ -334,12 +334,12 @@ def _links(docs: DataFrame, text_col: str, sets: DataFrame, held: Scratch, words
 
     def again(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for lo, hi, data, at in flat.blocks(batch, "text", 1 << 20):
+            for lo, hi, data, at in flat.blocks(batch, "text"):
                 part = batch.slice(lo, hi - lo)
                 found = [s.tobytes() for s in shingle_sets(data, at, words)]
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in ("region", "crowd", "node")), pa.array(found, pa.binary())], ["region", "crowd", "node", "set"])
 
-    full = texts.select("region", "crowd", "node", "text").mapInArrow(again, "region long, crowd long, node long, set binary")
+    full = texts.select("region", "crowd", "node", "text").mapInArrow(flat.tidy(again), "region long, crowd long, node long, set binary")
     usual = full.where(F.col("crowd") <= REGION).select("region", "node", "set").repartition(parts, "region").sortWithinPartitions("region", "node")
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -351,7 +351,7 @@ def _links(docs: DataFrame, text_col: str, sets: DataFrame, held: Scratch, words
                 r.join(np.arange(hi - lo))
                 yield _edges(node[lo:hi], r)
 
-    out = usual.mapInArrow(join, "a long, b long")
+    out = usual.mapInArrow(flat.tidy(join), "a long, b long")
     if not crowd.isEmpty():
         out = out.unionByName(_crowds(full.where(F.col("crowd") > REGION), parts, num, den))
     out = held.keep(out, "links")
@@ -390,7 +390,7 @@ def _crowds(full: DataFrame, parts: int, num: int, den: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("region", "node", "n0", "n1")), *hit], ["region", "node", "n0", "n1", "h0", "h1"])
 
     got = near.select("region", "node", "set", F.col("p0.n").alias("n0"), F.col("p0.s").alias("s0"), F.col("p1.n").alias("n1"), F.col("p1.s").alias("s1"))
-    got = cut(got.mapInArrow(measure, "region long, node long, n0 long, n1 long, h0 boolean, h1 boolean"))
+    got = cut(got.mapInArrow(flat.tidy(measure), "region long, node long, n0 long, n1 long, h0 boolean, h1 boolean"))
     star = got.select(F.explode(F.array(F.when(F.col("h0"), F.struct(F.col("node").alias("a"), F.col("n0").alias("b"))), F.when(F.col("h1"), F.struct(F.col("node").alias("a"), F.col("n1").alias("b"))))).alias("e")).where("e is not null").select("e.*")
     most = got.groupBy("region").agg((F.count_if("h0") >= F.count_if("h1")).alias("first"), F.greatest(F.count_if("h0"), F.count_if("h1")).alias("in"), F.count(F.lit(1)).alias("all"))
     rest = got.join(most, "region").where(~F.when(F.col("first"), F.col("h0")).otherwise(F.col("h1"))).select("region", "node")
@@ -418,7 +418,7 @@ def _crowds(full: DataFrame, parts: int, num: int, den: int) -> DataFrame:
                     r.compare(np.flatnonzero(out), np.flatnonzero(~out))
                 yield _edges(part.column("node").to_numpy(), r)
 
-    return star.unionByName(tasks.mapInArrow(compare, "a long, b long"))
+    return star.unionByName(tasks.mapInArrow(flat.tidy(compare), "a long, b long"))
 
 
 def one_of_each(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100) -> DataFrame:

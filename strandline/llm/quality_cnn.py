@@ -217,13 +217,13 @@ def classify(docs: DataFrame, net: Net, carry: list[str], score_col: str = "scor
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for lo, hi, data, at in flat.blocks(batch, name, 1 << 20):
+            for lo, hi, data, at in flat.blocks(batch, name):
                 part = batch.slice(lo, hi - lo)
                 found = score(known.value, data, at).astype(np.float64)
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in carry), pa.array(found)], [*carry, score_col])
 
     schema = rows.select(*carry).schema.add(score_col, "double")
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(flat.tidy(run), schema)
 
 
 def op6_quality(spark, sf_dir: str) -> DataFrame:

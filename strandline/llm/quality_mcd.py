@@ -125,14 +125,14 @@ def document_stats(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for lo, hi, data, at in flat.blocks(batch, "text", 1 << 20):
+            for lo, hi, data, at in flat.blocks(batch, "text"):
                 s = text_stats(data, at)
                 failed = (s[:, 0] < 10) | (100 * s[:, 4] > 20 * s[:, 0])
                 part = batch.slice(lo, hi - lo)
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in ("doc_id", "lang", "source")), *map(pa.array, s.T), pa.array(failed), *map(pa.array, vectors(s).T)], ["doc_id", "lang", "source", *STATS, "base_failed", *(f"v{i}" for i in range(DIMS))])
 
     schema = ", ".join([*(f"{c} {k}" for c, k in zip(("doc_id", "lang", "source"), kinds, strict=True)), *(f"{c} long" for c in STATS), "base_failed boolean", *(f"v{i} long" for i in range(DIMS))])
-    docs.select("doc_id", "lang", "source", "text").mapInArrow(run, schema).write.parquet(path)
+    docs.select("doc_id", "lang", "source", "text").mapInArrow(flat.tidy(run), schema).write.parquet(path)
     return docs.sparkSession.read.parquet(path)
 
 

@@ -235,7 +235,7 @@ def repeated_spans(keyed: DataFrame, length: int = LENGTH, reach: int = REACH) -
                     yield pa.RecordBatch.from_arrays([pa.array(core.view(np.int64)), pa.array(context.view(np.int64)), pa.array(k1[row + doc]), pa.array(k2[row + doc]), pa.array(place)], ["core", "context", "k1", "k2", "place"])
 
     long_rows = keyed.where(F.octet_length("text") >= length).select("k1", "k2", "text")
-    found = long_rows.mapInArrow(find, "core long, context long, k1 long, k2 long, place long")
+    found = long_rows.mapInArrow(flat.tidy(find), "core long, context long, k1 long, k2 long, place long")
     cores = found.groupBy("core").agg(F.count(F.lit(1)).alias("n"), F.min("context").alias("c0"), F.max("context").alias("c1")).where("n > 1")
     # Settled first, so that the join can be split where a core is very common.
     cores = cut(cores.select("core", (F.col("c0") == F.col("c1")).alias("alike")))
@@ -261,7 +261,7 @@ def repeated_spans(keyed: DataFrame, length: int = LENGTH, reach: int = REACH) -
             lists = [pa.array([x[k] for x in got], pa.list_(pa.int64())) for k in (0, 1)]
             yield pa.RecordBatch.from_arrays([batch.column("k1"), batch.column("k2"), *lists, pa.array([int((e - s).sum()) for s, e in got], pa.int64())], ["k1", "k2", "starts", "ends", "n_removed"])
 
-    return lists.mapInArrow(merge, "k1 long, k2 long, starts array<long>, ends array<long>, n_removed long")
+    return lists.mapInArrow(flat.tidy(merge), "k1 long, k2 long, starts array<long>, ends array<long>, n_removed long")
 
 
 CONTEXT = "core long, copies long, crowd long, k1 long, k2 long, place long, right binary, left binary"
@@ -289,7 +289,7 @@ def _compare(keyed: DataFrame, kinds: DataFrame, length: int, reach: int) -> Dat
                     keys = [pa.array(np.full(n, batch.column(k)[row].as_py(), np.int64)) for k in ("k1", "k2")]
                     yield pa.RecordBatch.from_arrays([*(c.slice(lo, n) for c in (core, copies, crowd)), *keys, place.slice(lo, n), pa.array(right, pa.binary()), pa.array(left, pa.binary())], [x.split()[0] for x in CONTEXT.split(", ")])
 
-    full = texts_of(keyed, by_doc).join(by_doc, ["k1", "k2"]).mapInArrow(contexts, CONTEXT)
+    full = texts_of(keyed, by_doc).join(by_doc, ["k1", "k2"]).mapInArrow(flat.tidy(contexts), CONTEXT)
     parts = int(kinds.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     buckets = full.where(F.col("crowd") <= CROWD).drop("crowd").withColumn("lead", F.substring("right", 1, 24))
     buckets = buckets.repartitionByRange(parts, "lead", "core").sortWithinPartitions("core")
@@ -302,7 +302,7 @@ def _compare(keyed: DataFrame, kinds: DataFrame, length: int, reach: int) -> Dat
             a = t.column("place").to_numpy() >> 20
             yield pa.RecordBatch.from_arrays([pa.array(t.column("k1").to_numpy()[hit]), pa.array(t.column("k2").to_numpy()[hit]), pa.array((a - far_l)[hit]), pa.array((a + far_r)[hit])], ["k1", "k2", "a", "b"])
 
-    out = buckets.select("core", "copies", "k1", "k2", "place", "right", "left").mapInArrow(resolve, "k1 long, k2 long, a long, b long")
+    out = buckets.select("core", "copies", "k1", "k2", "place", "right", "left").mapInArrow(flat.tidy(resolve), "k1 long, k2 long, a long, b long")
     if not per_core.where(F.col("crowd") > CROWD).isEmpty():
         out = out.unionByName(_count_windows(full.where(F.col("crowd") > CROWD), length))
     return out
@@ -320,7 +320,7 @@ def _count_windows(contexts: DataFrame, length: int) -> DataFrame:
                 a = (place >> 20) - len(left) + start
                 yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(np.full(len(a), k1)), pa.array(np.full(len(a), k2)), pa.array(a)], ["h", "k1", "k2", "a"])
 
-    each = contexts.select("k1", "k2", "place", "right", "left").mapInArrow(windows, "h long, k1 long, k2 long, a long")
+    each = contexts.select("k1", "k2", "place", "right", "left").mapInArrow(flat.tidy(windows), "h long, k1 long, k2 long, a long")
     often = each.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h")
     return each.join(often, "h").select("k1", "k2", "a", (F.col("a") + length).alias("b"))
 
@@ -364,7 +364,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 gone = [n - len(k) for n, k in zip(part.column("n_bytes").to_pylist(), kept, strict=True)]
                 yield pa.RecordBatch.from_arrays([part.column("id"), part.column("n_bytes"), pa.array(gone, pa.int64()), part.column("starts"), part.column("ends"), pa.array(kept, pa.binary()), pa.array(left, pa.string())], ["id", "n_bytes", "n_removed", "starts", "ends", "kept", "left"])
 
-    out = whole.mapInArrow(strip, f"id {kind}, n_bytes long, n_removed long, starts array<long>, ends array<long>, kept binary, left string")
+    out = whole.mapInArrow(flat.tidy(strip), f"id {kind}, n_bytes long, n_removed long, starts array<long>, ends array<long>, kept binary, left string")
     return out.withColumnRenamed("id", id_col)
 
 

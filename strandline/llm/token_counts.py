@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import tokenizer_path
+from . import flat
 from .common import fresh_path, table
 from .pretokens import vocabulary
 
@@ -62,8 +63,8 @@ def pretoken_vocabulary(docs: DataFrame, path: str, text_col: str = "text") -> D
                 n = [len(tok.encode(s, add_special_tokens=False)) for s in part.column("pretoken").to_pylist()]
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(n, pa.int64())], ["pretoken", "freq", "n_pieces"])
 
-    each = docs.select(F.col(text_col).alias("text")).mapInArrow(count, "pretoken string, freq long")
-    return each.groupBy("pretoken").agg(F.sum("freq").alias("freq")).mapInArrow(pieces, "pretoken string, freq long, n_pieces long")
+    each = docs.select(F.col(text_col).alias("text")).mapInArrow(flat.tidy(count), "pretoken string, freq long")
+    return each.groupBy("pretoken").agg(F.sum("freq").alias("freq")).mapInArrow(flat.tidy(pieces), "pretoken string, freq long, n_pieces long")
 
 
 def written(df: DataFrame) -> DataFrame:
@@ -132,7 +133,7 @@ def token_counts(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: s
 
     kind = docs.schema[id_col].dataType.simpleString()
     per = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    per = written(per.mapInArrow(sums, f"id {kind}, row long, n_bytes long, n long, tail array<struct<pretoken:string,freq:long>>"))
+    per = written(per.mapInArrow(flat.tidy(sums), f"id {kind}, row long, n_bytes long, n long, tail array<struct<pretoken:string,freq:long>>"))
     rare = _tail(per, vocab)
     out = per.drop("tail").join(rare, "row", "left")
     return out.select(F.col("id").alias(id_col), "n_bytes", (F.col("n") + F.coalesce("more", F.lit(0))).alias("n_tokens"))

@@ -1,6 +1,7 @@
 """Every opN query over a folder of tables, against what its contract says, computed plainly."""
 
 import hashlib
+import os
 import random
 import re
 import struct
@@ -12,7 +13,7 @@ from pyspark.sql import functions as F
 from test_llm_operators import BASE, WORD, awkward, brute_components, brute_repeats, brute_stats, brute_targets, lower, near_copies, passages
 
 from strandline.llm import bpe
-from strandline.llm.queries import QUERIES
+from strandline.llm.queries import ORACLE, QUERIES
 
 sha = lambda raw: hashlib.sha256(raw).hexdigest()
 
@@ -135,3 +136,28 @@ def test_op10(spark, folder, texts):
         assert [(int(a), n, int(b)) for n, a, b in every if n != "term"] == [(a, n, b) for a, _, n, b in spans]
         assert all(re.fullmatch(r"\w+", (t or "")[int(a) : int(b)]) for n, a, b in every if n == "term")
     assert any(x[0] for x in got.values()) and QUERIES["op10_pii"](spark, folder).where(F.col("spans").contains("term")).count()
+
+
+@pytest.mark.parametrize("name", sorted(ORACLE))
+def test_sql(spark, folder, name):
+    import duckdb
+
+    con = duckdb.connect()
+    for t in ("documents", "pages"):
+        con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{folder}/{t}.parquet/*.parquet'")
+    want = con.sql(ORACLE[name])
+    cols = sorted(want.columns)
+    got = QUERIES[name](spark, folder)
+    assert sorted(got.columns) == cols
+    plain = lambda rows_: sorted(str(tuple(r)) for r in rows_)
+    assert plain(got.select(*cols).collect()) == plain(con.sql(f"SELECT {', '.join(cols)} FROM ({ORACLE[name]})").fetchall())
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.01"), reason="the tables are not here")
+def test_op6_on_rows_held_out(spark):
+    d = "/root/testdata/sf0.01"
+    out = QUERIES["op6_quality"](spark, d).where("held_out").join(spark.read.parquet(f"{d}/labels.parquet"), "doc_id").select("score", "quality").collect()
+    good, bad = ([r["score"] for r in out if r["quality"] == k] for k in (1, 0))
+    wins = sum((g > b) + 0.5 * (g == b) for g in good for b in bad)
+    assert len(good) > 30 and len(bad) > 5 and wins / (len(good) * len(bad)) > 0.85
+    assert sum(g >= 0.3 for g in good) >= 0.97 * len(good)
