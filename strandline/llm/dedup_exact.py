@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from .common import LOWER, UPPER, cut, place_of, table
 
 LEAD = 24
+ADDED = ("keep_id", "group_size", "kept", "text_sha256")
 
 
 def normalised(text: Column) -> Column:
@@ -34,7 +35,7 @@ def content_sort(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     if keep not in ("min", "max"):
         raise ValueError(f"keep must be min or max, not {keep!r}")
     spark = docs.sparkSession
-    docs = docs.drop(*[c for c in ("keep_id", "group_size", "kept", "text_sha256") if c in docs.columns and c not in (id_col, text_col)])
+    docs = docs.drop(*[c for c in ADDED if c in docs.columns and c not in (id_col, text_col)])
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     share = max(2, -(-docs.count() // parts))
     digest = docs.select(F.sha2(normalised(docs[text_col]), 256).alias("text_sha256"))

@@ -7,6 +7,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 from test_llm_operators import WORD, brute_components, brute_targets, lower
 
 DIR = "/root/testdata/sf0.001"
@@ -62,7 +63,14 @@ def test_stages(spark, tmp_path):
 def test_stages_take_nulls_and_no_rows(spark):
     import corpus_pipeline as pipeline
 
-    odd = spark.createDataFrame([(None, None, None, None, None), (1, "", "en", None, 0), (2, "a b c", None, "s", 5)], "doc_id long, text string, lang string, source string, n_chars long")
+    long = "word " * 30_000
+    texts = [(None, None, None, None, None), (1, "", "en", None, 0), (2, "a b c", None, "s", 5), (2, "a b c", None, "s", 5), (3, long, "en", "s", 5), (3, long + "x", "en", "s", 5)]
+    odd = spark.createDataFrame(texts, "doc_id long, text string, lang string, source string, n_chars long")
+    # Names that the operators use themselves.
+    for name in ("size", "copies", "kept", "score", "node", "text_sha256"):
+        odd = odd.withColumn(name, F.lit(name))
     for df in (odd, odd.limit(0)):
         for _, stage in pipeline.STAGES:
-            stage(spark, df, DIR).collect()
+            out = stage(spark, df, DIR)
+            assert out.columns == df.columns or stage is pipeline.STAGES[-1][1]
+            assert (len(out.collect()) > 0) == (df is odd)
