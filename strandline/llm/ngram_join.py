@@ -7,9 +7,14 @@ separate them.  So the space is first cut into cells in which similar sets must
 hashing deals both sets' elements into K + 1 + z parts, at least z + 1 parts are the same in both.  Each part is a cell: a
 key of the size class and the part's elements.  Empty parts are left out, unless a set has more than z of them.  A set takes part
 for its own size class and for the class below.  Sets that meet in a cell are candidates if at least z + 1 bytes agree in their
-signatures, a byte per part: a necessary condition again.  Of cells that hold the same sets one is looked at.  In a cell of more than ``CROWDED`` sets all are candidates.  Components
+signatures, a byte per part: a necessary condition again.  Of cells that hold the same sets one is looked at.  Components
 of candidates are regions, and no similar pair lies across two of them.
 
+*Crowded cells.*  A common passage gives a cell to every set that holds it.  A pair that meets in crowded cells only meets in as many of
+them as either set must share with a similar one: z + 1, less its own empty parts.  With all of its cells ordered by their number of sets, a set
+hence passes over as many of the most crowded as are one fewer than that; what is left of a cell still holds the rarest that a pair shares.  If
+it holds more than ``CROWDED`` sets then, all are candidates.
+
 *Regions.*  In a region pivots are chosen and all distances to them computed.  Sets within the threshold of a pivot are linked to it.
 Each set goes to its nearest pivot's Voronoi cell, and to any other one whose pivot is at most twice the threshold
 farther: by the triangle inequality a similar pair meets in a cell.  Cells are joined recursively until all their
@@ -95,11 +100,16 @@ def part_edges(parts: int) -> np.ndarray:
 
 def cell_keys(s: np.ndarray, num: int, den: int) -> tuple[np.ndarray, bytes]:
     """Keys of the cells of a sorted set, the size class in their last ten bits, and a byte for each part of its own class and of the class below, if it can be similar to sets there."""
+    return cells(s, num, den)[:2]
+
+
+def cells(s: np.ndarray, num: int, den: int) -> tuple[np.ndarray, bytes, list[int]]:
+    """``cell_keys``, and the set's class with the least number of cells that it shares with a similar set, in its own class and in the class below."""
     classes = size_classes(num, den)
     own = int(np.searchsorted(_tops(num, den), len(s)))
     sums = np.zeros(len(s) + 1, np.uint64)
     np.cumsum(mixed(s), out=sums[1:])
-    out, marks = [], b""
+    out, marks, needs = [], b"", [own, 1, 1]
     for c in (own, own - 1):
         if c < 0 or not classes[c][1] or (c < own and num * len(s) > den * classes[c][0]):
             continue
@@ -110,7 +120,9 @@ def cell_keys(s: np.ndarray, num: int, den: int) -> tuple[np.ndarray, bytes]:
         key = key & ~_U(1023) | _U(c)
         empty = cut_at[1:] == cut_at[:-1]
         out.append(key if empty.sum() >= parts - k else key[~empty])
-    return (np.concatenate(out) if out else np.zeros(0, np.uint64)), marks
+        # Similar sets agree in parts - k parts, of which the empty ones may be no cells.
+        needs[1 + own - c] = max(1, parts - k - int(empty.sum()))
+    return (np.concatenate(out) if out else np.zeros(0, np.uint64)), marks, needs
 
 
 def agreeing(keys: np.ndarray, nodes: np.ndarray, sizes: np.ndarray, marks: list[bytes], num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
@@ -225,7 +237,7 @@ def _sets_of(binary: list[bytes]) -> list[np.ndarray]:
 
 
 def document_sets(docs: DataFrame, id_col: str, text_col: str, words: int, num: int, den: int) -> DataFrame:
-    """A row per document: id, n_shingles, node (digest of its set, null if empty), t1 and t2 (digests of the text), keys and marks (of its cells, once per set and task)."""
+    """A row per document: id, n_shingles, node (digest of its set, null if empty), t1 and t2 (digests of the text), keys, marks and needs (of its cells, once per set and task)."""
     kind = docs.schema[id_col].dataType.simpleString()
     text = F.coalesce(docs[text_col], F.lit(""))
     rows = docs.select(docs[id_col].alias("id"), text.alias("text"), F.xxhash64(text).alias("t1"), F.xxhash64(F.lit(1), text).alias("t2"))
@@ -234,7 +246,7 @@ def document_sets(docs: DataFrame, id_col: str, text_col: str, words: int, num:
         seen: set[int] = set()
         for batch in batches:
             for lo, hi, data, at in flat.blocks(batch, "text"):
-                size, node, keys, marks = [], [], [], []
+                size, node, keys, marks, needs = [], [], [], [], []
                 for s in shingle_sets(data, at, words):
                     name = int((mixed(s).sum(dtype=np.uint64) ^ mixed(np.array([len(s)], np.uint64))[0]).view(np.int64)) if len(s) else None
                     size.append(len(s))
@@ -242,17 +254,19 @@ def document_sets(docs: DataFrame, id_col: str, text_col: str, words: int, num:
                     if name is None or name in seen:
                         keys.append(None)
                         marks.append(None)
+                        needs.append(None)
                     else:
                         if len(seen) >= SEEN:
                             seen.clear()
                         seen.add(name)
-                        key, mark = cell_keys(s, num, den)
+                        key, mark, need = cells(s, num, den)
                         keys.append(key.view(np.int64))
                         marks.append(mark)
+                        needs.append(need)
                 part = batch.slice(lo, hi - lo)
-                yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(size, pa.int64()), pa.array(node, pa.int64()), part.column("t1"), part.column("t2"), pa.array(keys, pa.list_(pa.int64())), pa.array(marks, pa.binary())], ["id", "n_shingles", "node", "t1", "t2", "keys", "marks"])
+                yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(size, pa.int64()), pa.array(node, pa.int64()), part.column("t1"), part.column("t2"), pa.array(keys, pa.list_(pa.int64())), pa.array(marks, pa.binary()), pa.array(needs, pa.list_(pa.int32()))], ["id", "n_shingles", "node", "t1", "t2", "keys", "marks", "needs"])
 
-    return rows.mapInArrow(flat.tidy(run), f"id {kind}, n_shingles long, node long, t1 long, t2 long, keys array<long>, marks binary")
+    return rows.mapInArrow(flat.tidy(run), f"id {kind}, n_shingles long, node long, t1 long, t2 long, keys array<long>, marks binary, needs array<int>")
 
 
 def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, num: int = 80, den: int = 100) -> DataFrame:
@@ -286,29 +300,50 @@ def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
 
 def _meetings(sets: DataFrame, held: Scratch) -> DataFrame:
-    """A written table (key, node, crowd, least) of the cells in which several sets meet, with their number and the least one; of cells with the same sets and class only one."""
+    """A written table (key, node, least, crowd, times) of the cells in which several sets meet, with the least one and their number; of cells with the same sets and class only one, and how many there are."""
     each = sets.where("keys is not null").select("node", F.explode("keys").alias("key"))
     cell = Window.partitionBy("key")
     meet = each.withColumn("lo", F.min("node").over(cell)).withColumn("hi", F.max("node").over(cell)).where("lo < hi").select("key", "node")
     meet = held.keep(meet.groupBy("key", "node").agg(F.lit(1).alias("one")).select("key", "node"), "meet")
     # Near copies meet in most of their cells: their signatures needn't travel to each of them.
     whose = meet.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("least"), F.bit_xor(F.xxhash64("node")).alias("x"), F.bit_xor(F.xxhash64(F.lit(1), "node")).alias("y"))
-    one = held.keep(whose.groupBy(F.col("key").bitwiseAND(F.lit(1023)).alias("size_class"), "n", "x", "y").agg(F.min(F.struct("key", "least")).alias("one")).select("one.*", F.col("n").alias("crowd")), "one")
+    one = held.keep(whose.groupBy(F.col("key").bitwiseAND(F.lit(1023)).alias("size_class"), "n", "x", "y").agg(F.min(F.struct("key", "least")).alias("one"), F.count(F.lit(1)).alias("times")).select("one.*", F.col("n").alias("crowd"), "times"), "one")
     out = held.keep(meet.join(small_side(one), "key"), "meet")
     held.drop(meet, one)
     return out
 
 
+def _uncrowded(meet: DataFrame, marks: DataFrame, held: Scratch) -> DataFrame:
+    """A written table (key, node, least, crowd) of what is left of the crowded cells of ``meet``.
+
+    A set stays in a cell if this and its more crowded ones are as many as a similar set must share.  The order of cells is the same
+    for all sets, so of the cells that a pair shares, both stay in the rarest.
+    """
+    which = F.col("key").bitwiseAND(F.lit(1023))
+    full = meet.where(F.col("crowd") > CROWDED).join(marks.select("node", "needs"), "node").withColumn("size_class", which)
+    need = F.element_at("needs", (F.col("needs")[0] - F.col("size_class") + 2).cast("int"))
+    down = Window.partitionBy("node", "size_class").orderBy(F.desc("crowd"), F.desc("key"))
+    full = full.withColumn("up_to", F.sum("times").over(down)).where(F.col("up_to") >= need).select("key", "node")
+    full = held.keep(full, "crowded")
+    each = full.groupBy("key").agg(F.min("node").alias("least"), F.count(F.lit(1)).alias("crowd")).where("crowd > 1")
+    out = held.keep(full.join(small_side(each), "key"), "crowded")
+    held.drop(full)
+    return out
+
+
 def _links(docs: DataFrame, text_col: str, sets: DataFrame, held: Scratch, words: int, num: int, den: int) -> tuple[DataFrame, DataFrame]:
     """The rows of ``sets`` without keys and marks, and edges a, b between nodes, enough to connect all that is linked; both are written tables, ``sets`` is dropped."""
     spark = docs.sparkSession
     meet = _meetings(sets, held)
     named = held.keep(meet.select("node").distinct(), "named")
-    marks = held.keep(sets.where("marks is not null").join(small_side(named), "node", "left_semi").groupBy("node").agg(F.first("n_shingles").alias("n"), F.first("marks").alias("marks")), "marks")
-    rows = held.keep(sets.drop("keys", "marks"), "rows")
+    marks = held.keep(sets.where("marks is not null").join(small_side(named), "node", "left_semi").groupBy("node").agg(F.first("n_shingles").alias("n"), F.first("marks").alias("marks"), F.first("needs").alias("needs")), "marks")
+    rows = held.keep(sets.drop("keys", "marks", "needs"), "rows")
     held.drop(sets, named)
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    met = meet.where(F.col("crowd") <= CROWDED).join(marks, "node").repartition(parts, "key").sortWithinPartitions("key", "node")
+    few = meet.where(F.col("crowd") <= CROWDED).select("key", "node")
+    crowded = _uncrowded(meet, marks, held)
+    few = few.unionByName(crowded.where(F.col("crowd") <= CROWDED).select("key", "node"))
+    met = few.join(marks.drop("needs"), "node").repartition(parts, "key").sortWithinPartitions("key", "node")
 
     def agree(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in groups(batches, ["key"], 5000):
@@ -317,9 +352,9 @@ def _links(docs: DataFrame, text_col: str, sets: DataFrame, held: Scratch, words
 
     near = met.select("key", "node", "n", "marks").mapInArrow(flat.tidy(agree), "a long, b long")
     # Crowds go to no task.
-    near = near.unionByName(meet.where((F.col("crowd") > CROWDED) & (F.col("node") != F.col("least"))).select(F.col("node").alias("a"), F.col("least").alias("b")))
+    near = near.unionByName(crowded.where((F.col("crowd") > CROWDED) & (F.col("node") != F.col("least"))).select(F.col("node").alias("a"), F.col("least").alias("b")))
     near = held.keep(near.distinct(), "near")
-    held.drop(meet, marks)
+    held.drop(meet, marks, crowded)
     region = held.keep(components(near).withColumnRenamed("root", "region"), "region")
     held.drop(near)
     crowd = region.groupBy("region").agg(F.count(F.lit(1)).alias("crowd"))

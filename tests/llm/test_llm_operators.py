@@ -251,6 +251,50 @@ def test_signatures_never_part_similar_sets():
             assert len(a) == 1
 
 
+def test_sets_share_as_many_cells_as_they_say():
+    r = np.random.default_rng(4)
+    seen = 0
+    for num in (80, 85):
+        for _ in range(400):
+            n = int(r.integers(4, 900))
+            x = np.unique(r.integers(0, 1 << 63, n).astype(np.uint64))
+            y = np.unique(np.concatenate([x[int(len(x) * r.uniform(0, 0.2)) :], r.integers(0, 1 << 63, int(len(x) * r.uniform(0, 0.2))).astype(np.uint64)]))
+            m = len(np.intersect1d(x, y))
+            if m == max(len(x), len(y)) or 100 * m < num * (len(x) + len(y) - m):
+                continue
+            (kx, _, nx), (ky, _, ny) = ngram_join.cells(x, num, 100), ngram_join.cells(y, num, 100)
+            c = min(nx[0], ny[0])
+            shared = int((np.intersect1d(kx, ky) & np.uint64(1023) == c).sum())
+            assert shared >= max(nx[1 + nx[0] - c], ny[1 + ny[0] - c])
+            seen += shared
+    assert seen
+
+
+def test_a_common_passage_makes_no_region(spark, monkeypatch):
+    """Texts with the same passage of 30 words, which fills whole parts of their sets, and near copies among them."""
+    monkeypatch.setattr(ngram_join, "CROWDED", 8)
+    monkeypatch.setattr(ngram_join, "REGION", 20)
+    monkeypatch.setattr(ngram_join, "_crowds", lambda *a: pytest.fail("all that hold the passage are one region"))
+    r = random.Random(21)
+    passage = " ".join(f"p{i}" for i in range(30))
+    texts = []
+    for i in range(150):
+        own = [f"o{r.randrange(10**9)}" for _ in range(r.choice([100, 140, 200]))]
+        texts.append(" ".join([*own[:50], passage, *own[50:]]))
+        if i % 10 == 0:
+            texts += [" ".join([*own[:50], passage, *own[50:-k], "x"]) for k in (1, 2, 5)]
+    got = {x[0]: x[1:] for x in rows(ngram_join.similar_components(documents(spark, texts)), "doc_id", "n_shingles", "component_id")}
+    assert [got[i] for i in range(len(texts))] == brute_components(texts, 5, 80, 100)
+
+
+def test_crowded_cells_lose_no_link(spark, monkeypatch):
+    monkeypatch.setattr(ngram_join, "CROWDED", 6)
+    monkeypatch.setattr(ngram_join, "REGION", 40)
+    texts = near_copies()
+    got = {x[0]: x[1:] for x in rows(ngram_join.similar_components(documents(spark, texts)), "doc_id", "n_shingles", "component_id")}
+    assert [got[i] for i in range(len(texts))] == brute_components(texts, 5, 80, 100)
+
+
 # Exact dedup
 
 
